@@ -8,16 +8,43 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import bpe
+from locusframe.llm import audio, bpe, mixing, shards, toxicity
 from locusframe.llm.common import documents
 
-ORACLE: dict[str, str] = {}
+#: Target weights of the mixture; names that aren't listed weigh 1.
+WEIGHTS = {"domain": {"d0": 5, "d1": 3, "d2": 2}, "lang": {"en": 4}}
+
+
+def op1_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir), WEIGHTS)
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op3_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.digest(audio.features(documents(spark, sf_dir)))
+
+
+def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    found = toxicity.score(docs, model)
+    return found.select(
+        "doc_id", toxicity.held_out("doc_id", 2, 4).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("passages").alias("n_passages")
+    )
+
+
+def op10_proportional_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.interleave(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hierarchical_mixing": op1_hierarchical_mixing,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_audio_features": op3_audio_features,
+    "op8_toxic_segments": op8_toxic_segments,
+    "op10_proportional_shards": op10_proportional_shards,
 }
+ORACLE: dict[str, str] = {"op1_hierarchical_mixing": mixing.oracle(WEIGHTS)}

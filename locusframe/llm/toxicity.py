@@ -23,7 +23,8 @@ from locusframe.llm.common import cut, utf8
 SAMPLE = 20_000
 #: Bound of the word list, by the size of its standardised log-odds.
 WORDS = 20_000
-PRIOR = 500.0  # words of prior, spread as in the whole sample
+PRIOR = 500.0  # of prior, spread as in the whole sample, and
+FLAT = 0.5  # for every word; counts are of documents that hold a word
 Z = 3.0  # log-odds within so many standard errors of 0 count as none
 DRIFT = -0.1  # score of a word that says nothing
 ALPHA = 0.01  # passages with a smaller chance in clean text are reported
@@ -123,7 +124,7 @@ def learn(docs: DataFrame, labels: DataFrame, fold: int = 2, folds: int = 4) ->
         seen = [Counter(), Counter()]
         for batch in batches:
             for raw, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[1 if y else 0].update(words_of(raw))
+                seen[1 if y else 0].update(set(words_of(raw)))
             if sum(map(len, seen)) > 500_000:
                 yield from flush(seen)
                 seen = [Counter(), Counter()]
@@ -142,7 +143,7 @@ def learn(docs: DataFrame, labels: DataFrame, fold: int = 2, folds: int = 4) ->
     n0, n1 = totals["clean"] or 0, totals["toxic"] or 0
     if not n0 or not n1:
         return Model()
-    prior = F.lit(PRIOR) * (F.col("clean") + F.col("toxic")) / (n0 + n1)
+    prior = F.lit(PRIOR) * (F.col("clean") + F.col("toxic")) / (n0 + n1) + FLAT
     a1, a0 = F.col("toxic") + prior, F.col("clean") + prior
     odds = F.log(a1 / (n1 + PRIOR - a1)) - F.log(a0 / (n0 + PRIOR - a0))
     z = odds / F.sqrt(1 / a1 + 1 / a0)
@@ -150,7 +151,7 @@ def learn(docs: DataFrame, labels: DataFrame, fold: int = 2, folds: int = 4) ->
     scores = {}
     share, value = [], []
     for r in rows:
-        worth = r.odds * (1 - Z / abs(r.z)) if r.odds > 0 else max(r.odds, -1.0)
+        worth = r.odds * (1 - Z / abs(r.z)) if r.odds > 0 else max(r.odds, -0.5)
         scores[bytes(r.word)] = worth + DRIFT
         share.append(r.clean / n0)
         value.append(worth + DRIFT)
