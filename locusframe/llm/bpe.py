@@ -24,13 +24,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import gathered
+from locusframe.llm.common import gathered, small_batches
 
 #: Words of more bytes go to a heap of merges in Python (same merges, n log n); the
 #: fold takes time with the square of a word's length.
 FOLD_BYTES = 48
 #: Bytes of text whose words are kept distinct together.
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 6 << 20
+#: Words folded once and handed to all tasks: the commonest of a sample.  Both bounds are
+#: fixed, so the broadcast stays under about 16 MB at any input; it saves work and
+#: changes no result, as every other word is folded where it occurs.
+HOT_WORDS, HOT_SAMPLE = 1 << 18, 20_000
 SLOTS = 1 << 19
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 #: The endings that the public pattern splits off after an apostrophe.
@@ -195,21 +199,25 @@ def word_starts(code: np.ndarray, first: np.ndarray) -> np.ndarray:
     return starts
 
 
-def hashed(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each slice; keys only find equal words, bytes are compared after."""
+def hashed(joined: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each slice; among 10**6 words two share a key with a chance of 3 in 10**8."""
+    raw = np.frombuffer(joined, np.uint8)
     out = (end - begin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    width = int((end - begin).max(initial=0))
-    rows = np.arange(len(begin))
+    short = end - begin <= 32
+    rows = np.flatnonzero(short)
+    width = int((end - begin)[rows].max(initial=0))
     for k in range(width):
         rows = rows[begin[rows] + k < end[rows]]
         x = out[rows] ^ raw[begin[rows] + k].astype(np.uint64)
         x *= np.uint64(0xD6E8FEB86659FD93)
         out[rows] = x ^ (x >> np.uint64(32))
+    for i in np.flatnonzero(~short):
+        out[i] = int.from_bytes(hashlib.blake2b(joined[begin[i] : end[i]], digest_size=8).digest(), "little")
     return out
 
 
-def split_batch(raws: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """(distinct words, index of each word, words per text)."""
+def split_batch(raws: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct words, their keys, index of each word, words per text)."""
     joined = b"".join(raws)
     text = joined.decode("utf-8", "replace")
     code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
@@ -225,14 +233,46 @@ def split_batch(raws: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]
     begin = byte_at[np.flatnonzero(word_starts(code, first))]
     end = np.append(begin[1:], len(raw))[: len(begin)]
     counts = np.searchsorted(begin, offsets + sizes) - np.searchsorted(begin, offsets)
-    short = end - begin <= 32
-    keys = np.zeros(len(begin), np.uint64)
-    keys[short] = hashed(raw, begin[short], end[short])
-    for i in np.flatnonzero(~short):
-        keys[i] = int.from_bytes(hashlib.blake2b(joined[begin[i] : end[i]], digest_size=8).digest(), "little")
-    _, some, index = np.unique(keys, return_index=True, return_inverse=True)
+    keys, some, index = np.unique(hashed(joined, begin, end), return_index=True, return_inverse=True)
     words = [joined[a:b] for a, b in zip(begin[some].tolist(), end[some].tolist(), strict=True)]
-    return words, index.astype(np.int32), counts
+    return words, keys, index.astype(np.int32), counts
+
+
+def byte_ranks(words: list[bytes], base: np.ndarray, mask: np.ndarray) -> pa.Array:
+    """Ranks of the single bytes of each word; null where ``mask``."""
+    sizes = np.array([0 if m else len(w) for w, m in zip(words, mask, strict=True)], np.int64)
+    flat = base[np.frombuffer(b"".join(w for w, m in zip(words, mask, strict=True) if not m), np.uint8)]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat), mask=pa.array(mask))
+
+
+def hot_words(docs: DataFrame, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted keys, offsets, ids) of the commonest words of a sample, folded."""
+    single, fold, limit = pair_table(path)[0], FOLD_BYTES, BATCH_BYTES
+    rows = docs.count()
+    some = docs.sample(fraction=HOT_SAMPLE / rows, seed=2) if rows > HOT_SAMPLE else docs
+
+    def count(batches):
+        for table in gathered(batches, "text", limit):
+            words, _, index, _ = split_batch(table.column("text").to_pylist())
+            n = np.bincount(index, minlength=len(words))
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64())], ["word", "n"])
+
+    def parts(batches):
+        base = np.array(single, np.int32)
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), byte_ranks(words, base, np.zeros(len(words), bool))], ["word", "parts"])
+
+    words = some.mapInArrow(count, "word binary, n long").where(F.octet_length("word") <= fold).groupBy("word").agg(F.sum("n").alias("n")).where("n > 2")
+    words = words.orderBy(F.desc("n"), "word").limit(HOT_WORDS).select("word").repartition(16)
+    got = words.mapInArrow(parts, "word binary, parts array<int>").select("word", encode_word(F.col("parts"), path).alias("ids")).toArrow()
+    names, ids = got.column("word").to_pylist(), got.column("ids").to_pylist()
+    ranks = load_ranks(path)
+    ids = [[ranks[w]] if w in ranks else i for w, i in zip(names, ids, strict=True)]
+    end = np.cumsum([len(w) for w in names], dtype=np.int64)
+    keys = hashed(b"".join(names), np.concatenate([[0], end])[:-1].astype(np.int64), end)
+    order = np.argsort(keys)
+    return keys[order], np.concatenate([[0], np.cumsum([len(ids[i]) for i in order])]), np.array([x for i in order for x in ids[i]], np.int32)
 
 
 SPLIT = "doc long, word binary, ids array<int>, parts array<int>"
@@ -246,22 +286,28 @@ def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
     null; other columns of ``docs`` are ignored, so their names can't clash.  Nothing is
     cut: words of more than ``FOLD_BYTES`` bytes are merged by a heap, with equal results.
     """
-    single, fold = pair_table(path)[0], FOLD_BYTES
+    single, fold, limit = pair_table(path)[0], FOLD_BYTES, BATCH_BYTES
     ranks = load_ranks(path)
+    source = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+    spark = small_batches(docs.sparkSession)
+    shared = spark.sparkContext.broadcast(hot_words(source.select("text"), path))
 
     def split(batches):
         base = np.array(single, np.int32)
-        for table in gathered(batches, "text", BATCH_BYTES):
+        hot, hot_off, hot_ids = shared.value
+        for table in gathered(batches, "text", limit):
             raws = table.column("text").to_pylist()
-            words, index, counts = split_batch(raws)
+            words, keys, index, counts = split_batch(raws)
+            at_hot = np.minimum(np.searchsorted(hot, keys), max(len(hot) - 1, 0))
+            is_hot = hot[at_hot] == keys if len(hot) else np.zeros(len(keys), bool)
             for at in range(0, len(words), 20_000):
                 some = words[at : at + 20_000]
-                sizes = np.array([len(w) for w in some], np.int64)
-                folded = np.array([len(w) <= fold and w not in ranks for w in some])
-                done = [None if f else encode_long(w, ranks) for w, f in zip(some, folded, strict=True)]
-                flat = base[np.frombuffer(b"".join(w for w, f in zip(some, folded, strict=True) if f), np.uint8)]
-                off = np.concatenate([[0], np.cumsum(np.where(folded, sizes, 0))])
-                parts = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat), mask=pa.array(~folded))
+                known, where = is_hot[at : at + 20_000], at_hot[at : at + 20_000]
+                done = [
+                    hot_ids[hot_off[i] : hot_off[i + 1]] if h else encode_long(w, ranks) if len(w) > fold or w in ranks else None
+                    for w, h, i in zip(some, known.tolist(), where.tolist(), strict=True)
+                ]
+                parts = byte_ranks(some, base, np.array([d is not None for d in done], bool))
                 yield pa.RecordBatch.from_arrays(
                     [pa.nulls(len(some), pa.int64()), pa.array(some, pa.binary()), pa.array(done, pa.list_(pa.int32())), parts],
                     ["doc", "word", "ids", "parts"],
@@ -319,7 +365,6 @@ def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"],
                 )
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     rows = source.mapInArrow(split, SPLIT)
     ids = F.coalesce(F.col("ids"), encode_word(F.col("parts"), path))
     rows = rows.select("doc", "word", ids.alias("ids"))
