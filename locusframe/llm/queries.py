@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import audio, bpe, mixing, shards, toxicity
+from locusframe.llm import audio, bpe, langid, mixing, shards, toxicity, vectors
 from locusframe.llm.common import documents
 
 #: Target weights of the mixture; names that aren't listed weigh 1.
@@ -27,6 +27,15 @@ def op3_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digest(audio.features(documents(spark, sf_dir)))
 
 
+def op5_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op6_recurrent_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.predict(docs, langid.learn(docs))
+
+
 def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -44,6 +53,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hierarchical_mixing": op1_hierarchical_mixing,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_audio_features": op3_audio_features,
+    "op5_projection_forest": op5_projection_forest,
+    "op6_recurrent_language": op6_recurrent_language,
     "op8_toxic_segments": op8_toxic_segments,
     "op10_proportional_shards": op10_proportional_shards,
 }

@@ -20,12 +20,13 @@ from pyspark.sql import functions as F
 from locusframe.llm.common import cut, utf8
 
 #: Bound of the labelled sample that the model is fitted on; scoring covers all rows.
-SAMPLE = 20_000
+SAMPLE = 40_000
 #: Bound of the word list, by the size of its standardised log-odds.
 WORDS = 20_000
 PRIOR = 500.0  # of prior, spread as in the whole sample, and
 FLAT = 0.5  # for every word; counts are of documents that hold a word
 Z = 3.0  # log-odds within so many standard errors of 0 count as none
+SHRINK = 1.5  # standard errors that a positive log-odds gives up
 DRIFT = -0.1  # score of a word that says nothing
 ALPHA = 0.01  # passages with a smaller chance in clean text are reported
 #: ASCII letters in lower case; other ASCII becomes a blank; bytes of other letters stay.
@@ -151,7 +152,7 @@ def learn(docs: DataFrame, labels: DataFrame, fold: int = 2, folds: int = 4) ->
     scores = {}
     share, value = [], []
     for r in rows:
-        worth = r.odds * (1 - Z / abs(r.z)) if r.odds > 0 else max(r.odds, -0.5)
+        worth = r.odds * (1 - SHRINK / abs(r.z)) if r.odds > 0 else max(r.odds, -0.5)
         scores[bytes(r.word)] = worth + DRIFT
         share.append(r.clean / n0)
         value.append(worth + DRIFT)
