@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import audio, bpe, langid, mixing, shards, toxicity, vectors
+from locusframe.llm import audio, bpe, chat, langid, mixing, shards, toxicity, vectors
 from locusframe.llm.common import documents
 
 #: Target weights of the mixture; names that aren't listed weigh 1.
@@ -36,6 +36,14 @@ def op6_recurrent_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.learn(docs))
 
 
+#: Schemas of the tools; user turns of plain conversations call ``reply``.
+TOOLS = {"reply": {"prompt": "string", "turn": "integer"}, "search": {"query": "string", "limit": "integer?"}}
+
+
+def op7_linked_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(chat.events_of(spark.read.parquet(f"{sf_dir}/conversations.parquet")), TOOLS)
+
+
 def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -55,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_audio_features": op3_audio_features,
     "op5_projection_forest": op5_projection_forest,
     "op6_recurrent_language": op6_recurrent_language,
+    "op7_linked_chat": op7_linked_chat,
     "op8_toxic_segments": op8_toxic_segments,
     "op10_proportional_shards": op10_proportional_shards,
 }
