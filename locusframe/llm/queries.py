@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import audio, bpe, chat, langid, mixing, shards, toxicity, vectors
+from locusframe.llm import audio, bpe, chat, jaccard, langid, mixing, shards, suffixes, toxicity, vectors
 from locusframe.llm.common import documents
 
 #: Target weights of the mixture; names that aren't listed weigh 1.
@@ -27,6 +27,10 @@ def op3_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digest(audio.features(documents(spark, sf_dir)))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -53,6 +57,10 @@ def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(documents(spark, sf_dir))
+
+
 def op10_proportional_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.interleave(documents(spark, sf_dir))
 
@@ -61,10 +69,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hierarchical_mixing": op1_hierarchical_mixing,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_audio_features": op3_audio_features,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_projection_forest": op5_projection_forest,
     "op6_recurrent_language": op6_recurrent_language,
     "op7_linked_chat": op7_linked_chat,
     "op8_toxic_segments": op8_toxic_segments,
+    "op9_token_groups": op9_token_groups,
     "op10_proportional_shards": op10_proportional_shards,
 }
 ORACLE: dict[str, str] = {"op1_hierarchical_mixing": mixing.oracle(WEIGHTS)}
