@@ -91,6 +91,16 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]], share: tuple[int, i
     return rows.select("doc_id", *LEVELS, "n_tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("epoch"))
 
 
+def mixed(docs: DataFrame, weights: dict[str, dict[str, int]], share: tuple[int, int] = (1, 2), epochs: int = 4, seed: int = 1) -> DataFrame:
+    """The selected documents themselves, with all their columns, once for each epoch.
+
+    Rows that repeat an id are repeated alike; rows without an id go.
+    """
+    copies = mix(docs, weights, share, epochs, seed).where("doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("epoch") + 1).alias("_copies"))
+    out = docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return out.select(*docs.columns)
+
+
 def oracle(weights: dict[str, dict[str, int]], share: tuple[int, int] = (1, 2), epochs: int = 4, seed: int = 1, domain: str = DOMAIN) -> str:
     """The same rows as DuckDB SQL."""
 
