@@ -1,10 +1,699 @@
-"""Every query of the engine with its SQL counterpart."""
+"""Every query of the engine with its SQL counterpart.
+
+A query applies an operator to an adapter view of a driver table; the SQL is written
+independently, over every locus where the operator works on runs.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from locusframe.functions import bases, filters
+from locusframe.operators import coverage, cytosines, features, matrix, methylation, nucleosome, pairs, peaks, reads, windows
+from locusframe.plans import views
+from locusframe.plans.views import with_views
+from locusframe.sources import sinks
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+
+# parameters of the queries
+BIN, LADDER, TARGET, STEPS = 500, 2, 400_000, 4
+K, DUP_P, TRIALS = 6, 0.25, 3
+CONTEXTS = ["HCG", "GCH", "HCA", "HCT", "HCC"]
+FIXED_W, FIXED_N, VAR_K, VAR_STRETCH = 800, 3, 8, 1500
+PAIR_W, ANY_W = 200, 20
+FLANK, FEATURE_BIN = 200, 20
+MOTIF, MOTIF_FLANK = "ACG", 5
+PEAK_BIN = 10
+
+
+def query(sql: str | None = None, views_: tuple[str, ...] = (), name: str = ""):
+    """Register a query and, with ``sql``, its counterpart over the named views."""
+
+    def add(fn: Query) -> Query:
+        key = name or fn.__name__
+        QUERIES[key] = fn
+        if sql is not None:
+            head = with_views(*views_) if views_ else ""
+            body = sql.strip()
+            ORACLE[key] = f"{head}, {body[5:]}" if head and body.startswith("WITH ") else f"{head} {body}"
+        return fn
+
+    return add
+
+
+# ---- coverage -------------------------------------------------------------------------
+
+LOCI = """WITH loci AS (SELECT c.contig, p.pos, coalesce(d.depth, 0) AS depth
+  FROM v_contigs c, unnest(generate_series(1, c.len)) AS p(pos)
+  LEFT JOIN (SELECT contig, pos, count(*) AS depth FROM (SELECT contig, unnest(generate_series(st, en)) AS pos FROM v_reads) GROUP BY contig, pos) d
+  ON d.contig = c.contig AND d.pos = p.pos)"""
+LADDER_SQL = f"""h AS (SELECT depth, count(*) AS n FROM loci GROUP BY depth),
+c AS (SELECT depth, sum(n) OVER (ORDER BY depth) AS cum, sum(n) OVER () AS total FROM h)
+SELECT CAST(p.p AS INT) AS pct, CAST(min(depth) AS BIGINT) AS depth FROM c, generate_series({LADDER}, 98, {LADDER}) AS p(p) WHERE cum * 100 > total * p.p GROUP BY p.p"""
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.depth_runs(views.reads(spark, sf_dir), views.contigs(spark, sf_dir))
+
+
+@query(
+    f"""{LOCI} SELECT count(*) AS n, round(avg(depth), 6) AS mean_depth, CAST(max(depth) AS BIGINT) AS max_depth,
+round(stddev_samp(depth), 6) AS sd_depth, CAST(sum(depth) AS BIGINT) AS sum_depth FROM loci""",
+    ("v_contigs",),
+)
+def coverage_depth(spark, sf_dir):
+    return coverage.summary(runs(spark, sf_dir))
+
+
+@query(
+    f"""{LOCI} SELECT contig, CAST((pos - 1) // {BIN} AS BIGINT) AS bin, round(avg(depth), 6) AS mean_depth, CAST(max(depth) AS BIGINT) AS max_depth
+FROM loci GROUP BY 1, 2""",
+    ("v_contigs",),
+)
+def bin_depths(spark, sf_dir):
+    return coverage.bins(runs(spark, sf_dir), BIN)
+
+
+@query(
+    f"""{LOCI} SELECT contig, CAST((pos - 1) // {BIN} AS BIGINT) AS bin, round(avg(depth), 6) AS mean_depth, CAST(max(depth) AS BIGINT) AS max_depth
+FROM loci GROUP BY 1, 2 HAVING count(*) = {BIN}""",
+    ("v_contigs",),
+)
+def bin_depths_parity(spark, sf_dir):
+    return coverage.bins(runs(spark, sf_dir), BIN, drop_last=True)
+
+
+@query(f"{LOCI}, {LADDER_SQL}", ("v_contigs",))
+def bin_depths_percentiles(spark, sf_dir):
+    return coverage.ladder(coverage.histogram(runs(spark, sf_dir)), LADDER)
+
+
+@query(
+    f"""{LOCI}, a AS (SELECT sum(depth) AS bp FROM loci),
+x AS (SELECT s.s AS step, depth, pos, least(1.0::DOUBLE, s.s * {float(TARGET)}::DOUBLE / bp) AS p FROM loci, a, generate_series(1, {STEPS}) AS s(s) WHERE (s.s - 1) * {TARGET} < bp),
+d AS (SELECT step, CASE WHEN depth > 0 THEN len(list_filter(generate_series(1, depth), lambda i: ((CAST(pos AS BIGINT) * 1000 + i) * 2654435761) % 4294967296 < p * 4294967296)) ELSE 0 END AS d FROM x)
+SELECT CAST(step AS INT) AS step, count(*) AS n, CAST(sum(d) AS BIGINT) AS sum_depth, CAST(max(d) AS BIGINT) AS max_depth FROM d GROUP BY step""",
+    ("v_contigs",),
+)
+def downsample_coverage(spark, sf_dir):
+    return coverage.downsampled(runs(spark, sf_dir), TARGET, STEPS)
+
+
+EXCLUSIVE = """WITH e AS (SELECT contig, pos, min(rg) AS rg, count(*) AS depth FROM (SELECT contig, rg, unnest(generate_series(st, en)) AS pos FROM v_thin)
+GROUP BY contig, pos HAVING count(DISTINCT rg) = 1)"""
+
+
+@query(f"{EXCLUSIVE} SELECT contig, CAST(pos AS BIGINT) AS pos, CAST(CASE WHEN dense_rank() OVER (ORDER BY rg) % 2 = 0 THEN -depth ELSE depth END AS BIGINT) AS signed_depth FROM e", ("v_thin",))
+def exclusive_read_group(spark, sf_dir):
+    return coverage.exclusive_track(coverage.exclusive(views.thin(spark, sf_dir)))
+
+
+@query(f"{EXCLUSIVE} SELECT rg, count(*) AS n_loci, round(avg(depth), 6) AS mean_depth FROM e GROUP BY rg", ("v_thin",))
+def exclusive_read_group_summary(spark, sf_dir):
+    return coverage.exclusive_summary(coverage.exclusive(views.thin(spark, sf_dir)))
+
+
+# ---- reads ----------------------------------------------------------------------------
+
+
+@query("SELECT count(*) AS n_reads FROM v_reads WHERE mapq >= 20", ("v_reads",))
+def read_counter(spark, sf_dir):
+    return reads.counter(views.reads(spark, sf_dir).where(filters.mapping_quality(F.col("mapq"), 20)))
+
+
+@query(
+    """WITH k AS (SELECT count(*) AS mapped, count(*) FILTER (first AND st = mate_st AND neg = mate_neg) AS inverted FROM v_reads)
+SELECT mapped, inverted, round(200.0::DOUBLE * inverted / mapped, 6) AS pct FROM k""",
+    ("v_reads",),
+)
+def inverted_pair_dups(spark, sf_dir):
+    return reads.inverted_pair_dups(views.reads(spark, sf_dir))
+
+
+@query("SELECT contig, count(*) AS n FROM v_reads WHERE NOT (not_primary OR mapq < 30) GROUP BY contig", ("v_reads",))
+def read_filters_nonunique(spark, sf_dir):
+    r = views.reads(spark, sf_dir).where(filters.unique(F.col("not_primary"), F.when(F.col("mapq") < 30, "R")))
+    return r.groupBy("contig").agg(F.count("*").alias("n"))
+
+
+@query("SELECT contig, count(*) AS n FROM v_reads WHERE NOT not_primary AND NOT coalesce(CASE WHEN mapq < 70 THEN mapq // 20 END <> 1, false) GROUP BY contig", ("v_reads",))
+def read_filters_one_hit(spark, sf_dir):
+    r = views.reads(spark, sf_dir).where(filters.one_hit(F.col("not_primary"), F.when(F.col("mapq") < 70, F.expr("mapq div 20"))))
+    return r.groupBy("contig").agg(F.count("*").alias("n"))
+
+
+@query("SELECT contig, count(*) AS n FROM v_reads WHERE NOT (first AND st = mate_st AND neg = mate_neg) AND mapq >= 10 GROUP BY contig", ("v_reads",))
+def read_filters_paired(spark, sf_dir):
+    keep = filters.not_inverted_dup(F.col("first"), F.col("st"), F.col("mate_st"), F.col("neg"), F.col("mate_neg")) & filters.properly_paired(F.col("mapq") >= 10)
+    return views.reads(spark, sf_dir).where(keep).groupBy("contig").agg(F.count("*").alias("n"))
+
+
+@query("SELECT contig AS base, cycle, mapq AS qual, count(*) AS n FROM v_reads GROUP BY 1, 2, 3", ("v_reads",))
+def base_quality(spark, sf_dir):
+    return reads.base_quality(views.reads(spark, sf_dir).select(F.col("contig").alias("base"), "cycle", F.col("mapq").alias("qual")))
+
+
+READ_LENGTH = """SELECT en - st + 1 + cycle AS length, CASE WHEN cycle > 3 THEN 1 ELSE 0 END AS events, CASE WHEN cycle > 3 THEN cycle ELSE 0 END AS clipped FROM v_reads"""
+
+
+@query(
+    f"""WITH r AS ({READ_LENGTH}) SELECT count(*) AS n, round(avg(length), 6) AS mean_length, round(stddev_samp(length), 6) AS sd_length,
+round(avg(events), 6) AS mean_events, round(stddev_samp(events), 6) AS sd_events, round(avg(clipped), 6) AS mean_clipped, round(stddev_samp(clipped), 6) AS sd_clipped,
+round(avg(100.0::DOUBLE * clipped / length), 6) AS mean_pct_clipped, round(stddev_samp(100.0::DOUBLE * clipped / length), 6) AS sd_pct_clipped FROM r""",
+    ("v_reads",),
+)
+def read_length(spark, sf_dir):
+    r = views.reads(spark, sf_dir)
+    op = lambda o, n: F.struct(F.lit(o).alias("op"), n.cast("int").alias("len"))
+    tail = F.when(F.col("cycle") > 3, op("S", F.col("cycle"))).otherwise(op("I", F.col("cycle")))
+    return reads.read_length(r.select("name", F.array(op("M", F.col("en") - F.col("st") + 1), tail).alias("cigar")))
+
+
+def nmer_sql(last: str) -> str:
+    return f"""SELECT nmer, count(*) AS n FROM (SELECT substr(seq, i, {K}) AS nmer FROM (SELECT seq, unnest(generate_series(1, length(seq) - {last})) AS i FROM v_seq)) GROUP BY nmer"""
+
+
+@query(nmer_sql(f"{K} + 1"), ("v_seq",))
+def count_nmer(spark, sf_dir):
+    return reads.nmers(views.sequences(spark, sf_dir), K)
+
+
+@query(nmer_sql(f"{K}"), ("v_seq",))
+def count_nmer_parity(spark, sf_dir):
+    return reads.nmers(views.sequences(spark, sf_dir), K, parity=True)
+
+
+@query("SELECT count(*) AS n_groups, CAST(sum(n - 1) AS BIGINT) AS n_dups FROM (SELECT count(*) AS n FROM v_reads WHERE NOT neg GROUP BY contig, st, mate_st)", ("v_reads",))
+def dup_groups(spark, sf_dir):
+    return reads.dup_groups(views.reads(spark, sf_dir))
+
+
+@query(
+    f"""WITH s AS (SELECT t.t AS trial, contig, st, mate_st FROM v_reads, generate_series(1, {TRIALS}) AS t(t)
+  WHERE NOT neg AND ((name * 131 + cycle * 7 + t.t) * 2654435761) % 4294967296 < {DUP_P} * 4294967296),
+g AS (SELECT trial, count(*) AS n FROM s GROUP BY trial, contig, st, mate_st)
+SELECT CAST(trial AS INT) AS trial, CAST(sum(n) AS BIGINT) AS sampled, CAST(sum(n - 1) AS BIGINT) AS dups, round(CAST(sum(n - 1) AS DOUBLE) / sum(n), 6) AS ratio FROM g GROUP BY trial""",
+    ("v_reads",),
+)
+def downsample_dups(spark, sf_dir):
+    return reads.downsample_dups(views.reads(spark, sf_dir), DUP_P, TRIALS)
+
+
+@query("SELECT fid, name FROM (SELECT s_suppkey AS fid, s_name AS name, row_number() OVER (ORDER BY s_suppkey) AS i FROM supplier) WHERE i % 10 = 0")
+def every_nth(spark, sf_dir):
+    return reads.every_nth(views.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("fid"), F.col("s_name").alias("name")), 10, "fid")
+
+
+# ---- bases and contexts ---------------------------------------------------------------
+
+
+@query(f"SELECT pattern, count(*) AS n FROM (SELECT {bases.iupac_cases('ctx', CONTEXTS)} AS pattern FROM v_cyt) GROUP BY pattern", ("v_cyt",))
+def iupac_match(spark, sf_dir):
+    return methylation.with_pattern(views.cytosines(spark, sf_dir), CONTEXTS).groupBy("pattern").agg(F.count("*").alias("n"))
+
+
+@query("SELECT id, translate(reverse(seq), 'ACGT', 'TGCA') AS rc FROM v_seq", ("v_seq",))
+def reverse_complement(spark, sf_dir):
+    return views.sequences(spark, sf_dir).select("id", bases.reverse_complement(F.col("seq")).alias("rc"))
+
+
+@query(
+    """WITH k AS (SELECT contig, pos, c AS ca, t AS cc, opp_tot AS cg, c_nonconv AS ct, CASE q % 5 WHEN 0 THEN 'N' ELSE substr(ctx, 1, 1) END AS ref FROM v_cyt),
+b AS (SELECT *, CASE WHEN ref <> 'N' THEN ref WHEN ca >= greatest(cc, cg, ct) THEN 'A' WHEN cc >= greatest(cg, ct) THEN 'C' WHEN cg >= ct THEN 'G' ELSE 'T' END AS base FROM k)
+SELECT contig, pos, CASE WHEN ca + cc + cg + ct = 0 OR CAST(CASE base WHEN 'A' THEN ca WHEN 'C' THEN cc WHEN 'G' THEN cg ELSE ct END AS DOUBLE) / (ca + cc + cg + ct) >= 0.5 THEN base ELSE 'N' END AS consensus FROM b""",
+    ("v_cyt",),
+)
+def consensus_context(spark, sf_dir):
+    k = views.cytosines(spark, sf_dir).withColumn("ref", F.when(F.col("q") % 5 == 0, "N").otherwise(F.substring("ctx", 1, 1)))
+    base = cytosines.consensus_base("ref", {"A": "c", "C": "t", "G": "opp_tot", "T": "c_nonconv"}, least=0.5)
+    return k.select("contig", "pos", base.alias("consensus"))
+
+
+@query(
+    """WITH ref AS (SELECT 'chr' || (id % 3) AS contig, id // 3 * 600 + i AS pos, substr(seq, i, 1) AS ref FROM (SELECT id, seq, unnest(generate_series(1, least(length(seq), 600))) AS i FROM v_seq WHERE id < 60)),
+r3 AS (SELECT r.*, p.ref AS rp, n.ref AS rn FROM ref r LEFT JOIN ref p ON p.contig = r.contig AND p.pos = r.pos - 1 LEFT JOIN ref n ON n.contig = r.contig AND n.pos = r.pos + 1 WHERE r.ref IN ('C', 'G')),
+rd AS (SELECT 'chr' || (id % 3) AS contig, id // 3 * 600 + i AS pos, substr(seq, i + 7, 1) AS base, id % 2 = 1 AS neg, id % 5 = 0 AS second
+  FROM (SELECT id, seq, unnest(generate_series(1, least(length(seq) - 7, 300))) AS i FROM v_seq WHERE id < 60 AND length(seq) > 7)),
+j AS (SELECT r.contig, r.pos, r.ref = 'G' AS neg, CASE WHEN r.ref = 'G' THEN translate(reverse(rp || r.ref || rn), 'ACGT', 'TGCA') ELSE rp || r.ref || rn END AS context,
+  (r.ref = 'G') = (rd.neg <> rd.second) AS same, CASE WHEN r.ref = 'G' THEN translate(base, 'ACGT', 'TGCA') ELSE base END AS b FROM rd JOIN r3 r ON r.contig = rd.contig AND r.pos = rd.pos),
+k AS (SELECT contig, pos, neg, context, count(*) FILTER (same AND b = 'C') AS c, count(*) FILTER (same AND b = 'T') AS t, count(*) FILTER (same AND b IN ('A', 'G')) AS ag,
+  count(*) FILTER (NOT same) AS opp_tot, count(*) FILTER (NOT same AND b = 'T') AS opp_a FROM j GROUP BY ALL)
+SELECT contig, CAST(pos AS BIGINT) AS pos, neg, context, c, t, ag, opp_tot, opp_a FROM k WHERE c + t >= 1 AND CASE WHEN opp_a + opp_tot = 0 THEN 0 ELSE CAST(opp_a AS DOUBLE) / (opp_a + opp_tot) END <= 0.101""",
+    ("v_seq",),
+)
+def cytosine_pileup_calls(spark, sf_dir):
+    s = views.sequences(spark, sf_dir).where("id < 60")
+    contig, start = F.concat(F.lit("chr"), F.col("id") % 3), F.expr("id div 3 * 600 + 1")
+    ref = s.where("length(seq) > 0").select(contig.alias("contig"), start.alias("chunk_start"), F.substring("seq", 1, 600).alias("seq"))
+    rd = s.where("length(seq) > 7").select(contig.alias("contig"), start.alias("st"), F.col("id").alias("name"), (F.col("id") % 2 == 1).alias("neg"), (F.col("id") % 5 == 0).alias("second"), F.substring("seq", 8, 300).alias("bases"))
+    return cytosines.calls(cytosines.pileup(rd), ref).select("contig", F.col("pos").cast("long").alias("pos"), "neg", "context", "c", "t", "ag", "opp_tot", "opp_a")
+
+
+# ---- methylation ----------------------------------------------------------------------
+
+LEVEL = "CASE WHEN c + c_nonconv + t = 0 THEN NULL ELSE CAST(c + c_nonconv AS DOUBLE) / (c + c_nonconv + t) END"
+PLAIN = "CASE WHEN c + t = 0 THEN NULL ELSE CAST(c AS DOUBLE) / (c + t) END"
+PAT = bases.iupac_cases("ctx", CONTEXTS)
+PAT2 = bases.iupac_cases("ctx", ["HCG", "GCH"])
+
+
+@query(f"SELECT pattern, count(level) AS n, round(avg(level) * 100, 6) AS mean_pct FROM (SELECT {PAT} AS pattern, {LEVEL} AS level FROM v_cyt) WHERE pattern IS NOT NULL GROUP BY pattern", ("v_cyt",))
+def meth_level_averages(spark, sf_dir):
+    return methylation.averages(views.cytosines(spark, sf_dir), CONTEXTS)
+
+
+@query(
+    f"""WITH m AS (SELECT {PAT} AS pattern, {LEVEL} AS level FROM v_cyt)
+SELECT (SELECT count(*) FROM v_reads WHERE NOT not_primary) AS n_reads, """
+    + ", ".join(f"round(avg(level) FILTER (pattern = '{p}') * 100, 6) AS pct_{p.lower()}" for p in CONTEXTS)
+    + " FROM m",
+    ("v_cyt", "v_reads"),
+)
+def meth_level_coverage(spark, sf_dir):
+    return methylation.averages_row(views.cytosines(spark, sf_dir), reads.counter(views.reads(spark, sf_dir).where("NOT not_primary")), CONTEXTS)
+
+
+PER_READ = f"""WITH p AS (SELECT contig, rd, meth, pos, {PAT2} AS pattern FROM v_cyt),
+r AS (SELECT contig, rd, count(*) FILTER (pattern = 'HCG' AND meth) AS num1, count(*) FILTER (pattern = 'HCG') AS den1,
+count(*) FILTER (pattern = 'GCH' AND meth) AS num2, count(*) FILTER (pattern = 'GCH') AS den2, list(pos ORDER BY pos) FILTER (pattern IS NOT NULL) AS ats FROM p GROUP BY contig, rd)"""
+
+
+@query(f"{PER_READ} SELECT num1, den1, num2, den2, count(*) AS n_reads FROM r WHERE den1 > 0 AND den2 > 0 GROUP BY 1, 2, 3, 4", ("v_cyt",))
+def fraction_by_context(spark, sf_dir):
+    return methylation.fraction_by_context(views.cytosines(spark, sf_dir))
+
+
+MERGED = f"{PER_READ}, f AS (SELECT round(num1 / den1, 9) AS f1, round(num2 / den2, 9) AS f2, count(*) AS n_reads FROM r WHERE den1 > 0 AND den2 > 0 GROUP BY 1, 2)"
+
+
+@query(f"{MERGED} SELECT * FROM f", ("v_cyt",))
+def fraction_by_context_merged(spark, sf_dir):
+    return methylation.fraction_by_context(views.cytosines(spark, sf_dir), merge=True)
+
+
+@query(f"{MERGED} SELECT a.f1, b.f2, coalesce(f.n_reads, 0) AS n_reads FROM (SELECT DISTINCT f1 FROM f) a CROSS JOIN (SELECT DISTINCT f2 FROM f) b LEFT JOIN f ON f.f1 = a.f1 AND f.f2 = b.f2", ("v_cyt",))
+def fraction_by_context_dense(spark, sf_dir):
+    return methylation.fraction_by_context(views.cytosines(spark, sf_dir), merge=True, dense=True)
+
+
+@query(f"SELECT contig, rd, pattern, count(*) FILTER (meth) AS num, count(*) AS den FROM (SELECT contig, rd, meth, {PAT} AS pattern FROM v_cyt) WHERE pattern IS NOT NULL GROUP BY ALL", ("v_cyt",))
+def read_meth_levels(spark, sf_dir):
+    return methylation.read_levels(views.cytosines(spark, sf_dir), CONTEXTS)
+
+
+@query(
+    f"""{PER_READ}, l AS (SELECT CASE WHEN num1 / den1 <= 0.1 THEN 'low' WHEN num1 / den1 > 0.9 THEN 'high' END AS a_level,
+CASE WHEN num2 / den2 <= 0.1 THEN 'low' WHEN num2 / den2 > 0.9 THEN 'high' END AS b_level FROM r WHERE den1 > 0 AND den2 > 0)
+SELECT a_level, b_level, count(*) AS n_reads FROM l WHERE a_level IS NOT NULL AND b_level IS NOT NULL GROUP BY 1, 2""",
+    ("v_cyt",),
+)
+def read_quadrants(spark, sf_dir):
+    return methylation.quadrants(views.cytosines(spark, sf_dir))
+
+
+@query(
+    f"""{PER_READ} SELECT contig, rd, ats[1 + CAST(least(floor(len(ats) / 2 + 0.5), len(ats) - 1) AS INT)] AS pos FROM r
+WHERE den1 >= 1 AND den2 >= 1 AND num1 / den1 BETWEEN 0.4 AND 1 AND num2 / den2 BETWEEN 0 AND 0.6""",
+    ("v_cyt",),
+)
+def frac_meth_finder(spark, sf_dir):
+    return methylation.find_reads(views.cytosines(spark, sf_dir), range1=(0.4, 1.0), range2=(0.0, 0.6))
+
+
+HIDDEN = bases.iupac_cases("ctx", ["HCH", "GCG"])
+
+
+@query(f"SELECT contig, pos, ctx, CASE WHEN neg THEN -1 ELSE 1 END AS strand, CAST(floor(100 * level + 0.5) AS INT) AS value, c + t AS n_reads FROM (SELECT *, {PLAIN} AS level, {HIDDEN} AS hid FROM v_cyt) WHERE hid IS NULL AND level IS NOT NULL", ("v_cyt",))
+def context_track(spark, sf_dir):
+    return methylation.context_track(views.cytosines(spark, sf_dir))
+
+
+@query(f"SELECT contig, pos, ctx, CASE WHEN neg THEN -1 ELSE 1 END AS strand, c + t AS value, c + t AS n_reads FROM (SELECT *, {PLAIN} AS level FROM v_cyt) WHERE level IS NOT NULL", ("v_cyt",))
+def context_track_coverage(spark, sf_dir):
+    return methylation.context_track(views.cytosines(spark, sf_dir), keep_all=True, coverage=True)
+
+
+OPP = "CASE WHEN opp_a + opp_tot = 0 THEN 0 ELSE CAST(opp_a AS DOUBLE) / (opp_a + opp_tot) END"
+
+
+@query(
+    f"""SELECT contig, pos, CASE WHEN neg THEN '-' ELSE '+' END AS strand, c + c_nonconv + t + ag AS total, c, c_nonconv, t, ag, opp_tot, opp_a, ctx, round(level * 100, 6) AS pct_meth
+FROM (SELECT *, {LEVEL} AS level FROM v_cyt) WHERE NOT ({OPP} >= 0.2 AND opp_a >= 2) AND (substr(ctx, 3, 1) = 'G' OR (c + c_nonconv + t + ag >= 5 AND coalesce(level, 0) >= 0.25))""",
+    ("v_cyt",),
+)
+def methyl_db_rows(spark, sf_dir):
+    return methylation.db_rows(views.cytosines(spark, sf_dir), 5, 0.25)
+
+
+W5 = "CASE WHEN lag(pos) OVER o IS NULL THEN NULL WHEN pos - lag(pos) OVER o = 1 AND neg AND NOT lag(neg) OVER o THEN lag(pos) OVER o - lag(pos, 2) OVER o ELSE pos - lag(pos) OVER o END"
+WEIGHTED = f"WITH w AS (SELECT *, {W5} AS weight, {PLAIN} AS level FROM v_cyt WINDOW o AS (PARTITION BY contig ORDER BY pos))"
+
+
+def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return methylation.weights(views.cytosines(spark, sf_dir)).withColumn("level", bases.meth(F.col("c"), F.col("t")))
+
+
+@query(f"{WEIGHTED} SELECT contig, pos, weight FROM w", ("v_cyt",))
+def cpg_weights(spark, sf_dir):
+    return weighted(spark, sf_dir).select("contig", "pos", "weight")
+
+
+def summary_sql(keys: str) -> str:
+    return f"""{WEIGHTED}, u AS (SELECT *, CAST(CASE WHEN weight < 0 OR weight > 5000 THEN 100 ELSE weight END AS DOUBLE) / 2 AS cw FROM w)
+SELECT {keys}, count(level) AS n, round(avg(level), 6) AS mean, round(sum(cw * level) FILTER (cw > 0 AND level IS NOT NULL) / sum(cw) FILTER (cw > 0 AND level IS NOT NULL), 6) AS weighted_mean,
+round(stddev_pop(level), 6) AS sd, round(min(level), 6) AS low, round(max(level), 6) AS high FROM u GROUP BY {keys}"""
+
+
+@query(summary_sql("ctx"), ("v_cyt",))
+def cpg_summarizer(spark, sf_dir):
+    return methylation.summarise(weighted(spark, sf_dir), ["ctx"], F.col("level"), methylation.clamp_weight(F.col("weight")))
+
+
+@query(summary_sql("ctx, neg"), ("v_cyt",))
+def cpg_summarizer_stranded(spark, sf_dir):
+    return methylation.summarise(weighted(spark, sf_dir), ["ctx", "neg"], F.col("level"), methylation.clamp_weight(F.col("weight")))
+
+
+# ---- windows --------------------------------------------------------------------------
+
+USE = "level IS NOT NULL AND weight > 0"
+
+
+@query(
+    f"""{WEIGHTED}, e AS (SELECT a.contig, a.pos, (SELECT max(b.pos) FROM w b WHERE b.contig = a.contig AND b.pos <= a.pos - {FIXED_W}) AS start FROM w a)
+SELECT e.contig, e.start, e.pos AS "end", count(*) AS n, round(sum(b.level * b.weight) FILTER (b.level IS NOT NULL AND b.weight > 0) / sum(b.weight) FILTER (b.level IS NOT NULL AND b.weight > 0), 6) AS mean
+FROM e JOIN w b ON b.contig = e.contig AND b.pos >= e.start AND b.pos <= e.pos AND (b.pos = e.start OR b.pos > e.pos - {FIXED_W}) WHERE e.start IS NOT NULL GROUP BY e.contig, e.start, e.pos HAVING count(*) >= {FIXED_N}""",
+    ("v_cyt",),
+)
+def window_fixed(spark, sf_dir):
+    return windows.fixed(weighted(spark, sf_dir), FIXED_W, FIXED_N)
+
+
+def variable_sql(back: int) -> str:
+    return f"""{WEIGHTED}, v AS (SELECT contig, lag(pos, {VAR_K - 1}) OVER o AS start, lag(pos, {VAR_K}) OVER o AS before, pos AS "end",
+round(sum(CASE WHEN {USE} THEN level * weight END) OVER r / sum(CASE WHEN {USE} THEN weight END) OVER r, 6) AS mean
+FROM w WINDOW o AS (PARTITION BY contig ORDER BY pos), r AS (PARTITION BY contig ORDER BY pos ROWS BETWEEN {back} PRECEDING AND CURRENT ROW)),
+vw AS (SELECT contig, start, "end", mean FROM v WHERE "end" - before < {VAR_STRETCH})"""
+
+
+@query(f"{variable_sql(VAR_K - 1)} SELECT * FROM vw", ("v_cyt",))
+def window_variable(spark, sf_dir):
+    return windows.variable(weighted(spark, sf_dir), VAR_K, VAR_STRETCH)
+
+
+@query(f"{variable_sql(VAR_K)} SELECT * FROM vw", ("v_cyt",))
+def window_variable_parity(spark, sf_dir):
+    return windows.variable(weighted(spark, sf_dir), VAR_K, VAR_STRETCH, parity=True)
+
+
+@query(
+    f"""{variable_sql(VAR_K - 1)}, b AS (SELECT contig, lag(CAST(floor((start + "end") / 2 + 0.5) AS BIGINT)) OVER o AS span_start, CAST(floor((start + "end") / 2 + 0.5) AS BIGINT) AS span_end,
+lag(mean) OVER o AS value FROM vw WINDOW o AS (PARTITION BY contig ORDER BY "end")) SELECT * FROM b WHERE span_start IS NOT NULL""",
+    ("v_cyt",),
+)
+def window_bedgraph(spark, sf_dir):
+    return windows.bedgraph(windows.variable(weighted(spark, sf_dir), VAR_K, VAR_STRETCH))
+
+
+# ---- pairs ----------------------------------------------------------------------------
+
+SIX = "count(*) FILTER (a) AS n_m, count(*) FILTER (NOT a) AS n_u, count(*) FILTER (a AND b) AS n_mm, count(*) FILTER (a AND NOT b) AS n_mu, count(*) FILTER (NOT a AND b) AS n_um, count(*) FILTER (NOT a AND NOT b) AS n_uu"
+
+
+@query(f"SELECT dist, {SIX} FROM (SELECT y.pos - x.pos - 1 AS dist, x.meth AS a, y.meth AS b FROM v_cr x JOIN v_cr y ON x.contig = y.contig AND x.rd = y.rd AND y.pos > x.pos AND y.pos - x.pos < {PAIR_W}) GROUP BY dist", ("v_cr",))
+def pairs_autocorr_same_read(spark, sf_dir):
+    return pairs.same_read(views.cytosine_reads(spark, sf_dir), PAIR_W)
+
+
+def any_sql(keep: str, extra: str = "") -> str:
+    return f"""WITH m AS MATERIALIZED (SELECT * FROM v_cr), p AS (SELECT x.contig, x.pos AS ap, x.rd AS ar, y.pos AS bp, y.rd AS br, x.meth AS a, y.meth AS b,
+row_number() OVER o AS k, first_value(y.rd) OVER o AS fr FROM m x JOIN m y ON x.contig = y.contig AND y.pos > x.pos AND y.pos - x.pos < {ANY_W} AND x.rd % 50 = 0 {extra}
+WINDOW o AS (PARTITION BY x.contig, x.pos, x.rd, y.pos ORDER BY y.rd)) SELECT bp - ap - 1 AS dist, {SIX} FROM p WHERE {keep} GROUP BY 1"""
+
+
+# The first reads of a pair are thinned: every pair of reads at two near cytosines of a
+# 250-fold covered library is a count of the operator, not of the data.
+@query(any_sql("k = 1 OR (k = 2 AND fr = ar)"), ("v_cr",))
+def pairs_autocorr(spark, sf_dir):
+    return pairs.any_read(views.cytosine_reads(spark, sf_dir), ANY_W, firsts=F.col("rd") % 50 == 0)
+
+
+@query(any_sql("k = 1", "AND x.rd <> y.rd"), ("v_cr",))
+def pairs_autocorr_different_read(spark, sf_dir):
+    return pairs.any_read(views.cytosine_reads(spark, sf_dir), ANY_W, only_different=True, firsts=F.col("rd") % 50 == 0)
+
+
+@query(f"SELECT dist, {SIX} FROM (SELECT abs(y.pos - x.pos) - 1 AS dist, x.meth AS a, y.meth AS b FROM v_cr x JOIN v_cr y ON x.contig = y.contig AND x.rd = y.rd AND y.pos <> x.pos AND abs(y.pos - x.pos) < {PAIR_W} AND x.ctx = 'WCG' AND y.ctx = 'GCH') GROUP BY dist", ("v_cr",))
+def pairs_autocorr_by_context(spark, sf_dir):
+    return pairs.by_context(views.cytosine_reads(spark, sf_dir), PAIR_W, "WCG", "GCH")
+
+
+@query(
+    f"""WITH f AS (SELECT c.contig, c.pos, c.rd, c.meth, min(fs) AS fs, max(fe) AS fe FROM v_cr c LEFT JOIN v_features ON c.pos BETWEEN fs AND fe GROUP BY ALL)
+SELECT dist, {SIX} FROM (SELECT CASE WHEN x.fs IS NULL THEN y.fs - x.pos ELSE y.pos - x.fe END AS dist, x.meth AS a, y.meth AS b
+FROM f x JOIN f y ON x.contig = y.contig AND x.rd = y.rd AND y.pos > x.pos AND y.pos - x.pos < {PAIR_W} AND (x.fs IS NULL) <> (y.fs IS NULL)) GROUP BY dist""",
+    ("v_cr", "v_features"),
+)
+def pairs_across_boundary(spark, sf_dir):
+    return pairs.across_boundary(views.cytosine_reads(spark, sf_dir), views.features(spark, sf_dir), PAIR_W)
+
+
+# ---- features -------------------------------------------------------------------------
+
+OFFSET = "floor(CAST(CASE WHEN strand = '-' THEN fe - pos ELSE pos - fs END AS DOUBLE) / " + str(FEATURE_BIN) + ")"
+
+
+@query(f"SELECT fid, CAST({OFFSET} AS INT) AS bin, count(v) AS n, round(avg(v), 6) AS mean FROM (SELECT *, {PLAIN} AS v FROM v_cyt) c JOIN v_features f ON f.strand <> '.' AND c.pos BETWEEN fs - {FLANK} AND fe + {FLANK} GROUP BY 1, 2", ("v_cyt", "v_features"))
+def feature_alignment(spark, sf_dir):
+    return features.profile(views.cytosines(spark, sf_dir), views.features(spark, sf_dir), FLANK, FEATURE_BIN, bases.meth(F.col("c"), F.col("t")))
+
+
+READ_POINTS = f"""WITH pt AS (SELECT contig, rd, pattern, CAST(floor((min(pos) + max(pos)) / 2) AS BIGINT) AS pos, CAST(count(*) FILTER (meth) AS DOUBLE) / count(*) AS v
+FROM (SELECT contig, rd, pos, meth, {PAT2} AS pattern FROM v_cyt) WHERE pattern IS NOT NULL GROUP BY contig, rd, pattern)"""
+
+
+@query(f"{READ_POINTS} SELECT pattern, fid, CAST({OFFSET} AS INT) AS bin, count(v) AS n, round(avg(v), 6) AS mean FROM pt JOIN v_features f ON f.strand <> '.' AND pt.pos BETWEEN fs - {FLANK} AND fe + {FLANK} GROUP BY 1, 2, 3", ("v_cyt", "v_features"))
+def feature_alignment_reads(spark, sf_dir):
+    c = methylation.with_pattern(views.cytosines(spark, sf_dir), ["HCG", "GCH"]).where("pattern IS NOT NULL")
+    mid = F.floor((F.min("pos") + F.max("pos")) / 2).cast("long")
+    points = c.groupBy("contig", "rd", "pattern").agg(mid.alias("pos"), (F.count_if("meth") / F.count("*")).alias("v"))
+    return features.profile(points, views.features(spark, sf_dir), FLANK, FEATURE_BIN, F.col("v"), ["pattern"])
+
+
+@query(
+    """WITH d AS (SELECT c.pos AS pid, c.pos % 3 AS grp, c.pos, f.fid, greatest(0, fs - c.pos, c.pos - fe) AS distance FROM v_cyt c JOIN v_features f ON f.grp = c.pos % 3)
+SELECT pid, grp, pos, CAST(min(fid) AS BIGINT) AS fid, CAST(min(distance) AS BIGINT) AS distance FROM (SELECT *, min(distance) OVER (PARTITION BY pid) AS best FROM d) WHERE distance = best GROUP BY pid, grp, pos""",
+    ("v_cyt", "v_features"),
+)
+def nearest_feature(spark, sf_dir):
+    points = views.cytosines(spark, sf_dir).select(F.col("pos").alias("pid"), (F.col("pos") % 3).alias("grp"), "pos")
+    return features.nearest(points, views.features(spark, sf_dir), "grp")
+
+
+@query(
+    f"""WITH h AS (SELECT seq, i FROM (SELECT seq, unnest(generate_series(1, length(seq) - {len(MOTIF) - 1})) AS i FROM v_seq) WHERE substr(seq, i, {len(MOTIF)}) = '{MOTIF}'),
+o AS (SELECT o.o AS "offset", substr(seq, i + o.o, 1) AS base FROM h, generate_series({-MOTIF_FLANK}, {MOTIF_FLANK}) AS o(o) WHERE i + o.o BETWEEN 1 AND length(seq))
+SELECT CAST("offset" AS INT) AS "offset", count(*) FILTER (base = 'A') AS a, count(*) FILTER (base = 'C') AS c, count(*) FILTER (base = 'G') AS g, count(*) FILTER (base = 'T') AS t FROM o GROUP BY 1""",
+    ("v_seq",),
+)
+def sequence_matrix(spark, sf_dir):
+    return features.sequence_matrix(views.sequences(spark, sf_dir), MOTIF, MOTIF_FLANK)
+
+
+@query(
+    """WITH r AS (SELECT DISTINCT contig, st, en FROM v_thin), o AS (SELECT *, max(en) OVER (PARTITION BY contig ORDER BY st, en ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
+g AS (SELECT *, sum(CASE WHEN reach IS NULL OR st > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY st, en ROWS UNBOUNDED PRECEDING) AS i FROM o)
+SELECT contig, min(st) AS st, max(en) AS en FROM g GROUP BY contig, i""",
+    ("v_thin",),
+)
+def merge_intervals(spark, sf_dir):
+    return features.merge_intervals(views.thin(spark, sf_dir).select("contig", "st", "en").distinct())
+
+
+@query("SELECT r.contig, count(*) AS n FROM v_reads r WHERE EXISTS (SELECT 1 FROM v_features f WHERE f.strand = '+' AND r.st <= f.fe AND r.en >= f.fs) GROUP BY r.contig", ("v_reads", "v_features"))
+def interval_restriction(spark, sf_dir):
+    r = views.reads(spark, sf_dir)
+    regions = views.features(spark, sf_dir).where("strand = '+'").select(F.col("fs").alias("st"), F.col("fe").alias("en")).crossJoin(r.select("contig").distinct())
+    return features.intervals(r, regions).groupBy("contig").agg(F.count("*").alias("n"))
+
+
+# ---- matrices -------------------------------------------------------------------------
+
+CELLS = 'WITH m AS (SELECT vec_id AS "row", i - 1 AS col, CAST(embedding[i] AS DOUBLE) AS v FROM (SELECT vec_id, embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings))'
+STATS = "round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, round(sum(v), 6) AS total"
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix.long_form(views.table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+@query(f'{CELLS} SELECT "row", {STATS} FROM m GROUP BY "row"')
+def matrix_row_means(spark, sf_dir):
+    return matrix.row_stats(cells(spark, sf_dir))
+
+
+@query(f"{CELLS} SELECT CAST(col AS INT) AS col, {STATS} FROM m GROUP BY col")
+def matrix_col_means(spark, sf_dir):
+    return matrix.row_stats(cells(spark, sf_dir), "col")
+
+
+@query(f'{CELLS} SELECT "row", CAST(p.p AS INT) AS cell, round(avg(v), 6) AS v FROM m, generate_series(0, 9) AS p(p) WHERE col BETWEEN p.p * 6 AND (p.p + 1) * 6 GROUP BY 1, 2')
+def matrix_downscale(spark, sf_dir):
+    return matrix.downscale(cells(spark, sf_dir), 64, 10)
+
+
+@query(f'{CELLS} SELECT "row", CAST(col AS INT) AS col, round(v / sum(v) OVER (PARTITION BY "row"), 6) AS v FROM (SELECT "row", col, abs(v) + 0.5 AS v FROM m)')
+def matrix_normalise(spark, sf_dir):
+    return matrix.normalise(cells(spark, sf_dir).withColumn("v", F.abs("v") + 0.5))
+
+
+@query(f"{CELLS}, b AS (SELECT CAST(greatest(0, least(9, ceil((v + 0.5) / 0.1) - 1)) AS INT) AS bin FROM m) SELECT bin, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM b GROUP BY bin")
+def histogram_bins(spark, sf_dir):
+    return matrix.histogram_bins(cells(spark, sf_dir), F.col("v"), -0.5, 0.5, 10)
+
+
+@query(f'{CELLS}, r AS (SELECT "row", avg(v) AS mean FROM m GROUP BY "row") SELECT "row", row_number() OVER (ORDER BY coalesce(mean, -1e-5), "row") AS rank FROM r')
+def sort_rows_by_mean(spark, sf_dir):
+    return matrix.sort_rows(cells(spark, sf_dir))
+
+
+@query(f'{CELLS} SELECT "row", round(sum(v * (greatest(abs(col - 31.5::DOUBLE), 2.0::DOUBLE) ** -1.0) / (2.0::DOUBLE ** -1.0)) / count(v), 6) AS mean FROM m GROUP BY "row"')
+def exp_weighted_mean(spark, sf_dir):
+    return matrix.exp_weighted_mean(cells(spark, sf_dir), 64, 2.0, -1.0)
+
+
+@query(f'{CELLS} SELECT a."row", CAST(a.col AS INT) AS col, round(a.v + b.v, 6) AS v FROM m a JOIN m b ON b."row" = 499 - a."row" AND b.col = 63 - a.col WHERE a."row" < 500')
+def matrix_sum_inverted(spark, sf_dir):
+    m = cells(spark, sf_dir).where("row < 500")
+    return matrix.combine(m, matrix.inverted(m, 500, 64), "sum").withColumn("v", F.round("v", 6))
+
+
+# ---- peaks ----------------------------------------------------------------------------
+
+BINS = f"""WITH cv AS (SELECT contig, rg AS sample, pos, count(*) AS depth FROM (SELECT contig, rg, unnest(generate_series(st, en)) AS pos FROM v_thin) GROUP BY ALL),
+all_bins AS (SELECT s.contig, s.sample, b.b AS bin FROM (SELECT DISTINCT c.contig, t.rg AS sample, c.len FROM v_contigs c, v_thin t) s, unnest(generate_series(0, s.len // {PEAK_BIN})) AS b(b)),
+bins AS (SELECT a.contig, a.sample, CAST(a.bin AS BIGINT) AS bin, CAST(coalesce(max(depth), 0) AS BIGINT) AS cov FROM all_bins a LEFT JOIN cv ON cv.contig = a.contig AND cv.sample = a.sample AND cv.pos // {PEAK_BIN} = a.bin GROUP BY ALL)"""
+
+
+def bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, c = views.thin(spark, sf_dir), views.contigs(spark, sf_dir)
+    keyed = r.withColumn("contig", F.concat_ws("|", "contig", "rg"))
+    pairs_ = c.crossJoin(F.broadcast(r.select("rg").distinct())).select(F.concat_ws("|", "contig", "rg").alias("contig"), "len")
+    found = coverage.depth_runs(keyed, pairs_).withColumn("k", F.split("contig", "\\|"))
+    return peaks.dense_bins(found.select(F.col("k")[0].alias("contig"), F.col("k")[1].alias("sample"), "st", "en", "depth"), c, PEAK_BIN)
+
+
+@query(f"{BINS} SELECT * FROM bins", ("v_thin", "v_contigs"))
+def peak_bins(spark, sf_dir):
+    return bins(spark, sf_dir)
+
+
+@query(f"{BINS} SELECT contig, sample, bin, cov, round((lead(cov) OVER o - lag(cov) OVER o) / 2.0::DOUBLE, 6) AS slope FROM bins WINDOW o AS (PARTITION BY contig, sample ORDER BY bin)", ("v_thin", "v_contigs"))
+def peak_derivative(spark, sf_dir):
+    return peaks.derivative(bins(spark, sf_dir))
+
+
+def found_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return peaks.segments(peaks.derivative(bins(spark, sf_dir)))
+
+
+@query()
+def peak_segments(spark, sf_dir):
+    return found_peaks(spark, sf_dir)
+
+
+@query()
+def peak_merge(spark, sf_dir):
+    return peaks.merge_close(found_peaks(spark, sf_dir))
+
+
+@query()
+def peak_summit(spark, sf_dir):
+    return peaks.recentre(peaks.merge_close(found_peaks(spark, sf_dir)), bins(spark, sf_dir))
+
+
+@query()
+def peak_groups(spark, sf_dir):
+    merged = peaks.merge_close(found_peaks(spark, sf_dir))
+    return peaks.group_summary(peaks.groups(peaks.recentre(merged, bins(spark, sf_dir))))
+
+
+@query()
+def peak_clusters(spark, sf_dir):
+    return peaks.clusters(found_peaks(spark, sf_dir))
+
+
+@query()
+def peak_top(spark, sf_dir):
+    return peaks.top_k(found_peaks(spark, sf_dir), 3)
+
+
+REGION = "CAST(bin // 20 AS BIGINT)"
+
+
+@query(
+    f"""{BINS}, t AS (SELECT rg AS sample, count(*) AS n_reads FROM v_thin GROUP BY rg),
+p AS (SELECT contig, {REGION} AS region, b.sample, 1e9::DOUBLE * sum(cov) / (19 * any_value(n_reads)) AS rpkm FROM bins b JOIN t ON t.sample = b.sample GROUP BY 1, 2, 3)
+SELECT contig, region, count(*) AS n_samples, round(CASE WHEN count(*) = 1 THEN max(rpkm) WHEN min(rpkm) = 0 THEN -max(rpkm) ELSE max(rpkm) / min(rpkm) - 1 END, 6) AS score FROM p GROUP BY 1, 2""",
+    ("v_thin", "v_contigs"),
+)
+def peak_diff_rpkm(spark, sf_dir):
+    b = bins(spark, sf_dir)
+    regions = b.select("contig", F.expr("bin div 20").alias("region")).distinct().withColumn("start", F.col("region") * 20).withColumn("end", F.col("region") * 20 + 19)
+    totals = views.thin(spark, sf_dir).groupBy(F.col("rg").alias("sample")).agg(F.count("*").alias("n_reads"))
+    return peaks.rpkm_diff(regions, b, totals)
+
+
+@query(f"{BINS} SELECT contig, {REGION} AS region, CAST(sum(cov * CASE WHEN (dr - 1) % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS score FROM (SELECT *, dense_rank() OVER (ORDER BY sample) AS dr FROM bins) GROUP BY 1, 2", ("v_thin", "v_contigs"))
+def peak_diff_simple(spark, sf_dir):
+    return peaks.simple_diff(bins(spark, sf_dir).withColumnRenamed("cov", "height"), F.expr("bin div 20"))
+
+
+# ---- nucleosomes ----------------------------------------------------------------------
+
+
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("contig"), F.col("event_id").alias("pos"), (F.col("value") % 100 / 100).alias("score"))
+
+
+@query(
+    """WITH h AS (SELECT least(999, CAST(floor(value % 100 / 100 * 1000) AS INT)) AS bin, count(*) AS n FROM events GROUP BY 1),
+a AS (SELECT bin, sum(n) OVER (ORDER BY bin DESC) AS above, sum(n) OVER () AS total FROM h) SELECT max(bin) / 1000 AS cutoff FROM a WHERE above >= floor(total * 15 / 100 + 0.5)"""
+)
+def nucleosome_cutoff(spark, sf_dir):
+    return nucleosome.cutoff(nucleosome.score_histogram(scores(spark, sf_dir)), 15)
+
+
+@query()
+def nucleosome_centres(spark, sf_dir):
+    return nucleosome.centres(scores(spark, sf_dir), 185, 0.5)
+
+
+# ---- formats --------------------------------------------------------------------------
+
+
+@query(
+    """WITH f AS (SELECT s_suppkey AS line, s_suppkey % 3 AS contig, s_suppkey * 15 AS start, s_suppkey * 15 + 20 AS e, s_acctbal AS score, '+' AS strand FROM supplier)
+SELECT contig, CASE WHEN start >= lag(start) OVER o AND start <= lag(e) OVER o THEN lag(e) OVER o + 1 ELSE start END AS start, e AS "end", 'el' || row_number() OVER o AS name, coalesce(score, 50.0) AS score, strand FROM f WINDOW o AS (ORDER BY line)"""
+)
+def gff_to_bed(spark, sf_dir):
+    s = views.table(spark, sf_dir, "supplier")
+    return sinks.gff_to_bed(s.select(F.col("s_suppkey").alias("line"), (F.col("s_suppkey") % 3).alias("contig"), (F.col("s_suppkey") * 15).alias("start"), (F.col("s_suppkey") * 15 + 20).alias("end"), F.col("s_acctbal").alias("score"), F.lit("+").alias("strand")))
+
+
+@query("SELECT name || '/' || CASE WHEN first THEN 1 ELSE 2 END AS name, contig, st, mapq > 20 AS paired, CASE WHEN mapq > 20 THEN first ELSE false END AS first_of_pair, CASE WHEN mapq > 20 THEN NOT first ELSE false END AS second_of_pair FROM v_reads", ("v_reads",))
+def pair_flag_fix(spark, sf_dir):
+    r = views.reads(spark, sf_dir).select(F.concat("name", F.when(F.col("first"), "/1").otherwise("/2")).alias("name"), "contig", "st", (F.col("mapq") > 20).alias("paired"), F.lit(False).alias("first_of_pair"), F.lit(False).alias("second_of_pair"))
+    return reads.fix_pair_flags(r)
+
+
+@query(f"SELECT ctx, contig || chr(9) || pos || chr(9) || pos || chr(9) || CAST(floor(100 * level + 0.5) AS INT) AS value FROM (SELECT *, {PLAIN} AS level FROM v_cyt) WHERE level IS NOT NULL", ("v_cyt",))
+def bed_lines(spark, sf_dir):
+    track = views.cytosines(spark, sf_dir).withColumn("level", bases.meth(F.col("c"), F.col("t"))).where("level IS NOT NULL")
+    return sinks.bed_lines(track).select("ctx", "value")
