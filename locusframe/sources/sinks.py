@@ -62,7 +62,7 @@ def logo_lines(matrix: DataFrame) -> DataFrame:
     one = matrix.agg(cols.alias("m"))
     head = one.select(F.lit(0).alias("_o1"), F.concat_ws(" ", F.lit("PO"), F.transform("m", lambda x: (x["offset"]).cast("string"))).alias("value"))
     for i, b in enumerate("acgt", 1):
-        head = head.unionByName(one.select(F.lit(i).alias("_o1"), F.concat_ws(" ", F.lit(b.upper()), F.transform("m", lambda x, b=b: x[b].cast("string"))).alias("value")))
+        head = head.unionByName(one.select(F.lit(i).alias("_o1"), F.concat_ws(" ", F.lit(b.upper()), F.col(f"m.{b}").cast("array<string>")).alias("value")))
     return head
 
 

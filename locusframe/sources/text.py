@@ -10,7 +10,7 @@ SAM_FLAGS = {"paired": 1, "proper_pair": 2, "unmapped": 4, "neg_strand": 16, "ma
 
 def gff(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.csv(path, sep="\t", comment="#", quote="", schema="contig string, source string, type string, start int, end int, score string, strand string, frame string, attributes string")
-    pairs = F.filter(F.transform(F.split("attributes", ";"), F.trim), lambda x: x != "")
+    pairs = F.filter(F.transform(F.split("attributes", ";"), lambda x: F.trim(x)), lambda x: x != "")
     entries = F.transform(pairs, lambda x: F.struct(F.regexp_extract(x, r"^(\S+)", 1).alias("k"), F.regexp_replace(F.regexp_extract(x, r"^\S+\s*(.*)$", 1), '"', "").alias("v")))
     return raw.where(~F.col("contig").startswith("track")).withColumn("score", F.expr("try_cast(score AS DOUBLE)")).withColumn("attributes", F.map_from_entries(entries))
 

@@ -120,7 +120,7 @@ def test_overlap_equals_naive(spark):
 
 
 def test_peaks(spark):
-    wave = [0, 1, 3, 6, 3, 1, 0, 0, 2, 5, 2, 0]
+    wave = [0, 1, 3, 6, 3, 1, 0, 0, 2, 5, 2, 0, 0, 0]
     b = spark.createDataFrame([("c", s, i, v) for s in "xy" for i, v in enumerate(wave)], "contig string, sample string, bin long, cov long")
     seg = peaks.segments(peaks.derivative(b))
     assert {(r.height, r.summit) for r in seg.collect()} == {(6, 3), (5, 9)}
@@ -192,4 +192,4 @@ def test_streaming_equals_batch(spark):
     q.processAllAvailable()
     q.stop()
     got = values(spark.table("counts"), "start", "event_type", "n")
-    assert got == values(events.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n"), "start", "event_type", "n")
+    assert got == values(events.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n"), "start", "event_type", "n")
