@@ -6,8 +6,9 @@ ranked merges over each word's bytes with a literal table of ranks and concatena
 binary pieces back.  The last step of the same task spells every text out of its words.
 
 The rank map is a literal of two arrays: ``shift`` by left piece and ``pairs``, where
-``pairs[shift[l] + r]`` holds ``l << 17 | rank`` if pieces l and r join into a piece of
-that rank.  XOR with ``l << 17`` leaves the rank, or more than 2**17 for no merge.
+``pairs[shift[l] + r]`` holds ``(l + 1) << 17 | rank`` if pieces l and r join into a piece
+of that rank, else 0 or another l's entry.  XOR with ``(l + 1) << 17`` leaves the rank, or
+2**17 at least for no merge.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ def pair_table(path: str) -> tuple[list[int], list[int], list[int], list[bytes]]
     size = max(ranks.values()) + 1
     room = SLOTS - size
     taken = np.zeros(SLOTS, bool)
-    table = np.full(SLOTS, (1 << 17) - 1 << 17, np.int64)
+    table = np.zeros(SLOTS, np.int64)
     shift = np.zeros(size, np.int64)
     rng = np.random.default_rng(0)
     for left, row in sorted(rows.items(), key=lambda x: -len(x[1])):
@@ -71,7 +72,7 @@ def pair_table(path: str) -> tuple[list[int], list[int], list[int], list[bytes]]
                 break
         at = shift[left] = tries[free.argmax()]
         taken[at + right] = True
-        table[at + right] = left << 17 | np.array([k for _, k in row], np.int64)
+        table[at + right] = left + 1 << 17 | np.array([k for _, k in row], np.int64)
     pieces = [b""] * size
     for piece, rank in ranks.items():
         pieces[rank] = piece
@@ -92,7 +93,7 @@ def encode_word(first: Column, path: str) -> Column:
         return F.array_min(
             F.transform(
                 F.sequence(F.lit(0), F.size(acc) - 2),
-                lambda j: pairs[shifts[acc[j]] + acc[j + 1]].bitwiseXOR(F.shiftleft(acc[j].cast("bigint"), 17)) * 4096 + j,
+                lambda j: pairs[shifts[acc[j]] + acc[j + 1]].bitwiseXOR(F.shiftleft(acc[j].cast("bigint") + 1, 17)) * 4096 + j,
             )
         )
 
