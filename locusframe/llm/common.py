@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,7 +30,20 @@ def cut(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lf-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._path = path
+    return out
+
+
+def tidy(spark: SparkSession, *done: DataFrame) -> None:
+    """Free disk: delete cut tables that no later step reads, and let Spark drop the
+    shuffle files of finished jobs, which it does when their plans are collected."""
+    jvm = spark.sparkContext._jvm
+    for df in done:
+        path = jvm.org.apache.hadoop.fs.Path(df._path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def small_batches(spark: SparkSession) -> SparkSession:

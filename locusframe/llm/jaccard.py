@@ -4,13 +4,13 @@
    A document can only have a partner if three quarters of its shingles are repeated, so
    most documents end here.  A bit set in vain costs work, never a result.
 2. The others are *active*: one set for each distinct set of shingles.  In the order
-   (unrepeated, repeated, very common; then by hash) two similar sets share a shingle
-   among the first n - ceil(3 n / 4) + 1 of each: the postings.
+   (unrepeated, repeated, commoner and commoner; then by hash) two similar sets share a
+   shingle among the first n - ceil(3 n / 4) + 1 of each: the postings.
 3. Similar sets are partitioned into groups by their least shared posting, at most ``CAP``
    sets a group; within a group all are compared through its token lists.
 4. Groups' components are tied by their leaders where these are similar.
-5. What is left is exact: a set whose posting meets a group in another component is
-   matched with the group's token union, a row of the token-group matrix.  Only where the
+5. What is left is exact: a set whose posting meets a group in another component, with
+   members of a size that can be similar, is matched with the group's token union, a row of the token-group matrix.  Only where the
    overlap with the union reaches three quarters is the group opened and compared.
 """
 
@@ -91,9 +91,9 @@ def prints(text: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     return size, out.view(np.int64)
 
 
-def repeated(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+def repeated(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(bitmap of the shingles in two different sets or more, very common shingles by their
-    leading ``lead + 40`` bits, lead)."""
+    leading ``lead + 40`` bits, how common each is, lead)."""
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     lead = int(np.clip(np.ceil(np.log2(max(size, 1) / (1 << 22))), 6, 20))
 
@@ -134,15 +134,18 @@ def repeated(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
         bits[(found >> np.uint64(40 - (BITS - lead))).astype(np.int64)] = 1
         common = np.flatnonzero(count >= HOT_FROM)
         common = common[np.argsort(-count[common], kind="stable")][: HOT >> max(lead - 6, 0)]
-        return pa.table({"bucket": table.column("bucket").slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary()), "common": pa.array([value[common].astype(np.int64).tolist()], pa.list_(pa.int64()))})
+        return pa.table({"bucket": table.column("bucket").slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary()), "common": pa.array([value[common].astype(np.int64).tolist()], pa.list_(pa.int64())), "grade": pa.array([np.log2(count[common]).astype(np.int32).tolist()], pa.list_(pa.int32()))})
 
-    found = texts.select("text").mapInArrow(send, "bucket int, once binary, many binary").groupBy("bucket").applyInArrow(meet, "bucket int, bits binary, common array<long>").toArrow()
+    found = texts.select("text").mapInArrow(send, "bucket int, once binary, many binary").groupBy("bucket").applyInArrow(meet, "bucket int, bits binary, common array<long>, grade array<int>").toArrow()
     out = np.zeros((1 << lead, (1 << (BITS - lead)) // 8), np.uint8)
-    hot = []
-    for b, bits, common in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), found.column(2).to_pylist(), strict=True):
+    hot, grades = [], []
+    for b, bits, common, grade in zip(*[found.column(i).to_pylist() for i in range(4)], strict=True):
         out[b] = np.frombuffer(bits, np.uint8)
         hot += [b << 40 | c for c in common]
-    return out.ravel(), np.sort(np.array(hot, np.uint64)), lead
+        grades += grade
+    hot = np.array(hot, np.uint64)
+    order = np.argsort(hot)
+    return out.ravel(), hot[order], np.array(grades, np.int64)[order], lead
 
 
 def packed(h: np.ndarray) -> bytes:
@@ -189,7 +192,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     shared = spark.sparkContext.broadcast(repeated(rows.where(F.col("doc_id").isNotNull())))
 
     def see(batches):
-        bits, hot, lead = shared.value
+        bits, hot, grades, lead = shared.value
         sent: set[int] = set()
         for table in gathered(batches, "text", BATCH):
             raws = table.column("text").to_pylist()
@@ -199,7 +202,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             again = bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1
             top = h >> np.uint64(24 - lead)
             at = np.minimum(np.searchsorted(hot, top), max(len(hot) - 1, 0))
-            rank = again.astype(np.int64) + (hot[at] == top if len(hot) else 0) * again
+            rank = again.astype(np.int64) * (1 + (np.where(hot[at] == top, grades[at], 0) if len(hot) else 0))
             need = size - (LEAST * size + 99) // 100 + 1
             alone = np.bincount(text, again == 0, len(raws)).astype(np.int64)
             off = np.cumsum(size) - size
@@ -229,23 +232,35 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     least = posts.groupBy("sign").agg(F.min("token").alias("seed"))
     parts = least.groupBy("seed").agg(F.ceil(F.count("*") / CAP).cast("int").alias("parts"))
     groups = least.join(parts, "seed").select("sign", F.xxhash64("seed", F.pmod(F.xxhash64("sign"), F.col("parts"))).alias("group"))
-    groups = cut(groups)
-    members = active.select("sign", "tokens").join(groups, "sign")
+    # sizes of similar sets differ by a factor of 4/3 at most, so by one level at most
+    level = F.floor(F.log(F.octet_length("tokens") / 8) / float(np.log(1.34))).cast("int")
+    groups = cut(groups.join(active.select("sign", level.alias("level")), "sign"))
+    members = active.select("sign", "tokens").join(groups.select("sign", "group"), "sign")
 
     def within(table: pa.Table) -> pa.Table:
         sign, sets = table.column("sign").to_numpy(), sets_of(table.column("tokens"))
         union = Union(sets)
+        root = list(range(len(sets)))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
         a, b = [], []
         for i, q in enumerate(sets):
             _, lo, hi = union.overlap(q)
-            near = np.flatnonzero(linked(union.shared(lo, hi), union.size, len(q)))
-            near = near[near < i]
-            a += [sign[i]] * len(near)
-            b += sign[near].tolist()
+            for j in np.flatnonzero(linked(union.shared(lo, hi), union.size, len(q))).tolist():
+                x, y = find(i), find(j)
+                if x != y:  # a spanning forest is enough
+                    root[max(x, y)] = min(x, y)
+                    a.append(sign[i])
+                    b.append(sign[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     edges = cut(members.groupBy("group").applyInArrow(within, "a long, b long"))
-    state = cut(tagged(groups, edges))
+    state = tied_by(groups.withColumn("component", F.col("sign")), edges)
 
     # leaders of components that share a posting
     held = posts.join(state, "sign")
@@ -263,13 +278,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     tied = pairs.join(left, "one").join(right, "two").select("one", "two", "x", "y").mapInArrow(compare, "a long, b long")
-    edges = cut(edges.unionByName(tied))
-    state = cut(tagged(groups, edges))
+    state = tied_by(state, cut(tied))
 
     # sets against groups of other components
-    held = cut(posts.join(state, "sign").select("token", "sign", "group", "component"))
-    rowsets = held.select("token", F.col("group").alias("other"), F.col("component").alias("theirs")).distinct()
-    ask = held.join(rowsets, "token").where("group < other AND component <> theirs").select("sign", "component", F.col("other").alias("group")).distinct()
+    held = cut(posts.join(state, "sign").select("token", "sign", "group", "level", "component"))
+    row = held.groupBy("token", "level", F.col("group").alias("other")).agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    some = row.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("token")  # in several components
+    query = held.join(some, "token", "left_semi").withColumn("level", F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)))
+    ask = query.join(row, ["token", "level"]).where("group < other AND (component <> lo OR component <> hi)").select("sign", "component", F.col("other").alias("group")).distinct()
     ask = cut(ask)
     deal = ask.groupBy("group").agg(F.ceil(F.count("*") / CAP).cast("int").alias("deals"))
     queries = ask.join(deal, "group").withColumn("deal", F.pmod(F.xxhash64("sign"), F.col("deals")).cast("int"))
@@ -292,8 +308,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             b += sign[near].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    last = queries.unionByName(opened).groupBy("group", "deal").applyInArrow(across, "a long, b long")
-    state = tagged(groups, edges.unionByName(last))
+    if ask.take(1):
+        last = cut(queries.unionByName(opened).groupBy("group", "deal").applyInArrow(across, "a long, b long"))
+        names_ = state.select("sign", "component")
+        last = last.join(names_.select(F.col("sign").alias("a"), F.col("component").alias("ca")), "a").join(names_.select(F.col("sign").alias("b"), F.col("component").alias("cb")), "b")
+        state = tied_by(state, last.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     sets = seen.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("sign").agg(F.min("doc_id").alias("low"))
     sets = cut(sets.join(state.select("sign", "component"), "sign", "left").withColumn("component", F.coalesce("component", "sign")))
     ends = sets.groupBy("component").agg(F.min("low").alias("component_id"))
@@ -302,7 +321,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return out.join(names, "sign", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def tagged(groups: DataFrame, edges: DataFrame) -> DataFrame:
-    """``sign, group, component`` of all grouped sets."""
-    found = components(edges)
-    return groups.join(found.withColumnRenamed("node", "sign"), "sign", "left").select("sign", "group", F.coalesce("component", "sign").alias("component"))
+def tied_by(state: DataFrame, edges: DataFrame) -> DataFrame:
+    """``state`` (sign, group, level, component) with its components tied by links between them."""
+    if not edges.take(1):
+        return state
+    found = components(edges).select(F.col("node").alias("component"), F.col("component").alias("root"))
+    return cut(state.join(found, "component", "left").select("sign", "group", "level", F.coalesce("root", "component").alias("component")))
