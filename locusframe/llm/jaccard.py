@@ -10,7 +10,7 @@
    sets a group; within a group all are compared through its token lists.
 4. Groups' components are tied by their leaders where these are similar.
 5. What is left is exact: a set whose posting meets a group in another component, with
-   members of a size that can be similar, is matched with the group's token union, a row of the token-group matrix.  Only where the
+   members of a size and a place of the posting that allow similarity, is matched with the group's token union, a row of the token-group matrix.  Only where the
    overlap with the union reaches three quarters is the group opened and compared.
 """
 
@@ -218,13 +218,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 order = order[alone[i] :]
                 sets.append(packed(own)), posts.append(own[order].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [table.column("doc_id").combine_chunks(), pa.array(size, pa.int64()), pa.array(sign, pa.int64()), pa.array(sets, pa.binary()), pa.array(posts, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "sign", "tokens", "posts"],
+                [table.column("doc_id").combine_chunks(), pa.array(size, pa.int64()), pa.array(sign, pa.int64()), pa.array(sets, pa.binary()), pa.array(posts, pa.list_(pa.int64())), pa.array(alone, pa.int64())],
+                ["doc_id", "n_shingles", "sign", "tokens", "posts", "alone"],
             )
 
-    seen = cut(rows.mapInArrow(see, "doc_id long, n_shingles long, sign long, tokens binary, posts array<long>"))
-    active = cut(seen.where("tokens IS NOT NULL").groupBy("sign").agg(F.first("tokens").alias("tokens"), F.first("posts").alias("posts")))
-    posts = active.select("sign", F.explode("posts").alias("token"))
+    seen = cut(rows.mapInArrow(see, "doc_id long, n_shingles long, sign long, tokens binary, posts array<long>, alone long"))
+    active = cut(seen.where("tokens IS NOT NULL").groupBy("sign").agg(F.first("tokens").alias("tokens"), F.first(F.struct("posts", "alone")).alias("p")))
+    size = F.octet_length("tokens") / 8
+    # place: shingles of the set that come before in the order of step 2
+    posts = active.select("sign", size.cast("long").alias("size"), "p.alone", F.posexplode("p.posts").alias("i", "token"))
+    posts = posts.select("sign", "token", "size", (F.col("alone") + F.col("i")).alias("place"))
     met = posts.groupBy("token").count().where("count > 1").select("token")
     posts = cut(posts.join(met, "token"))
 
@@ -233,7 +236,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     parts = least.groupBy("seed").agg(F.ceil(F.count("*") / CAP).cast("int").alias("parts"))
     groups = least.join(parts, "seed").select("sign", F.xxhash64("seed", F.pmod(F.xxhash64("sign"), F.col("parts"))).alias("group"))
     # sizes of similar sets differ by a factor of 4/3 at most, so by one level at most
-    level = F.floor(F.log(F.octet_length("tokens") / 8) / float(np.log(1.34))).cast("int")
+    level = F.floor(F.log(size) / float(np.log(1.34))).cast("int")
     groups = cut(groups.join(active.select("sign", level.alias("level")), "sign"))
     members = active.select("sign", "tokens").join(groups.select("sign", "group"), "sign")
 
@@ -263,7 +266,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     state = tied_by(groups.withColumn("component", F.col("sign")), edges)
 
     # leaders of components that share a posting
-    held = posts.join(state, "sign")
+    held = posts.select("sign", "token").join(state, "sign")
     tokens = held.groupBy("token").agg(F.min("component").alias("one"))
     pairs = held.select("token", "component").distinct().join(tokens, "token").where("component <> one").select("one", F.col("component").alias("two")).distinct()
     left = active.select(F.col("sign").alias("one"), F.col("tokens").alias("x"))
@@ -281,11 +284,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     state = tied_by(state, cut(tied))
 
     # sets against groups of other components
-    held = cut(posts.join(state, "sign").select("token", "sign", "group", "level", "component"))
-    row = held.groupBy("token", "level", F.col("group").alias("other")).agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    held = posts.join(state, "sign").groupBy("token", "level", "group", "component")
+    held = cut(held.agg(F.min("place").alias("place"), F.min("size").alias("least"), F.max("size").alias("most")))
+    row = held.groupBy("token", "level", F.col("group").alias("other"))
+    row = row.agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("place").alias("place2"), F.min("least").alias("least2"), F.max("most").alias("most2"))
     some = row.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("token")  # in several components
     query = held.join(some, "token", "left_semi").withColumn("level", F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)))
-    ask = query.join(row, ["token", "level"]).where("group < other AND (component <> lo OR component <> hi)").select("sign", "component", F.col("other").alias("group")).distinct()
+    # similar sets of n and m share 3 (n + m) / 7 at least, so no fewer may follow the shared posting
+    ask = query.join(row, ["token", "level"]).where("group < other AND (component <> lo OR component <> hi) AND 4 * most - 7 * place >= 3 * least2 AND 4 * most2 - 7 * place2 >= 3 * least")
+    ask = ask.select("group", "component", F.col("other")).distinct().join(state.select("group", "component", "sign"), ["group", "component"]).select("sign", "component", F.col("other").alias("group"))
     ask = cut(ask)
     deal = ask.groupBy("group").agg(F.ceil(F.count("*") / CAP).cast("int").alias("deals"))
     queries = ask.join(deal, "group").withColumn("deal", F.pmod(F.xxhash64("sign"), F.col("deals")).cast("int"))
