@@ -1,9 +1,11 @@
 """Every query against its SQL at sf0.001, and the driver contract."""
 
 import glob
+import numbers
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -25,7 +27,7 @@ def rows(df: pd.DataFrame) -> list[str]:
     cols = sorted(df.columns)
     out = []
     for r in df[cols].itertuples(index=False, name=None):
-        out.append(repr([None if pd.isna(x) else f"{float(x):.5f}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x) for x in r]))
+        out.append(repr([None if pd.isna(x) else f"{float(x):.5f}" if isinstance(x, numbers.Number) and not isinstance(x, (bool, np.bool_)) else str(x) for x in r]))
     return sorted(out)
 
 
