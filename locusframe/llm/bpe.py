@@ -267,13 +267,19 @@ def hot_words(docs: DataFrame, path: str) -> tuple[np.ndarray, np.ndarray, np.nd
     words = some.mapInArrow(count, "word binary, n long").where(F.octet_length("word") <= fold).groupBy("word").agg(F.sum("n").alias("n")).where("n > 2")
     words = words.orderBy(F.desc("n"), "word").limit(HOT_WORDS).select("word").repartition(16)
     got = words.mapInArrow(parts, "word binary, parts array<int>").select("word", encode_word(F.col("parts"), path).alias("ids")).toArrow()
-    names, ids = got.column("word").to_pylist(), got.column("ids").to_pylist()
+    names, ids = got.column("word").to_pylist(), got.column("ids").combine_chunks()
     ranks = load_ranks(path)
-    ids = [[ranks[w]] if w in ranks else i for w, i in zip(names, ids, strict=True)]
+    whole = np.array([ranks.get(w, -1) for w in names], np.int64)
     end = np.cumsum([len(w) for w in names], dtype=np.int64)
     keys = hashed(b"".join(names), np.concatenate([[0], end])[:-1].astype(np.int64), end)
     order = np.argsort(keys)
-    return keys[order], np.concatenate([[0], np.cumsum([len(ids[i]) for i in order])]), np.array([x for i in order for x in ids[i]], np.int32)
+    offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy()
+    begin, n = offsets[:-1][order], np.where(whole[order] >= 0, 1, np.diff(offsets)[order])
+    off = np.concatenate([[0], np.cumsum(n)])
+    flat = values[np.arange(int(off[-1])) + np.repeat(begin - off[:-1], n)] if len(names) else np.zeros(0, np.int32)
+    known = np.flatnonzero(whole[order] >= 0)
+    flat[off[:-1][known]] = whole[order][known]
+    return keys[order], off, flat.astype(np.int32)
 
 
 SPLIT = "doc long, word binary, ids array<int>, parts array<int>"
