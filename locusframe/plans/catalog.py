@@ -248,10 +248,9 @@ SELECT contig, CAST(pos AS BIGINT) AS pos, neg, context, c, t, ag, opp_tot, opp_
     ("v_seq",),
 )
 def cytosine_pileup_calls(spark, sf_dir):
-    s = views.sequences(spark, sf_dir).where("id < 60")
-    contig, start = F.concat(F.lit("chr"), F.col("id") % 3), F.expr("id div 3 * 600 + 1")
-    ref = s.where("length(seq) > 0").select(contig.alias("contig"), start.alias("chunk_start"), F.substring("seq", 1, 600).alias("seq"))
-    rd = s.where("length(seq) > 7").select(contig.alias("contig"), start.alias("st"), F.col("id").alias("name"), (F.col("id") % 2 == 1).alias("neg"), (F.col("id") % 5 == 0).alias("second"), F.substring("seq", 8, 300).alias("bases"))
+    s = views.placed(spark, sf_dir)
+    ref = s.where("length(seq) > 0").select("contig", F.col("start").alias("chunk_start"), "seq")
+    rd = s.where("length(seq) > 7").select("contig", F.col("start").alias("st"), F.col("id").alias("name"), (F.col("id") % 2 == 1).alias("neg"), (F.col("id") % 5 == 0).alias("second"), F.expr("substring(seq, 8)").alias("bases"))
     return cytosines.calls(cytosines.pileup(rd), ref).select("contig", F.col("pos").cast("long").alias("pos"), "neg", "context", "c", "t", "ag", "opp_tot", "opp_a")
 
 

@@ -5,7 +5,8 @@ The same text serves Spark and, as common table expressions, the SQL counterpart
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 READS = """l_returnflag AS contig, l_linestatus AS rg, l_orderkey AS name, l_partkey + 1 AS st,
 l_partkey + CAST(l_quantity AS INT) AS en, l_suppkey + 1 AS mate_st, (l_linenumber % 2 = 0) AS neg,
@@ -85,3 +86,16 @@ def cytosine_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").selectExpr("doc_id AS id", "regexp_replace(upper(text), '[^ACGT]', '') AS seq")
+
+
+def placed(spark: SparkSession, sf_dir: str, stretch: int = 4096) -> DataFrame:
+    """Whole sequences end to end on three contigs, in order of id: ``contig, id, start, seq``.
+
+    Lengths run over stretches of ids, whose totals, a small table, carry them on.
+    """
+    s = sequences(spark, sf_dir).selectExpr("concat('chr', id % 3) AS contig", "id", "seq", f"id div {stretch} AS k", "length(seq) AS n")
+    to_here = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    totals = s.groupBy("contig", "k").agg(F.sum("n").alias("all"))
+    totals = totals.select("contig", "k", F.coalesce(F.sum("all").over(to_here("contig", "k")), F.lit(0)).alias("base"))
+    s = s.withColumn("run", F.coalesce(F.sum("n").over(to_here("contig", "k", "id")), F.lit(0)))
+    return s.join(totals, ["contig", "k"]).select("contig", "id", (F.col("base") + F.col("run") + 1).alias("start"), "seq")
