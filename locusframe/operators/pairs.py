@@ -42,9 +42,29 @@ def chosen(pairs: DataFrame, only_different: bool = False) -> DataFrame:
     return out.where("k = 1 OR (k = 2 AND fr = a_rd)").drop("k", "fr")
 
 
-def any_read(cr: DataFrame, width: int, only_different: bool = False, firsts: Column | None = None) -> DataFrame:
-    left = cr if firsts is None else cr.where(firsts)
-    return histogram(chosen(near_pairs(left, cr, width, ["contig"]), only_different))
+def any_read(cr: DataFrame, width: int, only_different: bool = False) -> DataFrame:
+    """Histogram of ``chosen`` over all pairs of near cytosines; a row a read and position.
+
+    Reads at b enter by the two smallest ids there, and reads at a as counts: all of them
+    pair with b's first read, but for that read itself, which is looked up by its id.
+    """
+    if only_different:
+        cr = cr.where("rd IS NOT NULL")
+    m = F.col("meth")
+    k = F.row_number().over(Window.partitionBy("contig", "pos").orderBy("rd"))
+    nth = lambda i: F.max(F.when(F.col("k") == i, F.struct("rd", "meth")))
+    two = cr.withColumn("k", k).where("k <= 2").groupBy("contig", "pos").agg(nth(1).alias("one"), nth(2).alias("two"))
+    sites = cr.groupBy("contig", "pos").agg(F.count("*").alias("n"), F.count_if(m).alias("m"), F.count_if(~m).alias("u"))
+    all_ = near_pairs(sites, two.select("contig", "pos", "one"), width, ["contig"]).select("dist", F.col("a_n").alias("n"), F.col("a_m").alias("m"), F.col("a_u").alias("u"), F.col("b_one.meth").alias("b"))
+    own = near_pairs(cr.select("contig", "pos", "rd", "meth"), two.select("contig", "pos", "one.rd", "one", "two"), width, ["contig", "rd"])
+    one = lambda sign, b: [F.lit(sign).alias("n"), F.when(F.col("a_meth"), sign).otherwise(0).alias("m"), F.when(~F.col("a_meth"), sign).otherwise(0).alias("u"), F.col(f"b_{b}.meth").alias("b")]
+    parts = all_.unionByName(own.where("b_two IS NOT NULL").select("dist", *one(1, "two")))
+    if only_different:
+        parts = parts.unionByName(own.select("dist", *one(-1, "one")))
+    total = lambda v, c, name: F.sum(F.when(c, F.col(v)).otherwise(0)).alias(name)
+    b, any_ = F.col("b"), F.lit(True)
+    six = [total("m", any_, "n_m"), total("u", any_, "n_u"), total("m", b, "n_mm"), total("m", ~b, "n_mu"), total("u", b, "n_um"), total("u", ~b, "n_uu")]
+    return parts.groupBy("dist").agg(F.sum("n").alias("pairs"), *six).where("pairs > 0").drop("pairs")
 
 
 def by_context(cr: DataFrame, width: int, origin: str, target: str) -> DataFrame:

@@ -436,16 +436,14 @@ row_number() OVER o AS k, first_value(y.rd) OVER o AS fr FROM m x JOIN m y ON x.
 WINDOW o AS (PARTITION BY x.contig, x.pos, x.rd, y.pos ORDER BY y.rd)) SELECT bp - ap - 1 AS dist, {SIX} FROM p WHERE {keep} GROUP BY 1"""
 
 
-# The first reads of a pair are thinned: every pair of reads at two near cytosines of a
-# 250-fold covered library is a count of the operator, not of the data.
 @query(any_sql("k = 1 OR (k = 2 AND fr = ar)"), ("v_cr",))
 def pairs_autocorr(spark, sf_dir):
-    return pairs.any_read(views.cytosine_reads(spark, sf_dir), ANY_W, firsts=F.col("rd") % 50 == 0)
+    return pairs.any_read(views.cytosine_reads(spark, sf_dir), PAIR_W)
 
 
 @query(any_sql("k = 1", "AND x.rd <> y.rd"), ("v_cr",))
 def pairs_autocorr_different_read(spark, sf_dir):
-    return pairs.any_read(views.cytosine_reads(spark, sf_dir), ANY_W, only_different=True, firsts=F.col("rd") % 50 == 0)
+    return pairs.any_read(views.cytosine_reads(spark, sf_dir), PAIR_W, only_different=True)
 
 
 @query(f"SELECT dist, {SIX} FROM (SELECT abs(y.pos - x.pos) - 1 AS dist, x.meth AS a, y.meth AS b FROM v_cr x JOIN v_cr y ON x.contig = y.contig AND x.rd = y.rd AND y.pos <> x.pos AND abs(y.pos - x.pos) < {PAIR_W} AND x.ctx = 'WCG' AND y.ctx = 'GCH') GROUP BY dist", ("v_cr",))

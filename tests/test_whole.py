@@ -4,7 +4,9 @@ import re
 from collections import Counter, defaultdict
 
 import pandas as pd
+import pytest
 
+from locusframe.operators import pairs
 from locusframe.plans import catalog, views
 
 DIR = "/root/testdata/sf0.001"
@@ -48,3 +50,39 @@ def test_pileup_of_all_documents(spark):
 def test_placed_over_stretches(spark):
     key = lambda df: sorted(tuple(r) for r in df.collect())
     assert key(views.placed(spark, DIR, 7)) == key(views.placed(spark, DIR))
+
+
+SIX = ("n_m", "n_u", "n_mm", "n_mu", "n_um", "n_uu")
+
+
+@pytest.mark.parametrize("only_different", [False, True])
+def test_any_read_equals_chosen(spark, only_different):
+    cr = views.cytosine_reads(spark, DIR)
+    want = pairs.histogram(pairs.chosen(pairs.near_pairs(cr, cr, 30, ["contig"]), only_different))
+    got = pairs.any_read(cr, 30, only_different)
+    assert sorted(map(tuple, got.select("dist", *SIX).collect())) == sorted(map(tuple, want.select("dist", *SIX).collect()))
+
+
+@pytest.mark.parametrize("name", ["pairs_autocorr", "pairs_autocorr_different_read"])
+def test_pairs_of_all_first_reads(spark, name):
+    t = table("lineitem")
+    at = defaultdict(dict)
+    low = t.groupby(["l_returnflag", "l_partkey", "l_orderkey"])["l_linenumber"].min()
+    for (contig, pos, rd), line in low.items():
+        at[contig, pos][rd] = line % 2 == 1
+    n = Counter()
+    for (contig, pos), a in at.items():
+        for dist in range(199):
+            b = at.get((contig, pos + dist + 1), {})
+            first = sorted(b)[:2]
+            for rd, meth in a.items():
+                if name == "pairs_autocorr":
+                    met = first[: 2 if first[:1] == [rd] else 1]
+                else:
+                    met = [x for x in first if x != rd][:1]
+                for x in met:
+                    n[dist, meth, b[x]] += 1
+    count = lambda d, a, b: sum(n[d, x, y] for x in a for y in b)
+    t, f, both = (True,), (False,), (True, False)
+    want = [(d, count(d, t, both), count(d, f, both), count(d, t, t), count(d, t, f), count(d, f, t), count(d, f, f)) for d in sorted({k[0] for k in n})]
+    assert found(spark, name, "dist", *SIX) == want
