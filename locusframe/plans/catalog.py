@@ -111,12 +111,12 @@ GROUP BY contig, pos HAVING count(DISTINCT rg) = 1)"""
 
 @query(f"{EXCLUSIVE} SELECT contig, CAST(pos AS BIGINT) AS pos, CAST(CASE WHEN dense_rank() OVER (ORDER BY rg) % 2 = 0 THEN -depth ELSE depth END AS BIGINT) AS signed_depth FROM e", ("v_thin",))
 def exclusive_read_group(spark, sf_dir):
-    return coverage.exclusive_track(coverage.exclusive(views.thin(spark, sf_dir)))
+    return coverage.exclusive_track(coverage.exclusive(views.reads(spark, sf_dir)))
 
 
 @query(f"{EXCLUSIVE} SELECT rg, count(*) AS n_loci, round(avg(depth), 6) AS mean_depth FROM e GROUP BY rg", ("v_thin",))
 def exclusive_read_group_summary(spark, sf_dir):
-    return coverage.exclusive_summary(coverage.exclusive(views.thin(spark, sf_dir)))
+    return coverage.exclusive_summary(coverage.exclusive(views.reads(spark, sf_dir)))
 
 
 # ---- reads ----------------------------------------------------------------------------
@@ -510,7 +510,7 @@ SELECT contig, min(st) AS st, max(en) AS en FROM g GROUP BY contig, i""",
     ("v_thin",),
 )
 def merge_intervals(spark, sf_dir):
-    return features.merge_intervals(views.thin(spark, sf_dir).select("contig", "st", "en").distinct())
+    return features.merge_intervals(views.reads(spark, sf_dir).select("contig", "st", "en").distinct())
 
 
 @query("SELECT r.contig, count(*) AS n FROM v_reads r WHERE EXISTS (SELECT 1 FROM v_features f WHERE f.strand = '+' AND r.st <= f.fe AND r.en >= f.fs) GROUP BY r.contig", ("v_reads", "v_features"))
@@ -579,7 +579,7 @@ bins AS (SELECT a.contig, a.sample, CAST(a.bin AS BIGINT) AS bin, CAST(coalesce(
 
 
 def bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r, c = views.thin(spark, sf_dir), views.contigs(spark, sf_dir)
+    r, c = views.reads(spark, sf_dir), views.contigs(spark, sf_dir)
     keyed = r.withColumn("contig", F.concat_ws("|", "contig", "rg"))
     pairs_ = c.crossJoin(F.broadcast(r.select("rg").distinct())).select(F.concat_ws("|", "contig", "rg").alias("contig"), "len")
     found = coverage.depth_runs(keyed, pairs_).withColumn("k", F.split("contig", "\\|"))
@@ -643,7 +643,7 @@ SELECT contig, region, count(*) AS n_samples, round(CASE WHEN count(*) = 1 THEN
 def peak_diff_rpkm(spark, sf_dir):
     b = bins(spark, sf_dir)
     regions = b.select("contig", F.expr("bin div 20").alias("region")).distinct().withColumn("start", F.col("region") * 20).withColumn("end", F.col("region") * 20 + 19)
-    totals = views.thin(spark, sf_dir).groupBy(F.col("rg").alias("sample")).agg(F.count("*").alias("n_reads"))
+    totals = views.reads(spark, sf_dir).groupBy(F.col("rg").alias("sample")).agg(F.count("*").alias("n_reads"))
     return peaks.rpkm_diff(regions, b, totals)
 
 

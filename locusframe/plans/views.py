@@ -61,11 +61,6 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr(*columns(READS))
 
 
-def thin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A thinned library, shallow enough for exclusivity and peaks to exist."""
-    return reads(spark, sf_dir).where("name % 97 = 0")
-
-
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = reads(spark, sf_dir)
     return r.select("contig").distinct().crossJoin(r.selectExpr("max(en) AS len"))

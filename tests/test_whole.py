@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pandas as pd
 import pytest
 
-from locusframe.operators import pairs
+from locusframe.operators import pairs, peaks
 from locusframe.plans import catalog, views
 
 DIR = "/root/testdata/sf0.001"
@@ -86,3 +86,56 @@ def test_pairs_of_all_first_reads(spark, name):
     t, f, both = (True,), (False,), (True, False)
     want = [(d, count(d, t, both), count(d, f, both), count(d, t, t), count(d, t, f), count(d, f, t), count(d, f, f)) for d in sorted({k[0] for k in n})]
     assert found(spark, name, "dist", *SIX) == want
+
+
+def depths() -> tuple[dict, dict]:
+    """Depth by (contig, position), and by (contig, position) the depth of each read group, of all reads."""
+    each: dict = defaultdict(Counter)
+    for contig, rg, part, quantity in table("lineitem")[["l_returnflag", "l_linestatus", "l_partkey", "l_quantity"]].itertuples(index=False):
+        for pos in range(part + 1, part + int(quantity) + 1):
+            each[contig, pos][rg] += 1
+    return {k: sum(v.values()) for k, v in each.items()}, each
+
+
+def test_exclusive_over_all_reads(spark):
+    depth, each = depths()
+    groups = sorted({g for v in each.values() for g in v})
+    alone = {k: next(iter(v)) for k, v in each.items() if len(v) == 1}
+    sign = {g: -1 if i % 2 else 1 for i, g in enumerate(sorted(set(alone.values())))}
+    assert found(spark, "exclusive_read_group", "contig", "pos", "signed_depth") == sorted((*k, sign[g] * depth[k]) for k, g in alone.items())
+    n = Counter(alone.values())
+    assert found(spark, "exclusive_read_group_summary", "rg", "n_loci") == [(g, n[g]) for g in groups if n[g]]
+
+
+def test_merge_intervals_of_all_reads(spark):
+    depth, _ = depths()
+    assert sum(en - st + 1 for st, en in found(spark, "merge_intervals", "st", "en")) == len(depth)
+
+
+def test_peaks_of_all_reads(spark):
+    _, each = depths()
+    length, samples = max(p for _, p in each), sorted({g for v in each.values() for g in v})
+    cov = {}
+    for contig in sorted({c for c, _ in each}):
+        for rg in samples:
+            for b in range(length // 10 + 1):
+                cov[contig, rg, b] = max(each[contig, p][rg] if (contig, p) in each else 0 for p in range(10 * b, 10 * b + 10))
+    assert found(spark, "peak_bins", "contig", "sample", "bin", "cov") == sorted((*k, v) for k, v in cov.items())
+    slopes = [(c, s, b, round((cov[c, s, b + 1] - cov[c, s, b - 1]) / 2, 6) if 0 < b < length // 10 else None) for c, s, b in sorted(cov)]
+    assert found(spark, "peak_derivative", "contig", "sample", "bin", "slope") == slopes
+    want = []
+    for contig, rg in sorted({k[:2] for k in cov}):
+        rows = [(b, cov[contig, rg, b], slope or 0.0) for c, s, b, slope in slopes if (c, s) == (contig, rg)]
+        want += [(contig, rg, *x) for x in peaks.segment(pd.DataFrame(rows, columns=["bin", "cov", "slope"]))]
+    assert found(spark, "peak_segments", "contig", "sample", "start", "end", "height", "summit", "area") == sorted(want)
+    simple = Counter()
+    for (c, s, b), v in cov.items():
+        simple[c, b // 20] += v * (-1 if samples.index(s) % 2 else 1)
+    assert found(spark, "peak_diff_simple", "contig", "region", "score") == sorted((*k, v) for k, v in simple.items())
+    n = table("lineitem").groupby("l_linestatus").size()
+    rpkm = defaultdict(Counter)
+    for (c, s, b), v in cov.items():
+        rpkm[c, b // 20][s] += 1e9 * v / 19 / int(n[s])
+    for c, region, score in found(spark, "peak_diff_rpkm", "contig", "region", "score"):
+        x = rpkm[c, region].values()
+        assert score == pytest.approx(max(x) / min(x) - 1 if min(x) else -max(x), abs=1e-5)
