@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -51,7 +51,7 @@ def transpose(m: DataFrame) -> DataFrame:
     return m.select(F.col("col").alias("row"), F.col("row").alias("col"), "v")
 
 
-def inverted(m: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
+def inverted(m: DataFrame, n_rows: int | Column, n_cols: int) -> DataFrame:
     """Both axes flipped."""
     return m.select((n_rows - 1 - F.col("row")).alias("row"), (n_cols - 1 - F.col("col")).alias("col"), "v")
 

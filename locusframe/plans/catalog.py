@@ -567,8 +567,9 @@ def exp_weighted_mean(spark, sf_dir):
 
 @query(f'{CELLS} SELECT a."row", CAST(a.col AS INT) AS col, round(a.v + b.v, 6) AS v FROM m a JOIN m b ON b."row" = 499 - a."row" AND b.col = 63 - a.col WHERE a."row" < 500')
 def matrix_sum_inverted(spark, sf_dir):
-    m = cells(spark, sf_dir).where("row < 500")
-    return matrix.combine(m, matrix.inverted(m, 500, 64), "sum").withColumn("v", F.round("v", 6))
+    m = cells(spark, sf_dir)
+    sized = m.crossJoin(F.broadcast(m.agg((F.max("row") + 1).alias("n_rows"))))
+    return matrix.combine(m, matrix.inverted(sized, F.col("n_rows"), 64), "sum").withColumn("v", F.round("v", 6))
 
 
 # ---- peaks ----------------------------------------------------------------------------

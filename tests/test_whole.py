@@ -139,3 +139,10 @@ def test_peaks_of_all_reads(spark):
     for c, region, score in found(spark, "peak_diff_rpkm", "contig", "region", "score"):
         x = rpkm[c, region].values()
         assert score == pytest.approx(max(x) / min(x) - 1 if min(x) else -max(x), abs=1e-5)
+
+
+def test_matrix_inverted_beyond_500_rows(spark, tmp_path):
+    vectors = [[float((7 * i + j) % 11) for j in range(64)] for i in range(503)]
+    spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.row, r.col): r.v for r in catalog.QUERIES["matrix_sum_inverted"](spark, str(tmp_path)).collect()}
+    assert got == {(i, j): vectors[i][j] + vectors[502 - i][63 - j] for i in range(503) for j in range(64)}
