@@ -66,15 +66,16 @@ def histogram(runs: DataFrame) -> DataFrame:
     return runs.groupBy("depth").agg(F.sum(F.col("en") - F.col("st") + 1).cast("long").alias("n"))
 
 
-def ladder(hist: DataFrame, step: int = 2, value: str = "depth") -> DataFrame:
+def ladder(hist: DataFrame, step: int = 2, value: str = "depth", by: list[str] | None = None) -> DataFrame:
     """Smallest value with more than p percent of the count at or below it, p = step, 2 step, ... < 100."""
-    run = Window.partitionBy(F.lit(0)).orderBy(value)  # one row a distinct value
-    cum = hist.withColumn("cum", F.sum("n").over(run)).withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(0))))
+    keys = by or []
+    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))  # one row a distinct value
+    cum = hist.withColumn("cum", F.sum("n").over(part.orderBy(value))).withColumn("total", F.sum("n").over(part))
     prev = F.col("cum") - F.col("n")
     # the percents between a value's cumulative counts
     lo, hi = F.floor(prev * 100 / F.col("total") / step).cast("int"), F.ceil(F.col("cum") * 100 / F.col("total") / step).cast("int")
-    wide = cum.select(value, "cum", "total", F.explode(F.sequence(F.greatest(lo - 1, F.lit(1)), F.least(hi + 1, F.lit((99) // step)))).alias("i")).where(F.col("cum") * 100 > F.col("total") * F.col("i") * step)
-    return wide.groupBy((F.col("i") * step).alias("pct")).agg(F.min(value).alias(value))
+    wide = cum.select(*keys, value, "cum", "total", F.explode(F.sequence(F.greatest(lo - 1, F.lit(1)), F.least(hi + 1, F.lit((99) // step)))).alias("i")).where(F.col("cum") * 100 > F.col("total") * F.col("i") * step)
+    return wide.groupBy(*keys, (F.col("i") * step).alias("pct")).agg(F.min(value).alias(value))
 
 
 def binomial(depth: Column, key: Column, p: Column) -> Column:
@@ -84,14 +85,20 @@ def binomial(depth: Column, key: Column, p: Column) -> Column:
     return F.when(depth > 0, kept).otherwise(0)
 
 
-def downsampled(hist_runs: DataFrame, target: int, steps: int) -> DataFrame:
-    """Thin every locus to k * target of the total; ``step, n, sum_depth, max_depth``."""
-    total = hist_runs.agg(F.sum(F.col("depth") * (F.col("en") - F.col("st") + 1)).cast("long").alias("all_bp"))
-    loci = hist_runs.crossJoin(F.broadcast(total)).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
-    p = F.least(F.lit(1.0), F.col("step") * float(target) / F.col("all_bp"))
-    loci = loci.withColumn("p", p).where((F.col("step") - 1) * target < F.col("all_bp")).withColumn("pos", F.explode(F.sequence("st", "en")))
+def thinned(runs: DataFrame, target: int, targets: int) -> DataFrame:
+    """Histogram ``step, depth, n`` of every locus thinned to k * target of the total, for the
+    ``targets`` first k below the total, and in a last step unthinned."""
+    total = runs.agg(F.sum(F.col("depth") * (F.col("en") - F.col("st") + 1)).cast("long").alias("all_bp"))
+    loci = runs.crossJoin(F.broadcast(total)).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(targets + 1))))
+    p = F.when(F.col("step") > targets, 1.0).otherwise(F.least(F.lit(1.0), F.col("step") * float(target) / F.col("all_bp")))
+    loci = loci.withColumn("p", p).where((F.col("step") - 1) * F.lit(target).cast("long") < F.col("all_bp")).withColumn("pos", F.explode(F.sequence("st", "en")))
     d = binomial(F.col("depth"), F.col("pos"), F.col("p"))
-    return loci.withColumn("d", d).groupBy("step").agg(F.count("*").alias("n"), F.sum("d").cast("long").alias("sum_depth"), F.max("d").cast("long").alias("max_depth"))
+    return loci.groupBy("step", d.alias("depth")).agg(F.count("*").alias("n"))
+
+
+def downsampled(hist: DataFrame) -> DataFrame:
+    """``step, n, sum_depth, max_depth`` of a histogram by step."""
+    return hist.groupBy("step").agg(F.sum("n").alias("n"), F.sum(F.col("depth") * F.col("n")).cast("long").alias("sum_depth"), F.max("depth").cast("long").alias("max_depth"))
 
 
 def exclusive(reads: DataFrame) -> DataFrame:

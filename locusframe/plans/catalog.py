@@ -23,6 +23,7 @@ ORACLE: dict[str, str] = {}
 
 # parameters of the queries
 BIN, LADDER, TARGET, STEPS = 500, 2, 400_000, 4
+TARGETS = 20  # as the reference has; the SQL goes as far as STEPS
 K, DUP_P, TRIALS = 6, 0.25, 3
 CONTEXTS = ["HCG", "GCH", "HCA", "HCT", "HCC"]
 FIXED_W, FIXED_N, VAR_K, VAR_STRETCH = 800, 3, 8, 1500
@@ -102,7 +103,12 @@ SELECT CAST(step AS INT) AS step, count(*) AS n, CAST(sum(d) AS BIGINT) AS sum_d
     ("v_contigs",),
 )
 def downsample_coverage(spark, sf_dir):
-    return coverage.downsampled(runs(spark, sf_dir), TARGET, STEPS)
+    return coverage.downsampled(coverage.thinned(runs(spark, sf_dir), TARGET, TARGETS))
+
+
+@query()
+def downsample_coverage_percentiles(spark, sf_dir):
+    return coverage.ladder(coverage.thinned(runs(spark, sf_dir), TARGET, TARGETS), LADDER, by=["step"])
 
 
 EXCLUSIVE = """WITH e AS (SELECT contig, pos, min(rg) AS rg, count(*) AS depth FROM (SELECT contig, rg, unnest(generate_series(st, en)) AS pos FROM v_thin)

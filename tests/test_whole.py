@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pandas as pd
 import pytest
 
-from locusframe.operators import pairs, peaks
+from locusframe.operators import coverage, pairs, peaks
 from locusframe.plans import catalog, views
 
 DIR = "/root/testdata/sf0.001"
@@ -146,3 +146,25 @@ def test_matrix_inverted_beyond_500_rows(spark, tmp_path):
     spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {(r.row, r.col): r.v for r in catalog.QUERIES["matrix_sum_inverted"](spark, str(tmp_path)).collect()}
     assert got == {(i, j): vectors[i][j] + vectors[502 - i][63 - j] for i in range(503) for j in range(64)}
+
+
+def test_downsampling_ends_unthinned(spark):
+    runs = [(1, 40, 3), (41, 60, 0), (61, 100, 7)]
+    df = spark.createDataFrame([("c", *r) for r in runs], "contig string, st long, en long, depth long")
+    depth = {p: d for st, en, d in runs for p in range(st, en + 1)}
+    for targets, want in ((3, 4), (20, 4), (1, 2)):  # 400 bases; 100 a target
+        got = {r.step: r for r in coverage.downsampled(coverage.thinned(df, 100, targets)).collect()}
+        assert sorted(got) == list(range(1, want + 1))
+        assert (got[want].n, got[want].sum_depth, got[want].max_depth) == (100, 400, 7)
+    ladders = defaultdict(dict)
+    for r in coverage.ladder(coverage.thinned(df, 100, 2), 2, by=["step"]).collect():
+        ladders[r.step][r.pct] = r.depth
+    assert sorted(ladders) == [1, 2, 3]
+    for step, got in ladders.items():
+        p = min(1.0, step * 100 / 400) if step < 3 else 1.0
+        d = sorted(sum((pos * 1000 + i) * 2654435761 % 2**32 < p * 2**32 for i in range(1, n + 1)) for pos, n in depth.items())
+        assert got == {pct: d[pct] for pct in range(2, 100, 2)}
+
+
+def test_downsampling_percentiles_registered(spark):
+    assert {r.step for r in catalog.QUERIES["downsample_coverage_percentiles"](spark, DIR).collect()} == {1}
