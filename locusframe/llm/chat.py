@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import cut
+from locusframe.llm.common import cut, tidy
 from locusframe.llm.prefix import running
 
 #: What a message with tool calls, and a tool's message, hold as JSON.
@@ -23,7 +23,8 @@ RESULT = "struct<tool_call_id:string,content:string>"
 TYPES = {"string": "(?s).*", "integer": "[+-]?[0-9]+", "number": "[+-]?[0-9]+(\\.[0-9]+)?([eE][+-]?[0-9]+)?", "boolean": "true|false"}
 #: Turns of a conversation that are ranked in one task.
 SPAN = 64
-ROUNDS = 64
+#: Level of calls in a circle: after any other.
+LAST = 2**31 - 1
 
 
 def events_of(messages: DataFrame, plain_tool: str = "reply") -> DataFrame:
@@ -79,28 +80,53 @@ def faults(name: Column, arguments: Column, schemas: dict[str, dict[str, str]])
 def levels(events: DataFrame) -> DataFrame:
     """Level of each call that uses others, or null where the uses run in a circle.
 
-    A round settles the calls whose uses are settled, so rounds follow the longest chain
-    (``ROUNDS`` at most, deeper ones count as circles); without uses there are none.  Uses
-    of calls that don't exist are ignored.
+    Calls that use one other are followed by pointer doubling to what their chain starts
+    from, a call that uses none or several.  Then a round settles the calls of several uses
+    whose uses are settled, until a round settles none: what is left is in a circle of uses
+    or uses one.  Rounds follow the most calls of several uses in one chain; without uses
+    there are none.  Uses of calls that don't exist are ignored, as are those of a call
+    without an id.  A null conversation is one conversation.
     """
-    calls = events.where("kind = 'call'").select("conv_id", "call_id").distinct()
-    uses = events.where("kind = 'call' AND size(uses) > 0").select("conv_id", "call_id", F.explode("uses").alias("used")).distinct()
-    uses = cut(uses.join(calls.withColumnRenamed("call_id", "used"), ["conv_id", "used"], "left_semi"))
-    done = cut(uses.select("conv_id", F.col("used").alias("call_id")).distinct().join(uses.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)))
-    left, n = uses, uses.count()
-    for _ in range(ROUNDS):
-        if not n:
-            break
-        known = left.join(done.select("conv_id", F.col("call_id").alias("used"), F.col("level").alias("below")), ["conv_id", "used"], "left")
-        ready = known.groupBy("conv_id", "call_id").agg(F.max("below").alias("top"), F.count("*").alias("all"), F.count("below").alias("met")).where("all = met")
-        ready = cut(ready.select("conv_id", "call_id", (F.col("top") + 1).alias("level")))
+    spark = events.sparkSession
+    key = F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv")
+    own = events.where("kind = 'call' AND call_id IS NOT NULL")
+    calls = own.select(key, F.col("call_id").alias("used")).distinct()
+    uses = own.where("size(uses) > 0").select(key, "call_id", F.explode("uses").alias("used")).distinct()
+    uses = cut(uses.join(calls, ["conv", "used"], "left_semi"))
+
+    many = uses.groupBy("conv", "call_id").agg(F.count("*").alias("n"), F.first("used").alias("base"))
+    chain = cut(many.where("n = 1").select("conv", "call_id", "base", F.lit(1).cast("long").alias("hops")))
+    several = cut(uses.join(many.where("n > 1").select("conv", "call_id"), ["conv", "call_id"], "left_semi"))
+    inner = lambda df: df.join(df.select("conv", F.col("call_id").alias("base")), ["conv", "base"], "left_semi")
+    # a chain without a circle has ended once the pointers span as many calls as there are
+    span, n = 1, chain.count()
+    while span < n and inner(chain).take(1):
+        onward = chain.select("conv", F.col("call_id").alias("base"), F.col("base").alias("to"), F.col("hops").alias("more"))
+        longer = chain.join(onward, ["conv", "base"], "left")
+        old, chain = chain, cut(longer.select("conv", "call_id", F.coalesce("to", "base").alias("base"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")))
+        tidy(spark, old)
+        span *= 2
+
+    # calls of several uses, by what their uses' chains start from
+    via = chain.select("conv", F.col("call_id").alias("used"), "base", "hops")
+    left = cut(several.join(via, ["conv", "used"], "left").select("conv", "call_id", F.coalesce("base", "used").alias("base"), F.coalesce("hops", F.lit(0)).alias("hops")))
+    users = uses.select("conv", "call_id").distinct()
+    bases = left.select("conv", "base").unionByName(chain.select("conv", "base")).distinct()
+    roots = bases.withColumnRenamed("base", "call_id").join(users, ["conv", "call_id"], "left_anti")
+    done = cut(roots.withColumn("level", F.lit(0).cast("long")))
+    at_base = lambda df: df.join(done.select("conv", F.col("call_id").alias("base"), F.col("level").alias("below")), ["conv", "base"], "left")
+    while left.take(1):
+        known = at_base(left).groupBy("conv", "call_id").agg(F.max(F.col("below") + F.col("hops")).alias("top"), F.count("*").alias("all"), F.count("below").alias("met"))
+        ready = cut(known.where("all = met").select("conv", "call_id", (F.col("top") + 1).alias("level")))
         if not ready.take(1):
             break
-        done = cut(done.unionByName(ready))
-        left = cut(left.join(ready, ["conv_id", "call_id"], "left_anti"))
-        n = left.count()
-    circle = left.select("conv_id", "call_id").distinct().withColumn("level", F.lit(None).cast("int"))
-    return done.where("level > 0").unionByName(circle).withColumn("uses_calls", F.lit(True))
+        old = done, left, ready
+        done, left = cut(done.unionByName(ready)), cut(left.join(ready, ["conv", "call_id"], "left_anti"))
+        tidy(spark, *old)
+    single = at_base(chain).select("conv", "call_id", (F.col("below") + F.col("hops")).alias("level"))
+    circle = left.select("conv", "call_id").distinct().withColumn("level", F.lit(None).cast("long"))
+    out = done.where("level > 0").unionByName(single).unionByName(circle)
+    return out.select(F.when(F.col("conv") != "", F.col("conv").cast("long")).alias("conv_id"), "call_id", F.col("level").cast("int").alias("level"), F.lit(True).alias("uses_calls"))
 
 
 def link(events: DataFrame, schemas: dict[str, dict[str, str]]) -> DataFrame:
@@ -118,7 +144,7 @@ def link(events: DataFrame, schemas: dict[str, dict[str, str]]) -> DataFrame:
     lv = levels(events).select(F.col("conv_id").alias("_lc"), F.col("call_id").alias("_li"), "level", "uses_calls")
     e = e.join(lv, F.col("conv_id").eqNullSafe(F.col("_lc")) & (F.col("call_id") == F.col("_li")), "left")
     circular = F.coalesce(F.col("uses_calls") & F.col("level").isNull(), F.lit(False))
-    level = F.when(circular, ROUNDS + 1).otherwise(F.coalesce("level", F.lit(0)))
+    level = F.when(circular, LAST).otherwise(F.coalesce("level", F.lit(0)))
     # a result can't stand before its call
     place = F.when(F.col("kind") == "result", F.greatest("turn", F.col("call.turn"))).otherwise(F.col("turn"))
     linked = F.when(F.col("kind") == "call", F.col("results") > 0).when(F.col("kind") == "result", F.col("call").isNotNull())
