@@ -1,12 +1,13 @@
 """Peak calling on binned coverage.
 
-Bins, derivatives, merging, summits and scores are expressions; only the segmentation
-and the grouping of summits, each step of which depends on the one before, run as pandas
-functions, a task for each (contig, sample) or contig.
+Bins, derivatives, merging, summits and scores are expressions; only the segmentation,
+the clustering and the grouping of summits, each step of which depends on the one before,
+run as pandas functions, a task for each (contig, sample) or contig.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -139,20 +140,49 @@ def simple_diff(peaks: DataFrame, region) -> DataFrame:
     return peaks.join(F.broadcast(order), "sample").groupBy("contig", region.alias("region")).agg(F.sum(F.col("height") * sign).cast("long").alias("score"))
 
 
-def clusters(peaks: DataFrame, k: int = 5, keep: int = 4, seed: int = 1) -> DataFrame:
-    """k-means over (height, area); the peaks of the ``keep`` clusters with the highest centres.
-
-    Cluster numbers depend on the seed and aren't reproducible across versions.
+def fit(points: np.ndarray, weight: np.ndarray, k: int, restarts: int, seed: int) -> np.ndarray:
+    """k-means++ over distinct points: the number of each one's cluster in the best of the
+    seeded restarts, by the sum of squared distances; clusters are numbered by the first
+    coordinate of their centres, from the lowest."""
+    rng, best, least = np.random.default_rng(seed), np.zeros(len(points), np.int64), np.inf
+    away = lambda at: ((points - at) ** 2).sum(1)
+    for _ in range(restarts):
+        centres = points[rng.choice(len(points), 1, p=weight / weight.sum())]
+        while len(centres) < min(k, len(points)):
+            far = weight * np.min([away(c) for c in centres], 0)
+            centres = np.vstack([centres, points[rng.choice(len(points), p=far / far.sum())]])
+        label = None
+        while True:
+            dist = np.stack([away(c) for c in centres], 1)
+            new = dist.argmin(1)
+            if label is not None and (new == label).all():
+                break
+            label = new
+            for c in range(len(centres)):
+                if (label == c).any():
+                    centres[c] = np.average(points[label == c], 0, weight[label == c])
+        cost = (dist.min(1) * weight).sum()
+        if cost < least:
+            least, best = cost, np.argsort(np.lexsort((centres[:, 1], centres[:, 0])))[label]
+    return best
+
+
+def clusters(peaks: DataFrame, k: int = 5, keep: int = 4, seed: int = 1, restarts: int = 100) -> DataFrame:
+    """k-means over (height, area) in each contig and sample; the peaks of its ``keep`` clusters
+    with the highest centres.
+
+    ``cluster`` counts from the lowest centre; with fewer than ``k`` distinct peaks each
+    distinct one is a cluster.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    rows = VectorAssembler(inputCols=["height", "area"], outputCol="features").transform(peaks)
-    if not rows.take(1):
-        return peaks.withColumn("cluster", F.lit(0))
-    model = KMeans(k=k, seed=seed, initMode="k-means||").fit(rows)
-    order = sorted(range(len(model.clusterCenters())), key=lambda i: -model.clusterCenters()[i][0])[:keep]
-    return model.transform(rows).where(F.col("prediction").isin(order)).drop("features").withColumnRenamed("prediction", "cluster")
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        distinct, at, n = np.unique(pdf[["height", "area"]].to_numpy(float), axis=0, return_inverse=True, return_counts=True)
+        label = fit(distinct, n.astype(float), k, restarts, seed)
+        out = pdf.assign(cluster=label[at.ravel()].astype(np.int32))
+        return out[out.cluster > label.max() - keep]
+
+    cols = [c.split()[0] for c in SEGMENTS.split(", ")]
+    return peaks.select(*cols).groupBy("contig", "sample").applyInPandas(run, f"{SEGMENTS}, cluster int")
 
 
 def top_k(peaks: DataFrame, k: int, by: str = "height") -> DataFrame:

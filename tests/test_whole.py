@@ -196,3 +196,18 @@ def test_chat_chains_of_any_length(spark):
             assert circular or seen.issuperset(uses[c])
             seen.add(c)
     assert [c for c, circular in got[3] if not circular] == [c for c, _ in got[3]][:4] == ["a", "b", "g", "h"]
+
+
+def test_clusters_of_each_contig_and_sample(spark):
+    """A shallow sample keeps its peaks, a deep one loses its own noise."""
+    rows = []
+    for contig, sample, scale in (("a", "s", 1), ("a", "t", 1000), ("b", "s", 30)):
+        for level in range(1, 6):
+            for i in range(4):
+                n = len(rows) * 10
+                rows.append((contig, sample, n, n + 5, level * 100 * scale + i, n + 2, level * 400 * scale + i))
+    rows += [("c", "s", 0, 5, 7, 2, 20), ("c", "s", 9, 12, 3, 10, 5)]
+    got = peaks.clusters(spark.createDataFrame(rows, peaks.SEGMENTS)).collect()
+    want = [(*r, min(4, r[4] // (100 * {"s": 1, "t": 1000}[r[1]] if r[0] == "a" else 3000) - 1)) for r in rows if r[0] != "c"]
+    want = [r for r in want if r[-1] > 0] + [(*rows[-2], 1), (*rows[-1], 0)]
+    assert sorted(map(tuple, got)) == sorted(want)
