@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.llm.bpe import hashed
@@ -179,16 +179,23 @@ def sets_of(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(utf8(text))
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_text: bool = False) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row.
 
     Sets are compared by 64-bit hashes of shingles.  A null text has no words, hence no
     shingles and no links, as has a row without an id.  Rows that repeat an id are each a
     document of their own that bears it.  An empty table gives no rows; other columns are
-    ignored.
+    ignored.  With ``by_text``, ``doc_id, text_hash, component`` instead: ``text_hash`` tells
+    apart rows that share an id, and ``component``, null where there are no shingles or no
+    id, is told by its texts, so it's one even if the smallest id has texts in several.
     """
     spark = small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(F.col(text_col)).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(F.col(text_col)).alias("text"), *([text_hash(F.col(text_col)).alias("text_hash")] if by_text else []))
+    extra = rows.columns[2:]
     shared = spark.sparkContext.broadcast(repeated(rows.where(F.col("doc_id").isNotNull())))
 
     def see(batches):
@@ -218,11 +225,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 order = order[alone[i] :]
                 sets.append(packed(own)), posts.append(own[order].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [table.column("doc_id").combine_chunks(), pa.array(size, pa.int64()), pa.array(sign, pa.int64()), pa.array(sets, pa.binary()), pa.array(posts, pa.list_(pa.int64())), pa.array(alone, pa.int64())],
-                ["doc_id", "n_shingles", "sign", "tokens", "posts", "alone"],
+                [table.column("doc_id").combine_chunks(), pa.array(size, pa.int64()), pa.array(sign, pa.int64()), pa.array(sets, pa.binary()), pa.array(posts, pa.list_(pa.int64())), pa.array(alone, pa.int64()), *[table.column(c).combine_chunks() for c in extra]],
+                ["doc_id", "n_shingles", "sign", "tokens", "posts", "alone", *extra],
             )
 
-    seen = cut(rows.mapInArrow(see, "doc_id long, n_shingles long, sign long, tokens binary, posts array<long>, alone long"))
+    seen = cut(rows.mapInArrow(see, "doc_id long, n_shingles long, sign long, tokens binary, posts array<long>, alone long" + "".join(f", {c} long" for c in extra)))
     active = cut(seen.where("tokens IS NOT NULL").groupBy("sign").agg(F.first("tokens").alias("tokens"), F.first(F.struct("posts", "alone")).alias("p")))
     size = F.octet_length("tokens") / 8
     # place: shingles of the set that come before in the order of step 2
@@ -323,9 +330,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     sets = seen.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("sign").agg(F.min("doc_id").alias("low"))
     sets = cut(sets.join(state.select("sign", "component"), "sign", "left").withColumn("component", F.coalesce("component", "sign")))
     ends = sets.groupBy("component").agg(F.min("low").alias("component_id"))
-    names = sets.join(ends, "component").select("sign", "component_id")
-    out = seen.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("sign")).alias("sign"))
-    return out.join(names, "sign", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    names = sets.select("sign", "component") if by_text else sets.join(ends, "component").select("sign", "component_id")
+    out = seen.select("doc_id", *extra, "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("sign")).alias("sign"))
+    out = out.join(names, "sign", "left")
+    if by_text:
+        return out.select("doc_id", "text_hash", "component")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def tied_by(state: DataFrame, edges: DataFrame) -> DataFrame:

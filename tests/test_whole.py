@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pandas as pd
 import pytest
 
+import corpus_pipeline
 from locusframe.llm import chat
 from locusframe.operators import coverage, pairs, peaks
 from locusframe.plans import catalog, views
@@ -211,3 +212,20 @@ def test_clusters_of_each_contig_and_sample(spark):
     want = [(*r, min(4, r[4] // (100 * {"s": 1, "t": 1000}[r[1]] if r[0] == "a" else 3000) - 1)) for r in rows if r[0] != "c"]
     want = [r for r in want if r[-1] > 0] + [(*rows[-2], 1), (*rows[-1], 0)]
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_near_duplicates_by_row(spark):
+    words = lambda start: " ".join(f"word{start}x{i}" for i in range(80))
+    a, b, c, d = (words(x) for x in "abcd")
+    rows = [
+        (1, a, "x"), (1, a, "y"), (1, a, "z"),  # repeated: one stays
+        (2, b, "x"), (5, b + " more", "x"), (5, c, "x"),  # 5's other text stays
+        (3, d, "x"), (3, d + " more", "x"), (3, a + " more", "x"),  # near copies under one id
+        (None, a, "x"), (None, a, "x"), (7, " ", "x"), (7, " ", "x"), (8, None, "x"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    got = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, DIR).collect()]
+    assert [r[:2] for r in got].count((1, a)) == 1
+    assert sum(r[0] == 3 for r in got) == 1 and {r[1] for r in got if r[0] == 3} <= {d, d + " more"}
+    rest = sorted((r for r in got if r[0] not in (1, 3)), key=str)
+    assert rest == sorted([(2, b, "x"), (5, c, "x"), *rows[9:]], key=str)
