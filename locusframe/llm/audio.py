@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import utf8
+from locusframe.llm.common import released, small_batches, utf8
 
 UNIT = 192
 RATE = 8000  # samples a second of the stored form
@@ -155,7 +155,8 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 cols = [part.column(0), *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds[1:], strict=True)]]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(F.col(text_col)).alias("text")).mapInArrow(run, SCHEMA)
+    small_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(F.col(text_col)).alias("text")).mapInArrow(released(run), SCHEMA)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +37,23 @@ def cut(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     return out
 
 
+def release() -> None:
+    """Hand freed memory back to the system, so that a worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library keeps it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def released(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``fn`` over a partition's batches, then ``release``."""
+
+    def run(batches):
+        yield from fn(batches)
+        release()
+
+    return run
+
+
 def tidy(spark: SparkSession, *done: DataFrame) -> None:
     """Free disk: delete cut tables that no later step reads, and let Spark drop the
     shuffle files of finished jobs, which it does when their plans are collected."""
@@ -43,17 +62,20 @@ def tidy(spark: SparkSession, *done: DataFrame) -> None:
         path = jvm.org.apache.hadoop.fs.Path(df._path)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()
+    release()
     jvm.System.gc()
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches sent to Python by bytes, so that long texts don't pile up."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    """Bound the Arrow batches sent to Python by bytes, so that long texts don't pile up.
+
+    Every operator sets it, so that none depends on what ran before it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 20))
     return spark
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def utf8(text: Column) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.llm.bpe import hashed
-from locusframe.llm.common import cut, gathered, small_batches, utf8
+from locusframe.llm.common import cut, gathered, release, released, small_batches, tidy, utf8
 from locusframe.llm.components import components
 
 WORDS = 5
@@ -31,7 +31,8 @@ BITS = 28  # 32 MB
 HOT = 1 << 16  # very common shingles that are told apart, at most
 HOT_FROM = 8  # batches that a very common shingle is in
 CAP = 256  # sets of a group compared in one task
-BATCH = 4 << 20
+BATCH = 1 << 19  # bytes of text handled at once
+HELD = 1 << 20  # hashes that are sorted and sent together
 #: A-Z in lower case.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -97,30 +98,41 @@ def repeated(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     lead = int(np.clip(np.ceil(np.log2(max(size, 1) / (1 << 22))), 6, 20))
 
+    def packets(h, sign):
+        order = np.lexsort((sign, h))
+        h, sign = h[order], sign[order]
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        many = np.zeros(int(new.sum()), bool)
+        many[(np.cumsum(new) - 1)[1:][~new[1:] & (sign[1:] != sign[:-1])]] = True
+        h = h[new]
+        bucket = (h >> np.uint64(64 - lead)).astype(np.int64)
+        rest = np.ascontiguousarray(h << np.uint64(lead) >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        out = []
+        for a, b in zip(cuts, np.append(cuts[1:], len(h)), strict=True):
+            own = many[a:b]
+            out.append((int(bucket[a]), rest[a:b][~own].tobytes(), rest[a:b][own].tobytes()))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "once", "many"])
+
     def send(batches):
+        held, signs, n = [], [], 0
         for table in gathered(batches, "text", BATCH):
             raws = table.column("text").to_pylist()
             text, h = shingles(raws)
             _, sign = prints(text, h, len(raws))
-            sign = sign[text]
-            order = np.lexsort((sign, h))
-            h, sign = h[order], sign[order]
-            new = np.ones(len(h), bool)
-            new[1:] = h[1:] != h[:-1]
-            many = np.zeros(int(new.sum()), bool)
-            many[(np.cumsum(new) - 1)[1:][~new[1:] & (sign[1:] != sign[:-1])]] = True
-            h = h[new]
-            bucket = (h >> np.uint64(64 - lead)).astype(np.int64)
-            rest = np.ascontiguousarray(h << np.uint64(lead) >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]
-            cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-            out = []
-            for a, b in zip(cuts, np.append(cuts[1:], len(h)), strict=True):
-                own = many[a:b]
-                out.append((int(bucket[a]), rest[a:b][~own].tobytes(), rest[a:b][own].tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "once", "many"])
+            held.append(h), signs.append(sign[text])
+            n += len(h)
+            if n >= HELD:
+                yield from packets(np.concatenate(held), np.concatenate(signs))
+                held, signs, n = [], [], 0
+        if n:
+            yield from packets(np.concatenate(held), np.concatenate(signs))
 
     def meet(table: pa.Table) -> pa.Table:
+        release()
+
         def wide(parts):
             raw = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 5)
             out = np.zeros((len(raw), 8), np.uint8)
@@ -136,7 +148,7 @@ def repeated(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]
         common = common[np.argsort(-count[common], kind="stable")][: HOT >> max(lead - 6, 0)]
         return pa.table({"bucket": table.column("bucket").slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary()), "common": pa.array([value[common].astype(np.int64).tolist()], pa.list_(pa.int64())), "grade": pa.array([np.log2(count[common]).astype(np.int32).tolist()], pa.list_(pa.int32()))})
 
-    found = texts.select("text").mapInArrow(send, "bucket int, once binary, many binary").groupBy("bucket").applyInArrow(meet, "bucket int, bits binary, common array<long>, grade array<int>").toArrow()
+    found = texts.select("text").mapInArrow(released(send), "bucket int, once binary, many binary").groupBy("bucket").applyInArrow(meet, "bucket int, bits binary, common array<long>, grade array<int>").toArrow()
     out = np.zeros((1 << lead, (1 << (BITS - lead)) // 8), np.uint8)
     hot, grades = [], []
     for b, bits, common, grade in zip(*[found.column(i).to_pylist() for i in range(4)], strict=True):
@@ -229,7 +241,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_tex
                 ["doc_id", "n_shingles", "sign", "tokens", "posts", "alone", *extra],
             )
 
-    seen = cut(rows.mapInArrow(see, "doc_id long, n_shingles long, sign long, tokens binary, posts array<long>, alone long" + "".join(f", {c} long" for c in extra)))
+    seen = cut(rows.mapInArrow(released(see), "doc_id long, n_shingles long, sign long, tokens binary, posts array<long>, alone long" + "".join(f", {c} long" for c in extra)))
+    shared.unpersist()
+    tidy(spark)
     active = cut(seen.where("tokens IS NOT NULL").groupBy("sign").agg(F.first("tokens").alias("tokens"), F.first(F.struct("posts", "alone")).alias("p")))
     size = F.octet_length("tokens") / 8
     # place: shingles of the set that come before in the order of step 2
@@ -287,7 +301,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_tex
                 ok.append(bool(linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    tied = pairs.join(left, "one").join(right, "two").select("one", "two", "x", "y").mapInArrow(compare, "a long, b long")
+    tied = pairs.join(left, "one").join(right, "two").select("one", "two", "x", "y").mapInArrow(released(compare), "a long, b long")
     state = tied_by(state, cut(tied))
 
     # sets against groups of other components

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import gathered, small_batches, utf8
+from locusframe.llm.common import gathered, released, small_batches, utf8
 
 WINDOW = 64
 HIDDEN = 12  # a direction
@@ -162,7 +162,7 @@ def learn(docs: DataFrame, fold: int = 0, folds: int = 5) -> Net | None:
                 starts = np.unique(np.linspace(0, max(len(raw) - WINDOW, 0), WINDOWS).astype(int))
                 yield pa.RecordBatch.from_arrays([pa.array([raw[a : a + WINDOW] for a in starts], pa.binary()), pa.array([lang] * len(starts), pa.string())], ["cut", "lang"])
 
-    rows = docs.where(F.col("text") != "").join(picked, ["doc_id", "lang"]).select(utf8(F.col("text")).alias("text"), "lang").mapInArrow(cuts, "cut binary, lang string").toArrow()
+    rows = docs.where(F.col("text") != "").join(picked, ["doc_id", "lang"]).select(utf8(F.col("text")).alias("text"), "lang").mapInArrow(released(cuts), "cut binary, lang string").toArrow()
     if not rows.num_rows:
         return None
     rows = rows.sort_by([("lang", "ascending"), ("cut", "ascending")])
@@ -209,4 +209,4 @@ def predict(docs: DataFrame, net: Net | None, fold: int = 0, folds: int = 5) ->
                 ["doc_id", "held_out", "lang_pred", "score"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(released(run), "doc_id long, held_out boolean, lang_pred string, score double")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import cut, utf8
+from locusframe.llm.common import cut, released, small_batches, utf8
 
 #: Bound of the labelled sample that the model is fitted on; scoring covers all rows.
 SAMPLE = 40_000
@@ -114,6 +114,7 @@ def learn(docs: DataFrame, labels: DataFrame, fold: int = 2, folds: int = 4) ->
     Documents with several labels count as toxic if one says so; null labels are skipped.
     Without toxic or without clean labelled documents the model knows no words.
     """
+    small_batches(docs.sparkSession)
     key = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
     some = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (key != fold)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
@@ -126,7 +127,7 @@ def learn(docs: DataFrame, labels: DataFrame, fold: int = 2, folds: int = 4) ->
         for batch in batches:
             for raw, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen[1 if y else 0].update(set(words_of(raw)))
-            if sum(map(len, seen)) > 500_000:
+            if sum(map(len, seen)) > 100_000:
                 yield from flush(seen)
                 seen = [Counter(), Counter()]
         yield from flush(seen)
@@ -138,7 +139,7 @@ def learn(docs: DataFrame, labels: DataFrame, fold: int = 2, folds: int = 4) ->
                 [pa.array(names, pa.binary()), pa.array([words[w] * (1 - y) for w in names], pa.int64()), pa.array([words[w] * y for w in names], pa.int64())], ["word", "clean", "toxic"]
             )
 
-    counts = held.select("text", "toxic").mapInArrow(count, "word binary, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = held.select("text", "toxic").mapInArrow(released(count), "word binary, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counts = cut(counts)
     totals = counts.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).first()
     n0, n1 = totals["clean"] or 0, totals["toxic"] or 0
@@ -165,7 +166,7 @@ def learn(docs: DataFrame, labels: DataFrame, fold: int = 2, folds: int = 4) ->
             out = [spread(evidence(raw, scores, model.rate, model.scale)[1]) for raw in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64()), batch.column(1).cast(pa.int32())], ["x", "y"])
 
-    fitted = held.select("text", "toxic").mapInArrow(weigh, "x double, y int").collect()  # SAMPLE rows at most
+    fitted = held.select("text", "toxic").mapInArrow(released(weigh), "x double, y int").collect()  # SAMPLE rows at most
     model.slope, model.bias = logistic(np.array([r.x for r in fitted]), np.array([1.0 if r.y else 0.0 for r in fitted]))
     return model
 
@@ -192,6 +193,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null and empty texts have no words and the lowest score; a null id stays null; every
     row gets a row; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     kept = {k.encode("latin-1"): v for k, v in model.scores.items()}
     rate, scale, slope, bias = model.rate, model.scale, model.slope, model.bias
     span = pa.struct([("first_word", pa.int32()), ("last_word", pa.int32()), ("score", pa.float64()), ("chance", pa.float64())])
@@ -207,12 +209,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array(n, pa.int32()), pa.array(spans, pa.list_(span))], ["doc_id", "score", "n_words", "passages"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text")).mapInArrow(
-        run, "doc_id long, score double, n_words int, passages array<struct<first_word:int,last_word:int,score:double,chance:double>>"
+        released(run), "doc_id long, score double, n_words int, passages array<struct<first_word:int,last_word:int,score:double,chance:double>>"
     )
 
 
 def clean(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose text scores below ``least``, with all their columns, in one narrow pass."""
+    small_batches(docs.sparkSession)
     kept = {k.encode("latin-1"): v for k, v in model.scores.items()}
     rate, scale, slope, bias = model.rate, model.scale, model.slope, model.bias
 
@@ -222,7 +225,7 @@ def clean(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
             odds = [slope * spread(evidence(t or b"", kept, rate, scale)[1]) + bias for t in texts]
             yield batch.filter(pa.array([1 / (1 + np.exp(-np.clip(o, -30, 30))) < least for o in odds], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def held_out(column: str, fold: int, folds: int):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import cut, small_batches
+from locusframe.llm.common import cut, released, small_batches
 from locusframe.llm.components import components
 
 TREES = 8
@@ -108,7 +108,7 @@ def prepared(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
                 dims.append(len(x))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dims, pa.int32()), pa.array(keys, pa.binary()), pa.array(raws, pa.binary())], ["vec_id", "dim", "key", "vec"])
 
-    return rows.mapInArrow(pack, "vec_id long, dim int, key binary, vec binary")
+    return rows.mapInArrow(released(pack), "vec_id long, dim int, key binary, vec binary")
 
 
 def near(df: DataFrame, least: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -145,7 +145,7 @@ def near(df: DataFrame, least: float = 0.95, id_col: str = "vec_id", vec_col: st
                     some = pa.array(row[at : at + 8192])
                     yield pa.RecordBatch.from_arrays([pa.array(leaf[at : at + 8192]), *[part.column(i).take(some) for i in range(4)]], ["leaf", "dim", "rep", "n", "vec"])
 
-    routed = classes.select("dim", "rep", "n", "vec").mapInArrow(route, "leaf long, dim int, rep long, n long, vec binary")
+    routed = classes.select("dim", "rep", "n", "vec").mapInArrow(released(route), "leaf long, dim int, rep long, n long, vec binary")
     large = cut(routed.groupBy("dim", "leaf").count().where(F.col("count") > BLOCK).select("dim", "leaf", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
     dealt = routed.join(large, ["dim", "leaf"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep", "vec"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
