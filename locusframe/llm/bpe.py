@@ -9,6 +9,11 @@ The rank map is a literal of two arrays: ``shift`` by left piece and ``pairs``,
 ``pairs[shift[l] + r]`` holds ``(l + 1) << 17 | rank`` if pieces l and r join into a piece
 of that rank, else 0 or another l's entry.  XOR with ``(l + 1) << 17`` leaves the rank, or
 2**17 at least for no merge.
+
+A round of the fold merges every pair of the lowest rank at once, from the left.  That
+equals merging them one by one: a pair that appears later has a higher rank, because each
+piece is what its own merges give (checked when the ranks are read).  So the rounds of a
+word follow its distinct merges, and words of any length take the same path.
 """
 
 from __future__ import annotations
@@ -18,33 +23,36 @@ import functools
 import hashlib
 import heapq
 import json
-import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import gathered, small_batches
+from locusframe.llm.common import cut, gathered, released, small_batches, tidy
 
-#: Words of more bytes go to a heap of merges in Python (same merges, n log n); the
-#: fold takes time with the square of a word's length.
-FOLD_BYTES = 48
-#: Bytes of text whose words are kept distinct together.
-BATCH_BYTES = 6 << 20
+#: Bytes of text whose words are kept distinct together, and of those split at once.
+BATCH_BYTES, PIECE = 6 << 20, 1 << 19
 #: Words folded once and handed to all tasks: the commonest of a sample.  Both bounds are
 #: fixed, so the broadcast stays under about 16 MB at any input; it saves work and
 #: changes no result, as every other word is folded where it occurs.
 HOT_WORDS, HOT_SAMPLE = 1 << 18, 20_000
-SLOTS = 1 << 19
+SLOTS = 1 << 18
+NONE = 1 << 17  # rank of a pair that doesn't merge, at least
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 #: The endings that the public pattern splits off after an apostrophe.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
+@functools.lru_cache(maxsize=2)
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    if any(merges(piece, ranks) != [rank] for piece, rank in ranks.items()):
+        raise ValueError(f"{path}: a piece isn't what its own merges give")
+    return ranks
 
 
 @functools.lru_cache(maxsize=4)
@@ -84,42 +92,52 @@ def literal(values: list, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), f"array<{kind}>")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def encode_word(first: Column, path: str) -> Column:
-    """Ranks of a word, given the ranks of its single bytes as ``array<int>``."""
+    """Ranks of a word, given the ranks of its single bytes as ``array<int>``; an element -1
+    marks a word that is done."""
     _, shift, table, _ = pair_table(path)
     shifts, pairs = literal(shift, "int"), literal(table, "bigint")
 
-    def found(acc: Column) -> Column:
-        return F.array_min(
-            F.transform(
-                F.sequence(F.lit(0), F.size(acc) - 2),
-                lambda j: pairs[shifts[acc[j]] + acc[j + 1]].bitwiseXOR(F.shiftleft(acc[j].cast("bigint") + 1, 17)) * 4096 + j,
-            )
+    def merged(ids: Column, is_left: Callable[[Column], Column], rank: Column) -> Column:
+        out = F.transform(ids, lambda x, j: F.when(is_left(j), rank.cast("int")).when(is_left(j - 1), F.lit(-1)).otherwise(x))
+        return F.filter(out, lambda x: x >= 0)
+
+    def all_merged(ids: Column, ranks: Column, rank: Column) -> Column:
+        # of pairs that overlap the first merges, and every second one after it
+        hits = F.array_join(F.transform(ranks, lambda r: F.when(r == rank, "1").otherwise("0")), "")
+        marks = F.split(F.regexp_replace(hits, "11", "12"), "")
+        return let(marks, lambda m: merged(ids, lambda j: (j >= 0) & (F.get(m, j) == "1"), rank))
+
+    def joined(ids: Column, ranks: Column, rank: Column) -> Column:
+        alone = F.size(F.filter(ranks, lambda r: r == rank)) == 1
+        one = let(F.array_position(ranks, rank).cast("int") - 1, lambda at: merged(ids, lambda j: j == at, rank))
+        return F.when(rank >= NONE, F.concat(ids, F.array(F.lit(-1)))).when(alone, one).otherwise(all_merged(ids, ranks, rank))
+
+    def step(ids: Column, _: Column) -> Column:
+        ranks = F.transform(
+            F.sequence(F.lit(0), F.size(ids) - 2),
+            lambda j: pairs[shifts[ids[j]] + ids[j + 1]].bitwiseXOR((ids[j] + F.lit(1).cast("bigint")) * NONE),
         )
+        done = (F.size(ids) < 2) | (F.element_at(ids, -1) < 0)
+        return F.when(done, ids).otherwise(let(ranks, lambda r: let(F.array_min(r), lambda m: joined(ids, r, m))))
 
-    def merged(acc: Column, best: Column) -> Column:
-        at = best.bitwiseAND(F.lit(4095)).cast("int")
-        return F.when(
-            best < (1 << 29),
-            F.concat(F.slice(acc, F.lit(1), at), F.array(F.shiftright(best, 12).cast("int")), F.slice(acc, at + 3, F.size(acc))),
-        ).otherwise(acc)
-
-    def step(acc: Column, _: Column) -> Column:
-        return F.when(F.size(acc) < 2, acc).otherwise(F.transform(F.array(found(acc)), lambda best: merged(acc, best))[0])
-
-    return F.when(F.size(first) < 2, first).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(first)), first, step))
+    rounds = F.sequence(F.lit(2), F.size(first))
+    return F.when(F.size(first) < 2, first).otherwise(F.aggregate(rounds, first, step, lambda ids: F.filter(ids, lambda x: x >= 0)))
 
 
 def decode_word(ids: Column, path: str) -> Column:
     """Bytes of a word: its binary pieces, concatenated."""
-    pieces = literal([x.hex() for x in pair_table(path)[3]], "string")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: pieces[i]), ""))
+    pieces = literal([base64.b64encode(x).decode() for x in pair_table(path)[3]], "binary")
+    return F.aggregate(ids, F.lit(b""), lambda out, i: F.concat(out, pieces[i]))
 
 
-def encode_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same merges for a long word: lowest rank first, leftmost among equals."""
-    if word in ranks:
-        return [ranks[word]]
+def merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ranks of a word by single merges: lowest rank first, leftmost among equals."""
     n = len(word)
     start, after, before = list(range(n)), [*range(1, n), -1], list(range(-1, n - 1))
     end = list(range(1, n + 1))
@@ -148,26 +166,33 @@ def encode_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 @functools.lru_cache(maxsize=1)
-def classes() -> np.ndarray:
+def class_runs() -> tuple[bytes, bytes]:
+    """(first code point, class) of each run of one class, as the tokenizer's own matching has them."""
+    kind = np.full(0x110000, OTHER, np.uint8)
+    for value, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        enc = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        for at in range(0, 0x110000, 0x4000):  # a part at a time, without the surrogates
+            points = np.arange(at, at + 0x4000, dtype=np.uint32)
+            text = points[(points < 0xD800) | (points >= 0xE000)].tobytes().decode("utf-32-le")
+            kind[np.frombuffer(bytes(enc.encode_ordinary(text)).decode().encode("utf-32-le"), np.uint32)] = value
+    new = np.flatnonzero(np.diff(kind, prepend=0))
+    return new.astype(np.int32).tobytes(), kind[new].tobytes()
+
+
+@functools.lru_cache(maxsize=1)
+def classes(runs: tuple[bytes, bytes]) -> np.ndarray:
     """Class of each code point: letter, number, white space or other."""
-    out = np.full(0x110000, OTHER, np.uint8)
-    kinds = {"L": LETTER, "N": NUMBER}
-    for c in range(0x110000):
-        kind = kinds.get(unicodedata.category(chr(c))[0])
-        if kind:
-            out[c] = kind
-    for c in (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000):
-        out[c] = SPACE
-    return out
+    first = np.frombuffer(runs[0], np.int32)
+    return np.repeat(np.frombuffer(runs[1], np.uint8), np.diff(first, append=0x110000))
 
 
-def word_starts(code: np.ndarray, first: np.ndarray) -> np.ndarray:
+def word_starts(code: np.ndarray, first: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     """Where the public pattern's matches begin, over texts laid end to end.
 
-    ``code``: code points; ``first``: true at the first of each text.
+    ``code``: code points; ``first``: true at the first of each text; ``kinds``: ``classes``.
     """
     n = len(code)
-    kind = classes()[code]
+    kind = kinds[code]
     run = np.empty(n, bool)  # a run of one class begins
     run[:1] = True
     run[1:] = kind[1:] != kind[:-1]
@@ -217,8 +242,18 @@ def hashed(joined: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
-def split_batch(raws: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+def split_batch(raws: list[bytes], kinds: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     """(distinct words, their keys, index of each word, words per text)."""
+    ends = np.cumsum([len(r) for r in raws], dtype=np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(ends // PIECE)) + 1).tolist(), len(raws)]
+    parts = [split_piece(raws[a:b], kinds) for a, b in zip(cuts, cuts[1:], strict=False)]
+    keys, some, index = np.unique(np.concatenate([p[1] for p in parts]), return_index=True, return_inverse=True)
+    words = [w for p in parts for w in p[0]]
+    base = np.cumsum([0, *[len(p[0]) for p in parts]])
+    return [words[i] for i in some.tolist()], keys, np.concatenate([index[p[2] + b] for p, b in zip(parts, base, strict=False)]).astype(np.int32), np.concatenate([p[3] for p in parts])
+
+
+def split_piece(raws: list[bytes], kinds: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     joined = b"".join(raws)
     text = joined.decode("utf-8", "replace")
     code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
@@ -231,12 +266,12 @@ def split_batch(raws: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray,
         raise ValueError("texts are not valid UTF-8")
     first = np.zeros(len(code), bool)
     first[np.searchsorted(byte_at, offsets[sizes > 0])] = True
-    begin = byte_at[np.flatnonzero(word_starts(code, first))]
+    begin = byte_at[np.flatnonzero(word_starts(code, first, kinds))]
     end = np.append(begin[1:], len(raw))[: len(begin)]
     counts = np.searchsorted(begin, offsets + sizes) - np.searchsorted(begin, offsets)
     keys, some, index = np.unique(hashed(joined, begin, end), return_index=True, return_inverse=True)
     words = [joined[a:b] for a, b in zip(begin[some].tolist(), end[some].tolist(), strict=True)]
-    return words, keys, index.astype(np.int32), counts
+    return words, keys, index, counts
 
 
 def byte_ranks(words: list[bytes], base: np.ndarray, mask: np.ndarray) -> pa.Array:
@@ -248,13 +283,13 @@ def byte_ranks(words: list[bytes], base: np.ndarray, mask: np.ndarray) -> pa.Arr
 
 def hot_words(docs: DataFrame, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sorted keys, offsets, ids) of the commonest words of a sample, folded."""
-    single, fold, limit = pair_table(path)[0], FOLD_BYTES, BATCH_BYTES
+    single, limit, runs = pair_table(path)[0], BATCH_BYTES, class_runs()
     rows = docs.count()
     some = docs.sample(fraction=HOT_SAMPLE / rows, seed=2) if rows > HOT_SAMPLE else docs
 
     def count(batches):
         for table in gathered(batches, "text", limit):
-            words, _, index, _ = split_batch(table.column("text").to_pylist())
+            words, _, index, _ = split_batch(table.column("text").to_pylist(), classes(runs))
             n = np.bincount(index, minlength=len(words))
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64())], ["word", "n"])
 
@@ -264,21 +299,19 @@ def hot_words(docs: DataFrame, path: str) -> tuple[np.ndarray, np.ndarray, np.nd
             words = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), byte_ranks(words, base, np.zeros(len(words), bool))], ["word", "parts"])
 
-    words = some.mapInArrow(count, "word binary, n long").where(F.octet_length("word") <= fold).groupBy("word").agg(F.sum("n").alias("n")).where("n > 2")
-    words = words.orderBy(F.desc("n"), "word").limit(HOT_WORDS).select("word").repartition(16)
-    got = words.mapInArrow(parts, "word binary, parts array<int>").select("word", encode_word(F.col("parts"), path).alias("ids")).toArrow()
+    words = some.mapInArrow(released(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 2")
+    # written first: the plan with the rank table has no exchange, so it is made once
+    words = cut(words.orderBy(F.desc("n"), "word").limit(HOT_WORDS).select("word").repartition(16))
+    got = words.mapInArrow(released(parts), "word binary, parts array<int>").select("word", encode_word(F.col("parts"), path).alias("ids")).toArrow()
+    tidy(docs.sparkSession, words)
     names, ids = got.column("word").to_pylist(), got.column("ids").combine_chunks()
-    ranks = load_ranks(path)
-    whole = np.array([ranks.get(w, -1) for w in names], np.int64)
     end = np.cumsum([len(w) for w in names], dtype=np.int64)
     keys = hashed(b"".join(names), np.concatenate([[0], end])[:-1].astype(np.int64), end)
     order = np.argsort(keys)
     offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy()
-    begin, n = offsets[:-1][order], np.where(whole[order] >= 0, 1, np.diff(offsets)[order])
+    begin, n = offsets[:-1][order], np.diff(offsets)[order]
     off = np.concatenate([[0], np.cumsum(n)])
     flat = values[np.arange(int(off[-1])) + np.repeat(begin - off[:-1], n)] if len(names) else np.zeros(0, np.int32)
-    known = np.flatnonzero(whole[order] >= 0)
-    flat[off[:-1][known]] = whole[order][known]
     return keys[order], off, flat.astype(np.int32)
 
 
@@ -291,12 +324,13 @@ def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
     Returns ``doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes``.  Null texts count
     as empty (no tokens); repeated rows and repeated ids give a row each; a null id stays
     null; other columns of ``docs`` are ignored, so their names can't clash.  Nothing is
-    cut: words of more than ``FOLD_BYTES`` bytes are merged by a heap, with equal results.
+    cut, and words of any length are folded alike.  Equal words of a batch are told by a
+    64-bit hash.  Letters, numbers and white space are those of the tokenizer's own patterns.
     """
-    single, fold, limit = pair_table(path)[0], FOLD_BYTES, BATCH_BYTES
-    ranks = load_ranks(path)
+    single, limit, runs = pair_table(path)[0], BATCH_BYTES, class_runs()
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     spark = small_batches(docs.sparkSession)
+    tidy(spark)
     shared = spark.sparkContext.broadcast(hot_words(source.select("text"), path))
 
     def split(batches):
@@ -304,16 +338,13 @@ def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
         hot, hot_off, hot_ids = shared.value
         for table in gathered(batches, "text", limit):
             raws = table.column("text").to_pylist()
-            words, keys, index, counts = split_batch(raws)
+            words, keys, index, counts = split_batch(raws, classes(runs))
             at_hot = np.minimum(np.searchsorted(hot, keys), max(len(hot) - 1, 0))
             is_hot = hot[at_hot] == keys if len(hot) else np.zeros(len(keys), bool)
             for at in range(0, len(words), 20_000):
                 some = words[at : at + 20_000]
                 known, where = is_hot[at : at + 20_000], at_hot[at : at + 20_000]
-                done = [
-                    hot_ids[hot_off[i] : hot_off[i + 1]] if h else encode_long(w, ranks) if len(w) > fold or w in ranks else None
-                    for w, h, i in zip(some, known.tolist(), where.tolist(), strict=True)
-                ]
+                done = [hot_ids[hot_off[i] : hot_off[i + 1]] if h else None for h, i in zip(known.tolist(), where.tolist(), strict=True)]
                 parts = byte_ranks(some, base, np.array([d is not None for d in done], bool))
                 yield pa.RecordBatch.from_arrays(
                     [pa.nulls(len(some), pa.int64()), pa.array(some, pa.binary()), pa.array(done, pa.list_(pa.int32())), parts],
@@ -372,8 +403,8 @@ def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"],
                 )
 
-    rows = source.mapInArrow(split, SPLIT)
+    rows = source.mapInArrow(released(split), SPLIT)
     ids = F.coalesce(F.col("ids"), encode_word(F.col("parts"), path))
     rows = rows.select("doc", "word", ids.alias("ids"))
     rows = rows.select("doc", "word", "ids", F.when(F.col("word").isNotNull(), decode_word(F.col("ids"), path)).alias("back"))
-    return rows.mapInArrow(spell, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")
+    return rows.mapInArrow(released(spell), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")

@@ -71,6 +71,8 @@ def small_batches(spark: SparkSession) -> SparkSession:
 
     Every operator sets it, so that none depends on what ran before it."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 20))
+    # plans are told to listeners as text, literals in full
+    spark.conf.set("spark.sql.maxPlanStringLength", "100000")
     return spark
 
 

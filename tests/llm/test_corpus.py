@@ -136,18 +136,34 @@ def test_split_equals_pattern():
     rng = random.Random(2)
     alphabet = "ab é'sLl re9½ \t\n  Ω!'日́😀"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
-    words, _, index, counts = bpe.split_batch([t.encode() for t in texts])
+    words, _, index, counts = bpe.split_batch([t.encode() for t in texts], bpe.classes(bpe.class_runs()))
     at = 0
     for t, n in zip(texts, counts, strict=True):
         assert [words[i].decode() for i in index[at : at + n]] == regex.findall(public_tokenizers.PATTERN, t)
         at += n
 
 
-def test_long_words():
-    ranks = bpe.load_ranks(RANKS)
-    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    for word in ("e" * 5000, "ab" * 700, "thereintothe" * 50, "Ω" * 90):
-        assert bpe.encode_long(word.encode(), ranks) == enc.encode_ordinary(word)
+def test_words_of_any_length(spark):
+    """One path for 1 to 5,000 bytes, and letters newer than this Python's tables."""
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(RANKS), special_tokens={})
+    rng = random.Random(3)
+    words = ["e", "the", "x" * 49, "e" * 5000, "ab" * 700, "thereintothe" * 50, "Ω" * 90, "日本語の" * 30, "aaab" * 40, "=" * 999, " " * 200]
+    words += ["".join(rng.choice("etaoinsr") for _ in range(n)) for n in (47, 48, 50, 600, 3000)]
+    words += ["a\u1c89b \U00010d4a1 c", "\u1c89", "x \U00010d4a\u1c89 9\u1c89"]
+    rows = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.bpe(rows, RANKS).collect()}
+    for i, w in enumerate(words):
+        ids = enc.encode_ordinary(w)
+        assert got[i] == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(w.encode()).hexdigest()), w[:30]
+
+
+def test_ranks_that_merges_do_not_reach(tmp_path):
+    import base64
+
+    lines = [(bytes([b]), b) for b in range(256)] + [(b"abcd", 256)]
+    (tmp_path / "ranks").write_text("".join(f"{base64.b64encode(p).decode()} {r}\n" for p, r in lines))
+    with pytest.raises(ValueError, match="own merges"):
+        bpe.load_ranks(str(tmp_path / "ranks"))
 
 
 # 3
