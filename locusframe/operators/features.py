@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Features up to which they are broadcast (some 50 bytes each); more go through bins.
-SMALL = 200_000
+#: Positions of a key that are looked through in one task.
+SPAN = 1 << 16
 
 
 def overlap(points: DataFrame, features: DataFrame, flank: int = 0, keys: list[str] | None = None) -> DataFrame:
@@ -31,32 +31,48 @@ def profile(points: DataFrame, features: DataFrame, flank: int, bin_size: int, v
 
 
 def nearest(points: DataFrame, features: DataFrame, key: str) -> DataFrame:
-    """Nearest feature of each point: the last one that starts at or before it and the first
-    one after, found in one pass over points and features in order of position.
+    """Nearest feature of each point: of those that start at or before it the one that
+    reaches furthest, or the first one after it.
 
-    Features of a group mustn't nest.  Ties go to the smaller id.
+    Features may nest and overlap.  Ties go to the smaller id, but of features that cover a
+    point the one that reaches furthest counts.  Running extremes stay within a span of
+    positions; the spans' own, a small table, carry them along, so no task holds a key.
     """
-    f = features.select(F.col(key), F.col("fs").alias("at"), F.struct("fid", "fs", "fe").alias("f"), F.lit(None).cast("long").alias("pid"))
-    p = points.select(F.col(key), F.col("pos").alias("at"), F.lit(None).cast(f.schema["f"].dataType).alias("f"), F.col("pid"))
-    both = f.unionByName(p)
-    w = Window.partitionBy(key).orderBy("at", F.col("pid").isNotNull().cast("int"))
-    both = both.withColumn("left", F.last("f", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("right", F.first("f", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))).where("pid IS NOT NULL")
-    dist = lambda s: F.greatest(F.lit(0).cast("long"), F.col(f"{s}.fs") - F.col("at"), F.col("at") - F.col(f"{s}.fe"))
-    each = F.array_compact(F.array(*[F.when(F.col(s).isNotNull(), F.struct(dist(s).alias("d"), F.col(f"{s}.fid").alias("fid"))) for s in ("left", "right")]))
-    best = F.array_min(each)
-    return both.where(F.size(each) > 0).select("pid", key, F.col("at").alias("pos"), best["fid"].alias("fid"), best["d"].alias("distance"))
+    f = features.select(key, F.col("fs").cast("long").alias("at"), F.struct("fe", (-F.col("fid")).alias("back"), "fs").alias("l"), F.struct("fs", "fid", "fe").alias("r"), F.lit(None).cast("long").alias("pid"))
+    none = [F.lit(None).cast(f.schema[c].dataType).alias(c) for c in "lr"]
+    both = f.unionByName(points.select(key, F.col("pos").cast("long").alias("at"), *none, F.col("pid").cast("long").alias("pid"), F.lit(True).alias("_point")), allowMissingColumns=True)
+    both = both.withColumn("_point", F.coalesce("_point", F.lit(False))).withColumn("_span", F.floor(F.col("at") / SPAN))
+
+    up = Window.partitionBy(key).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy(key).orderBy(F.desc("_span")).rowsBetween(Window.unboundedPreceding, -1)
+    spans = both.groupBy(key, "_span").agg(F.max("l").alias("l"), F.min("r").alias("r"))
+    spans = spans.select(F.col(key).alias("_key"), F.col("_span").alias("_of"), F.max("l").over(up).alias("_l"), F.min("r").over(down).alias("_r"))
+
+    within = Window.partitionBy(key, "_span")
+    both = both.withColumn("left", F.max("l").over(within.orderBy("at", "_point").rowsBetween(Window.unboundedPreceding, 0)))
+    both = both.withColumn("right", F.min("r").over(within.orderBy(F.desc("at"), F.desc("_point")).rowsBetween(Window.unboundedPreceding, 0)))
+    met = both.where("_point").join(spans, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_span") == F.col("_of")), "left")
+    left, right = F.greatest("left", "_l"), F.least("right", "_r")
+    dist = lambda s: F.greatest(F.lit(0).cast("long"), s["fs"] - F.col("at"), F.col("at") - s["fe"]).alias("d")
+    each = F.array_compact(F.array(F.when(left.isNotNull(), F.struct(dist(left), (-left["back"]).alias("fid"))), F.when(right.isNotNull(), F.struct(dist(right), right["fid"].alias("fid")))))
+    met = met.where(F.size(each) > 0).withColumn("_best", F.array_min(each))
+    return met.select("pid", key, F.col("at").alias("pos"), F.col("_best.fid").alias("fid"), F.col("_best.d").alias("distance"))
 
 
 def sequence_matrix(sequences: DataFrame, motif: str, flank: int) -> DataFrame:
-    """Counts of bases around every hit of a motif: one row an offset, one column a base."""
+    """Counts of bases around every hit of a motif: one row an offset, one column a base.
+
+    Sequences are ASCII and read as bytes, whose places need no walk from the start.
+    """
     k = len(motif)
-    starts = F.filter(F.sequence(F.lit(1), F.length("seq") - k + 1), lambda i: F.substring("seq", i, F.lit(k)) == motif)
-    hits = sequences.where(F.length("seq") >= k).select("seq", F.explode(starts).alias("hit"))
-    around = hits.select("seq", "hit", F.explode(F.sequence(F.lit(-flank), F.lit(flank))).alias("offset"))
-    at = F.col("hit") + F.col("offset")
-    around = around.where((at >= 1) & (at <= F.length("seq"))).select("offset", F.substring("seq", at, F.lit(1)).alias("base"))
-    return around.groupBy("offset").agg(*[F.count_if(F.col("base") == b).alias(b.lower()) for b in "ACGT"])
+    raw = F.col("raw")
+    begin = lambda hit: F.greatest(F.lit(1), hit - flank)
+    starts = F.filter(F.sequence(F.lit(1), F.length(raw) - k + 1), lambda i: F.substring(raw, i, F.lit(k)) == F.lit(motif.encode()))
+    cut = F.transform(starts, lambda hit: F.struct((begin(hit) - hit).alias("first"), F.substring(raw, begin(hit), hit + flank + 1 - begin(hit)).alias("piece")))
+    hits = sequences.select(F.col("seq").cast("binary").alias("raw")).where(F.length("raw") >= k).select(F.inline(cut))
+    around = hits.groupBy("first", "piece").agg(F.count("*").alias("n")).select("first", "piece", "n", F.posexplode(F.split(F.col("piece").cast("string"), "")).alias("i", "base"))
+    around = around.select((F.col("first") + F.col("i")).alias("offset"), "base", "n").where("base <> ''")
+    return around.groupBy("offset").agg(*[F.coalesce(F.sum(F.when(F.col("base") == b, F.col("n"))), F.lit(0)).cast("long").alias(b.lower()) for b in "ACGT"])
 
 
 def intervals(reads: DataFrame, regions: DataFrame) -> DataFrame:

@@ -29,10 +29,15 @@ def bases_of(reads: DataFrame) -> DataFrame:
 
 
 def nmers(sequences: DataFrame, k: int, parity: bool = False) -> DataFrame:
-    """Counts of k-mers; ``parity`` leaves the last one of each sequence out."""
-    last = F.length("seq") - k + (0 if parity else 1)
-    words = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring("seq", i, F.lit(k)))
-    return sequences.where(last >= 1).select(F.explode(words).alias("nmer")).groupBy("nmer").agg(F.count("*").alias("n"))
+    """Counts of k-mers; ``parity`` leaves the last one of each sequence out.
+
+    Sequences are ASCII and read as bytes, whose places need no walk from the start.
+    """
+    raw = F.col("raw")
+    last = F.length(raw) - k + (0 if parity else 1)
+    words = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(raw, i, F.lit(k)))
+    found = sequences.select(F.col("seq").cast("binary").alias("raw")).where(last >= 1).select(F.explode(words).alias("nmer"))
+    return found.groupBy("nmer").agg(F.count("*").alias("n")).select(F.col("nmer").cast("string").alias("nmer"), "n")
 
 
 def read_length(cigar: DataFrame, skip: int = 1, order: str = "name") -> DataFrame:
