@@ -39,7 +39,7 @@ BATCH_BYTES, PIECE = 6 << 20, 1 << 19
 #: fixed, so the broadcast stays under about 16 MB at any input; it saves work and
 #: changes no result, as every other word is folded where it occurs.
 HOT_WORDS, HOT_SAMPLE = 1 << 18, 20_000
-SLOTS = 1 << 18
+SLOTS = 1 << 19  # more where the rows of a rank map find no place
 NONE = 1 << 17  # rank of a pair that doesn't merge, at least
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 #: The endings that the public pattern splits off after an apostrophe.
@@ -55,6 +55,31 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return ranks
 
 
+def place(rows: dict[int, list[tuple[int, int]]], size: int, slots: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """(shift by left piece, pairs), the longest rows first; None if a row finds no place."""
+    room = slots - size
+    if room <= 0:
+        return None
+    taken = np.zeros(slots, bool)
+    table = np.zeros(slots, np.int64)
+    shift = np.zeros(size, np.int64)
+    rng = np.random.default_rng(0)
+    for left, row in sorted(rows.items(), key=lambda x: -len(x[1])):
+        right = np.array([r for r, _ in row], np.int64)
+        tries = rng.integers(0, room, 64)
+        tries = tries[~taken[tries[:, None] + right].any(axis=1)]
+        if not len(tries):  # look at every place
+            tries = np.arange(room)
+            for r in right.tolist():
+                tries = tries[~taken[tries + r]]
+            if not len(tries):
+                return None
+        at = shift[left] = tries[0]
+        taken[at + right] = True
+        table[at + right] = left + 1 << 17 | np.array([k for _, k in row], np.int64)
+    return shift, table
+
+
 @functools.lru_cache(maxsize=4)
 def pair_table(path: str) -> tuple[list[int], list[int], list[int], list[bytes]]:
     """(rank of each single byte, shift by left piece, pairs, pieces by rank)."""
@@ -66,21 +91,10 @@ def pair_table(path: str) -> tuple[list[int], list[int], list[int], list[bytes]]
             if left is not None and right is not None:
                 rows.setdefault(left, []).append((right, rank))
     size = max(ranks.values()) + 1
-    room = SLOTS - size
-    taken = np.zeros(SLOTS, bool)
-    table = np.zeros(SLOTS, np.int64)
-    shift = np.zeros(size, np.int64)
-    rng = np.random.default_rng(0)
-    for left, row in sorted(rows.items(), key=lambda x: -len(x[1])):
-        right = np.array([r for r, _ in row], np.int64)
-        while True:
-            tries = rng.integers(0, room, 64)
-            free = ~taken[tries[:, None] + right].any(axis=1)
-            if free.any():
-                break
-        at = shift[left] = tries[free.argmax()]
-        taken[at + right] = True
-        table[at + right] = left + 1 << 17 | np.array([k for _, k in row], np.int64)
+    slots = SLOTS
+    while (placed := place(rows, size, slots)) is None:
+        slots *= 2
+    shift, table = placed
     pieces = [b""] * size
     for piece, rank in ranks.items():
         pieces[rank] = piece
