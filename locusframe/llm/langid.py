@@ -20,7 +20,6 @@ WINDOW = 64
 HIDDEN = 12  # a direction
 #: Bounds of the training sample: documents a language, windows a document.
 DOCS, WINDOWS = 300, 4
-LANGS = 1000
 EPOCHS, BATCH, RATE = 6, 128, 0.02
 BLOCK = 1 << 19  # bytes labelled at once
 PAD = 256
@@ -150,7 +149,7 @@ def learn(docs: DataFrame, fold: int = 0, folds: int = 5) -> Net | None:
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (key != fold))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     some = known.select("doc_id", "lang").withColumn("n", F.row_number().over(first)).where(F.col("n") <= DOCS).select("doc_id", "lang")
-    some = some.orderBy("lang", "doc_id").limit(DOCS * LANGS).toArrow()
+    some = some.orderBy("lang", "doc_id").toArrow()  # DOCS rows a language
     if not some.num_rows:
         return None
     spark = docs.sparkSession

@@ -21,8 +21,6 @@ from locusframe.llm.common import cut, released, small_batches, utf8
 
 #: Bound of the labelled sample that the model is fitted on; scoring covers all rows.
 SAMPLE = 40_000
-#: Bound of the word list, by the size of its standardised log-odds.
-WORDS = 20_000
 PRIOR = 500.0  # of prior, spread as in the whole sample, and
 FLAT = 0.5  # for every word; counts are of documents that hold a word
 Z = 3.0  # log-odds within so many standard errors of 0 count as none
@@ -118,7 +116,9 @@ def learn(docs: DataFrame, labels: DataFrame, fold: int = 2, folds: int = 4) ->
     key = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
     some = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (key != fold)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    held = cut(docs.select("doc_id", utf8(F.col("text")).alias("text")).join(F.broadcast(cut(some)), "doc_id"))
+    held = docs.select("doc_id", utf8(F.col("text")).alias("text")).join(F.broadcast(cut(some)), "doc_id")
+    # one text of an id, so that SAMPLE bounds the rows too
+    held = cut(held.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")))
 
     def count(batches):
         from collections import Counter
@@ -149,7 +149,7 @@ def learn(docs: DataFrame, labels: DataFrame, fold: int = 2, folds: int = 4) ->
     a1, a0 = F.col("toxic") + prior, F.col("clean") + prior
     odds = F.log(a1 / (n1 + PRIOR - a1)) - F.log(a0 / (n0 + PRIOR - a0))
     z = odds / F.sqrt(1 / a1 + 1 / a0)
-    rows = counts.withColumn("odds", odds).withColumn("z", z).where(F.abs("z") > Z).orderBy(F.desc(F.abs("z")), "word").limit(WORDS).collect()
+    rows = counts.withColumn("odds", odds).withColumn("z", z).where(F.abs("z") > Z).orderBy(F.desc(F.abs("z")), "word").collect()  # words of the sample only
     scores = {}
     share, value = [], []
     for r in rows:

@@ -122,7 +122,7 @@ def near(df: DataFrame, least: float = 0.95, id_col: str = "vec_id", vec_col: st
     spark = small_batches(df.sparkSession)
     rows = cut(prepared(df, id_col, vec_col))
     classes = cut(rows.where("key IS NOT NULL").groupBy("dim", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec")))
-    counts = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().limit(1000).collect()}
+    counts = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().collect()}
     forests = {}
     for dim, count in counts.items():
         some = classes.where(F.col("dim") == dim).orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("vec").toArrow().column("vec").to_pylist()
