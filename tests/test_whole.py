@@ -1,14 +1,11 @@
 """Queries over whole tables, against literal counts of all rows."""
 
-import json
 import re
 from collections import Counter, defaultdict
 
 import pandas as pd
 import pytest
 
-import corpus_pipeline
-from locusframe.llm import chat
 from locusframe.operators import coverage, pairs, peaks
 from locusframe.plans import catalog, views
 
@@ -173,32 +170,6 @@ def test_downsampling_percentiles_registered(spark):
     assert {r.step for r in catalog.QUERIES["downsample_coverage_percentiles"](spark, DIR).collect()} == {1}
 
 
-def asked(conv, uses: dict[str, list[str]]) -> list[tuple]:
-    """A message a call, the last of ``uses`` in the first turn."""
-    text = lambda c, used: json.dumps({"content": "", "tool_calls": [{"id": c, "name": "n", "arguments": {}, "uses": used}]})
-    return [(conv, len(uses) - i, "assistant", text(c, used)) for i, (c, used) in enumerate(uses.items())]
-
-
-def test_chat_chains_of_any_length(spark):
-    chain = {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(150)}
-    braid = {f"c{i}": [f"c{j}" for j in (i - 1, i - 3) if j >= 0] for i in range(9)} | {"d": ["c4"], "e": ["d"], "f": ["e", "c8"]}
-    # x and y use each other, z uses them, and w and v don't settle either
-    circle = {"v": ["w", "a"], "w": ["z"], "z": ["x"], "x": ["y"], "y": ["x"], "s": ["s"], "a": [], "b": ["a"], "g": ["a", "b"], "h": ["g"]}
-    rows = asked(None, chain) + asked(1, chain) + asked(2, braid) + asked(3, circle)
-    got = defaultdict(list)
-    events = chat.events_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
-    for r in sorted(chat.link(events, {"n": {}}).collect(), key=lambda r: r.position):
-        got[r.conv_id].append((r.call_id, r.circular))
-    assert got[None] == got[1] == [(c, False) for c in chain]
-    for conv, uses in ((2, braid), (3, circle)):
-        seen: set = set()
-        for c, circular in got[conv]:
-            assert circular == (conv == 3 and c in "vwzxys")
-            assert circular or seen.issuperset(uses[c])
-            seen.add(c)
-    assert [c for c, circular in got[3] if not circular] == [c for c, _ in got[3]][:4] == ["a", "b", "g", "h"]
-
-
 def test_clusters_of_each_contig_and_sample(spark):
     """A shallow sample keeps its peaks, a deep one loses its own noise."""
     rows = []
@@ -212,20 +183,3 @@ def test_clusters_of_each_contig_and_sample(spark):
     want = [(*r, min(4, r[4] // (100 * {"s": 1, "t": 1000}[r[1]] if r[0] == "a" else 3000) - 1)) for r in rows if r[0] != "c"]
     want = [r for r in want if r[-1] > 0] + [(*rows[-2], 1), (*rows[-1], 0)]
     assert sorted(map(tuple, got)) == sorted(want)
-
-
-def test_near_duplicates_by_row(spark):
-    words = lambda start: " ".join(f"word{start}x{i}" for i in range(80))
-    a, b, c, d = (words(x) for x in "abcd")
-    rows = [
-        (1, a, "x"), (1, a, "y"), (1, a, "z"),  # repeated: one stays
-        (2, b, "x"), (5, b + " more", "x"), (5, c, "x"),  # 5's other text stays
-        (3, d, "x"), (3, d + " more", "x"), (3, a + " more", "x"),  # near copies under one id
-        (None, a, "x"), (None, a, "x"), (7, " ", "x"), (7, " ", "x"), (8, None, "x"),
-    ]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
-    got = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, DIR).collect()]
-    assert [r[:2] for r in got].count((1, a)) == 1
-    assert sum(r[0] == 3 for r in got) == 1 and {r[1] for r in got if r[0] == 3} <= {d, d + " more"}
-    rest = sorted((r for r in got if r[0] not in (1, 3)), key=str)
-    assert rest == sorted([(2, b, "x"), (5, c, "x"), *rows[9:]], key=str)
