@@ -325,22 +325,31 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_tex
         query = table.column("query").to_numpy()
         own, asked = table.filter(pa.array(~query)), table.filter(pa.array(query))
         union = Union(sets_of(own.column("tokens")))
-        sign, component = own.column("sign").to_numpy(), own.column("component").to_numpy()
+        component = own.column("component").to_numpy()
+        root: dict[int, int] = {}
+
+        def find(i: int) -> int:
+            while (up := root.setdefault(i, i)) != i:
+                root[i] = i = root[up]
+            return i
+
         a, b = [], []
-        for s, c, q in zip(asked.column("sign").to_pylist(), asked.column("component").to_pylist(), sets_of(asked.column("tokens")), strict=True):
+        for c, q in zip(asked.column("component").to_pylist(), sets_of(asked.column("tokens")), strict=True):
             bound, lo, hi = union.overlap(q)
             if 100 * bound < LEAST * len(q):
                 continue  # no member can be similar enough
-            near = np.flatnonzero(linked(union.shared(lo, hi), union.size, len(q)) & (component != c))
-            a += [s] * len(near)
-            b += sign[near].tolist()
+            near = component[linked(union.shared(lo, hi), union.size, len(q)) & (component != c)]
+            for other in np.unique(near).tolist():
+                x, y = find(c), find(other)
+                if x != y:  # a spanning forest of the components is enough
+                    root[max(x, y)] = min(x, y)
+                    a.append(c)
+                    b.append(other)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     if ask.take(1):
         last = cut(queries.unionByName(opened).groupBy("group", "deal").applyInArrow(across, "a long, b long"))
-        names_ = state.select("sign", "component")
-        last = last.join(names_.select(F.col("sign").alias("a"), F.col("component").alias("ca")), "a").join(names_.select(F.col("sign").alias("b"), F.col("component").alias("cb")), "b")
-        state = tied_by(state, last.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        state = tied_by(state, last)
     sets = seen.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("sign").agg(F.min("doc_id").alias("low"))
     sets = cut(sets.join(state.select("sign", "component"), "sign", "left").withColumn("component", F.coalesce("component", "sign")))
     ends = sets.groupBy("component").agg(F.min("low").alias("component_id"))
