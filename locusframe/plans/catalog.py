@@ -22,12 +22,11 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 # parameters of the queries
-BIN, LADDER, TARGET, STEPS = 500, 2, 400_000, 4
-TARGETS = 20  # as the reference has; the SQL goes as far as STEPS
+BIN, LADDER, TARGET, TARGETS = 500, 2, 400_000, 20
 K, DUP_P, TRIALS = 6, 0.25, 3
 CONTEXTS = ["HCG", "GCH", "HCA", "HCT", "HCC"]
 FIXED_W, FIXED_N, VAR_K, VAR_STRETCH = 800, 3, 8, 1500
-PAIR_W, ANY_W = 200, 20
+PAIR_W = 200
 FLANK, FEATURE_BIN = 200, 20
 MOTIF, MOTIF_FLANK = "ACG", 5
 PEAK_BIN = 10
@@ -97,7 +96,7 @@ def bin_depths_percentiles(spark, sf_dir):
 
 @query(
     f"""{LOCI}, a AS (SELECT sum(depth) AS bp FROM loci),
-x AS (SELECT s.s AS step, depth, pos, least(1.0::DOUBLE, s.s * {float(TARGET)}::DOUBLE / bp) AS p FROM loci, a, generate_series(1, {STEPS}) AS s(s) WHERE (s.s - 1) * {TARGET} < bp),
+x AS (SELECT s.s AS step, depth, pos, CASE WHEN s.s > {TARGETS} THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, s.s * {float(TARGET)}::DOUBLE / bp) END AS p FROM loci, a, generate_series(1, {TARGETS + 1}) AS s(s) WHERE (s.s - 1) * {TARGET} < bp),
 d AS (SELECT step, CASE WHEN depth > 0 THEN len(list_filter(generate_series(1, depth), lambda i: ((CAST(pos AS BIGINT) * 1000 + i) * 2654435761) % 4294967296 < p * 4294967296)) ELSE 0 END AS d FROM x)
 SELECT CAST(step AS INT) AS step, count(*) AS n, CAST(sum(d) AS BIGINT) AS sum_depth, CAST(max(d) AS BIGINT) AS max_depth FROM d GROUP BY step""",
     ("v_contigs",),
@@ -111,16 +110,16 @@ def downsample_coverage_percentiles(spark, sf_dir):
     return coverage.ladder(coverage.thinned(runs(spark, sf_dir), TARGET, TARGETS), LADDER, by=["step"])
 
 
-EXCLUSIVE = """WITH e AS (SELECT contig, pos, min(rg) AS rg, count(*) AS depth FROM (SELECT contig, rg, unnest(generate_series(st, en)) AS pos FROM v_thin)
+EXCLUSIVE = """WITH e AS (SELECT contig, pos, min(rg) AS rg, count(*) AS depth FROM (SELECT contig, rg, unnest(generate_series(st, en)) AS pos FROM v_reads)
 GROUP BY contig, pos HAVING count(DISTINCT rg) = 1)"""
 
 
-@query(f"{EXCLUSIVE} SELECT contig, CAST(pos AS BIGINT) AS pos, CAST(CASE WHEN dense_rank() OVER (ORDER BY rg) % 2 = 0 THEN -depth ELSE depth END AS BIGINT) AS signed_depth FROM e", ("v_thin",))
+@query(f"{EXCLUSIVE} SELECT contig, CAST(pos AS BIGINT) AS pos, CAST(CASE WHEN dense_rank() OVER (ORDER BY rg) % 2 = 0 THEN -depth ELSE depth END AS BIGINT) AS signed_depth FROM e", ("v_reads",))
 def exclusive_read_group(spark, sf_dir):
     return coverage.exclusive_track(coverage.exclusive(views.reads(spark, sf_dir)))
 
 
-@query(f"{EXCLUSIVE} SELECT rg, count(*) AS n_loci, round(avg(depth), 6) AS mean_depth FROM e GROUP BY rg", ("v_thin",))
+@query(f"{EXCLUSIVE} SELECT rg, count(*) AS n_loci, round(avg(depth), 6) AS mean_depth FROM e GROUP BY rg", ("v_reads",))
 def exclusive_read_group_summary(spark, sf_dir):
     return coverage.exclusive_summary(coverage.exclusive(views.reads(spark, sf_dir)))
 
@@ -242,10 +241,11 @@ def consensus_context(spark, sf_dir):
 
 
 @query(
-    """WITH ref AS (SELECT 'chr' || (id % 3) AS contig, id // 3 * 600 + i AS pos, substr(seq, i, 1) AS ref FROM (SELECT id, seq, unnest(generate_series(1, least(length(seq), 600))) AS i FROM v_seq WHERE id < 60)),
+    """WITH s AS (SELECT 'chr' || (id % 3) AS contig, id, seq, coalesce(sum(length(seq)) OVER (PARTITION BY id % 3 ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM v_seq),
+ref AS (SELECT contig, base + i AS pos, substr(seq, i, 1) AS ref FROM (SELECT contig, base, seq, unnest(generate_series(1, length(seq))) AS i FROM s)),
 r3 AS (SELECT r.*, p.ref AS rp, n.ref AS rn FROM ref r LEFT JOIN ref p ON p.contig = r.contig AND p.pos = r.pos - 1 LEFT JOIN ref n ON n.contig = r.contig AND n.pos = r.pos + 1 WHERE r.ref IN ('C', 'G')),
-rd AS (SELECT 'chr' || (id % 3) AS contig, id // 3 * 600 + i AS pos, substr(seq, i + 7, 1) AS base, id % 2 = 1 AS neg, id % 5 = 0 AS second
-  FROM (SELECT id, seq, unnest(generate_series(1, least(length(seq) - 7, 300))) AS i FROM v_seq WHERE id < 60 AND length(seq) > 7)),
+rd AS (SELECT contig, base + i AS pos, substr(seq, i + 7, 1) AS base, id % 2 = 1 AS neg, id % 5 = 0 AS second
+  FROM (SELECT contig, id, base, seq, unnest(generate_series(1, length(seq) - 7)) AS i FROM s WHERE length(seq) > 7)),
 j AS (SELECT r.contig, r.pos, r.ref = 'G' AS neg, CASE WHEN r.ref = 'G' THEN translate(reverse(rp || r.ref || rn), 'ACGT', 'TGCA') ELSE rp || r.ref || rn END AS context,
   (r.ref = 'G') = (rd.neg <> rd.second) AS same, CASE WHEN r.ref = 'G' THEN translate(base, 'ACGT', 'TGCA') ELSE base END AS b FROM rd JOIN r3 r ON r.contig = rd.contig AND r.pos = rd.pos),
 k AS (SELECT contig, pos, neg, context, count(*) FILTER (same AND b = 'C') AS c, count(*) FILTER (same AND b = 'T') AS t, count(*) FILTER (same AND b IN ('A', 'G')) AS ag,
@@ -436,10 +436,11 @@ def pairs_autocorr_same_read(spark, sf_dir):
     return pairs.same_read(views.cytosine_reads(spark, sf_dir), PAIR_W)
 
 
-def any_sql(keep: str, extra: str = "") -> str:
-    return f"""WITH m AS MATERIALIZED (SELECT * FROM v_cr), p AS (SELECT x.contig, x.pos AS ap, x.rd AS ar, y.pos AS bp, y.rd AS br, x.meth AS a, y.meth AS b,
-row_number() OVER o AS k, first_value(y.rd) OVER o AS fr FROM m x JOIN m y ON x.contig = y.contig AND y.pos > x.pos AND y.pos - x.pos < {ANY_W} AND x.rd % 50 = 0 {extra}
-WINDOW o AS (PARTITION BY x.contig, x.pos, x.rd, y.pos ORDER BY y.rd)) SELECT bp - ap - 1 AS dist, {SIX} FROM p WHERE {keep} GROUP BY 1"""
+def any_sql(keep: str) -> str:
+    return f"""WITH m AS MATERIALIZED (SELECT * FROM v_cr),
+low AS MATERIALIZED (SELECT contig, pos, rd, meth, row_number() OVER o AS k, first_value(rd) OVER o AS fr FROM m WINDOW o AS (PARTITION BY contig, pos ORDER BY rd) QUALIFY k <= 2),
+p AS (SELECT x.pos AS ap, x.rd AS ar, y.pos AS bp, y.rd AS br, x.meth AS a, y.meth AS b, k, fr FROM m x JOIN low y ON x.contig = y.contig AND y.pos > x.pos AND y.pos - x.pos < {PAIR_W})
+SELECT bp - ap - 1 AS dist, {SIX} FROM p WHERE {keep} GROUP BY 1"""
 
 
 @query(any_sql("k = 1 OR (k = 2 AND fr = ar)"), ("v_cr",))
@@ -447,7 +448,7 @@ def pairs_autocorr(spark, sf_dir):
     return pairs.any_read(views.cytosine_reads(spark, sf_dir), PAIR_W)
 
 
-@query(any_sql("k = 1", "AND x.rd <> y.rd"), ("v_cr",))
+@query(any_sql("(k = 1 AND br <> ar) OR (k = 2 AND fr = ar)"), ("v_cr",))
 def pairs_autocorr_different_read(spark, sf_dir):
     return pairs.any_read(views.cytosine_reads(spark, sf_dir), PAIR_W, only_different=True)
 
@@ -510,10 +511,10 @@ def sequence_matrix(spark, sf_dir):
 
 
 @query(
-    """WITH r AS (SELECT DISTINCT contig, st, en FROM v_thin), o AS (SELECT *, max(en) OVER (PARTITION BY contig ORDER BY st, en ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
+    """WITH r AS (SELECT DISTINCT contig, st, en FROM v_reads), o AS (SELECT *, max(en) OVER (PARTITION BY contig ORDER BY st, en ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
 g AS (SELECT *, sum(CASE WHEN reach IS NULL OR st > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY st, en ROWS UNBOUNDED PRECEDING) AS i FROM o)
 SELECT contig, min(st) AS st, max(en) AS en FROM g GROUP BY contig, i""",
-    ("v_thin",),
+    ("v_reads",),
 )
 def merge_intervals(spark, sf_dir):
     return features.merge_intervals(views.reads(spark, sf_dir).select("contig", "st", "en").distinct())
@@ -571,7 +572,7 @@ def exp_weighted_mean(spark, sf_dir):
     return matrix.exp_weighted_mean(cells(spark, sf_dir), 64, 2.0, -1.0)
 
 
-@query(f'{CELLS} SELECT a."row", CAST(a.col AS INT) AS col, round(a.v + b.v, 6) AS v FROM m a JOIN m b ON b."row" = 499 - a."row" AND b.col = 63 - a.col WHERE a."row" < 500')
+@query(f'{CELLS} SELECT a."row", CAST(a.col AS INT) AS col, round(a.v + b.v, 6) AS v FROM m a JOIN m b ON b."row" = (SELECT max(vec_id) FROM embeddings) - a."row" AND b.col = 63 - a.col')
 def matrix_sum_inverted(spark, sf_dir):
     m = cells(spark, sf_dir)
     sized = m.crossJoin(F.broadcast(m.agg((F.max("row") + 1).alias("n_rows"))))
@@ -580,8 +581,8 @@ def matrix_sum_inverted(spark, sf_dir):
 
 # ---- peaks ----------------------------------------------------------------------------
 
-BINS = f"""WITH cv AS (SELECT contig, rg AS sample, pos, count(*) AS depth FROM (SELECT contig, rg, unnest(generate_series(st, en)) AS pos FROM v_thin) GROUP BY ALL),
-all_bins AS (SELECT s.contig, s.sample, b.b AS bin FROM (SELECT DISTINCT c.contig, t.rg AS sample, c.len FROM v_contigs c, v_thin t) s, unnest(generate_series(0, s.len // {PEAK_BIN})) AS b(b)),
+BINS = f"""WITH cv AS (SELECT contig, rg AS sample, pos, count(*) AS depth FROM (SELECT contig, rg, unnest(generate_series(st, en)) AS pos FROM v_reads) GROUP BY ALL),
+all_bins AS (SELECT s.contig, s.sample, b.b AS bin FROM (SELECT DISTINCT c.contig, t.rg AS sample, c.len FROM v_contigs c, v_reads t) s, unnest(generate_series(0, s.len // {PEAK_BIN})) AS b(b)),
 bins AS (SELECT a.contig, a.sample, CAST(a.bin AS BIGINT) AS bin, CAST(coalesce(max(depth), 0) AS BIGINT) AS cov FROM all_bins a LEFT JOIN cv ON cv.contig = a.contig AND cv.sample = a.sample AND cv.pos // {PEAK_BIN} = a.bin GROUP BY ALL)"""
 
 
@@ -593,12 +594,12 @@ def bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return peaks.dense_bins(found.select(F.col("k")[0].alias("contig"), F.col("k")[1].alias("sample"), "st", "en", "depth"), c, PEAK_BIN)
 
 
-@query(f"{BINS} SELECT * FROM bins", ("v_thin", "v_contigs"))
+@query(f"{BINS} SELECT * FROM bins", ("v_reads", "v_contigs"))
 def peak_bins(spark, sf_dir):
     return bins(spark, sf_dir)
 
 
-@query(f"{BINS} SELECT contig, sample, bin, cov, round((lead(cov) OVER o - lag(cov) OVER o) / 2.0::DOUBLE, 6) AS slope FROM bins WINDOW o AS (PARTITION BY contig, sample ORDER BY bin)", ("v_thin", "v_contigs"))
+@query(f"{BINS} SELECT contig, sample, bin, cov, round((lead(cov) OVER o - lag(cov) OVER o) / 2.0::DOUBLE, 6) AS slope FROM bins WINDOW o AS (PARTITION BY contig, sample ORDER BY bin)", ("v_reads", "v_contigs"))
 def peak_derivative(spark, sf_dir):
     return peaks.derivative(bins(spark, sf_dir))
 
@@ -642,10 +643,10 @@ REGION = "CAST(bin // 20 AS BIGINT)"
 
 
 @query(
-    f"""{BINS}, t AS (SELECT rg AS sample, count(*) AS n_reads FROM v_thin GROUP BY rg),
+    f"""{BINS}, t AS (SELECT rg AS sample, count(*) AS n_reads FROM v_reads GROUP BY rg),
 p AS (SELECT contig, {REGION} AS region, b.sample, 1e9::DOUBLE * sum(cov) / (19 * any_value(n_reads)) AS rpkm FROM bins b JOIN t ON t.sample = b.sample GROUP BY 1, 2, 3)
 SELECT contig, region, count(*) AS n_samples, round(CASE WHEN count(*) = 1 THEN max(rpkm) WHEN min(rpkm) = 0 THEN -max(rpkm) ELSE max(rpkm) / min(rpkm) - 1 END, 6) AS score FROM p GROUP BY 1, 2""",
-    ("v_thin", "v_contigs"),
+    ("v_reads", "v_contigs"),
 )
 def peak_diff_rpkm(spark, sf_dir):
     b = bins(spark, sf_dir)
@@ -654,7 +655,7 @@ def peak_diff_rpkm(spark, sf_dir):
     return peaks.rpkm_diff(regions, b, totals)
 
 
-@query(f"{BINS} SELECT contig, {REGION} AS region, CAST(sum(cov * CASE WHEN (dr - 1) % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS score FROM (SELECT *, dense_rank() OVER (ORDER BY sample) AS dr FROM bins) GROUP BY 1, 2", ("v_thin", "v_contigs"))
+@query(f"{BINS} SELECT contig, {REGION} AS region, CAST(sum(cov * CASE WHEN (dr - 1) % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS score FROM (SELECT *, dense_rank() OVER (ORDER BY sample) AS dr FROM bins) GROUP BY 1, 2", ("v_reads", "v_contigs"))
 def peak_diff_simple(spark, sf_dir):
     return peaks.simple_diff(bins(spark, sf_dir).withColumnRenamed("cov", "height"), F.expr("bin div 20"))
 

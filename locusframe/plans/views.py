@@ -25,13 +25,12 @@ CR = """l_returnflag AS contig, l_partkey AS pos, l_orderkey AS rd, l_linenumber
 SQL = {
     "v_reads": f"SELECT {READS} FROM lineitem",
     "v_contigs": "SELECT DISTINCT contig, (SELECT max(en) FROM v_reads) AS len FROM v_reads",
-    "v_thin": "SELECT * FROM v_reads WHERE name % 97 = 0",
     "v_features": f"SELECT {FEATURES} FROM supplier",
     "v_cyt": f"SELECT {CYT} FROM (SELECT {CYT0} FROM events)",
     "v_cr": f"SELECT contig, pos, rd, min(l_linenumber) % 2 = 1 AS meth, ctx FROM (SELECT {CR} FROM lineitem) GROUP BY contig, pos, rd, ctx",
     "v_seq": "SELECT doc_id AS id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM documents",
 }
-NEEDS = {"v_contigs": ["v_reads"], "v_thin": ["v_reads"]}
+NEEDS = {"v_contigs": ["v_reads"]}
 
 
 def with_views(*names: str) -> str:
