@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -66,6 +66,14 @@ def tidy(spark: SparkSession, *done: DataFrame) -> None:
     jvm.System.gc()
 
 
+def in_parts(df: DataFrame) -> Iterator[Row]:
+    """The rows of a table whose size is bounded, a partition at a time, so that the driver
+    never holds them all; they are written first, so a lost executor costs a reread."""
+    held = cut(df)
+    yield from held.toLocalIterator()
+    tidy(df.sparkSession, held)
+
+
 def small_batches(spark: SparkSession) -> SparkSession:
     """Bound the Arrow batches sent to Python by bytes, so that long texts don't pile up.
 
