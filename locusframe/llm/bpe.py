@@ -81,8 +81,9 @@ def place(rows: dict[int, list[tuple[int, int]]], size: int, slots: int) -> tupl
 
 
 @functools.lru_cache(maxsize=4)
-def pair_table(path: str) -> tuple[list[int], list[int], list[int], list[bytes]]:
-    """(rank of each single byte, shift by left piece, pairs, pieces by rank)."""
+def pair_table(path: str) -> tuple[list[int], str, str, str]:
+    """(rank of each single byte, shift by left piece, pairs, pieces by rank in base 64), the
+    last three as JSON, as the plan takes them."""
     ranks = load_ranks(path)
     rows: dict[int, list[tuple[int, int]]] = {}
     for piece, rank in ranks.items():
@@ -98,12 +99,13 @@ def pair_table(path: str) -> tuple[list[int], list[int], list[int], list[bytes]]
     pieces = [b""] * size
     for piece, rank in ranks.items():
         pieces[rank] = piece
-    return [ranks[bytes([b])] for b in range(256)], shift.tolist(), table.tolist(), pieces
+    short = functools.partial(json.dumps, separators=(",", ":"))
+    return [ranks[bytes([b])] for b in range(256)], short(shift.tolist()), short(table.tolist()), short([base64.b64encode(x).decode() for x in pieces])
 
 
-def literal(values: list, kind: str) -> Column:
-    """An array literal: parsed once, when the optimiser folds constants."""
-    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), f"array<{kind}>")
+def literal(values: str, kind: str) -> Column:
+    """An array literal from JSON: parsed once, when the optimiser folds constants."""
+    return F.from_json(F.lit(values), f"array<{kind}>")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -146,7 +148,7 @@ def encode_word(first: Column, path: str) -> Column:
 
 def decode_word(ids: Column, path: str) -> Column:
     """Bytes of a word: its binary pieces, concatenated."""
-    pieces = literal([base64.b64encode(x).decode() for x in pair_table(path)[3]], "binary")
+    pieces = literal(pair_table(path)[3], "binary")
     return F.aggregate(ids, F.lit(b""), lambda out, i: F.concat(out, pieces[i]))
 
 
@@ -318,14 +320,17 @@ def hot_words(docs: DataFrame, path: str) -> tuple[np.ndarray, np.ndarray, np.nd
     words = cut(words.orderBy(F.desc("n"), "word").limit(HOT_WORDS).select("word").repartition(16))
     got = words.mapInArrow(released(parts), "word binary, parts array<int>").select("word", encode_word(F.col("parts"), path).alias("ids")).toArrow()
     tidy(docs.sparkSession, words)
-    names, ids = got.column("word").to_pylist(), got.column("ids").combine_chunks()
-    end = np.cumsum([len(w) for w in names], dtype=np.int64)
-    keys = hashed(b"".join(names), np.concatenate([[0], end])[:-1].astype(np.int64), end)
+    keys = [np.zeros(0, np.uint64)]
+    for part in got.column("word").chunks:  # a part at a time: the driver needs the keys only
+        names = part.to_pylist()
+        end = np.cumsum([len(w) for w in names], dtype=np.int64)
+        keys.append(hashed(b"".join(names), np.concatenate([[0], end])[:-1].astype(np.int64), end))
+    keys, ids = np.concatenate(keys), got.column("ids").combine_chunks()
     order = np.argsort(keys)
     offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy()
     begin, n = offsets[:-1][order], np.diff(offsets)[order]
     off = np.concatenate([[0], np.cumsum(n)])
-    flat = values[np.arange(int(off[-1])) + np.repeat(begin - off[:-1], n)] if len(names) else np.zeros(0, np.int32)
+    flat = values[np.arange(int(off[-1])) + np.repeat(begin - off[:-1], n)] if len(keys) else np.zeros(0, np.int32)
     return keys[order], off, flat.astype(np.int32)
 
 
@@ -346,6 +351,7 @@ def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
     spark = small_batches(docs.sparkSession)
     tidy(spark)
     shared = spark.sparkContext.broadcast(hot_words(source.select("text"), path))
+    tidy(spark)
 
     def split(batches):
         base = np.array(single, np.int32)
