@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import audio, bpe, chat, jaccard, langid, mixing, shards, suffixes, toxicity, vectors
+from locusframe.llm import audio, bpe, chat, funnels, jaccard, langid, mixing, shards, suffixes, toxicity, trie, vectors
 from locusframe.llm.common import documents
 
 #: Target weights of the mixture; names that aren't listed weigh 1.
@@ -65,6 +65,14 @@ def op10_proportional_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.interleave(documents(spark, sf_dir))
 
 
+def op12_ordered_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return funnels.count(spark.read.parquet(f"{sf_dir}/clicks.parquet"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hierarchical_mixing": op1_hierarchical_mixing,
     "op2_byte_bpe": op2_byte_bpe,
@@ -76,5 +84,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxic_segments": op8_toxic_segments,
     "op9_token_groups": op9_token_groups,
     "op10_proportional_shards": op10_proportional_shards,
+    "op12_ordered_funnels": op12_ordered_funnels,
+    "op13_conversation_trie": op13_conversation_trie,
+}
+ORACLE: dict[str, str] = {
+    "op1_hierarchical_mixing": mixing.oracle(WEIGHTS),
+    "op12_ordered_funnels": funnels.oracle(),
+    "op13_conversation_trie": trie.oracle(),
 }
-ORACLE: dict[str, str] = {"op1_hierarchical_mixing": mixing.oracle(WEIGHTS)}
