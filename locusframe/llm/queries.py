@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import audio, bpe, chat, funnels, jaccard, langid, mixing, shards, suffixes, toxicity, trie, vectors
+from locusframe.llm import audio, bpe, chat, ctw, funnels, jaccard, langid, mixing, shards, suffixes, toxicity, trie, vectors
 from locusframe.llm.common import documents
 
 #: Target weights of the mixture; names that aren't listed weigh 1.
@@ -65,6 +65,10 @@ def op10_proportional_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.interleave(documents(spark, sf_dir))
 
 
+def op11_context_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(documents(spark, sf_dir))
+
+
 def op12_ordered_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return funnels.count(spark.read.parquet(f"{sf_dir}/clicks.parquet"))
 
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxic_segments": op8_toxic_segments,
     "op9_token_groups": op9_token_groups,
     "op10_proportional_shards": op10_proportional_shards,
+    "op11_context_trees": op11_context_trees,
     "op12_ordered_funnels": op12_ordered_funnels,
     "op13_conversation_trie": op13_conversation_trie,
 }
