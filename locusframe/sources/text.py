@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SAM_FLAGS = {"paired": 1, "proper_pair": 2, "unmapped": 4, "neg_strand": 16, "mate_neg_strand": 32, "first_of_pair": 64, "second_of_pair": 128, "not_primary": 256, "vendor_fail": 512, "duplicate": 1024}
+from locusframe.sources.bam import FLAGS
 
 
 def gff(spark: SparkSession, path: str) -> DataFrame:
@@ -48,17 +48,19 @@ def fasta(spark: SparkSession, path: str, chunk: int = 1 << 16) -> DataFrame:
 
 
 def sam(spark: SparkSession, path: str) -> DataFrame:
-    """Alignments of a SAM text as the logical schema of reads."""
+    """Alignments of a SAM text, as rows of the BAM reader's schema; whole tag values, all tags."""
     raw = spark.read.text(path).where(~F.col("value").startswith("@")).select(F.split("value", "\t").alias("f"))
     f = lambda i: F.col("f")[i]
     flag = f(1).cast("int")
     ops = F.transform(F.regexp_extract_all(f(5), F.lit("([0-9]+[A-Z=])"), F.lit(1)), lambda x: F.struct(F.substring(x, -1, 1).alias("op"), F.regexp_extract(x, "([0-9]+)", 1).cast("int").alias("len")))
     span = F.aggregate(F.filter(ops, lambda x: x["op"].isin(*"MDN=X")), F.lit(0), lambda s, x: s + x["len"])
-    tags = F.transform(F.slice("f", 12, 10_000), lambda x: F.struct(F.substring(x, 1, 2).alias("k"), F.substring(x, 6, 1_000_000).alias("v")))
+    tags = F.slice("f", F.lit(12), F.greatest(F.size("f") - 11, F.lit(0)))
+    tag = lambda i, n=None: F.map_from_entries(F.transform(tags, lambda x: F.struct(F.substring(x, 1, 2).alias("k"), (F.substring(x, F.lit(i), F.length(x)) if n is None else F.substring(x, i, n)).alias("v"))))
+    letters = F.transform(F.filter(F.split(f(10), ""), lambda c: c != ""), lambda c: F.ascii(c) - 33)
     rows = raw.select(
         f(0).alias("name"), f(2).alias("contig"), f(3).cast("int").alias("start"), (f(3).cast("int") + span - 1).alias("end"), f(4).cast("int").alias("mapq"),
-        *[(flag.bitwiseAND(F.lit(v)) != 0).alias(k) for k, v in SAM_FLAGS.items()],
-        ops.alias("cigar"), F.when(f(6) == "=", f(2)).otherwise(f(6)).alias("mate_contig"), f(7).cast("int").alias("mate_start"), f(9).alias("bases"),
-        F.transform(F.filter(F.split(f(10), ""), lambda c: c != ""), lambda c: F.ascii(c) - 33).alias("quals"), F.map_from_entries(tags).alias("attrs"),
+        *[(flag.bitwiseAND(F.lit(v)) != 0).alias(k) for k, v in FLAGS.items()],
+        ops.alias("cigar"), F.when(f(6) == "=", f(2)).otherwise(f(6)).alias("mate_contig"), f(7).cast("int").alias("mate_start"), f(8).cast("int").alias("template_len"), f(9).alias("bases"),
+        F.when(f(10) == "*", F.array().cast("array<int>")).otherwise(letters).alias("quals"), tag(6).alias("attrs"), tag(4, 1).alias("tag_types"),
     )
     return rows.withColumn("read_group", F.col("attrs")["RG"])
