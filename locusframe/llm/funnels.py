@@ -41,10 +41,11 @@ def micros(at: Column) -> Column:
 def moments(events: DataFrame, kinds: list[str]) -> DataFrame:
     """``client, at, is_<i>, n_<i>``: which kinds occur at the moment, and each one's count so far."""
     flags = [F.max(F.when(F.col("kind") == k, 1).otherwise(0)).cast("long").alias(f"is_{i}") for i, k in enumerate(kinds)]
-    here = cut(events.groupBy("client", "at").agg(*flags))
+    # one exchange serves the moments, the totals of spans and the counts within them
+    dealt = events.withColumn("span", F.floor(F.col("at") / SPAN)).repartition("client", "span")
+    here = dealt.groupBy("client", "span", "at").agg(*flags)
     names = [f"is_{i}" for i in range(len(kinds))]
-    parts = {"day": F.floor(F.col("at") / DAY), "span": F.floor(F.col("at") / SPAN)}
-    spans = here.groupBy("client", *[v.alias(k) for k, v in parts.items()]).agg(*[F.sum(c).alias(c) for c in names])
+    spans = here.groupBy("client", "span").agg(*[F.sum(c).alias(c) for c in names]).withColumn("day", F.floor(F.col("span") * SPAN / DAY))
     days = spans.groupBy("client", "day").agg(*[F.sum(c).alias(c) for c in names])
     ahead = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
     so_far = lambda w, to: [F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{to}{c}") for c in names]
@@ -52,13 +53,13 @@ def moments(events: DataFrame, kinds: list[str]) -> DataFrame:
     spans = spans.select("client", "day", "span", *so_far(ahead("client", "day", "span"), "s_")).join(days, ["client", "day"])
     spans = spans.select("client", "span", *[(F.col(f"d_{c}") + F.col(f"s_{c}")).alias(f"b_{c}") for c in names])
     within = Window.partitionBy("client", "span").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    local = here.withColumn("span", parts["span"]).select("*", *[F.sum(c).over(within).alias(f"w_{c}") for c in names])
+    local = here.select("*", *[F.sum(c).over(within).alias(f"w_{c}") for c in names])
     met = local.join(spans, ["client", "span"])
     return met.select("client", "at", *names, *[(F.col(f"w_is_{i}") + F.col(f"b_is_{i}")).alias(f"n_{i}") for i in range(len(kinds))])
 
 
 def attempts(events: DataFrame, funnels: Mapping[str, tuple[list[str], str]], within: int) -> DataFrame:
-    """One row an attempt: ``funnel, client, reached`` (steps), ``w2, w3, ...``: waits, null where not reached."""
+    """One row for each step that an attempt reaches: ``funnel, client, step, wait`` (null for the first)."""
     kinds = sorted({k for steps, out in funnels.values() for k in [*steps, out]})
     number, size = {k: i for i, k in enumerate(kinds)}, len(kinds)
     table = cut(moments(events, kinds))
@@ -68,24 +69,19 @@ def attempts(events: DataFrame, funnels: Mapping[str, tuple[list[str], str]], wi
     occurrences = found.select(F.col("client").alias("c_"), F.col("k.kind").alias("k_"), F.col("k.ordinal").alias("o_"), F.col("at").alias("at_"), *[F.col(c).alias(f"{c}_") for c in counts])
 
     start = [F.when(F.col(f"is_{number[steps[0]]}") == 1, F.lit(name)) for name, (steps, _) in funnels.items()]
-    now = table.select(F.explode(F.array_compact(F.array(*start))).alias("funnel"), "client", F.col("at").alias("first"), "at", *counts).withColumn("reached", F.lit(1))
-    deepest = max(len(steps) for steps, _ in funnels.values())
-    pick = lambda wanted, end="": reduce(lambda a, b: a.when(F.col("funnel") == b[0], b[1](end)), wanted.items(), F.when(F.lit(False), None))
-    for step in range(2, deepest + 1):
-        kind = {n: (lambda _, i=number[steps[step - 1]]: F.lit(i)) for n, (steps, _) in funnels.items() if len(steps) >= step}
-        count = {n: (lambda _, i=number[steps[step - 1]]: F.col(f"n_{i}")) for n, (steps, _) in funnels.items() if len(steps) >= step}
-        excluded = {n: (lambda end, i=number[out]: F.col(f"n_{i}{end}")) for n, (_, out) in funnels.items()}
-        # the next occurrence is looked up for ended attempts too, so that keys stay spread
-        now = now.withColumn("k", F.coalesce(pick(kind), F.lit(-1))).withColumn("o", pick(count) + 1)
-        met = now.join(occurrences, (F.col("client") == F.col("c_")) & (F.col("k") == F.col("k_")) & (F.col("o") == F.col("o_")), "left")
-        goes = F.col("at_").isNotNull() & (F.col("reached") == step - 1) & (F.col("at_") - F.col("first") <= within) & (pick(excluded, "_") == pick(excluded))
-        goes = F.coalesce(goes, F.lit(False))
-        waits = [f"w{i}" for i in range(2, step)]
-        now = met.select(
-            "funnel", "client", "first", F.coalesce("at_", "at").alias("at"), *[F.coalesce(f"{c}_", c).alias(c) for c in counts],
-            F.when(goes, step).otherwise(F.col("reached")).alias("reached"), *waits, F.when(goes, F.col("at_") - F.col("at")).alias(f"w{step}"),
-        )
-    return now.select("funnel", "client", "reached", *[f"w{i}" for i in range(2, deepest + 1)])
+    now = table.select(F.explode(F.array_compact(F.array(*start))).alias("funnel"), "client", F.col("at").alias("first"), "at", *counts)
+    reached = now.select("funnel", "client", F.lit(1).alias("step"), F.lit(None).cast("long").alias("wait"))
+    pick = lambda values: reduce(lambda a, b: a.when(F.col("funnel") == b[0], b[1]), values.items(), F.when(F.lit(False), None))
+    for step in range(2, max(len(steps) for steps, _ in funnels.values()) + 1):
+        on = {n: number[steps[step - 1]] for n, (steps, _) in funnels.items() if len(steps) >= step}
+        bad = {n: number[out] for n, (_, out) in funnels.items()}
+        asked = now.where(F.col("funnel").isin(*on)).withColumn("k", pick({n: F.lit(i) for n, i in on.items()})).withColumn("o", pick({n: F.col(f"n_{i}") for n, i in on.items()}) + 1)
+        met = asked.join(occurrences, (F.col("client") == F.col("c_")) & (F.col("k") == F.col("k_")) & (F.col("o") == F.col("o_")))
+        clean = pick({n: F.col(f"n_{i}_") for n, i in bad.items()}) == pick({n: F.col(f"n_{i}") for n, i in bad.items()})
+        met = met.where((F.col("at_") - F.col("first") <= within) & clean)
+        now = cut(met.select("funnel", "client", "first", (F.col("at_") - F.col("at")).alias("wait"), F.col("at_").alias("at"), *[F.col(f"{c}_").alias(c) for c in counts]))
+        reached = reached.unionByName(now.select("funnel", "client", F.lit(step).alias("step"), "wait"))
+    return reached
 
 
 def quantiles(waits: DataFrame, keys: list[str], percent: int) -> DataFrame:
@@ -106,12 +102,9 @@ def count(clicks: DataFrame, funnels: Mapping[str, tuple[list[str], str]] = FUNN
     events = clicks.select(F.col("client_id").alias("client"), F.col("kind").alias("kind"), micros(F.col("arrived_at")).alias("at")).dropna()
     events = events.where(F.col("kind").isin(*{k for steps, out in funnels.values() for k in [*steps, out]}))
     steps = range(2, max(len(s) for s, _ in funnels.values()) + 1)
-    tried = cut(attempts(events, funnels, minutes * 60 * 10**6))
-    totals = tried.groupBy("funnel", "client").agg(
-        F.count("*").alias("n1"), *[F.count_if(F.col("reached") >= s).alias(f"n{s}") for s in steps], F.max("reached").alias("deepest")
-    )
-    waits = tried.select("funnel", "client", F.inline(F.array(*[F.struct(F.lit(s).alias("step"), F.col(f"w{s}").alias("wait")) for s in steps]))).where("wait IS NOT NULL")
-    found = quantiles(waits, ["funnel", "client", "step"], percent)
+    reached = attempts(events, funnels, minutes * 60 * 10**6)
+    totals = reached.groupBy("funnel", "client").agg(*[F.count_if(F.col("step") == s).alias(f"n{s}") for s in [1, *steps]], F.max("step").alias("deepest"))
+    found = quantiles(reached.where("step > 1"), ["funnel", "client", "step"], percent)
     times = found.groupBy("funnel", "client").agg(*[F.max(F.when(F.col("step") == s, F.col("quantile"))).alias(f"t{s}") for s in steps])
     out = cut(totals.join(times, ["funnel", "client"], "left"))
     # at most a row for each funnel and depth
