@@ -1 +1,10 @@
-"""locusframe: Spark-native analytics over aligned reads, coverage, methylation and features."""
+"""Analytics of position-indexed data on Spark.
+
+Functions sent to Python workers are pickled by value, so executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -7,9 +7,11 @@ table, carry the depth from span to span: no task holds a whole contig.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusframe.functions import draws
+
 SPAN = 1 << 16
 
 
@@ -78,22 +80,19 @@ def ladder(hist: DataFrame, step: int = 2, value: str = "depth", by: list[str] |
     return wide.groupBy(*keys, (F.col("i") * step).alias("pct")).agg(F.min(value).alias(value))
 
 
-def binomial(depth: Column, key: Column, p: Column) -> Column:
-    """Thinned depth: how many of ``depth`` seeded draws stay below p; the same at every run."""
-    draws = F.sequence(F.lit(1).cast("long"), F.greatest(depth, F.lit(1)).cast("long"))
-    kept = F.size(F.filter(draws, lambda i: F.pmod((key * 1000 + i) * F.lit(2654435761), F.lit(4294967296)) < p * 4294967296))
-    return F.when(depth > 0, kept).otherwise(0)
-
+def thinned(runs: DataFrame, target: int, targets: int, seed: int = 1) -> DataFrame:
+    """Histogram ``step, depth, n`` of the coverage thinned to k * target of the total, for the
+    ``targets`` first k below the total, and in a last step unthinned.
 
-def thinned(runs: DataFrame, target: int, targets: int) -> DataFrame:
-    """Histogram ``step, depth, n`` of every locus thinned to k * target of the total, for the
-    ``targets`` first k below the total, and in a last step unthinned."""
-    total = runs.agg(F.sum(F.col("depth") * (F.col("en") - F.col("st") + 1)).cast("long").alias("all_bp"))
-    loci = runs.crossJoin(F.broadcast(total)).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(targets + 1))))
+    A run of equal depth is thinned as one, by one draw (``draws.binomial``), so no locus and
+    no base becomes a row: each locus's depth is binomial, loci of a run go together.
+    """
+    total = runs.agg(F.sum(F.col("depth") * (F.col("en") - F.col("st") + 1)).cast("long").alias("all_bp"))  # one row
+    steps = runs.crossJoin(F.broadcast(total)).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(targets + 1))))
     p = F.when(F.col("step") > targets, 1.0).otherwise(F.least(F.lit(1.0), F.col("step") * float(target) / F.col("all_bp")))
-    loci = loci.withColumn("p", p).where((F.col("step") - 1) * F.lit(target).cast("long") < F.col("all_bp")).withColumn("pos", F.explode(F.sequence("st", "en")))
-    d = binomial(F.col("depth"), F.col("pos"), F.col("p"))
-    return loci.groupBy("step", d.alias("depth")).agg(F.count("*").alias("n"))
+    steps = steps.withColumn("p", p).where((F.col("step") - 1) * F.lit(target).cast("long") < F.col("all_bp"))
+    d = draws.binomial(F.col("depth"), F.col("p"), seed, "step", "contig", "st")
+    return steps.groupBy("step", d.alias("depth")).agg(F.sum(F.col("en") - F.col("st") + 1).cast("long").alias("n"))
 
 
 def downsampled(hist: DataFrame) -> DataFrame:

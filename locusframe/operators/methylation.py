@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusframe.functions import bases, filters
+from locusframe.functions import bases, draws, filters
 
 DEFAULT_CONTEXTS = ["HCG", "GCH", "HCA", "HCT", "HCC"]
 
@@ -109,3 +109,25 @@ def summarise(rows: DataFrame, keys: list[str], value, weight=None) -> DataFrame
         use = (weight > 0) & value.isNotNull()
         aggs.insert(2, F.round(F.try_divide(F.sum(F.when(use, weight * value)), F.sum(F.when(use, weight)).cast("double")), 6).alias("weighted_mean"))
     return rows.groupBy(*keys).agg(*aggs)
+
+
+def composite(cyt: DataFrame, keys: list[str], counters: tuple[str, ...] = ("c", "c_nonconv", "t", "ag", "opp_tot", "opp_a")) -> DataFrame:
+    """One cytosine of many: the sums of their counters by the keys."""
+    return cyt.groupBy(*keys).agg(*[F.sum(c).cast("long").alias(c) for c in counters])
+
+
+def thinned(cyt: DataFrame, p: float, seed: int = 1, keys: tuple[str, ...] = ("contig", "pos")) -> DataFrame:
+    """Calls thinned to a share p of their reads, one draw a counter.
+
+    Every kind of read on the cytosine's strand is thinned for itself.  Of the opposite
+    strand only the total is: how many of those left say A is drawn at the share seen
+    before; next bases (``next_total``, ``next_g``, where present) likewise.
+    """
+    draw = lambda c: draws.binomial(F.col(c), F.lit(p), seed, *keys, F.lit(c))
+    out = cyt.withColumns({f"_{c}": draw(c) for c in ("c", "c_nonconv", "t", "ag")})
+    for part, total in (("opp_a", "opp_tot"), ("next_g", "next_total")):
+        if part in cyt.columns and total in cyt.columns:
+            share = F.coalesce(F.try_divide(F.col(part).cast("double"), F.col(total).cast("double")), F.lit(0.0))
+            out = out.withColumn(f"_{total}", draw(total)).withColumn(f"_{part}", draws.binomial(F.col(f"_{total}"), share, seed, *keys, F.lit(part)))
+    new = {c[1:]: F.col(c) for c in out.columns if c.startswith("_") and c[1:] in cyt.columns}
+    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in cyt.columns])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusframe.functions import draws
+
 
 def counter(reads: DataFrame) -> DataFrame:
     return reads.agg(F.count("*").alias("n_reads"))
@@ -61,22 +63,52 @@ def length_summary(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), *stats)
 
 
+DUP_KEY = ["contig", "st", "paired", "mate_contig", "mate_st"]
+
+
+def duplicate_keys(reads: DataFrame) -> DataFrame:
+    """Reads that can be duplicates, with the key that duplicates share.
+
+    Of pairs the forward end counts, with its mate's place; unpaired reads count on either
+    strand, by their own place alone; a paired and an unpaired read are never duplicates.
+    Without a column ``paired`` all reads are; without ``mate_contig`` mates are on the same contig.
+    """
+    paired = F.coalesce("paired", F.lit(False)) if "paired" in reads.columns else F.lit(True)
+    mate = F.col("mate_contig") if "mate_contig" in reads.columns else F.col("contig")
+    kept = reads.withColumn("paired", paired).where("NOT paired OR NOT neg")
+    return kept.withColumn("mate_contig", F.when(F.col("paired"), mate)).withColumn("mate_st", F.when(F.col("paired"), F.col("mate_st")))
+
+
 def dup_groups(reads: DataFrame) -> DataFrame:
-    """Groups of forward reads with equal ends, and the reads beyond the first of each."""
-    groups = reads.where(~F.col("neg")).groupBy("contig", "st", "mate_st").agg(F.count("*").alias("n"))
-    return groups.agg(F.count("*").alias("n_groups"), F.sum(F.col("n") - 1).cast("long").alias("n_dups"))
-
-
-def downsample_dups(reads: DataFrame, p: float, trials: int) -> DataFrame:
-    """Per trial, seeded sampling of forward reads at rate p: sampled, duplicates, ratio."""
-    eligible = reads.where(~F.col("neg")).withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
-    draw = F.pmod((F.col("name") * 131 + F.col("cycle") * 7 + F.col("trial")) * F.lit(2654435761), F.lit(4294967296))
-    sampled = eligible.where(draw < p * 4294967296)
-    per = sampled.groupBy("trial", "contig", "st", "mate_st").agg(F.count("*").alias("n"))
-    out = per.groupBy("trial").agg(F.sum("n").cast("long").alias("sampled"), F.sum(F.col("n") - 1).cast("long").alias("dups"))
+    """Groups of duplicates, and the reads beyond the first of each."""
+    groups = duplicate_keys(reads).groupBy(*DUP_KEY).agg(F.count("*").alias("n"))
+    return groups.agg(F.count("*").alias("n_groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("n_dups"))
+
+
+def downsample_dups(reads: DataFrame, p: float, trials: int, seed: int = 1) -> DataFrame:
+    """Per trial, seeded sampling of eligible reads at rate p: sampled, duplicates, ratio.
+
+    A read's draw comes from ``name``, ``cycle`` and the trial.  Trials are counted side by
+    side in one grouping: a read goes along once, with a count for each trial.
+    """
+    drawn = [F.when(draws.uniform(seed, "name", "cycle", t) < p, 1).otherwise(0).cast("long").alias(f"t{t}") for t in range(1, trials + 1)]
+    per = duplicate_keys(reads).select(*DUP_KEY, *drawn).groupBy(*DUP_KEY).agg(*[F.sum(f"t{t}").alias(f"t{t}") for t in range(1, trials + 1)])
+    sums = per.agg(*[x for t in range(1, trials + 1) for x in (F.sum(f"t{t}").alias(f"s{t}"), F.sum(F.greatest(F.col(f"t{t}") - 1, F.lit(0).cast("long"))).alias(f"d{t}"))])
+    rows = [F.struct(F.lit(t).alias("trial"), F.col(f"s{t}").alias("sampled"), F.col(f"d{t}").alias("dups")) for t in range(1, trials + 1)]
+    out = sums.select(F.inline(F.array(*rows))).where("sampled > 0")
     return out.withColumn("ratio", F.round(F.try_divide(F.col("dups").cast("double"), F.col("sampled").cast("double")), 6))
 
 
+def dup_curve(reads: DataFrame, rates: list[float]) -> DataFrame:
+    """Exact expectation for each sampling rate: ``p, sampled, dups, ratio``, from how many
+    groups have each size; what the mean over trials tends to."""
+    sizes = duplicate_keys(reads).groupBy(*DUP_KEY).agg(F.count("*").alias("m")).groupBy("m").agg(F.count("*").alias("groups"))
+    p, m, g = F.col("p"), F.col("m"), F.col("groups")
+    each = sizes.withColumn("p", F.explode(F.array(*[F.lit(float(r)) for r in rates])))
+    out = each.groupBy("p").agg(F.sum(g * m * p).alias("sampled"), F.sum(g * (m * p - 1 + F.pow(1 - p, m))).alias("dups"))
+    return out.select("p", F.round("sampled", 4).alias("sampled"), F.round("dups", 4).alias("dups"), F.round(F.try_divide("dups", "sampled"), 6).alias("ratio"))
+
+
 def fix_pair_flags(reads: DataFrame) -> DataFrame:
     """Set first and second of paired reads from the suffix of their names; another suffix is an error."""
     first, second = F.col("name").endswith("/1"), F.col("name").endswith("/2")

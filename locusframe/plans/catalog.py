@@ -11,11 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.functions import bases, filters
-from locusframe.operators import coverage, cytosines, features, matrix, methylation, nucleosome, pairs, peaks, reads, windows
+from locusframe.functions import bases, draws, filters
+from locusframe.operators import alignment, coverage, cytosines, features, matrix, methylation, nucleosome, pairs, peaks, reads, windows
 from locusframe.plans import views
 from locusframe.plans.views import with_views
-from locusframe.sources import sinks
+from locusframe.sources import bam, sinks
+from locusframe.sources.shared import cut, fresh
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,7 +42,10 @@ def query(sql: str | None = None, views_: tuple[str, ...] = (), name: str = ""):
         if sql is not None:
             head = with_views(*views_) if views_ else ""
             body = sql.strip()
-            ORACLE[key] = f"{head}, {body[5:]}" if head and body.startswith("WITH ") else f"{head} {body}"
+            if head and body.startswith("WITH RECURSIVE "):
+                ORACLE[key] = f"WITH RECURSIVE {head[5:]}, {body[15:]}"
+            else:
+                ORACLE[key] = f"{head}, {body[5:]}" if head and body.startswith("WITH ") else f"{head} {body}"
         return fn
 
     return add
@@ -94,18 +98,30 @@ def bin_depths_percentiles(spark, sf_dir):
     return coverage.ladder(coverage.histogram(runs(spark, sf_dir)), LADDER)
 
 
-@query(
-    f"""{LOCI}, a AS (SELECT sum(depth) AS bp FROM loci),
-x AS (SELECT s.s AS step, depth, pos, CASE WHEN s.s > {TARGETS} THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, s.s * {float(TARGET)}::DOUBLE / bp) END AS p FROM loci, a, generate_series(1, {TARGETS + 1}) AS s(s) WHERE (s.s - 1) * {TARGET} < bp),
-d AS (SELECT step, CASE WHEN depth > 0 THEN len(list_filter(generate_series(1, depth), lambda i: ((CAST(pos AS BIGINT) * 1000 + i) * 2654435761) % 4294967296 < p * 4294967296)) ELSE 0 END AS d FROM x)
-SELECT CAST(step AS INT) AS step, count(*) AS n, CAST(sum(d) AS BIGINT) AS sum_depth, CAST(max(d) AS BIGINT) AS max_depth FROM d GROUP BY step""",
-    ("v_contigs",),
-)
+# A run lies between places where reads begin or have ended; its draw comes from md5.
+THINNED = f"""{LOCI}, ev AS (SELECT contig, 1::BIGINT AS p FROM v_contigs UNION SELECT contig, st FROM v_reads UNION SELECT contig, en + 1 FROM v_reads),
+ru AS (SELECT e.contig, e.p AS st, coalesce(lead(e.p) OVER (PARTITION BY e.contig ORDER BY e.p) - 1, c.len) AS en FROM ev e JOIN v_contigs c ON c.contig = e.contig WHERE e.p <= c.len),
+rd AS (SELECT r.contig, r.st, r.en - r.st + 1 AS width, l.depth FROM ru r JOIN loci l ON l.contig = r.contig AND l.pos = r.st),
+bp AS (SELECT sum(depth * width) AS bp FROM rd),
+st AS (SELECT s.s AS step, CASE WHEN s.s > {TARGETS} THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, s.s * {float(TARGET)}::DOUBLE / bp) END AS p FROM bp, generate_series(1, {TARGETS + 1}) AS s(s) WHERE (s.s - 1) * {TARGET} < bp),
+dr AS (SELECT step, p, least(p, 1 - p) AS q, contig, st, width, depth, c.c AS piece, least({draws.PIECE}, depth - (c.c - 1) * {draws.PIECE}) AS size, CAST('0x' || substr(md5('1:' || step || ':' || contig || ':' || st || ':' || c.c), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u
+  FROM rd, st, LATERAL (SELECT unnest(generate_series(1, greatest(1, (depth + {draws.PIECE - 1}) // {draws.PIECE}))) AS c) c),
+pm AS (SELECT step, q, size, 0::BIGINT AS j, (1 - q) ** size AS pmf, (1 - q) ** size AS cdf FROM (SELECT DISTINCT step, q, size FROM dr WHERE size > 0 AND p < 1)
+  UNION ALL SELECT step, q, size, j + 1, pmf * (size - j) / (j + 1) * q / (1 - q), cdf + pmf * (size - j) / (j + 1) * q / (1 - q) FROM pm WHERE j + 1 < size),
+kk AS (SELECT d.step, d.contig, d.st, d.width, d.depth, d.p, d.piece, count(m.j) AS k FROM dr d LEFT JOIN pm m ON m.step = d.step AND m.size = d.size AND d.p < 1 AND m.cdf <= d.u GROUP BY ALL),
+th AS (SELECT step, contig, st, width, CASE WHEN depth < 1 THEN 0 WHEN p >= 1 THEN depth WHEN p > 0.5 THEN depth - sum(k) ELSE sum(k) END AS depth FROM kk GROUP BY step, contig, st, width, depth, p)""".replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(f"{THINNED} SELECT CAST(step AS INT) AS step, CAST(sum(width) AS BIGINT) AS n, CAST(sum(depth * width) AS BIGINT) AS sum_depth, CAST(max(depth) AS BIGINT) AS max_depth FROM th GROUP BY step", ("v_contigs",))
 def downsample_coverage(spark, sf_dir):
     return coverage.downsampled(coverage.thinned(runs(spark, sf_dir), TARGET, TARGETS))
 
 
-@query()
+@query(
+    f"""{THINNED}, th2 AS (SELECT step, depth, sum(width) AS n FROM th GROUP BY 1, 2), tc AS (SELECT step, depth, sum(n) OVER (PARTITION BY step ORDER BY depth) AS cum, sum(n) OVER (PARTITION BY step) AS total FROM th2)
+SELECT CAST(step AS INT) AS step, CAST(p.p AS INT) AS pct, CAST(min(depth) AS BIGINT) AS depth FROM tc, generate_series({LADDER}, 98, {LADDER}) AS p(p) WHERE cum * 100 > total * p.p GROUP BY step, p.p""",
+    ("v_contigs",),
+)
 def downsample_coverage_percentiles(spark, sf_dir):
     return coverage.ladder(coverage.thinned(runs(spark, sf_dir), TARGET, TARGETS), LADDER, by=["step"])
 
@@ -194,20 +210,50 @@ def count_nmer_parity(spark, sf_dir):
     return reads.nmers(views.sequences(spark, sf_dir), K, parity=True)
 
 
+# reads with paired ends and mates on other contigs
+ENDS = "SELECT *, mapq > 20 AS paired, CASE WHEN mapq > 20 THEN CASE WHEN cycle % 3 = 0 THEN 'N' ELSE contig END END AS mate_contig, CASE WHEN mapq > 20 THEN mate_st END AS mate FROM v_reads WHERE mapq <= 20 OR NOT neg"
+
+
+def ended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.reads(spark, sf_dir).withColumn("paired", F.col("mapq") > 20).withColumn("mate_contig", F.when(F.col("cycle") % 3 == 0, "N").otherwise(F.col("contig")))
+
+
 @query("SELECT count(*) AS n_groups, CAST(sum(n - 1) AS BIGINT) AS n_dups FROM (SELECT count(*) AS n FROM v_reads WHERE NOT neg GROUP BY contig, st, mate_st)", ("v_reads",))
 def dup_groups(spark, sf_dir):
     return reads.dup_groups(views.reads(spark, sf_dir))
 
 
+@query(f"SELECT count(*) AS n_groups, CAST(sum(n - 1) AS BIGINT) AS n_dups FROM (SELECT count(*) AS n FROM ({ENDS}) GROUP BY contig, st, paired, mate_contig, mate)", ("v_reads",))
+def dup_groups_mates(spark, sf_dir):
+    return reads.dup_groups(ended(spark, sf_dir))
+
+
+TRIAL = "CAST('0x' || substr(md5('1:' || name || ':' || cycle || ':' || t.t), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
+DUPS = """s AS (SELECT t.t AS trial, {key} FROM ({rows}), generate_series(1, {trials}) AS t(t) WHERE {draw} < {p}),
+g AS (SELECT trial, count(*) AS n FROM s GROUP BY ALL),
+d AS (SELECT CAST(trial AS INT) AS trial, CAST(sum(n) AS BIGINT) AS sampled, CAST(sum(n - 1) AS BIGINT) AS dups, round(CAST(sum(n - 1) AS DOUBLE) / sum(n), 6) AS ratio FROM g GROUP BY trial)"""
+PLAIN_DUPS = DUPS.format(key="contig, st, mate_st", rows="SELECT * FROM v_reads WHERE NOT neg", trials=TRIALS, draw=TRIAL, p=DUP_P).replace("FROM s GROUP BY ALL", "FROM s GROUP BY trial, contig, st, mate_st")
+MATE_DUPS = DUPS.format(key="contig, st, paired, mate_contig, mate", rows=ENDS, trials=TRIALS, draw=TRIAL, p=DUP_P).replace("FROM s GROUP BY ALL", "FROM s GROUP BY trial, contig, st, paired, mate_contig, mate")
+
+
+@query(f"WITH {PLAIN_DUPS} SELECT * FROM d", ("v_reads",))
+def downsample_dups(spark, sf_dir):
+    return reads.downsample_dups(views.reads(spark, sf_dir), DUP_P, TRIALS)
+
+
+@query(f"WITH {MATE_DUPS} SELECT count(*) AS trials, round(avg(sampled), 6) AS sampled, round(avg(dups), 6) AS dups, round(avg(ratio), 5) AS ratio FROM d", ("v_reads",))
+def downsample_dups_mean(spark, sf_dir):
+    trials = reads.downsample_dups(ended(spark, sf_dir), DUP_P, TRIALS)
+    return trials.agg(F.count("*").alias("trials"), F.round(F.avg("sampled"), 6).alias("sampled"), F.round(F.avg("dups"), 6).alias("dups"), F.round(F.avg("ratio"), 5).alias("ratio"))
+
+
 @query(
-    f"""WITH s AS (SELECT t.t AS trial, contig, st, mate_st FROM v_reads, generate_series(1, {TRIALS}) AS t(t)
-  WHERE NOT neg AND ((name * 131 + cycle * 7 + t.t) * 2654435761) % 4294967296 < {DUP_P} * 4294967296),
-g AS (SELECT trial, count(*) AS n FROM s GROUP BY trial, contig, st, mate_st)
-SELECT CAST(trial AS INT) AS trial, CAST(sum(n) AS BIGINT) AS sampled, CAST(sum(n - 1) AS BIGINT) AS dups, round(CAST(sum(n - 1) AS DOUBLE) / sum(n), 6) AS ratio FROM g GROUP BY trial""",
+    f"""WITH k AS (SELECT count(*) AS m FROM ({ENDS}) GROUP BY contig, st, paired, mate_contig, mate), e AS (SELECT p.p / 10.0::DOUBLE AS p, sum(m * p.p / 10.0::DOUBLE) AS sampled, sum(m * p.p / 10.0::DOUBLE - 1 + (1 - p.p / 10.0::DOUBLE) ** m) AS dups FROM k, generate_series(1, 10) AS p(p) GROUP BY 1)
+SELECT p, round(sampled, 4) AS sampled, round(dups, 4) AS dups, round(dups / sampled, 6) AS ratio FROM e""",
     ("v_reads",),
 )
-def downsample_dups(spark, sf_dir):
-    return reads.downsample_dups(views.reads(spark, sf_dir), DUP_P, TRIALS)
+def dup_curve(spark, sf_dir):
+    return reads.dup_curve(ended(spark, sf_dir), [i / 10 for i in range(1, 11)])
 
 
 @query("SELECT fid, name FROM (SELECT s_suppkey AS fid, s_name AS name, row_number() OVER (ORDER BY s_suppkey) AS i FROM supplier) WHERE i % 10 = 0")
@@ -260,6 +306,78 @@ def cytosine_pileup_calls(spark, sf_dir):
     return cytosines.calls(cytosines.pileup(rd), ref).select("contig", F.col("pos").cast("long").alias("pos"), "neg", "context", "c", "t", "ag", "opp_tot", "opp_a")
 
 
+# Reads laid along a CIGAR.  The SQL knows for each of a read's 46 bases how far its position
+# lies behind the first one (-1: none), and walks no operations.
+LAID = """WITH s AS (SELECT 'chr' || (id % 3) AS contig, id, seq, coalesce(sum(length(seq)) OVER (PARTITION BY id % 3 ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM v_seq),
+q AS (SELECT *, unnest(generate_series(0, length(seq) // 60 - 1)) AS k FROM s WHERE length(seq) >= 60),
+w AS (SELECT contig, id || ':' || k AS name, CAST(base + 60 * k + 6 AS BIGINT) AS st, k % 3 = 1 AS neg, k % 4 = 3 AS second, k, substr(seq, 60 * k + 1, 60) AS piece FROM q),
+v AS (SELECT *, 'ACG' || piece[6:17] || 'TG' || piece[18:27] || piece[32:39] || piece[46:54] || 'CA' AS raw FROM w),
+u AS (SELECT *, CASE WHEN k % 2 = 1 THEN raw WHEN neg THEN replace(raw, 'G', 'A') ELSE replace(raw, 'C', 'T') END AS bases FROM v),
+a AS (SELECT o, CASE WHEN o BETWEEN 3 AND 14 THEN o - 3 WHEN o BETWEEN 17 AND 26 THEN o - 5 WHEN o BETWEEN 27 AND 34 THEN o - 1 WHEN o BETWEEN 35 AND 43 THEN o + 5 ELSE -1 END AS d FROM generate_series(0, 45) AS g(o)),
+b AS (SELECT contig, name, neg, second, o, d, CASE WHEN d >= 0 THEN st + d END AS pos, substr(bases, CAST(o + 1 AS INT), 1) AS base, CASE WHEN d >= 0 THEN substr(piece, CAST(d + 6 AS INT), 1) END AS ref FROM u, a)"""
+
+
+@query(
+    f"""{LAID}, n AS (SELECT *, lag(base) OVER x AS prev, lead(base) OVER x AS next FROM b WINDOW x AS (PARTITION BY contig, name ORDER BY o))
+SELECT contig, base, coalesce(prev, '') AS prev, coalesce(next, '') AS next, count(*) AS n, CAST(sum(pos) AS BIGINT) AS positions FROM n WHERE d >= 0 GROUP BY ALL""",
+    ("v_seq",),
+)
+def cigar_pileup(spark, sf_dir):
+    piled = alignment.pileup(views.aligned(spark, sf_dir))
+    return piled.groupBy("contig", "base", F.coalesce("prev", F.lit("")).alias("prev"), F.coalesce("next", F.lit("")).alias("next")).agg(F.count("*").alias("n"), F.sum("pos").alias("positions"))
+
+
+WALKED = f"""{LAID}, y AS (SELECT *, CASE WHEN neg THEN 46 - o ELSE o + 1 END AS cycle, CASE WHEN neg THEN translate(base, 'ACGT', 'TGCA') ELSE base END AS rb, CASE WHEN neg THEN translate(ref, 'ACGT', 'TGCA') ELSE ref END AS rr FROM b),
+z AS (SELECT *, lag(rb) OVER x AS b0, lead(rb) OVER x AS b1, CASE WHEN abs(lag(d) OVER x - d) = 1 AND d >= 0 AND lag(d) OVER x >= 0 THEN lag(rr) OVER x END AS r0,
+CASE WHEN abs(lead(d) OVER x - d) = 1 AND d >= 0 AND lead(d) OVER x >= 0 THEN lead(rr) OVER x END AS r1 FROM y WINDOW x AS (PARTITION BY contig, name ORDER BY cycle)),
+t AS (SELECT *, sum(CASE WHEN rb = 'T' THEN 1 ELSE 0 END) OVER (PARTITION BY contig, name ORDER BY cycle ROWS UNBOUNDED PRECEDING) AS converted FROM z WHERE rr = 'C' AND rb IN ('C', 'T') AND cycle BETWEEN 2 AND 45),
+x AS (SELECT *, CASE WHEN r0 = b0 OR (r0 = 'C' AND b0 = 'T') THEN r0 ELSE 'N' END || 'C' || CASE WHEN r1 = b1 OR (r1 = 'C' AND b1 = 'T') THEN r1 ELSE 'N' END AS context FROM t)"""
+
+
+def walked(keep: str) -> str:
+    return f"{WALKED} SELECT contig, neg, context, count(*) AS n, count(*) FILTER (rb = 'C') AS c, CAST(sum(pos) AS BIGINT) AS positions, CAST(sum(cycle * converted) AS BIGINT) AS walked FROM x WHERE {keep} GROUP BY ALL"
+
+
+def walk(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    s = views.placed(spark, sf_dir)
+    ref = s.where("length(seq) > 0").select("contig", F.col("start").alias("chunk_start"), "seq")
+    calls = alignment.read_cytosines(views.aligned(spark, sf_dir), ref, **how)
+    return calls.groupBy("contig", "neg", "context").agg(F.count("*").alias("n"), F.count_if(F.col("c") == 1).alias("c"), F.sum("pos").alias("positions"), F.sum(F.col("cycle") * F.col("converted")).alias("walked"))
+
+
+@query(walked("true"), ("v_seq",))
+def read_cytosines(spark, sf_dir):
+    return walk(spark, sf_dir)
+
+
+@query(walked("converted >= 2 AND b1 = 'G'"), ("v_seq",))
+def read_cytosines_converted_cpg(spark, sf_dir):
+    return walk(spark, sf_dir, min_conv=2, cph=False)
+
+
+@query(
+    """SELECT contig, count(*) AS n, CAST(sum(en - st + 1) AS BIGINT) AS bases, CAST(sum(name % 9) AS BIGINT) AS hits FROM v_reads
+WHERE mapq >= 20 AND NOT not_primary AND cycle NOT IN (6, 7) AND (contig = 'N' OR cycle % 3 > 0) GROUP BY contig""",
+    ("v_reads",),
+)
+def bam_engine_filters(spark, sf_dir):
+    """All reads through a BAM file and back, the filters in its reader."""
+    r = views.reads(spark, sf_dir)
+    no, text_ = F.lit(False), lambda c: F.col(c).cast("string")
+    rows = r.select(
+        text_("name").alias("name"), "contig", F.col("st").cast("int").alias("start"), F.col("en").cast("int").alias("end"), "mapq", F.lit(True).alias("paired"), F.lit(True).alias("proper_pair"),
+        (F.col("cycle") == 7).alias("unmapped"), no.alias("mate_unmapped"), F.col("neg").alias("neg_strand"), F.col("mate_neg").alias("mate_neg_strand"), F.col("first").alias("first_of_pair"),
+        (~F.col("first")).alias("second_of_pair"), "not_primary", (F.col("cycle") == 6).alias("vendor_fail"), no.alias("duplicate"),
+        F.array(F.struct(F.lit("M").alias("op"), (F.col("en") - F.col("st") + 1).cast("int").alias("len"))).alias("cigar"), F.when(F.col("cycle") % 3 == 0, "N").otherwise(F.col("contig")).alias("mate_contig"),
+        F.col("mate_st").cast("int").alias("mate_start"), F.lit(0).alias("template_len"), F.lit("*").alias("bases"), F.array().cast("array<int>").alias("quals"),
+        F.create_map(F.lit("NH"), (F.col("name") % 9).cast("string")).alias("attrs"), F.create_map(F.lit("NH"), F.lit("i")).alias("tag_types"), F.lit(None).cast("string").alias("read_group"),
+    )
+    path = fresh(spark)
+    bam.write(rows, path, [(c, (1 << 31) - 1) for c in ("A", "N", "R")])
+    found = bam.read(spark, path, flags={"unmapped": False, "not_primary": False, "vendor_fail": False}, min_mapq=20).where(filters.engine(20, mate=True))
+    return found.groupBy("contig").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start") + 1).alias("bases"), F.sum(F.col("attrs")["NH"].cast("long")).alias("hits"))
+
+
 # ---- methylation ----------------------------------------------------------------------
 
 LEVEL = "CASE WHEN c + c_nonconv + t = 0 THEN NULL ELSE CAST(c + c_nonconv AS DOUBLE) / (c + c_nonconv + t) END"
@@ -385,6 +503,30 @@ def cpg_summarizer_stranded(spark, sf_dir):
     return methylation.summarise(weighted(spark, sf_dir), ["ctx", "neg"], F.col("level"), methylation.clamp_weight(F.col("weight")))
 
 
+@query("SELECT contig % 7 AS part, ctx, CAST(sum(c) AS BIGINT) AS c, CAST(sum(c_nonconv) AS BIGINT) AS c_nonconv, CAST(sum(t) AS BIGINT) AS t, CAST(sum(ag) AS BIGINT) AS ag, CAST(sum(opp_tot) AS BIGINT) AS opp_tot, CAST(sum(opp_a) AS BIGINT) AS opp_a FROM v_cyt GROUP BY 1, 2", ("v_cyt",))
+def composite_cytosines(spark, sf_dir):
+    return methylation.composite(views.cytosines(spark, sf_dir).withColumn("part", F.col("contig") % 7), ["part", "ctx"])
+
+
+def drawn(n: str, p: str, name: str) -> str:
+    """Binomial inversion of at most 16 trials, spelt out."""
+    u = f"(CAST('0x' || substr(md5('1:' || contig || ':' || pos || ':{name}:1'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
+    q = f"least({p}, 1 - {p})"
+    cdf = f"list_sum(list_transform(generate_series(0, j), lambda i: factorial(CAST({n} AS INT)) / (factorial(CAST(i AS INT)) * factorial(CAST({n} - i AS INT)))::DOUBLE * {q} ** i * (1 - {q}) ** ({n} - i)))"
+    k = f"len(list_filter(generate_series(0, {n} - 1), lambda j: {cdf} <= {u}))"
+    return f"CAST(CASE WHEN {n} < 1 OR {p} <= 0 THEN 0 WHEN {p} >= 1 THEN {n} WHEN {p} > 0.5 THEN {n} - {k} ELSE {k} END AS BIGINT)"
+
+
+@query(
+    f"""WITH a AS (SELECT *, {drawn("c", "0.4::DOUBLE", "c")} AS c1, {drawn("c_nonconv", "0.4::DOUBLE", "c_nonconv")} AS n1, {drawn("t", "0.4::DOUBLE", "t")} AS t1, {drawn("ag", "0.4::DOUBLE", "ag")} AS ag1,
+{drawn("opp_tot", "0.4::DOUBLE", "opp_tot")} AS ot1, CASE WHEN opp_tot = 0 THEN 0.0 ELSE CAST(opp_a AS DOUBLE) / opp_tot END AS share FROM v_cyt)
+SELECT contig, pos, c1 AS c, n1 AS c_nonconv, t1 AS t, ag1 AS ag, ot1 AS opp_tot, {drawn("ot1", "share", "opp_a")} AS opp_a FROM a""",
+    ("v_cyt",),
+)
+def thinned_cytosines(spark, sf_dir):
+    return methylation.thinned(views.cytosines(spark, sf_dir), 0.4).select("contig", "pos", "c", "c_nonconv", "t", "ag", "opp_tot", "opp_a")
+
+
 # ---- windows --------------------------------------------------------------------------
 
 USE = "level IS NOT NULL AND weight > 0"
@@ -581,17 +723,22 @@ def matrix_sum_inverted(spark, sf_dir):
 
 # ---- peaks ----------------------------------------------------------------------------
 
-BINS = f"""WITH cv AS (SELECT contig, rg AS sample, pos, count(*) AS depth FROM (SELECT contig, rg, unnest(generate_series(st, en)) AS pos FROM v_reads) GROUP BY ALL),
-all_bins AS (SELECT s.contig, s.sample, b.b AS bin FROM (SELECT DISTINCT c.contig, t.rg AS sample, c.len FROM v_contigs c, v_reads t) s, unnest(generate_series(0, s.len // {PEAK_BIN})) AS b(b)),
+def bins_sql(reads_: str = "v_reads", contigs_: str = "v_contigs") -> str:
+    return f"""WITH cv AS (SELECT contig, rg AS sample, pos, count(*) AS depth FROM (SELECT contig, rg, unnest(generate_series(st, en)) AS pos FROM {reads_}) GROUP BY ALL),
+all_bins AS (SELECT s.contig, s.sample, b.b AS bin FROM (SELECT DISTINCT c.contig, t.rg AS sample, c.len FROM {contigs_} c, {reads_} t) s, unnest(generate_series(0, s.len // {PEAK_BIN})) AS b(b)),
 bins AS (SELECT a.contig, a.sample, CAST(a.bin AS BIGINT) AS bin, CAST(coalesce(max(depth), 0) AS BIGINT) AS cov FROM all_bins a LEFT JOIN cv ON cv.contig = a.contig AND cv.sample = a.sample AND cv.pos // {PEAK_BIN} = a.bin GROUP BY ALL)"""
 
 
-def bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r, c = views.reads(spark, sf_dir), views.contigs(spark, sf_dir)
+BINS = bins_sql()
+
+
+def bins(spark: SparkSession, sf_dir: str, of=views.reads) -> DataFrame:
+    """Coverage by bin, read more than once: computed once, into the shared folder."""
+    r, c = of(spark, sf_dir), views.contigs(spark, sf_dir, of)
     keyed = r.withColumn("contig", F.concat_ws("|", "contig", "rg"))
     pairs_ = c.crossJoin(F.broadcast(r.select("rg").distinct())).select(F.concat_ws("|", "contig", "rg").alias("contig"), "len")
     found = coverage.depth_runs(keyed, pairs_).withColumn("k", F.split("contig", "\\|"))
-    return peaks.dense_bins(found.select(F.col("k")[0].alias("contig"), F.col("k")[1].alias("sample"), "st", "en", "depth"), c, PEAK_BIN)
+    return cut(peaks.dense_bins(found.select(F.col("k")[0].alias("contig"), F.col("k")[1].alias("sample"), "st", "en", "depth"), c, PEAK_BIN))
 
 
 @query(f"{BINS} SELECT * FROM bins", ("v_reads", "v_contigs"))
@@ -604,29 +751,94 @@ def peak_derivative(spark, sf_dir):
     return peaks.derivative(bins(spark, sf_dir))
 
 
-def found_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return peaks.segments(peaks.derivative(bins(spark, sf_dir)))
+def segments_sql(reads_: str = "v_reads", contigs_: str = "v_contigs", parity: bool = False) -> str:
+    """The state machine, a step a bin: all contigs and samples walk side by side."""
+    run = "CASE WHEN r.done THEN {} ELSE r.run + s.x END".format("0.0" if parity else "s.x")
+    before = "CASE WHEN r.done THEN 0.0 ELSE r.run END"
+    on = f"((r.start IS NOT NULL AND NOT r.done) OR ({before} <= 0 AND {run} > 0))"
+    inside = "r.start IS NOT NULL AND NOT r.done"
+    body = bins_sql(reads_, contigs_)[5:]
+    return f"""WITH RECURSIVE {body},
+s AS MATERIALIZED (SELECT contig, sample, bin, cov, coalesce((lead(cov) OVER o - lag(cov) OVER o) / 2.0::DOUBLE, 0.0) AS x, row_number() OVER o AS i FROM bins WINDOW o AS (PARTITION BY contig, sample ORDER BY bin)),
+r AS (SELECT contig, sample, 0::BIGINT AS i, 0.0::DOUBLE AS run, NULL::BIGINT AS start, NULL::BIGINT AS "end", -1::BIGINT AS height, NULL::BIGINT AS summit, 0::BIGINT AS area, false AS done FROM s GROUP BY 1, 2
+UNION ALL SELECT s.contig, s.sample, s.i, {run}, CASE WHEN {on} THEN CASE WHEN {inside} THEN r.start ELSE s.bin END END, s.bin, CASE WHEN {on} THEN CASE WHEN {inside} THEN greatest(r.height, s.cov) ELSE s.cov END ELSE -1 END,
+CASE WHEN {on} THEN CASE WHEN {inside} AND r.height >= s.cov THEN r.summit ELSE s.bin END END, CASE WHEN {on} THEN CASE WHEN {inside} THEN r.area + s.cov ELSE s.cov END ELSE 0 END, {on} AND {run} <= 0 AND {before} > {run}
+FROM r JOIN s ON s.contig = r.contig AND s.sample = r.sample AND s.i = r.i + 1),
+seg AS MATERIALIZED (SELECT contig, sample, start, "end", height, summit, area FROM r WHERE done)"""
 
 
-@query()
+MERGED = """, mo AS (SELECT *, max("end") OVER (PARTITION BY contig, sample ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM seg),
+mg AS (SELECT *, sum(CASE WHEN reach IS NULL OR start - reach >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY contig, sample ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS g FROM mo),
+merged AS (SELECT contig, sample, min(start) AS start, max("end") AS "end", max(height) AS height, CAST(sum(area) AS BIGINT) AS area FROM mg GROUP BY contig, sample, g)"""
+CENTRED = f"""{MERGED}, cj AS (SELECT m.contig, m.sample, m.start, m."end", m.height, b.bin, sum(b.cov) OVER (w ORDER BY b.bin) AS cum, sum(b.cov) OVER w AS total
+FROM merged m JOIN bins b ON b.contig = m.contig AND b.sample = m.sample AND b.bin BETWEEN m.start AND m."end" AND b.cov > 0.2::DOUBLE * m.height WINDOW w AS (PARTITION BY m.contig, m.sample, m.start, m."end", m.height)),
+centred AS (SELECT contig, sample, start, "end", height, min(bin) AS summit FROM cj WHERE cum * 2 >= total GROUP BY ALL)"""
+GROUPS_SQL = f"""{CENTRED}, go AS (SELECT *, row_number() OVER (PARTITION BY contig ORDER BY start, "end", sample, summit) AS i FROM centred),
+gr AS (SELECT contig, i, summit AS low, 1 AS part FROM go WHERE i = 1 UNION ALL
+SELECT o.contig, o.i, CASE WHEN o.summit - r.low < 3 THEN least(r.low, o.summit) ELSE o.summit END, CASE WHEN o.summit - r.low < 3 THEN r.part ELSE r.part + 1 END FROM gr r JOIN go o ON o.contig = r.contig AND o.i = r.i + 1),
+gp AS (SELECT o.*, r.part FROM go o JOIN gr r ON r.contig = o.contig AND r.i = o.i), ga AS (SELECT contig, part, min(start) AS f, max("end") AS t FROM gp GROUP BY 1, 2),
+gb AS (SELECT *, CASE WHEN f - lag(t) OVER (PARTITION BY contig ORDER BY part) < 3 THEN 0 ELSE 1 END AS new FROM ga), gi AS (SELECT contig, part, CAST(sum(new) OVER (PARTITION BY contig ORDER BY part) - 1 AS BIGINT) AS group_id FROM gb)
+SELECT p.contig, group_id, min(start) AS start, max("end") AS "end", max(height) AS height, arg_max(summit, height * 1000000000 - summit) AS summit, count(*) AS n_peaks, count(DISTINCT sample) AS n_samples, max("end") - min(start) AS width
+FROM gp p JOIN gi ON gi.contig = p.contig AND gi.part = p.part GROUP BY 1, 2"""
+
+
+def found_peaks(spark: SparkSession, sf_dir: str, of=views.reads, parity: bool = False) -> DataFrame:
+    return peaks.segments(peaks.derivative(bins(spark, sf_dir, of)), parity=parity)
+
+
+def summits(spark: SparkSession, sf_dir: str, of=views.reads) -> DataFrame:
+    b = bins(spark, sf_dir, of)
+    return peaks.recentre(cut(peaks.merge_close(peaks.segments(peaks.derivative(b)))), b)
+
+
+PEAK_VIEWS = ("v_reads", "v_contigs")
+SPREAD_VIEWS = ("v_spread", "v_spread_contigs")
+TOP_SQL = ", tr AS (SELECT *, CAST(row_number() OVER (PARTITION BY contig, sample ORDER BY height DESC, start) AS INT) AS rank FROM seg) SELECT * FROM tr WHERE rank <= 3"
+
+
+@query(f"{segments_sql()} SELECT * FROM seg", PEAK_VIEWS)
 def peak_segments(spark, sf_dir):
     return found_peaks(spark, sf_dir)
 
 
-@query()
+@query(f"{segments_sql(*SPREAD_VIEWS)} SELECT * FROM seg", SPREAD_VIEWS)
+def peak_segments_spread(spark, sf_dir):
+    return found_peaks(spark, sf_dir, views.spread)
+
+
+@query(f"{segments_sql(*SPREAD_VIEWS, parity=True)} SELECT * FROM seg", SPREAD_VIEWS)
+def peak_segments_parity(spark, sf_dir):
+    return found_peaks(spark, sf_dir, views.spread, parity=True)
+
+
+@query(f"{segments_sql()}{MERGED} SELECT * FROM merged", PEAK_VIEWS)
 def peak_merge(spark, sf_dir):
     return peaks.merge_close(found_peaks(spark, sf_dir))
 
 
-@query()
+@query(f"{segments_sql(*SPREAD_VIEWS)}{MERGED} SELECT * FROM merged", SPREAD_VIEWS)
+def peak_merge_spread(spark, sf_dir):
+    return peaks.merge_close(found_peaks(spark, sf_dir, views.spread))
+
+
+@query(f"{segments_sql()}{CENTRED} SELECT * FROM centred", PEAK_VIEWS)
 def peak_summit(spark, sf_dir):
-    return peaks.recentre(peaks.merge_close(found_peaks(spark, sf_dir)), bins(spark, sf_dir))
+    return summits(spark, sf_dir)
 
 
-@query()
+@query(f"{segments_sql(*SPREAD_VIEWS)}{CENTRED} SELECT * FROM centred", SPREAD_VIEWS)
+def peak_summit_spread(spark, sf_dir):
+    return summits(spark, sf_dir, views.spread)
+
+
+@query(f"{segments_sql()}{GROUPS_SQL}", PEAK_VIEWS)
 def peak_groups(spark, sf_dir):
-    merged = peaks.merge_close(found_peaks(spark, sf_dir))
-    return peaks.group_summary(peaks.groups(peaks.recentre(merged, bins(spark, sf_dir))))
+    return peaks.group_summary(peaks.groups(summits(spark, sf_dir)))
+
+
+@query(f"{segments_sql(*SPREAD_VIEWS)}{GROUPS_SQL}", SPREAD_VIEWS)
+def peak_groups_spread(spark, sf_dir):
+    return peaks.group_summary(peaks.groups(summits(spark, sf_dir, views.spread)))
 
 
 @query()
@@ -634,11 +846,16 @@ def peak_clusters(spark, sf_dir):
     return peaks.clusters(found_peaks(spark, sf_dir))
 
 
-@query()
+@query(f"{segments_sql()}{TOP_SQL}", PEAK_VIEWS)
 def peak_top(spark, sf_dir):
     return peaks.top_k(found_peaks(spark, sf_dir), 3)
 
 
+@query(f"{segments_sql(*SPREAD_VIEWS)}{TOP_SQL}", SPREAD_VIEWS)
+def peak_top_spread(spark, sf_dir):
+    return peaks.top_k(found_peaks(spark, sf_dir, views.spread), 3)
+
+
 REGION = "CAST(bin // 20 AS BIGINT)"
 
 
@@ -675,7 +892,14 @@ def nucleosome_cutoff(spark, sf_dir):
     return nucleosome.cutoff(nucleosome.score_histogram(scores(spark, sf_dir)), 15)
 
 
-@query()
+@query(
+    """WITH RECURSIVE sc AS (SELECT user_id % 5 AS contig, event_id AS pos, value % 100 / 100 AS score FROM events), nb AS (SELECT *, row_number() OVER (PARTITION BY contig ORDER BY pos, score) AS i FROM sc),
+w AS (SELECT contig, i, max({'s': score, 'b': -i, 'p': pos}) OVER (PARTITION BY contig ORDER BY i ROWS 184 PRECEDING) AS best FROM nb),
+cand AS MATERIALIZED (SELECT DISTINCT contig, best.p AS pos, best.s AS score FROM w WHERE i >= 185 AND best.s >= 0.5),
+hop AS MATERIALIZED (SELECT a.contig, a.pos, b.pos AS next FROM cand a ASOF LEFT JOIN cand b ON a.contig = b.contig AND a.pos + 185 < b.pos),
+pick AS (SELECT contig, min(pos) AS pos FROM cand GROUP BY contig UNION ALL SELECT h.contig, h.next FROM pick p JOIN hop h ON h.contig = p.contig AND h.pos = p.pos WHERE h.next IS NOT NULL)
+SELECT c.* FROM pick p JOIN cand c ON c.contig = p.contig AND c.pos = p.pos"""
+)
 def nucleosome_centres(spark, sf_dir):
     return nucleosome.centres(scores(spark, sf_dir), 185, 0.5)
 

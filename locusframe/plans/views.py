@@ -25,12 +25,15 @@ CR = """l_returnflag AS contig, l_partkey AS pos, l_orderkey AS rd, l_linenumber
 SQL = {
     "v_reads": f"SELECT {READS} FROM lineitem",
     "v_contigs": "SELECT DISTINCT contig, (SELECT max(en) FROM v_reads) AS len FROM v_reads",
+    # the same reads apart, one order a stretch of four positions: shallow coverage with many peaks
+    "v_spread": f"SELECT contig, rg, name * 4 + 1 AS st, name * 4 + 1 + en - st AS en FROM ({READS.join(['SELECT ', ' FROM lineitem'])})",
+    "v_spread_contigs": "SELECT DISTINCT contig, (SELECT max(en) FROM v_spread) AS len FROM v_spread",
     "v_features": f"SELECT {FEATURES} FROM supplier",
     "v_cyt": f"SELECT {CYT} FROM (SELECT {CYT0} FROM events)",
     "v_cr": f"SELECT contig, pos, rd, min(l_linenumber) % 2 = 1 AS meth, ctx FROM (SELECT {CR} FROM lineitem) GROUP BY contig, pos, rd, ctx",
     "v_seq": "SELECT doc_id AS id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM documents",
 }
-NEEDS = {"v_contigs": ["v_reads"]}
+NEEDS = {"v_contigs": ["v_reads"], "v_spread_contigs": ["v_spread"]}
 
 
 def with_views(*names: str) -> str:
@@ -60,8 +63,12 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr(*columns(READS))
 
 
-def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = reads(spark, sf_dir)
+def spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads(spark, sf_dir).selectExpr("contig", "rg", "name * 4 + 1 AS st", "name * 4 + 1 + en - st AS en")
+
+
+def contigs(spark: SparkSession, sf_dir: str, of=reads) -> DataFrame:
+    r = of(spark, sf_dir)
     return r.select("contig").distinct().crossJoin(r.selectExpr("max(en) AS len"))
 
 
@@ -93,3 +100,18 @@ def placed(spark: SparkSession, sf_dir: str, stretch: int = 4096) -> DataFrame:
     totals = totals.select("contig", "k", F.coalesce(F.sum("all").over(to_here("contig", "k")), F.lit(0)).alias("base"))
     s = s.withColumn("run", F.coalesce(F.sum("n").over(to_here("contig", "k", "id")), F.lit(0)))
     return s.join(totals, ["contig", "k"]).select("contig", "id", (F.col("base") + F.col("run") + 1).alias("start"), "seq")
+
+
+#: The operations of the derived reads: three clipped bases, stretches apart by an insertion, a deletion and a skip, two clipped bases.
+CIGAR = [(3, "S"), (12, "M"), (2, "I"), (10, "M"), (4, "D"), (8, "M"), (6, "N"), (9, "M"), (2, "S")]
+
+
+def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads with ``cigar`` from whole placed sequences, one every 60 bases; even ones are
+    converted where they lie on the reference (C to T, on the reverse strand G to A)."""
+    s = placed(spark, sf_dir).where("length(seq) >= 60").selectExpr("contig", "id", "start", "seq", "explode(sequence(0, length(seq) div 60 - 1)) AS k")
+    s = s.selectExpr("contig", "concat(id, ':', k) AS name", "start + 60 * k + 5 AS st", "k % 3 = 1 AS neg", "k % 4 = 3 AS second", "k", "substring(seq, 60 * k + 1, 60) AS piece")
+    mid = "concat('{0}', substring(piece, 6, 12), '{1}', substring(piece, 18, 10), substring(piece, 32, 8), substring(piece, 46, 9), '{2}')".format("ACG", "TG", "CA")
+    turned = f"CASE WHEN k % 2 = 1 THEN {mid} WHEN neg THEN translate({mid}, 'G', 'A') ELSE translate({mid}, 'C', 'T') END"
+    ops = F.array(*[F.struct(F.lit(op).alias("op"), F.lit(n).alias("len")) for n, op in CIGAR])
+    return s.selectExpr("contig", "name", "st", "neg", "second", f"{turned} AS bases").withColumn("cigar", ops)
