@@ -10,10 +10,11 @@ The rank map is a literal of two arrays: ``shift`` by left piece and ``pairs``,
 of that rank, else 0 or another l's entry.  XOR with ``(l + 1) << 17`` leaves the rank, or
 2**17 at least for no merge.
 
-A round of the fold merges every pair of the lowest rank at once, from the left.  That
-equals merging them one by one: a pair that appears later has a higher rank, because each
-piece is what its own merges give (checked when the ranks are read).  So the rounds of a
-word follow its distinct merges, and words of any length take the same path.
+The fold of a word merges one pair a round and keeps the ranks of its pairs, of which a
+merge changes two.  For long words a round merges every pair of the lowest rank at once,
+from the left.  That equals merging them one by one: a pair that appears later has a
+higher rank, because each piece is what its own merges give (checked when the ranks are
+read).  So the rounds of a long word follow its distinct merges.
 """
 
 from __future__ import annotations
@@ -113,11 +114,51 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Words up to so many bytes are folded a merge at a time, with the ranks of their pairs at
+#: hand; longer ones by all merges of a rank at once, so that rounds don't grow with length.
+STEPWISE = 64
+
+
 def encode_word(first: Column, path: str) -> Column:
-    """Ranks of a word, given the ranks of its single bytes as ``array<int>``; an element -1
-    marks a word that is done."""
+    """Ranks of a word, given the ranks of its single bytes as ``array<int>``."""
     _, shift, table, _ = pair_table(path)
-    shifts, pairs = literal(shift, "int"), literal(table, "bigint")
+    # each table stands once in the plan
+    return let(literal(table, "bigint"), lambda pairs: let(literal(shift, "int"), lambda shifts: F.when(
+        F.size(first) < 2, first).when(F.size(first) <= STEPWISE, stepwise(first, pairs, shifts)).otherwise(by_rank(first, pairs, shifts))))
+
+
+def rank_of(left: Column, right: Column, pairs: Column, shifts: Column) -> Column:
+    return pairs[shifts[left] + right].bitwiseXOR((left + F.lit(1).cast("bigint")) * NONE)
+
+
+def pair_ranks(ids: Column, pairs: Column, shifts: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.size(ids) - 2), lambda j: rank_of(ids[j], ids[j + 1], pairs, shifts))
+
+
+def stepwise(first: Column, pairs: Column, shifts: Column) -> Column:
+    """The fold with the lowest rank's first pair merged in each step; only the ranks beside it change."""
+    none = F.array().cast("array<bigint>")
+
+    def merged(s: Column, at: Column, rank: Column) -> Column:
+        ids, ranks = s["ids"], s["ranks"]
+        before = F.when(at > 1, F.array(rank_of(F.get(ids, at - 2), rank.cast("int"), pairs, shifts))).otherwise(none)
+        after = F.when(at <= F.size(ids) - 2, F.array(rank_of(rank.cast("int"), F.get(ids, at + 1), pairs, shifts))).otherwise(none)
+        return F.struct(
+            F.concat(F.slice(ids, F.lit(1), at - 1), F.array(rank.cast("int")), F.slice(ids, at + 2, F.size(ids))).alias("ids"),
+            F.concat(F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))), before, after, F.slice(ranks, at + 2, F.size(ids))).alias("ranks"),
+        )
+
+    def step(s: Column, _: Column) -> Column:
+        lowest = lambda rank: F.when(F.coalesce(rank, F.lit(NONE)) >= NONE, s).otherwise(let(F.array_position(s["ranks"], rank).cast("int"), lambda at: merged(s, at, rank)))
+        return let(F.array_min(s["ranks"]), lowest)
+
+    start = F.struct(first.alias("ids"), pair_ranks(first, pairs, shifts).alias("ranks"))
+    return F.aggregate(F.sequence(F.lit(2), F.size(first)), start, step, lambda s: s["ids"])
+
+
+def by_rank(first: Column, pairs: Column, shifts: Column) -> Column:
+    """The fold with all pairs of the lowest rank merged in each step, from the left; an
+    element -1 marks a word that is done."""
 
     def merged(ids: Column, is_left: Callable[[Column], Column], rank: Column) -> Column:
         out = F.transform(ids, lambda x, j: F.when(is_left(j), rank.cast("int")).when(is_left(j - 1), F.lit(-1)).otherwise(x))
@@ -129,21 +170,12 @@ def encode_word(first: Column, path: str) -> Column:
         marks = F.split(F.regexp_replace(hits, "11", "12"), "")
         return let(marks, lambda m: merged(ids, lambda j: (j >= 0) & (F.get(m, j) == "1"), rank))
 
-    def joined(ids: Column, ranks: Column, rank: Column) -> Column:
-        alone = F.size(F.filter(ranks, lambda r: r == rank)) == 1
-        one = let(F.array_position(ranks, rank).cast("int") - 1, lambda at: merged(ids, lambda j: j == at, rank))
-        return F.when(rank >= NONE, F.concat(ids, F.array(F.lit(-1)))).when(alone, one).otherwise(all_merged(ids, ranks, rank))
-
     def step(ids: Column, _: Column) -> Column:
-        ranks = F.transform(
-            F.sequence(F.lit(0), F.size(ids) - 2),
-            lambda j: pairs[shifts[ids[j]] + ids[j + 1]].bitwiseXOR((ids[j] + F.lit(1).cast("bigint")) * NONE),
-        )
         done = (F.size(ids) < 2) | (F.element_at(ids, -1) < 0)
-        return F.when(done, ids).otherwise(let(ranks, lambda r: let(F.array_min(r), lambda m: joined(ids, r, m))))
+        joined = lambda r, m: F.when(m >= NONE, F.concat(ids, F.array(F.lit(-1)))).otherwise(all_merged(ids, r, m))
+        return F.when(done, ids).otherwise(let(pair_ranks(ids, pairs, shifts), lambda r: let(F.array_min(r), lambda m: joined(r, m))))
 
-    rounds = F.sequence(F.lit(2), F.size(first))
-    return F.when(F.size(first) < 2, first).otherwise(F.aggregate(rounds, first, step, lambda ids: F.filter(ids, lambda x: x >= 0)))
+    return F.aggregate(F.sequence(F.lit(2), F.size(first)), first, step, lambda ids: F.filter(ids, lambda x: x >= 0))
 
 
 def decode_word(ids: Column, path: str) -> Column:

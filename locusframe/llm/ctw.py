@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from locusframe.llm.common import cut, released, small_batches
 
 #: Bytes of text in a block, and of text whose requests a part answers.
-BLOCK, PART = 4 << 20, 48 << 20
+BLOCK, PART = 4 << 20, 24 << 20
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 END = b"\n"
 
@@ -91,14 +91,21 @@ def to_blocks(depth: int, limit: int):
     return released(run)
 
 
-def strings(data: np.ndarray, sizes: np.ndarray, depth: int) -> np.ndarray:
+def inside(size: int, sizes: np.ndarray, depth: int) -> np.ndarray:
+    """Which bytes of a block's data are of pieces, not of what stands before them."""
+    starts = np.cumsum(sizes + depth) - sizes
+    steps = np.zeros(size + 1, np.int8)
+    np.add.at(steps, starts, 1)
+    np.add.at(steps, starts + sizes, -1)
+    return np.cumsum(steps[:-1], dtype=np.int8).view(bool)
+
+
+def strings(data: np.ndarray, own: np.ndarray, depth: int) -> np.ndarray:
     """The depth + 1 bytes that end at each byte of the pieces, as one number each."""
-    out = np.zeros(int(sizes.sum()), np.int64)
-    starts = np.cumsum(sizes + depth) - sizes  # of the bodies in data
-    at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(out))
-    for k in range(depth, -1, -1):
-        out = (out << 8) | data[at - k]
-    return out
+    out = data.astype(np.int64)
+    for k in range(1, depth + 1):
+        out[k:] |= data[:-k].astype(np.int64) << (8 * k)
+    return out[own]
 
 
 def dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,14 +115,10 @@ def dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return np.argsort(part, kind="stable"), np.cumsum(np.bincount(part, minlength=parts))
 
 
-def words_in(data: np.ndarray, sizes: np.ndarray, depth: int) -> pa.Array:
+def words_in(data: np.ndarray, own: np.ndarray, sizes: np.ndarray, depth: int) -> pa.Array:
     """All words of a block, in order."""
     starts = np.cumsum(sizes + depth) - sizes
-    inside = np.zeros(len(data) + 1, np.int8)  # bodies, not what stands before them
-    np.add.at(inside, starts, 1)
-    np.add.at(inside, starts + sizes, -1)
-    inside = np.cumsum(inside[:-1]).astype(bool)
-    stop = np.flatnonzero((data == 32) & inside)
+    stop = np.flatnonzero((data == 32) & own)
     # a word begins where a piece does or behind the space before it
     first = starts[np.searchsorted(starts, stop, side="right") - 1]
     begin = np.maximum(first, np.concatenate([[0], stop[:-1] + 1])) if len(stop) else stop
@@ -126,16 +129,21 @@ def words_in(data: np.ndarray, sizes: np.ndarray, depth: int) -> pa.Array:
     return gaps.take(pa.array(np.arange(0, 2 * len(stop), 2)))
 
 
+def coded(values: pa.Array, learn: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct values in order of appearance, which of them each value is, and how many of each are learnt from."""
+    found = values.dictionary_encode()
+    place = found.indices.to_numpy(zero_copy_only=False)
+    return found.dictionary, place, np.bincount(place[learn], minlength=len(found.dictionary))
+
+
 def distinct(row: dict, depth: int, parts: int):
-    """Of a block: strings with their training counts and places, and words likewise."""
+    """Of a block: strings with their places, training counts, and order by part; words likewise."""
     data, sizes = np.frombuffer(row["data"], np.uint8), np.asarray(row["sizes"], np.int64)
-    train = np.asarray([bool(x) for x in row["train"]])
-    keys, place = np.unique(strings(data, sizes, depth), return_inverse=True)
-    n = np.bincount(place, np.repeat(train, sizes), len(keys)).astype(np.int64)
-    coded = words_in(data, sizes, depth).dictionary_encode()
-    words = coded.dictionary.to_pylist()
-    at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    m = np.bincount(at, np.repeat(train, np.asarray(row["tokens"], np.int64)), len(words)).astype(np.int64)
+    train, own = np.asarray([bool(x) for x in row["train"]]), inside(len(data), sizes, depth)
+    keys, place, n = coded(pa.array(strings(data, own, depth)), np.repeat(train, sizes))
+    keys = keys.to_numpy()
+    words, at, m = coded(words_in(data, own, sizes, depth), np.repeat(train, np.asarray(row["tokens"], np.int64)))
+    words = words.to_pylist()
     hashes = np.fromiter(map(zlib.crc32, words), np.int64, len(words))
     return (keys, place, n, *dealt(keys, parts)), (words, at, m, *dealt(hashes, parts))
 
@@ -144,7 +152,7 @@ REQUESTS = "kind string, part long, block long, keys binary, counts binary"
 
 
 def to_requests(depth: int, parts: int):
-    """Rows of BLOCKS to rows of REQUESTS: strings as 64-bit numbers, words between spaces."""
+    """Rows of BLOCKS to rows of REQUESTS: strings as their bytes behind their length, words between spaces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,10 +162,10 @@ def to_requests(depth: int, parts: int):
                 for p in range(parts):
                     own = order[ends[p - 1] if p else 0 : ends[p]]
                     if len(own):
-                        out.append(("s", p, row["block"], keys[own].tobytes(), n[own].tobytes()))
+                        out.append(("s", p, row["block"], bytes([depth + 1]) + packed(keys[own], depth + 1), n[own].astype(np.int64).tobytes()))
                     own = worder[wends[p - 1] if p else 0 : wends[p]]
                     if len(own):
-                        out.append(("w", p, row["block"], b" ".join([words[i] for i in own]), m[own].tobytes()))
+                        out.append(("w", p, row["block"], b" ".join([words[i] for i in own]), m[own].astype(np.int64).tobytes()))
                 cols = list(zip(*out, strict=True)) or [()] * 5
                 types = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["kind", "part", "block", "keys", "counts"])
@@ -165,15 +173,31 @@ def to_requests(depth: int, parts: int):
     return released(run)
 
 
-def numbers(column: pa.ChunkedArray, kind=np.int64) -> list[np.ndarray]:
-    return [np.frombuffer(x, kind) for x in column.to_pylist()]
+def numbers(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.int64) for x in column.to_pylist()]
+
+
+def packed(keys: np.ndarray, size: int) -> bytes:
+    """The ``size`` low bytes of each number."""
+    return keys.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+
+
+def unpacked(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """Numbers of as many bytes as each row's ``size`` says; rows: (size, bytes)."""
+    out = []
+    for x in column.to_pylist():
+        size, raw = x[0], np.frombuffer(x, np.uint8, offset=1)
+        wide = np.zeros((len(raw) // size, 8), np.uint8)
+        wide[:, :size] = raw.reshape(-1, size)
+        out.append(wide.view("<i8").ravel())
+    return out
 
 
 def sum_strings(table: pa.Table) -> pa.Table:
     """A part's requests to its distinct strings and their counts."""
-    keys, place = np.unique(np.concatenate(numbers(table["keys"])), return_inverse=True)
-    n = np.zeros(len(keys), np.int64)
-    np.add.at(n, place, np.concatenate(numbers(table["counts"])))
+    found = pa.array(np.concatenate(unpacked(table["keys"]))).dictionary_encode()
+    keys, place = found.dictionary.to_numpy(), found.indices.to_numpy()
+    n = np.bincount(place, np.concatenate(numbers(table["counts"])), len(keys)).astype(np.int64)
     return pa.table({"part": pa.array(np.full(len(keys), table["part"][0].as_py())), "key": pa.array(keys), "n": pa.array(n)})
 
 
@@ -181,7 +205,7 @@ def answer_strings(table: pa.Table, known: pa.Table) -> pa.Table:
     """A part's requests and its strings' probabilities to answers in the order of the requests."""
     order = np.argsort(known["key"].to_numpy())
     keys, bits = known["key"].to_numpy()[order], known["bits"].to_numpy()[order]
-    found = [bits[np.searchsorted(keys, k)].tobytes() for k in numbers(table["keys"])]
+    found = [bits[np.searchsorted(keys, k)].tobytes() for k in unpacked(table["keys"])]
     return pa.table({"kind": table["kind"], "part": table["part"], "block": table["block"], "values": pa.array(found, pa.binary()), "known": pa.array([0] * len(found), pa.int64())})
 
 
@@ -189,13 +213,12 @@ def answer_words(table: pa.Table) -> pa.Table:
     """A part's words to their counts in the order of the requests; ``known`` of the first
     row is the number of distinct words that training texts hold."""
     asked = [k.split(b" ") for k in table["keys"].to_pylist()]
-    coded = pa.array([w for a in asked for w in a], pa.binary()).dictionary_encode()
-    place = coded.indices.to_numpy(zero_copy_only=False)
-    n = np.zeros(len(coded.dictionary), np.int64)
-    np.add.at(n, place, np.concatenate(numbers(table["counts"])))
-    found = [x.tobytes() for x in np.split(n[place], np.cumsum([len(a) for a in asked])[:-1])]
-    known = [int((n > 0).sum())] + [0] * (len(found) - 1)
-    return pa.table({"kind": table["kind"], "part": table["part"], "block": table["block"], "values": pa.array(found, pa.binary()), "known": pa.array(known, pa.int64())})
+    found = pa.array([w for a in asked for w in a], pa.binary()).dictionary_encode()
+    place = found.indices.to_numpy(zero_copy_only=False)
+    n = np.bincount(place, np.concatenate(numbers(table["counts"])), len(found.dictionary)).astype(np.int64)
+    values = [x.tobytes() for x in np.split(n[place], np.cumsum([len(a) for a in asked])[:-1])]
+    known = [int((n > 0).sum())] + [0] * (len(values) - 1)
+    return pa.table({"kind": table["kind"], "part": table["part"], "block": table["block"], "values": pa.array(values, pa.binary()), "known": pa.array(known, pa.int64())})
 
 
 ANSWERS = "kind string, part long, block long, values binary, known long"
