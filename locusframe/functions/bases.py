@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Which bases an ambiguity letter stands for; other letters match nothing.
-IUPAC = {"A": "A", "C": "C", "G": "G", "T": "T", "N": "ACGT", "Y": "CT", "U": "AG", "W": "AT", "S": "CG", "H": "ACT"}
+IUPAC = {
+    "A": "A", "C": "C", "G": "G", "T": "T", "U": "T", "R": "AG", "Y": "CT", "S": "CG", "W": "AT", "K": "GT", "M": "AC",
+    "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG", "N": "ACGT",
+}
+# With ``parity`` few letters are known, and U stands for A or G.
+IUPAC_PARITY = {k: IUPAC[k] for k in "ACGTNYWSH"} | {"U": "AG"}
 
 
 def complement(base: Column) -> Column:
@@ -32,13 +35,14 @@ def most_frequent_base(a: Column, c: Column, g: Column, t: Column) -> Column:
     return F.coalesce(*[F.when(F.coalesce(x, F.lit(0)) == top, b) for b, x in pairs])
 
 
-def iupac_regex(pattern: str) -> str:
-    return "^" + "".join(f"[{IUPAC[p]}]" if p in IUPAC else "[^\\s\\S]" for p in pattern) + "$"
+def iupac_regex(pattern: str, parity: bool = False) -> str:
+    table = IUPAC_PARITY if parity else IUPAC
+    return "^" + "".join(f"[{table[p]}]" if p in table else "[^\\s\\S]" for p in pattern) + "$"
 
 
-def iupac_match(context: Column, patterns: list[str]) -> Column:
+def iupac_match(context: Column, patterns: list[str], parity: bool = False) -> Column:
     """The first of the patterns, in their order, that the context fits; null if none."""
-    return F.coalesce(*[F.when(context.rlike(iupac_regex(p)), p) for p in patterns])
+    return F.coalesce(*[F.when(context.rlike(iupac_regex(p, parity)), p) for p in patterns])
 
 
 def collapse_h(context: Column) -> Column:
@@ -87,12 +91,3 @@ def strand_sign(neg: Column) -> Column:
 
 def strand_char(neg: Column) -> Column:
     return F.when(neg, "-").otherwise("+")
-
-
-def iupac_cases(context: str, patterns: list[str]) -> str:
-    """The same match as SQL."""
-    return "CASE " + " ".join(f"WHEN regexp_matches({context}, '{iupac_regex(p)}') THEN '{p}'" for p in patterns) + " END"
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))

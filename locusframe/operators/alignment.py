@@ -55,6 +55,14 @@ def pileup(reads: DataFrame) -> DataFrame:
     )
 
 
+def binned(reference: DataFrame) -> DataFrame:
+    """Reference chunks cut at position bins: ``contig, _bin, _from, _to, _seq``."""
+    c = reference.where("seq <> ''").select("contig", F.col("chunk_start").cast("long").alias("_from"), (F.col("chunk_start") + F.length("seq") - 1).cast("long").alias("_to"), F.upper("seq").alias("_seq"))
+    c = c.select("contig", "_from", "_to", "_seq", F.explode(F.sequence(F.expr(f"_from div {BIN}"), F.expr(f"_to div {BIN}"))).alias("_bin"))
+    low, high = F.greatest("_from", F.col("_bin") * BIN), F.least("_to", F.col("_bin") * BIN + (BIN - 1))
+    return c.select("contig", "_bin", low.alias("_from"), high.alias("_to"), F.substring(F.col("_seq"), (low - F.col("_from") + 1).cast("int"), (high - low + 1).cast("int")).alias("_seq"))
+
+
 def on_reference(reads: DataFrame, reference: DataFrame) -> DataFrame:
     """Stretches of reads with the reference under them: the read's columns, ``size``, ``off,
     pos`` of the stretch's first base, ``piece`` and ``ref_piece`` of equal length.
@@ -64,11 +72,7 @@ def on_reference(reads: DataFrame, reference: DataFrame) -> DataFrame:
     """
     b = blocks(reads)
     b = b.select("*", F.explode(F.sequence(F.expr(f"pos div {BIN}"), F.expr(f"(pos + len - 1) div {BIN}"))).alias("_bin"))
-    c = reference.where("seq <> ''").select("contig", F.col("chunk_start").cast("long").alias("_from"), (F.col("chunk_start") + F.length("seq") - 1).cast("long").alias("_to"), F.upper("seq").alias("_seq"))
-    # a chunk sends each bin its own part only
-    c = c.select("contig", "_from", "_to", "_seq", F.explode(F.sequence(F.expr(f"_from div {BIN}"), F.expr(f"_to div {BIN}"))).alias("_bin"))
-    low, high = F.greatest("_from", F.col("_bin") * BIN), F.least("_to", F.col("_bin") * BIN + (BIN - 1))
-    c = c.select("contig", "_bin", low.alias("_from"), high.alias("_to"), F.substring(F.col("_seq"), (low - F.col("_from") + 1).cast("int"), (high - low + 1).cast("int")).alias("_seq"))
+    c = binned(reference)
     first, last = F.greatest("_from", F.col("pos")), F.least("_to", F.col("pos") + F.col("len") - 1)
     met = b.join(c, ["contig", "_bin"]).withColumn("_first", first).withColumn("_n", last - first + 1).where("_n > 0")
     off = F.col("off") + F.col("_first") - F.col("pos")

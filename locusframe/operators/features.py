@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Positions of a key that are looked through in one task.
-SPAN = 1 << 16
+from locusframe.operators.spans import SPAN, running, span_of
+from locusframe.sources.shared import cut
 
 
 def overlap(points: DataFrame, features: DataFrame, flank: int = 0, keys: list[str] | None = None) -> DataFrame:
@@ -34,8 +34,8 @@ def nearest(points: DataFrame, features: DataFrame, key: str) -> DataFrame:
     """Nearest feature of each point: of those that start at or before it the one that
     reaches furthest, or the first one after it.
 
-    Features may nest and overlap.  Ties go to the smaller id, but of features that cover a
-    point the one that reaches furthest counts.  Running extremes stay within a span of
+    Features may nest and overlap.  Of features that cover a point the one that reaches
+    furthest counts, else the nearest; ties go to the smaller id.  Running extremes stay within a span of
     positions; the spans' own, a small table, carry them along, so no task holds a key.
     """
     f = features.select(key, F.col("fs").cast("long").alias("at"), F.struct("fe", (-F.col("fid")).alias("back"), "fs").alias("l"), F.struct("fs", "fid", "fe").alias("r"), F.lit(None).cast("long").alias("pid"))
@@ -50,7 +50,7 @@ def nearest(points: DataFrame, features: DataFrame, key: str) -> DataFrame:
 
     within = Window.partitionBy(key, "_span")
     both = both.withColumn("left", F.max("l").over(within.orderBy("at", "_point").rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("right", F.min("r").over(within.orderBy(F.desc("at"), F.desc("_point")).rowsBetween(Window.unboundedPreceding, 0)))
+    both = both.withColumn("right", F.min("r").over(within.orderBy(F.desc("at"), F.desc("_point")).rowsBetween(Window.unboundedPreceding, 0)))  # those behind the point
     met = both.where("_point").join(spans, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_span") == F.col("_of")), "left")
     left, right = F.greatest("left", "_l"), F.least("right", "_r")
     dist = lambda s: F.greatest(F.lit(0).cast("long"), s["fs"] - F.col("at"), F.col("at") - s["fe"]).alias("d")
@@ -76,15 +76,23 @@ def sequence_matrix(sequences: DataFrame, motif: str, flank: int) -> DataFrame:
 
 
 def intervals(reads: DataFrame, regions: DataFrame) -> DataFrame:
-    """Reads that overlap a region, each once."""
-    islands = merge_intervals(regions)
-    return reads.join(islands, (reads["contig"] == islands["contig"]) & (reads["st"] <= islands["en"]) & (reads["en"] >= islands["st"]), "left_semi")
+    """Reads that overlap a region, each once.
+
+    Regions are merged first.  Of disjoint regions a read can only meet the last one that
+    begins no later than it ends; that one is carried along in order of position, so
+    no read meets more than one region and no task holds a contig.
+    """
+    islands = merge_intervals(regions).select("contig", F.col("st").cast("long").alias("_at"), F.col("en").cast("long").alias("_reach"))
+    rows = reads.select("contig", F.col("en").cast("long").alias("_at"), F.struct(*reads.columns).alias("_read"))
+    both = rows.unionByName(islands, allowMissingColumns=True).withColumn("_is_read", F.col("_read").isNotNull())
+    met = running(both, ["contig"], ["_at", "_is_read"], "_last", F.when(~F.col("_is_read"), F.struct("_at", "_reach")), "max", span=span_of("_at"))
+    return met.where(F.col("_is_read") & (F.col("_last._reach") >= F.col("_read.st"))).select("_read.*")
 
 
-def merge_intervals(regions: DataFrame, gap: int = 0, keys: tuple[str, ...] = ("contig",)) -> DataFrame:
+def merge_intervals(regions: DataFrame, gap: int = 0, keys: tuple[str, ...] = ("contig",), span: int = SPAN) -> DataFrame:
     """Gaps and islands: intervals that touch, or lie within ``gap``, become one."""
-    w = Window.partitionBy(*keys).orderBy("st", "en")
-    reach = F.max("en").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = regions.withColumn("_new", F.when(reach.isNull() | (F.col("st") > reach + 1 + gap), 1).otherwise(0))
-    new = new.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = cut(regions.select(*keys, "st", "en"))
+    new = running(rows, list(keys), ["st", "en"], "_reach", F.col("en"), "max", before=True, span=span_of("st", span))
+    new = cut(new.select(*keys, "st", "en", F.when(F.col("_reach").isNull() | (F.col("st") > F.col("_reach") + 1 + gap), 1).otherwise(0).cast("long").alias("_new")))
+    new = running(new, list(keys), ["st", "en"], "_island", F.col("_new"), span=span_of("st", span))
     return new.groupBy(*keys, "_island").agg(F.min("st").alias("st"), F.max("en").alias("en")).drop("_island")

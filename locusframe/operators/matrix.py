@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusframe.operators.spans import ranked_all
+
 
 def long_form(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("row"), F.posexplode(vec_col).alias("col", "v")).select("row", "col", F.when(~F.isnan("v"), F.col("v").cast("double")).alias("v"))
@@ -14,6 +16,34 @@ def row_stats(m: DataFrame, key: str = "row") -> DataFrame:
     return m.groupBy(key).agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_pop("v"), 6).alias("sd"), F.round(F.sum("v"), 6).alias("total"))
 
 
+def spread(m: DataFrame, key: str = "row") -> DataFrame:
+    """Smallest, largest, population variance and number of missing cells of each row or column."""
+    return m.groupBy(key).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.round(F.var_pop("v"), 6).alias("variance"), F.count_if(F.col("v").isNull()).alias("missing"))
+
+
+def sum_all(m: DataFrame) -> DataFrame:
+    return m.agg(F.round(F.sum("v"), 4).alias("total"))
+
+
+def initial(n_rows: int, n_cols: int, value: float | None, like: DataFrame) -> DataFrame:
+    """A matrix of one value."""
+    spark = like.sparkSession
+    return spark.range(n_rows).withColumnRenamed("id", "row").select("row", F.explode(F.sequence(F.lit(0), F.lit(n_cols - 1))).alias("col"), F.lit(value).cast("double").alias("v"))
+
+
+def downscale_rows(m: DataFrame, n_in: int, n_out: int, smooth: int = 0) -> DataFrame:
+    """Fewer rows, as ``downscale`` does for columns; with ``smooth`` each is then the mean of
+    itself and so many on either side."""
+    f = n_in // n_out
+    own = F.expr(f"CAST(row div {f} AS BIGINT)")
+    cells = F.filter(F.array(own, F.when(F.col("row") % f == 0, own - 1)), lambda p: p.isNotNull() & (p >= 0) & (p < n_out))
+    out = m.select("col", F.explode(cells).alias("cell"), "v").groupBy("cell", "col").agg(F.avg("v").alias("v"))
+    if smooth:
+        near = F.sequence(F.greatest(F.col("cell") - smooth, F.lit(0).cast("long")), F.least(F.col("cell") + smooth, F.lit(n_out - 1).cast("long")))
+        out = out.select(F.explode(near).alias("cell"), "col", "v").groupBy("cell", "col").agg(F.avg("v").alias("v"))
+    return out.select("cell", "col", F.round("v", 6).alias("v"))
+
+
 def downscale(m: DataFrame, n_in: int, n_out: int) -> DataFrame:
     """Fewer columns: cell p is the mean of columns p f to (p + 1) f, both ends included, f = n_in div n_out."""
     f = n_in // n_out
@@ -27,8 +57,9 @@ def normalise(m: DataFrame) -> DataFrame:
     return m.withColumn("v", F.round(F.try_divide(F.col("v"), F.sum("v").over(Window.partitionBy("row"))), 6))
 
 
-def clip_columns(m: DataFrame, low: float, high: float) -> DataFrame:
-    return m.withColumn("v", F.greatest(F.lit(low), F.least(F.lit(high), F.col("v"))))
+def clip(m: DataFrame, low: float, high: float) -> DataFrame:
+    """Cells beyond the extremes take their value."""
+    return m.withColumn("v", F.when(F.col("v").isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), F.col("v")))))
 
 
 def fill(m: DataFrame, value: float) -> DataFrame:
@@ -56,10 +87,13 @@ def inverted(m: DataFrame, n_rows: int | Column, n_cols: int) -> DataFrame:
     return m.select((n_rows - 1 - F.col("row")).alias("row"), (n_cols - 1 - F.col("col")).alias("col"), "v")
 
 
-def sort_rows(m: DataFrame) -> DataFrame:
-    """Rank of rows by mean, rows without cells at -0.00001, ties by row."""
-    means = m.groupBy("row").agg(F.avg("v").alias("mean"))
-    return means.select("row", F.row_number().over(Window.orderBy(F.coalesce("mean", F.lit(-1e-5)), "row")).cast("long").alias("rank"))
+def sort_rows(m: DataFrame, means: DataFrame | None = None) -> DataFrame:
+    """Rank of rows by mean, rows without cells at -0.00001, ties by row; ``means`` (row, mean),
+    such as ``exp_weighted_mean``, takes the place of the plain mean."""
+    if means is None:
+        means = m.groupBy("row").agg(F.avg("v").alias("mean"))
+    keyed = means.select("row", F.coalesce(F.col("mean").cast("double"), F.lit(-1e-5)).alias("by"))
+    return ranked_all(keyed, ["by", "row"], "rank").select("row", "rank")
 
 
 def exp_weighted_mean(m: DataFrame, n_cols: int, floor: float, power: float) -> DataFrame:

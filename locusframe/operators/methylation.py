@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.functions import bases, draws, filters
+from locusframe.operators.spans import SPAN
+from locusframe.operators.windows import in_rows, own
 
 DEFAULT_CONTEXTS = ["HCG", "GCH", "HCA", "HCT", "HCC"]
 
@@ -89,12 +91,12 @@ def db_rows(cyt: DataFrame, min_reads: int = 1, min_level: float = 0.0) -> DataF
     return cyt.where(keep).select("contig", "pos", bases.strand_char(F.col("neg")).alias("strand"), total.alias("total"), "c", "c_nonconv", "t", "ag", "opp_tot", "opp_a", "ctx", F.round(level * 100, 6).alias("pct_meth"))
 
 
-def weights(cyt: DataFrame) -> DataFrame:
+def weights(cyt: DataFrame, span: int = SPAN) -> DataFrame:
     """Distance to the cytosine before; a minus one right after a plus one takes the plus one's."""
-    w = Window.partitionBy("contig").orderBy("pos")
+    dealt, w = in_rows(cyt, 2, span=span)
     p1, p2 = F.lag("pos", 1).over(w), F.lag("pos", 2).over(w)
     pair = (F.col("pos") - p1 == 1) & F.col("neg") & ~F.lag("neg", 1).over(w)
-    return cyt.withColumn("weight", F.when(p1.isNull(), None).when(pair, p1 - p2).otherwise(F.col("pos") - p1))
+    return own(dealt.withColumn("weight", F.when(p1.isNull(), None).when(pair, p1 - p2).otherwise(F.col("pos") - p1)))
 
 
 def clamp_weight(weight):
@@ -102,13 +104,20 @@ def clamp_weight(weight):
     return F.when((weight < 0) | (weight > 5000), 100).otherwise(weight) / 2
 
 
-def summarise(rows: DataFrame, keys: list[str], value, weight=None) -> DataFrame:
-    """Count, mean, weighted mean, population deviation, smallest and largest of a value."""
+def count_cytosines(cyt: DataFrame, keys: list[str] | None = None, keep: Column | None = None, more: dict[str, Column] | None = None) -> DataFrame:
+    """How many cytosines, by the keys; ``more``: aggregates of one's own."""
+    rows = cyt if keep is None else cyt.where(keep)
+    return rows.groupBy(*(keys or [])).agg(F.count("*").alias("n"), *[c.alias(name) for name, c in (more or {}).items()])
+
+
+def summarise(rows: DataFrame, keys: list[str], value, weight=None, more: dict[str, Column] | None = None) -> DataFrame:
+    """Count, mean, weighted mean, population deviation, smallest and largest of a value;
+    ``more``: summaries of one's own, by name."""
     aggs = [F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_pop(value), 6).alias("sd"), F.round(F.min(value), 6).alias("low"), F.round(F.max(value), 6).alias("high")]
     if weight is not None:
         use = (weight > 0) & value.isNotNull()
         aggs.insert(2, F.round(F.try_divide(F.sum(F.when(use, weight * value)), F.sum(F.when(use, weight)).cast("double")), 6).alias("weighted_mean"))
-    return rows.groupBy(*keys).agg(*aggs)
+    return rows.groupBy(*keys).agg(*aggs, *[c.alias(name) for name, c in (more or {}).items()])
 
 
 def composite(cyt: DataFrame, keys: list[str], counters: tuple[str, ...] = ("c", "c_nonconv", "t", "ag", "opp_tot", "opp_a")) -> DataFrame:

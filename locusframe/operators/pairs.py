@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusframe.operators.features import overlap
+
 
 def near_pairs(left: DataFrame, right: DataFrame, width: int, keys: list[str], within: Column | None = None) -> DataFrame:
     """Rows a of left and b of right with equal keys and 0 < b.pos - a.pos < width.
@@ -77,8 +79,55 @@ def by_context(cr: DataFrame, width: int, origin: str, target: str) -> DataFrame
 
 def across_boundary(cr: DataFrame, features: DataFrame, width: int) -> DataFrame:
     """Same-read pairs with exactly one cytosine in a feature, by the outer one's distance to the feature's edge."""
-    flagged = cr.join(F.broadcast(features.select("fs", "fe")), F.col("pos").between(F.col("fs"), F.col("fe")), "left")
-    flagged = flagged.groupBy("contig", "pos", "rd", "meth").agg(F.min("fs").alias("fs"), F.max("fe").alias("fe"))
+    sites = cr.select("pos").distinct()
+    inside = overlap(sites, features.select("fs", "fe")).groupBy("pos").agg(F.min("fs").alias("fs"), F.max("fe").alias("fe"))
+    flagged = cr.select("contig", "pos", "rd", "meth").join(inside, "pos", "left")
     p = near_pairs(flagged, flagged, width, ["contig", "rd"]).where(F.col("a_fs").isNotNull() != F.col("b_fs").isNotNull())
     edge = F.when(F.col("a_fs").isNull(), F.col("b_fs") - F.col("a_pos")).otherwise(F.col("b_pos") - F.col("a_fe"))
     return histogram(p.withColumn("dist", edge))
+
+
+def same_strand(equal: bool = True) -> Column:
+    """Pairs on one strand, or on both; for ``near_pairs``' ``within``, of cytosines with ``neg``."""
+    return (F.col("a_neg") == F.col("b_neg")) if equal else (F.col("a_neg") != F.col("b_neg"))
+
+
+def midpoint() -> Column:
+    """Whole middle of a pair, halves up, exact at any position."""
+    return F.expr("(a_pos + b_pos + 1) div 2")
+
+
+#: Conditions of the cube: bits of a pair's mask.
+SAME_READ, OTHER_READ, ONE_STRAND, TWO_STRANDS = 1, 2, 4, 8
+
+
+def condition_cube(cr: DataFrame, width: int, origin: str = "WCG", target: str = "GCH") -> DataFrame:
+    """Pairs from one context to another, in either order of position, under all conditions at
+    once: ``reads`` (same, different), ``strands`` (any, same, opposite), the methylation of
+    both ends (``first``, ``second``), ``dist`` and ``n``.
+
+    Cytosines of both contexts meet once, summed up by position before they do: the pairs
+    of different reads are all pairs less those on one read, which meet by read.  Each row
+    carries a mask of its conditions and is summed by it before the conditions are spread out.
+    """
+    a, b = cr.where(F.col("ctx") == origin), cr.where(F.col("ctx") == target)
+    level = lambda df: df.groupBy("contig", "pos", "neg").agg(F.count_if("meth").alias("m"), F.count_if(~F.col("meth")).alias("u"))
+    counts = F.array(*[F.struct(F.lit(x == "m").alias("first"), F.lit(y == "m").alias("second"), (F.col(f"a_{x}") * F.col(f"b_{y}")).alias("n")) for x in "mu" for y in "mu"])
+    strands = F.when(F.col("a_neg") == F.col("b_neg"), ONE_STRAND).otherwise(TWO_STRANDS)
+
+    def both_ways(left: DataFrame, right: DataFrame, keys: list[str], rows: list[Column]) -> DataFrame:
+        turn = {f"{x}_{c}": F.col(f"{y}_{c}") for x, y in ("ab", "ba") for c in left.columns}
+        ahead = near_pairs(left, right, width, keys)
+        behind = near_pairs(right, left, width, keys).withColumns(turn)
+        return ahead.unionByName(behind).select("dist", *rows)
+
+    everywhere = both_ways(level(a), level(b), ["contig"], [strands.alias("mask"), F.inline(counts)])
+    own = [c for c in ("contig", "pos", "neg", "rd", "meth")]
+    one = F.lit(1).cast("long").alias("n")
+    same = both_ways(a.select(*own), b.select(*own), ["contig", "rd"], [strands.alias("mask"), F.col("a_meth").alias("first"), F.col("b_meth").alias("second"), one])
+    parts = everywhere.withColumn("mask", F.col("mask") + OTHER_READ).unionByName(same.withColumn("mask", F.col("mask") + OTHER_READ).withColumn("n", -F.col("n"))).unionByName(same.withColumn("mask", F.col("mask") + SAME_READ))
+    sums = parts.groupBy("dist", "mask", "first", "second").agg(F.sum("n").alias("n"))
+    has = lambda bit: F.col("mask").bitwiseAND(F.lit(bit)) != 0
+    kinds = F.array(F.lit("any"), F.when(has(ONE_STRAND), "same").otherwise("opposite"))
+    out = sums.select(F.when(has(SAME_READ), "same").otherwise("different").alias("reads"), F.explode(kinds).alias("strands"), "first", "second", "dist", "n")
+    return out.groupBy("reads", "strands", "first", "second", "dist").agg(F.sum("n").alias("n")).where("n > 0")

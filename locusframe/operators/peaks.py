@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.operators.spans import SPAN, running, span_of, with_halo
@@ -262,6 +262,13 @@ def rpkm_diff(regions: DataFrame, bins: DataFrame, totals: DataFrame) -> DataFra
     return out.select("contig", "region", F.col("n").alias("n_samples"), F.round(score, 6).alias("score"))
 
 
+def scored(bins: DataFrame, region: Column, value: Column, score: Column) -> DataFrame:
+    """A score strategy of one's own: ``value``, an aggregate of a region's bins in each
+    sample, and ``score``, an aggregate of these over the samples."""
+    per = bins.groupBy("contig", region.alias("region"), "sample").agg(value.alias("value"))
+    return per.groupBy("contig", "region").agg(F.count("*").alias("n_samples"), score.alias("score"))
+
+
 def simple_diff(peaks: DataFrame, region) -> DataFrame:
     """Heights of even samples minus those of odd ones, samples in order of name."""
     order = peaks.select("sample").distinct().withColumn("i", F.dense_rank().over(Window.orderBy("sample")) - 1)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.functions import draws
+from locusframe.operators.spans import ranked_all
 
 
 def counter(reads: DataFrame) -> DataFrame:
@@ -53,7 +54,7 @@ def read_length(cigar: DataFrame, skip: int = 1, order: str = "name") -> DataFra
     length = F.when(bad, F.raise_error(F.lit("unknown CIGAR operation")).cast("int")).otherwise(total("SHMDPI", lambda x: x["len"]))
     out = cigar.withColumn("length", length).withColumn("events", total("SH", lambda _: F.lit(1))).withColumn("clipped", total("SH", lambda x: x["len"]))
     if skip > 1:
-        out = out.withColumn("_i", F.row_number().over(Window.orderBy(order))).where(F.col("_i") % skip == 0)
+        out = ranked_all(out, [order], "_i").where(F.col("_i") % skip == 0)
     return length_summary(out)
 
 
@@ -118,4 +119,4 @@ def fix_pair_flags(reads: DataFrame) -> DataFrame:
 
 
 def every_nth(rows: DataFrame, n: int, order: str) -> DataFrame:
-    return rows.withColumn("_i", F.row_number().over(Window.orderBy(order))).where(F.col("_i") % n == 0).drop("_i")
+    return ranked_all(rows, [order], "_i").where(F.col("_i") % n == 0).drop("_i")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusframe.sources.shared import cut
+
 SPAN = 1 << 16
 
 
@@ -40,6 +42,16 @@ def ranked(df: DataFrame, keys: list[str], order: list[str | Column], out: str,
     return running(df, keys, order, out, F.lit(1).cast("long"), span=span)
 
 
+def ranked_all(df: DataFrame, order: list[str | Column], out: str) -> DataFrame:
+    """Add ``out``: the row's number among all rows, from 1, equal ones in any order.
+
+    Rows are dealt by ranges of the order and written, so that their parts stay; parts are
+    counted and each gets the rows before it as an offset.  No window is without a key.
+    """
+    parts = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    return running(parts, [], order, out, F.lit(1).cast("long"), span=F.col("_part")).drop("_part")
+
+
 def with_halo(df: DataFrame, keys: list[str], rank: str, back: int, ahead: int = 0, span: int = SPAN) -> DataFrame:
     """Rows dealt over spans of ranks (from 1) as ``_s``, the ``back`` last rows before a span and
     the ``ahead`` first ones behind it also with it; ``_own`` tells a span's own rows.

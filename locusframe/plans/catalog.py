@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusframe.functions import bases, draws, filters
-from locusframe.operators import alignment, coverage, cytosines, features, matrix, methylation, nucleosome, pairs, peaks, reads, windows
-from locusframe.plans import views
+from locusframe.operators import alignment, contexts, coverage, cytosines, features, matrix, methylation, nucleosome, pairs, peaks, reads, windows
+from locusframe.plans import views, walkers
 from locusframe.plans.views import with_views
 from locusframe.sources import bam, sinks
 from locusframe.sources.shared import cut, fresh
@@ -28,11 +28,20 @@ K, DUP_P, TRIALS = 6, 0.25, 3
 CONTEXTS = ["HCG", "GCH", "HCA", "HCT", "HCC"]
 FIXED_W, FIXED_N, VAR_K, VAR_STRETCH = 800, 3, 8, 1500
 PAIR_W = 200
+CUBE_W = 40
 FLANK, FEATURE_BIN = 200, 20
 MOTIF, MOTIF_FLANK = "ACG", 5
 PEAK_BIN = 10
 
 
+# what the ambiguity letters of the patterns match, written out
+REGEX = {"HCG": "^[ACT]CG$", "GCH": "^GC[ACT]$", "HCA": "^[ACT]CA$", "HCT": "^[ACT]CT$", "HCC": "^[ACT]CC$", "HCH": "^[ACT]C[ACT]$", "GCG": "^GCG$"}
+
+
+def cases(*patterns: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(ctx, '{REGEX[p]}') THEN '{p}'" for p in patterns) + " END"
+
+
 def query(sql: str | None = None, views_: tuple[str, ...] = (), name: str = ""):
     """Register a query and, with ``sql``, its counterpart over the named views."""
 
@@ -93,6 +102,34 @@ def bin_depths_parity(spark, sf_dir):
     return coverage.bins(runs(spark, sf_dir), BIN, drop_last=True)
 
 
+MEANS = f"""{LOCI}, wm AS (SELECT contig, (pos - 1) // {BIN} AS bin, round(avg(depth), 6) AS mean_depth FROM loci GROUP BY 1, 2)"""
+CARRIED = f"""{LOCI}, ce AS (SELECT contig, len // {BIN} AS ends FROM v_contigs), cb AS (SELECT contig, coalesce(sum(ends) OVER (ORDER BY contig ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base, sum(ends) OVER () AS windows FROM ce),
+wm AS (SELECT base + pos // {BIN} AS window_, round(avg(depth), 6) AS mean_depth FROM loci JOIN cb ON cb.contig = loci.contig WHERE base + pos // {BIN} < windows GROUP BY 1)"""
+STATS_SQL = "SELECT count(*) AS n, round(avg(mean_depth), 5) AS mean, round(max(mean_depth), 5) AS most, round(stddev_samp(mean_depth), 5) AS sd FROM wm"
+WINDOW_LADDER = f"""h AS (SELECT CAST(floor(100 * mean_depth + 0.5) AS BIGINT) AS v, count(*) AS n FROM wm GROUP BY 1), c AS (SELECT v, sum(n) OVER (ORDER BY v) AS cum, sum(n) OVER () AS total FROM h)
+SELECT CAST(p.p AS INT) AS pct, min(v) / 100 AS depth FROM c, generate_series({LADDER}, 98, {LADDER}) AS p(p) WHERE cum * 100 > total * p.p GROUP BY p.p"""
+
+
+@query(f"{MEANS} {STATS_SQL}", ("v_contigs",))
+def bin_depths_stats(spark, sf_dir):
+    return coverage.window_stats(coverage.bins(runs(spark, sf_dir), BIN))
+
+
+@query(f"{MEANS}, {WINDOW_LADDER}", ("v_contigs",))
+def bin_depths_window_percentiles(spark, sf_dir):
+    return coverage.window_ladder(coverage.bins(runs(spark, sf_dir), BIN), LADDER)
+
+
+@query(f"{CARRIED} {STATS_SQL}", ("v_contigs",))
+def bin_depths_carried_stats(spark, sf_dir):
+    return coverage.window_stats(coverage.carried_windows(runs(spark, sf_dir), views.contigs(spark, sf_dir), BIN))
+
+
+@query(f"{CARRIED}, {WINDOW_LADDER}", ("v_contigs",))
+def bin_depths_carried_percentiles(spark, sf_dir):
+    return coverage.window_ladder(coverage.carried_windows(runs(spark, sf_dir), views.contigs(spark, sf_dir), BIN), LADDER)
+
+
 @query(f"{LOCI}, {LADDER_SQL}", ("v_contigs",))
 def bin_depths_percentiles(spark, sf_dir):
     return coverage.ladder(coverage.histogram(runs(spark, sf_dir)), LADDER)
@@ -264,7 +301,7 @@ def every_nth(spark, sf_dir):
 # ---- bases and contexts ---------------------------------------------------------------
 
 
-@query(f"SELECT pattern, count(*) AS n FROM (SELECT {bases.iupac_cases('ctx', CONTEXTS)} AS pattern FROM v_cyt) GROUP BY pattern", ("v_cyt",))
+@query(f"SELECT pattern, count(*) AS n FROM (SELECT {cases(*CONTEXTS)} AS pattern FROM v_cyt) GROUP BY pattern", ("v_cyt",))
 def iupac_match(spark, sf_dir):
     return methylation.with_pattern(views.cytosines(spark, sf_dir), CONTEXTS).groupBy("pattern").agg(F.count("*").alias("n"))
 
@@ -378,12 +415,81 @@ def bam_engine_filters(spark, sf_dir):
     return found.groupBy("contig").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start") + 1).alias("bases"), F.sum(F.col("attrs")["NH"].cast("long")).alias("hits"))
 
 
+# Counts around cytosines: reads of the cytosine's strand, two bases to either side.  In the
+# SQL a read's neighbours are the rows before and after it in the cytosine's direction.
+SITES = f"""{LAID}, si AS (SELECT contig, base + i AS pos, substr(seq, i, 1) = 'G' AS cneg, CASE WHEN substr(seq, i, 1) = 'G' THEN translate(substr(seq, i + 1, 1), 'ACGT', 'TGCA') ELSE nullif(substr(seq, i - 1, 1), '') END AS prev_ref,
+CASE WHEN substr(seq, i, 1) = 'G' THEN translate(substr(seq, i - 1, 1), 'ACGT', 'TGCA') ELSE substr(seq, i + 1, 1) END AS next_ref FROM (SELECT *, unnest(generate_series(2, length(seq) - 1)) AS i FROM s) WHERE substr(seq, i, 1) IN ('C', 'G')),
+la AS (SELECT *, [lag(base, 2) OVER x, lag(base) OVER x, lead(base) OVER x, lead(base, 2) OVER x] AS four FROM b WINDOW x AS (PARTITION BY contig, name ORDER BY o)),
+cx AS (SELECT si.contig, si.pos, cneg AS neg, prev_ref, next_ref, CASE WHEN cneg THEN [translate(four[4], 'ACGT', 'TGCA'), translate(four[3], 'ACGT', 'TGCA'), translate(four[2], 'ACGT', 'TGCA'), translate(four[1], 'ACGT', 'TGCA')] ELSE four END AS f
+  FROM la JOIN si ON si.contig = la.contig AND si.pos = la.pos AND si.cneg = (la.neg <> la.second)),
+cn AS (SELECT contig, pos, neg, prev_ref, next_ref, {', '.join(f"count(*) FILTER (f[{i}] = '{b}') AS {k}_{b.lower()}" for i, k in ((1, 'b2'), (2, 'b1'), (3, 'a1'), (4, 'a2')) for b in 'ACGT')} FROM cx GROUP BY ALL)"""
+
+
+def agreed(k: str, ref: str | None) -> str:
+    common = f"CASE WHEN {k}_a >= greatest({k}_c, {k}_g, {k}_t) THEN 'A' WHEN {k}_c >= greatest({k}_g, {k}_t) THEN 'C' WHEN {k}_g >= {k}_t THEN 'G' ELSE 'T' END"
+    base = common if ref is None else f"CASE WHEN coalesce({ref}, 'N') <> 'N' THEN {ref} ELSE {common} END"
+    of = f"CASE {base} WHEN 'A' THEN {k}_a WHEN 'C' THEN {k}_c + {k}_t WHEN 'G' THEN {k}_g ELSE {k}_t END"
+    return f"CASE WHEN {k}_a + {k}_c + {k}_g + {k}_t = 0 OR CAST({of} AS DOUBLE) / ({k}_a + {k}_c + {k}_g + {k}_t) >= 0.899 THEN {base} ELSE 'N' END"
+
+
+def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts two bases to either side of the inner cytosines of the placed sequences."""
+    one = views.placed(spark, sf_dir).select("contig", "start", "seq", F.explode(F.expr("filter(sequence(2, length(seq) - 1), i -> length(seq) > 2 AND substring(seq, i, 1) IN ('C', 'G'))")).alias("i"))
+    at = lambda by: F.substring(F.col("seq"), F.col("i") + by, F.lit(1))
+    neg = at(0) == "G"
+    sites = one.select("contig", (F.col("start") + F.col("i") - 1).alias("pos"), neg.alias("neg"), F.when(neg, bases.complement(at(1))).otherwise(at(-1)).alias("prev_ref"), F.when(neg, bases.complement(at(-1))).otherwise(at(1)).alias("next_ref"))
+    return contexts.counts(contexts.around(views.aligned(spark, sf_dir), 2), sites, 2)
+
+
+@query(f"{SITES} SELECT contig, CAST(pos AS BIGINT) AS pos, neg, {agreed('b2', None)} || {agreed('b1', 'prev_ref')} || 'C' || {agreed('a1', 'next_ref')} || {agreed('a2', None)} AS context FROM cn", ("v_seq",))
+def consensus_strings(spark, sf_dir):
+    return counted(spark, sf_dir).select("contig", "pos", "neg", contexts.consensus(2, 2, F.col("prev_ref"), F.col("next_ref")).alias("context"))
+
+
+NEXT = "(a1_a + a1_c + a1_g + a1_t)"
+
+
+@query(
+    f"""{SITES} SELECT contig, neg, count(*) AS n, CAST(sum(a1_a + a1_c + a1_t) AS BIGINT) AS next_h, CAST(sum(b1_c + b1_t) AS BIGINT) AS prev_y, round(avg(CASE WHEN {NEXT} > 0 THEN a1_g / {NEXT} END), 6) AS next_g, round(avg(CASE WHEN b1_a + b1_c + b1_g + b1_t > 0 THEN b1_g / (b1_a + b1_c + b1_g + b1_t) END), 6) AS prev_g
+FROM cn WHERE CASE WHEN {NEXT} > 0 THEN a1_g / {NEXT} >= 0.101 ELSE next_ref = 'G' END GROUP BY 1, 2""",
+    ("v_seq",),
+)
+def context_ratios(spark, sf_dir):
+    kept = counted(spark, sf_dir).where(contexts.passes_cph(F.col("next_ref"), False))
+    sums = [F.sum(contexts.h_count(1)).alias("next_h"), F.sum(contexts.y_count(-1)).alias("prev_y")]
+    return kept.groupBy("contig", "neg").agg(F.count("*").alias("n"), *sums, F.round(F.avg(contexts.share(1, "G")), 6).alias("next_g"), F.round(F.avg(contexts.share(-1, "G")), 6).alias("prev_g"))
+
+
+CALLED = f"""{WALKED}, ca AS (SELECT contig, pos, neg, mode(CASE WHEN context NOT LIKE '%N%' THEN context END) AS context, count(*) FILTER (rb = 'C') AS c FROM x GROUP BY contig, pos, neg),
+qu AS (SELECT * FROM ca WHERE c >= 1 AND regexp_matches(context, '^[ACT]C[ACT]$')),
+fl AS (SELECT q.contig, q.pos, q.neg, q.c, g.g AS off, CASE WHEN q.neg THEN translate(r.base, 'ACGT', 'TGCA') ELSE r.base END AS base FROM qu q, generate_series(-5, 4) AS g(g),
+  (SELECT contig, base + i AS pos, substr(seq, i, 1) AS base FROM (SELECT *, unnest(generate_series(1, length(seq))) AS i FROM s)) r WHERE r.contig = q.contig AND r.pos = CASE WHEN q.neg THEN q.pos - g.g ELSE q.pos + g.g END)"""
+
+
+def called(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    s = views.placed(spark, sf_dir)
+    ref = s.where("length(seq) > 0").select("contig", F.col("start").alias("chunk_start"), "seq")
+    calls = alignment.read_cytosines(views.aligned(spark, sf_dir), ref)
+    known = F.max(F.when(~F.col("context").contains("N"), F.col("context")))  # one context a position
+    return calls.groupBy("contig", "pos", "neg").agg(known.alias("context"), F.sum("c").alias("c")), ref
+
+
+@query(f"{CALLED} SELECT CAST(off AS INT) AS \"offset\", count(*) FILTER (base = 'A') AS a, count(*) FILTER (base = 'C') AS c, count(*) FILTER (base = 'G') AS g, count(*) FILTER (base = 'T') AS t FROM fl GROUP BY 1", ("v_seq",))
+def call_matrix(spark, sf_dir):
+    return contexts.call_matrix(*called(spark, sf_dir), up=5, down=4, min_meth=1)
+
+
+@query(f"{CALLED} SELECT '> ' || contig || '-' || pos || CASE WHEN neg THEN '-' ELSE '+' END || ':' || any_value(c) || 'm' || chr(10) || string_agg(base, '' ORDER BY off) AS value FROM fl GROUP BY contig, pos, neg", ("v_seq",))
+def call_fasta(spark, sf_dir):
+    return sinks.fasta_lines(contexts.call_sequences(*called(spark, sf_dir), up=5, down=4, min_meth=1)).select("value")
+
+
 # ---- methylation ----------------------------------------------------------------------
 
 LEVEL = "CASE WHEN c + c_nonconv + t = 0 THEN NULL ELSE CAST(c + c_nonconv AS DOUBLE) / (c + c_nonconv + t) END"
 PLAIN = "CASE WHEN c + t = 0 THEN NULL ELSE CAST(c AS DOUBLE) / (c + t) END"
-PAT = bases.iupac_cases("ctx", CONTEXTS)
-PAT2 = bases.iupac_cases("ctx", ["HCG", "GCH"])
+PAT = cases(*CONTEXTS)
+PAT2 = cases("HCG", "GCH")
 
 
 @query(f"SELECT pattern, count(level) AS n, round(avg(level) * 100, 6) AS mean_pct FROM (SELECT {PAT} AS pattern, {LEVEL} AS level FROM v_cyt) WHERE pattern IS NOT NULL GROUP BY pattern", ("v_cyt",))
@@ -449,7 +555,7 @@ def frac_meth_finder(spark, sf_dir):
     return methylation.find_reads(views.cytosines(spark, sf_dir), range1=(0.4, 1.0), range2=(0.0, 0.6))
 
 
-HIDDEN = bases.iupac_cases("ctx", ["HCH", "GCG"])
+HIDDEN = cases("HCH", "GCG")
 
 
 @query(f"SELECT contig, pos, ctx, CASE WHEN neg THEN -1 ELSE 1 END AS strand, CAST(floor(100 * level + 0.5) AS INT) AS value, c + t AS n_reads FROM (SELECT *, {PLAIN} AS level, {HIDDEN} AS hid FROM v_cyt) WHERE hid IS NULL AND level IS NOT NULL", ("v_cyt",))
@@ -568,6 +674,27 @@ def window_bedgraph(spark, sf_dir):
     return windows.bedgraph(windows.variable(weighted(spark, sf_dir), VAR_K, VAR_STRETCH))
 
 
+CONDITIONS = {"HCG": "ctx IN ('ACG', 'TCG')", "GCH": "ctx IN ('GCA', 'GCT')"}
+
+
+def condition_sql(by: str) -> str:
+    """Windows of each condition: cytosines of the condition, or all for each."""
+    return f"""{WEIGHTED}, cw AS (SELECT k.cond AS condition, w.* FROM w, (SELECT unnest(['HCG', 'GCH']) AS cond) k WHERE {by}),
+v AS (SELECT condition, contig, lag(pos, {VAR_K - 1}) OVER o AS start, lag(pos, {VAR_K}) OVER o AS before, pos AS "end", round(sum(CASE WHEN {USE} THEN level * weight END) OVER r / sum(CASE WHEN {USE} THEN weight END) OVER r, 6) AS mean
+FROM cw WINDOW o AS (PARTITION BY condition, contig ORDER BY pos), r AS (PARTITION BY condition, contig ORDER BY pos ROWS BETWEEN {VAR_K - 1} PRECEDING AND CURRENT ROW))
+SELECT condition, contig, start, "end", mean FROM v WHERE "end" - before < 3 * {VAR_STRETCH}"""
+
+
+@query(condition_sql("(cond = 'HCG' AND ctx IN ('ACG', 'TCG')) OR (cond = 'GCH' AND ctx IN ('GCA', 'GCT'))"), ("v_cyt",))
+def window_by_condition(spark, sf_dir):
+    return windows.by_condition(weighted(spark, sf_dir), {k: F.expr(v) for k, v in CONDITIONS.items()}, VAR_K, 3 * VAR_STRETCH)
+
+
+@query(condition_sql("true"), ("v_cyt",))
+def window_by_condition_parity(spark, sf_dir):
+    return windows.by_condition(weighted(spark, sf_dir), {k: F.expr(v) for k, v in CONDITIONS.items()}, VAR_K, 3 * VAR_STRETCH, parity=True)
+
+
 # ---- pairs ----------------------------------------------------------------------------
 
 SIX = "count(*) FILTER (a) AS n_m, count(*) FILTER (NOT a) AS n_u, count(*) FILTER (a AND b) AS n_mm, count(*) FILTER (a AND NOT b) AS n_mu, count(*) FILTER (NOT a AND b) AS n_um, count(*) FILTER (NOT a AND NOT b) AS n_uu"
@@ -610,6 +737,30 @@ def pairs_across_boundary(spark, sf_dir):
     return pairs.across_boundary(views.cytosine_reads(spark, sf_dir), views.features(spark, sf_dir), PAIR_W)
 
 
+STRANDED = "SELECT *, pos % 5 < 2 AS neg FROM v_cr WHERE ctx IN ('WCG', 'GCH')"
+
+
+@query(
+    f"""WITH s AS ({STRANDED}), p AS (SELECT abs(y.pos - x.pos) - 1 AS dist, x.rd = y.rd AS same, x.neg = y.neg AS strand, x.meth AS first, y.meth AS second FROM s x JOIN s y ON x.contig = y.contig AND x.ctx = 'WCG' AND y.ctx = 'GCH' AND y.pos <> x.pos AND abs(y.pos - x.pos) < {CUBE_W}),
+e AS (SELECT CASE WHEN same THEN 'same' ELSE 'different' END AS reads, unnest(['any', CASE WHEN strand THEN 'same' ELSE 'opposite' END]) AS strands, first, second, dist FROM p)
+SELECT reads, strands, first, second, dist, count(*) AS n FROM e GROUP BY ALL""",
+    ("v_cr",),
+)
+def pairs_condition_cube(spark, sf_dir):
+    return pairs.condition_cube(views.cytosine_reads(spark, sf_dir).withColumn("neg", F.col("pos") % 5 < 2), CUBE_W)
+
+
+@query(
+    f"""WITH s AS ({STRANDED}) SELECT x.neg AS a_neg, (x.pos + y.pos + 1) // 2 // 50 AS region, count(*) AS n, count(*) FILTER (x.meth = y.meth) AS agree
+FROM s x JOIN s y ON x.contig = y.contig AND x.rd = y.rd AND y.pos > x.pos AND y.pos - x.pos < {PAIR_W} AND x.neg <> y.neg GROUP BY 1, 2""",
+    ("v_cr",),
+)
+def pairs_opposite_strand(spark, sf_dir):
+    cr = views.cytosine_reads(spark, sf_dir).where("ctx IN ('WCG', 'GCH')").withColumn("neg", F.col("pos") % 5 < 2)
+    p = pairs.near_pairs(cr, cr, PAIR_W, ["contig", "rd"], pairs.same_strand(False))
+    return p.groupBy("a_neg", F.floor(pairs.midpoint() / 50).alias("region")).agg(F.count("*").alias("n"), F.count_if(F.col("a_meth") == F.col("b_meth")).alias("agree"))
+
+
 # ---- features -------------------------------------------------------------------------
 
 OFFSET = "floor(CAST(CASE WHEN strand = '-' THEN fe - pos ELSE pos - fs END AS DOUBLE) / " + str(FEATURE_BIN) + ")"
@@ -632,14 +783,24 @@ def feature_alignment_reads(spark, sf_dir):
     return features.profile(points, views.features(spark, sf_dir), FLANK, FEATURE_BIN, F.col("v"), ["pattern"])
 
 
-@query(
-    """WITH d AS (SELECT c.pos AS pid, c.pos % 3 AS grp, c.pos, f.fid, greatest(0, fs - c.pos, c.pos - fe) AS distance FROM v_cyt c JOIN v_features f ON f.grp = c.pos % 3)
-SELECT pid, grp, pos, CAST(min(fid) AS BIGINT) AS fid, CAST(min(distance) AS BIGINT) AS distance FROM (SELECT *, min(distance) OVER (PARTITION BY pid) AS best FROM d) WHERE distance = best GROUP BY pid, grp, pos""",
-    ("v_cyt", "v_features"),
-)
-def nearest_feature(spark, sf_dir):
+def nearest_sql(end: str) -> str:
+    return f"""WITH f AS (SELECT fid, grp, fs, {end} AS fe FROM v_features), d AS (SELECT c.pos AS pid, c.pos % 3 AS grp, c.pos, f.fid, f.fe, greatest(0, fs - c.pos, c.pos - f.fe) AS distance FROM v_cyt c JOIN f ON f.grp = c.pos % 3)
+SELECT pid, grp, pos, CAST(fid AS BIGINT) AS fid, CAST(distance AS BIGINT) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY distance, CASE WHEN distance = 0 THEN -fe END, fid) AS k FROM d) WHERE k = 1"""
+
+
+def nearest(spark: SparkSession, sf_dir: str, end: str) -> DataFrame:
     points = views.cytosines(spark, sf_dir).select(F.col("pos").alias("pid"), (F.col("pos") % 3).alias("grp"), "pos")
-    return features.nearest(points, views.features(spark, sf_dir), "grp")
+    return features.nearest(points, views.features(spark, sf_dir).withColumn("fe", F.expr(end)), "grp")
+
+
+@query(nearest_sql("fe"), ("v_cyt", "v_features"))
+def nearest_feature(spark, sf_dir):
+    return nearest(spark, sf_dir, "fe")
+
+
+@query(nearest_sql("fs + fid * 37 % 900"), ("v_cyt", "v_features"))
+def nearest_feature_nested(spark, sf_dir):
+    return nearest(spark, sf_dir, "fs + fid * 37 % 900")
 
 
 @query(
@@ -709,6 +870,52 @@ def sort_rows_by_mean(spark, sf_dir):
     return matrix.sort_rows(cells(spark, sf_dir))
 
 
+@query(f"{CELLS}, r AS (SELECT \"row\", round(sum(v * (greatest(abs(col - 31.5::DOUBLE), 2.0::DOUBLE) ** -1.0) / (2.0::DOUBLE ** -1.0)) / count(v), 6) AS mean FROM m GROUP BY \"row\") SELECT \"row\", row_number() OVER (ORDER BY coalesce(mean, -1e-5), \"row\") AS rank FROM r")
+def sort_rows_by_weighted_mean(spark, sf_dir):
+    m = cells(spark, sf_dir)
+    return matrix.sort_rows(m, matrix.exp_weighted_mean(m, 64, 2.0, -1.0))
+
+
+# cells between -0.05 and 0.05 are missing
+HOLES = CELLS + ", x AS (SELECT \"row\", col, CASE WHEN abs(v) >= 0.05 THEN v END AS v FROM m)"
+
+
+def holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells(spark, sf_dir).withColumn("v", F.when(F.abs("v") >= 0.05, F.col("v")))
+
+
+@query(f'{HOLES} SELECT "row", min(v) AS low, max(v) AS high, round(var_pop(v), 6) AS variance, count(*) FILTER (v IS NULL) AS missing FROM x GROUP BY "row"')
+def matrix_spread(spark, sf_dir):
+    return matrix.spread(holes(spark, sf_dir))
+
+
+@query(f"{HOLES} SELECT round(sum(v), 4) AS total FROM x")
+def matrix_sum_all(spark, sf_dir):
+    return matrix.sum_all(holes(spark, sf_dir))
+
+
+@query(f'{HOLES} SELECT CAST(col AS INT) AS "row", "row" AS col, round(CASE WHEN v IS NULL THEN 0.0::DOUBLE ELSE greatest(-0.1, least(0.1, v)) END, 6) AS v FROM x')
+def matrix_clip_fill_transpose(spark, sf_dir):
+    return matrix.transpose(matrix.fill(matrix.clip(holes(spark, sf_dir), -0.1, 0.1), 0.0)).select("row", "col", F.round("v", 6).alias("v"))
+
+
+@query(f'{HOLES}, y AS (SELECT "row", col, round(coalesce((x.v + m.v) / 2, m.v), 6) AS mean, round(x.v * m.v, 6) AS product, round(x.v / m.v, 6) AS quotient FROM x JOIN m USING ("row", col)) SELECT "row", CAST(col AS INT) AS col, mean, product, quotient FROM y')
+def matrix_arithmetic(spark, sf_dir):
+    x, m = holes(spark, sf_dir), cells(spark, sf_dir)
+    each = [matrix.combine(x, m, op).select("row", "col", F.round("v", 6).alias(name)) for op, name in (("mean", "mean"), ("mul", "product"), ("div", "quotient"))]
+    return each[0].join(each[1], ["row", "col"]).join(each[2], ["row", "col"])
+
+
+def scaled(smooth: int) -> str:
+    return f"""{CELLS}, d AS (SELECT p.p AS cell, col, avg(v) AS v FROM m, generate_series(0, 9) AS p(p) WHERE "row" BETWEEN p.p * 20 AND (p.p + 1) * 20 GROUP BY 1, 2)
+SELECT a.cell AS cell, CAST(a.col AS INT) AS col, round(avg(b.v), 6) AS v FROM d a JOIN d b ON b.col = a.col AND abs(b.cell - a.cell) <= {smooth} GROUP BY 1, 2"""
+
+
+@query(scaled(1))
+def matrix_downscale_rows(spark, sf_dir):
+    return matrix.downscale_rows(cells(spark, sf_dir), 200, 10, smooth=1)
+
+
 @query(f'{CELLS} SELECT "row", round(sum(v * (greatest(abs(col - 31.5::DOUBLE), 2.0::DOUBLE) ** -1.0) / (2.0::DOUBLE ** -1.0)) / count(v), 6) AS mean FROM m GROUP BY "row"')
 def exp_weighted_mean(spark, sf_dir):
     return matrix.exp_weighted_mean(cells(spark, sf_dir), 64, 2.0, -1.0)
@@ -904,6 +1111,47 @@ def nucleosome_centres(spark, sf_dir):
     return nucleosome.centres(scores(spark, sf_dir), 185, 0.5)
 
 
+# ---- walkers --------------------------------------------------------------------------
+
+
+@query("SELECT contig, count(*) AS n, CAST(sum(en - st + 1) AS BIGINT) AS total, max(en) AS furthest FROM v_reads WHERE mapq >= 20 GROUP BY contig", ("v_reads",))
+def walker_by_contig(spark, sf_dir):
+    """A user's walker over reads, folded by contig."""
+    return walkers.run(READ_LENGTHS, views.reads(spark, sf_dir), ["contig"])
+
+
+@query("SELECT count(*) AS n, CAST(sum(en - st + 1) AS BIGINT) AS total, max(en) AS furthest FROM v_reads WHERE mapq >= 20", ("v_reads",))
+def walker_over_all(spark, sf_dir):
+    """The same walker over all reads, its states merged in a tree."""
+    return walkers.run(READ_LENGTHS, views.reads(spark, sf_dir))
+
+
+READ_LENGTHS = walkers.Walker(
+    needs=["st", "en", "mapq"],
+    keep=F.col("mapq") >= 20,
+    start=lambda: (0, 0, 0),
+    add=lambda s, r: (s[0] + 1, s[1] + r["en"] - r["st"] + 1, max(s[2], r["en"])),
+    merge=lambda a, b: (a[0] + b[0], a[1] + b[1], max(a[2], b[2])),
+    finish=lambda s: [s],
+    schema="n long, total long, furthest long",
+)
+
+
+@query("SELECT ctx, neg, count(*) AS n, count(*) FILTER (c > t) AS more FROM v_cyt WHERE q % 2 = 0 GROUP BY 1, 2", ("v_cyt",))
+def cytosine_counter(spark, sf_dir):
+    return methylation.count_cytosines(views.cytosines(spark, sf_dir), ["ctx", "neg"], F.col("q") % 2 == 0, {"more": F.count_if(F.col("c") > F.col("t"))})
+
+
+@query(
+    f"""{BINS}, p AS (SELECT contig, {REGION} AS region, sample, max(cov) AS height FROM bins GROUP BY 1, 2, 3)
+SELECT contig, region, count(*) AS n_samples, CAST(max(height) - min(height) AS BIGINT) AS score FROM p GROUP BY 1, 2""",
+    ("v_reads", "v_contigs"),
+)
+def peak_score_strategy(spark, sf_dir):
+    """A user's score of regions: how far the samples' heights lie apart."""
+    return peaks.scored(bins(spark, sf_dir), F.expr("bin div 20"), F.max("cov"), F.max("value") - F.min("value"))
+
+
 # ---- formats --------------------------------------------------------------------------
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.functions.bases import percent
+from locusframe.operators.spans import ranked_all, with_halo
 
 
 def tabbed(*cols: Column) -> Column:
@@ -67,22 +68,41 @@ def logo_lines(matrix: DataFrame) -> DataFrame:
 
 
 def fasta_lines(hits: DataFrame) -> DataFrame:
-    return hits.select(F.col("contig").alias("_o1"), F.col("pos").alias("_o2"), F.concat(F.lit("> "), F.col("contig"), F.lit("-"), F.col("pos"), F.col("strand"), F.lit(":"), F.length("seq"), F.lit("m\n"), F.col("seq")).alias("value"))
+    """A name with contig, position, strand and methylated reads, and the sequence, from ``contig, pos, strand, meth, seq``."""
+    name = F.concat(F.lit("> "), F.col("contig"), F.lit("-"), F.col("pos"), F.col("strand"), F.lit(":"), F.col("meth"), F.lit("m"))
+    return hits.select(F.col("contig").alias("_o1"), F.col("pos").alias("_o2"), F.concat(name, F.lit("\n"), F.col("seq")).alias("value"))
 
 
 def gff_to_bed(features: DataFrame) -> DataFrame:
     """BED rows in file order (column ``line``): names el1, el2, ...; a score of '.' is 50; a
     start within the previous interval moves behind it, whatever the contig."""
-    w = Window.orderBy("line")
+    dealt = with_halo(ranked_all(features, ["line"], "_rank"), [], "_rank", 1)
+    w = Window.partitionBy("_s").orderBy("_rank")
     prev_s, prev_e = F.lag("start").over(w), F.lag("end").over(w)
     start = F.when((F.col("start") >= prev_s) & (F.col("start") <= prev_e), prev_e + 1).otherwise(F.col("start"))
-    return features.select("contig", start.alias("start"), "end", F.concat(F.lit("el"), F.row_number().over(w)).alias("name"), F.coalesce(F.col("score"), F.lit(50.0)).alias("score"), "strand")
+    rows = dealt.withColumn("_start", start).where("_own")
+    return rows.select("contig", F.col("_start").alias("start"), "end", F.concat(F.lit("el"), F.col("_rank")).alias("name"), F.coalesce(F.col("score"), F.lit(50.0)).alias("score"), "strand")
 
 
-def summary_html(summary: DataFrame) -> str:
-    """An HTML table of a small summary (a row a context)."""
+def peak_lines(groups: DataFrame) -> DataFrame:
+    """Peaks of all contigs: contig, start, end and the height, between commas."""
+    return groups.select(F.col("contig").alias("_o1"), F.col("start").alias("_o2"), F.concat_ws(",", "contig", "start", "end", "height").alias("value"))
+
+
+def autocorr_lines(histogram: DataFrame) -> DataFrame:
+    """Six counts by distance, with a header."""
+    cols = ["dist", "n_m", "n_u", "n_mm", "n_mu", "n_um", "n_uu"]
+    head = histogram.sparkSession.range(1).select(F.lit(-1).cast("long").alias("_o1"), F.lit("Distance,nM,nU,nMM,nMU,nUM,nUU").alias("value"))
+    return head.unionByName(histogram.select(F.col("dist").cast("long").alias("_o1"), F.concat_ws(",", *cols).alias("value")))
+
+
+def summary_html(summary: DataFrame, most: int = 100_000) -> str:
+    """An HTML table of a summary, a row a context; beyond ``most`` rows it is an error."""
     cols = summary.columns
-    rows = "".join("<TR>" + "".join(f"<TD>{r[c]}</TD>" for c in cols) + "</TR>" for r in summary.limit(1000).collect())
+    found = summary.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a summary of more than {most} rows isn't for one page")
+    rows = "".join("<TR>" + "".join(f"<TD>{r[c]}</TD>" for c in cols) + "</TR>" for r in found)
     return "<TABLE><TR>" + "".join(f"<TH>{c}</TH>" for c in cols) + f"</TR>{rows}</TABLE>"
 
 

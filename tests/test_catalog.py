@@ -41,7 +41,9 @@ def test_equals_sql(spark, db, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE)))
 def test_runs(spark, name):
-    assert catalog.QUERIES[name](spark, DIR).count() >= 0
+    """Only what no SQL expresses: k-means, which tests/test_whole.py holds against separable data."""
+    assert name == "peak_clusters"
+    assert catalog.QUERIES[name](spark, DIR).count() > 0
 
 
 def test_contract(spark):

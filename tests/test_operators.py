@@ -2,12 +2,12 @@
 
 import random
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from locusframe.functions import bases, filters
-from locusframe.operators import coverage, cytosines, features, matrix, methylation, nucleosome, pairs, peaks, reads, windows
+from locusframe.functions import bases, draws, filters
+from locusframe.operators import alignment, coverage, cytosines, features, matrix, methylation, nucleosome, pairs, peaks, reads, windows
+from locusframe.plans import walkers
 from locusframe.sources import sinks, text
 from locusframe.streaming import windows as streaming
 
@@ -49,7 +49,10 @@ def test_bases(spark):
     df = spark.createDataFrame([("ACGTN", "acx"), ("", "")], "s string, t string")
     assert df.select(bases.reverse_complement(F.col("s"))).first()[0] == "NACGT"
     assert df.select(bases.iupac_match(F.lit("ACG"), ["GCH", "WCG", "HCG"])).first()[0] == "WCG"
-    assert df.select(bases.iupac_match(F.lit("ACG"), ["RCG"])).first()[0] is None
+    assert df.select(bases.iupac_match(F.lit("ACG"), ["BCG", "RCG"])).first()[0] == "RCG"
+    assert df.select(bases.iupac_match(F.lit("ACG"), ["RCG"], parity=True)).first()[0] is None
+    assert df.select(bases.iupac_match(F.lit("ACG"), ["UCG"], parity=True)).first()[0] == "UCG"
+    assert [r[0] for r in df.select(bases.base_or_n(F.col("t"))).collect()] == ["N", "N"] and df.select(bases.base_or_n(F.lit("a"))).first()[0] == "A"
     assert df.select(bases.most_frequent_base(*[F.lit(x) for x in (1, 3, 3, 0)])).first()[0] == "C"
     assert df.select(bases.collapse_h(F.lit("ACG"))).first()[0] == "HCG"
     assert df.select(bases.percent(F.lit(0.125))).first()[0] == 13
@@ -130,15 +133,33 @@ def test_peaks(spark):
     assert values(peaks.group_summary(peaks.groups(centred)), "n_peaks", "n_samples") == [(2, 2)]
 
 
-def test_group_rows():
-    p = pd.DataFrame([("c", "x", 0, 5, 3, 2), ("c", "y", 1, 6, 4, 3), ("c", "x", 20, 25, 5, 22)], columns=["contig", "sample", "start", "end", "height", "summit"])
-    assert peaks.group_rows(p, 3).group_id.tolist() == [0, 0, 1]
+def plain_spaced(positions, scores, window, least):
+    """The best of each trailing window (first on ties), if it lies more than the window after the one before."""
+    out, last = [], None
+    for i in range(window - 1, len(scores)):
+        best = max(range(i - window + 1, i + 1), key=lambda j: (scores[j], -j))
+        if scores[best] >= least and (last is None or positions[best] - last > window):
+            last = positions[best]
+            out.append((last, scores[best]))
+    return out
 
 
-def test_best_spaced():
-    s = [0.1, 0.9, 0.2, 0.3, 0.8, 0.1, 0.1]
-    assert nucleosome.best_spaced(list(range(7)), s, 3, 0.5) == [(1, 0.9)]
-    assert nucleosome.best_spaced(list(range(7)), s, 2, 0.5) == [(1, 0.9), (4, 0.8)]
+def test_spaced_maxima_equal_the_loop(spark):
+    rng = random.Random(6)
+    rows, want = [], {}
+    for contig, n, gap in ((1, 300, 1), (2, 200, 4), (3, 6, 1), (4, 90, 30)):
+        at, scores = 0, []
+        pos = []
+        for _ in range(n):
+            at += rng.randint(1, gap)
+            pos.append(at)
+            scores.append(rng.choice([0.1, 0.5, 0.5, 0.9, 0.3]))
+        rows += [(contig, p, s) for p, s in zip(pos, scores, strict=True)]
+        want[contig] = {w: plain_spaced(pos, scores, w, 0.5) for w in (3, 7)}
+    df = spark.createDataFrame(rows, "contig long, pos long, score double")
+    for window, span in ((3, 1), (7, 20), (7, 1 << 18)):
+        got = sorted((r.contig, r.pos, r.score) for r in nucleosome.centres(df, window, 0.5, span).collect())
+        assert got == [(c, *x) for c in sorted(want) for x in want[c][window]]
 
 
 def test_downscale_shares_edges(spark):
@@ -193,3 +214,152 @@ def test_streaming_equals_batch(spark):
     q.stop()
     got = values(spark.table("counts"), "start", "event_type", "n")
     assert got == values(events.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n"), "start", "event_type", "n")
+
+
+def test_draws_are_binomial(spark):
+    """Mean and variance over many keys, at any size and position, and bounds."""
+    rows = spark.range(4000).select(F.col("id"), (F.lit(250_000_000) + F.col("id")).alias("st"))
+    for n, p in ((1, 0.3), (30, 0.7), (256, 0.5), (1000, 0.05), (700, 0.99)):
+        got = [r[0] for r in rows.select(draws.binomial(F.lit(n), F.lit(p), 3, "st")).collect()]
+        mean = sum(got) / len(got)
+        var = sum((x - mean) ** 2 for x in got) / len(got)
+        assert 0 <= min(got) and max(got) <= n
+        assert abs(mean - n * p) < 5 * (n * p * (1 - p) / 4000) ** 0.5
+        assert abs(var / (n * p * (1 - p)) - 1) < 0.15
+    edge = spark.createDataFrame([(5, 0.0), (5, 1.0), (0, 0.5), (None, 0.5), (5, None)], "n long, p double")
+    assert [r[0] for r in edge.select(draws.binomial(F.col("n"), F.col("p"), 1, "n")).collect()] == [0, 5, 0, None, None]
+
+
+def test_no_overflow_at_genome_size(spark):
+    runs = spark.createDataFrame([("c", 250_000_000, 250_000_999, 40), ("c", 3_000_000_000, 3_000_000_099, 2500)], "contig string, st long, en long, depth long")
+    got = {r.step: r for r in coverage.downsampled(coverage.thinned(runs, 100_000, 20)).collect()}
+    assert max(got) == 3 and got[3].sum_depth == 290_000 and got[1].n == 1100 and 0 < got[1].sum_depth < got[2].sum_depth < 290_000
+    rd = spark.range(2000).select((F.lit(6_000_000_000) + F.col("id")).alias("name"), F.lit("c").alias("contig"), (F.col("id") % 500).alias("st"), (F.col("id") % 3).alias("mate_st"), F.lit(False).alias("neg"), F.lit(1).alias("cycle"))
+    r = reads.downsample_dups(rd, 0.5, 2).orderBy("trial").collect()
+    assert [x.trial for x in r] == [1, 2] and all(850 < x.sampled < 1150 for x in r)
+
+
+def test_duplicate_keys(spark):
+    rows = [(1, "c", 5, "c", 50, False, True), (2, "c", 5, "c", 50, False, True), (3, "c", 5, "d", 50, False, True), (4, "c", 5, "c", 50, True, True), (5, "c", 5, None, None, True, False), (6, "c", 5, "x", 9, False, False), (7, "c", 5, None, None, False, None)]
+    df = spark.createDataFrame(rows, "name long, contig string, st long, mate_contig string, mate_st long, neg boolean, paired boolean").withColumn("cycle", F.lit(1))
+    r = reads.dup_groups(df).first()
+    assert (r.n_groups, r.n_dups) == (3, 3)  # 1 and 2, 3 alone, 5 to 7; 4 is no forward end
+    curve = {round(r.p, 1): (r.sampled, r.dups) for r in reads.dup_curve(df, [0.5, 1.0]).collect()}
+    assert curve[1.0] == (6.0, 3.0) and curve[0.5] == (3.0, round(2 * 0.5 - 1 + 0.25 + 0 + 3 * 0.5 - 1 + 0.125, 4))
+
+
+def plain_walk(rd, ref, min_conv, cph):
+    """A read's cytosines by walking its operations base by base."""
+    flip = str.maketrans("ACGT", "TGCA")
+    laid, off, pos = [], 0, rd["st"]
+    for op, n in rd["cigar"]:
+        for _ in range(n):
+            if op in "M=X":
+                laid.append((rd["bases"][off], pos, ref.get(pos)))
+            elif op in "IS":
+                laid.append((rd["bases"][off], None, None))
+            off += op in "M=XIS"
+            pos += op in "M=XDN"
+    if rd["neg"]:
+        laid = [(b.translate(flip), p, r and r.translate(flip)) for b, p, r in reversed(laid)]
+    seen, out = 0, []
+    for i in range(1, len(laid) - 1):
+        b, p, r = laid[i]
+        if r != "C" or b not in "CT":
+            continue
+        seen += b == "T"
+
+        def beside(j, p=p):
+            bb, pp, rr = laid[j]
+            near = pp is not None and abs(pp - p) == 1
+            return rr if near and rr and (rr == bb or (rr == "C" and bb == "T")) else "N"
+
+        if seen >= min_conv and (cph or laid[i + 1][0] == "G"):
+            out.append((rd["name"], p, i + 1, int(b == "C"), beside(i - 1) + "C" + beside(i + 1), seen))
+    return out
+
+
+def test_reads_along_their_cigar(spark, monkeypatch):
+    monkeypatch.setattr(alignment, "BIN", 16)
+    rng = random.Random(11)
+    seq = "".join(rng.choice("ACGTN" if rng.random() < 0.1 else "CG") for _ in range(120))
+    cuts = [0, 7, 20, 21, 60, 120]
+    chunks = [("c", a + 1, seq[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if a != 21]  # a part is missing
+    ref = {p + i: x for _, p, s in chunks for i, x in enumerate(s)}
+    rows = []
+    for k in range(40):
+        ops = [(rng.choice("MIDNSH=XPM"), rng.randint(1, 9)) for _ in range(rng.randint(1, 6))]
+        size = sum(n for o, n in ops if o in "MISX=")
+        rows.append({"contig": "c", "name": f"r{k}", "st": rng.randint(1, 80), "neg": k % 2 == 1, "second": False, "bases": "".join(rng.choice("CTGA") for _ in range(size)), "cigar": ops})
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "contig string, name string, st long, neg boolean, second boolean, bases string, cigar array<struct<op:string,len:int>>")
+    chunk = spark.createDataFrame(chunks, "contig string, chunk_start int, seq string")
+    for min_conv, cph in ((0, True), (2, True), (0, False)):
+        got = alignment.read_cytosines(df, chunk, min_conv, cph)
+        assert sorted((r.name, r.pos, r.cycle, r.c, r.context, r.converted) for r in got.collect()) == sorted(x for r in rows for x in plain_walk(r, ref, min_conv, cph))
+    piled = {(r.name, r.pos): r.base for r in alignment.pileup(df).collect()}
+    want = {}
+    for r in rows:
+        off, pos = 0, r["st"]
+        for op, n in r["cigar"]:
+            for _ in range(n):
+                if op in "M=X":
+                    want[r["name"], pos] = r["bases"][off]
+                off += op in "M=XIS"
+                pos += op in "M=XDN"
+    assert piled == want
+
+
+def test_validity_on_reads(spark):
+    df = spark.createDataFrame([(0, "G", 0, 1), (0, "G", 1, 0), (1, "G", 0, 0), (0, None, 0, 0), (0, "N", 0, 0)], "ag int, next string, c_nonconv int, c int")
+    cg = lambda use: [r[0] for r in df.select(alignment.valid_cg(F.col("ag"), F.col("next"), F.col("c_nonconv"), use)).collect()]
+    assert cg(True) == [True, False, False, False, False] and cg(False) == [True, True, False, False, False]
+    assert [r[0] for r in df.select(alignment.methylated(F.col("c"), F.col("c_nonconv"), False)).collect()] == [True, True, False, False, False]
+    assert [r[0] for r in df.select(alignment.valid_base(F.col("next"))).collect()] == [True, True, True, False, False]
+
+
+def test_windows_do_not_depend_on_spans(spark):
+    rng = random.Random(8)
+    pts = [("c", p, rng.random(), rng.randint(0, 3), rng.random() < 0.5) for p in sorted(rng.sample(range(1, 3000), 150))]
+    df = spark.createDataFrame(pts, "contig string, pos long, level double, weight int, neg boolean")
+    key = lambda x: sorted(map(tuple, x.collect()))
+    for make in (lambda s: windows.fixed(df, 90, 3, span=s), lambda s: windows.variable(df, 4, 500, span=s), lambda s: windows.bedgraph(windows.variable(df, 3, 900, span=s), s), lambda s: methylation.weights(df.drop("weight"), s)):
+        assert key(make(5)) == key(make(1 << 16)) == key(make(100))
+
+
+def test_walkers_run_over_anything(spark):
+    """One walker, unchanged, over reads, loci and cytosines."""
+    w = walkers.Walker(["pos"], lambda: (0, None), lambda s, r: (s[0] + 1, r["pos"] if s[1] is None else min(s[1], r["pos"])), lambda a, b: (a[0] + b[0], min((x for x in (a[1], b[1]) if x is not None), default=None)), lambda s: [s], "n long, low long")
+    frames = {
+        "reads": spark.range(100).selectExpr("id % 3 AS contig", "id * 2 AS pos"),
+        "loci": spark.range(70, numPartitions=40).selectExpr("1L AS contig", "id + 5 AS pos"),
+        "cytosines": spark.range(9).selectExpr("cast(null AS long) AS contig", "id AS pos"),
+    }
+    for df in frames.values():
+        rows = [(r.contig, r.pos) for r in df.collect()]
+        assert [tuple(r) for r in walkers.run(w, df).collect()] == [(len(rows), min(p for _, p in rows))]
+        got = {r.contig: (r.n, r.low) for r in walkers.run(w, df, ["contig"]).collect()}
+        assert got == {c: (sum(x == c for x, _ in rows), min(p for x, p in rows if x == c)) for c in {c for c, _ in rows}}
+    assert [tuple(r) for r in walkers.run(w, frames["reads"].limit(0)).collect()] == [(0, None)]
+
+
+def test_other_writers(spark, tmp_path):
+    t = spark.createDataFrame([("chr2", 3, "HCG", "+", 0.256, 9)], "contig string, pos long, ctx string, strand string, level double, n_reads int")
+    numbers = spark.createDataFrame([("chr2", 2)], "contig string, number int")
+    assert sinks.csv_lines(t, numbers).first().value == "2,3,+,26,9"
+    spans = spark.createDataFrame([("c", 1, 5, 0.5)], "contig string, span_start long, span_end long, value double")
+    assert sinks.bedgraph_lines(spans).first().value == "c\t1\t5\t0.5"
+    centres = spark.createDataFrame([("chr1", 77, 0.75)], "contig string, pos long, score double")
+    assert sinks.gtf_centres(centres).first().value.split("\t")[:8] == ["chr1", "Kap08", "exon", "77", "77", "0.75", "+", "."]
+    peak = spark.createDataFrame([("c", 1, 9, 4), ("d", 2, 3, 1)], "contig string, start long, end long, height long")
+    assert [r.value for r in sinks.peak_lines(peak).orderBy("_o1").collect()] == ["c,1,9,4", "d,2,3,1"]
+    h = spark.createDataFrame([(7, 1, 2, 3, 4, 5, 6)], "dist long, n_m long, n_u long, n_mm long, n_mu long, n_um long, n_uu long")
+    assert [r.value for r in sinks.autocorr_lines(h).orderBy("_o1").collect()] == ["Distance,nM,nU,nMM,nMU,nUM,nUU", "7,1,2,3,4,5,6"]
+    (tmp_path / "x.fai").write_text("chr1\t100\t6\t50\t51\n")
+    assert text.fai(spark, str(tmp_path / "x.fai")).first().len == 100
+    m = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0), (1, 0, 3.0)], "row long, col int, v double")
+    assert [tuple(r) for r in matrix.wide(m, 2).orderBy("row").collect()] == [(0, 1.0, 2.0), (1, 3.0, None)]
+    assert matrix.initial(2, 3, 0.5, m).count() == 6
+    bq = spark.createDataFrame([("AC", [30, 20])], "bases string, quals array<int>")
+    assert values(reads.base_quality(reads.bases_of(bq)), "base", "cycle", "qual", "n") == [("A", 1, 30, 1), ("C", 2, 20, 1)]
+    with pytest.raises(ValueError, match="more than"):
+        sinks.summary_html(spark.range(5), most=4)
