@@ -33,7 +33,7 @@ BLOCK, PART = 4 << 20, 24 << 20
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 END = b"\n"
 
-BLOCKS = "block long, ids array<long>, rows array<long>, train array<boolean>, sizes array<int>, tokens array<int>, ends array<boolean>, data binary"
+BLOCKS = "block long, ids array<long>, rows array<long>, train array<boolean>, sizes array<int>, tokens array<int>, ends array<boolean>, raw int, data binary"
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -55,7 +55,7 @@ def pieces_of(words: list[bytes], limit: int) -> Iterator[list[bytes]]:
 def to_blocks(depth: int, limit: int):
     """Batches of ``id, train, text`` to rows of BLOCKS.
 
-    ``data`` holds the pieces one after another, each behind the ``depth`` bytes before it
+    ``data`` holds the pieces one after another, compressed (``raw``: bytes before), each behind the ``depth`` bytes before it
     (line feeds at a text's start); ``rows`` tells which pieces are of one row.
     """
 
@@ -69,7 +69,7 @@ def to_blocks(depth: int, limit: int):
             cols = list(zip(*[h[:-1] for h in held], strict=True))
             types = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.bool_()]
             data = b"".join(h[-1] for h in held)
-            arrays = [pa.array([(part << 32) + number], pa.int64()), *[pa.array([list(c)], pa.list_(t)) for c, t in zip(cols, types, strict=True)], pa.array([data], pa.binary())]
+            arrays = [pa.array([(part << 32) + number], pa.int64()), *[pa.array([list(c)], pa.list_(t)) for c, t in zip(cols, types, strict=True)], pa.array([len(data)], pa.int32()), pa.array([pa.compress(data, codec="zstd", asbytes=True)], pa.binary())]
             held, size, number = [], 0, number + 1
             return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in BLOCKS.split(", ")])
 
@@ -138,7 +138,8 @@ def coded(values: pa.Array, learn: np.ndarray) -> tuple[pa.Array, np.ndarray, np
 
 def distinct(row: dict, depth: int, parts: int):
     """Of a block: strings with their places, training counts, and order by part; words likewise."""
-    data, sizes = np.frombuffer(row["data"], np.uint8), np.asarray(row["sizes"], np.int64)
+    text = pa.decompress(row["data"], decompressed_size=row["raw"], codec="zstd", asbytes=True)
+    data, sizes = np.frombuffer(text, np.uint8), np.asarray(row["sizes"], np.int64)
     train, own = np.asarray([bool(x) for x in row["train"]]), inside(len(data), sizes, depth)
     keys, place, n = coded(pa.array(strings(data, own, depth)), np.repeat(train, sizes))
     keys = keys.to_numpy()
@@ -370,7 +371,7 @@ def score(docs: DataFrame, depth: int = 4, folds: int = 7, fold: int = 2, id_col
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(rest != fold, F.lit(False)).alias("train"), F.col(text_col).cast("string").alias("text"))
     blocks = cut(rows.mapInArrow(to_blocks(depth, block), BLOCKS))
     size, train_ends, train_words = blocks.select(
-        F.sum(F.octet_length("data")), F.sum(F.size(F.filter(F.arrays_zip("train", "ends"), lambda x: x["train"] & x["ends"]))),
+        F.sum("raw"), F.sum(F.size(F.filter(F.arrays_zip("train", "ends"), lambda x: x["train"] & x["ends"]))),
         F.sum(F.aggregate(F.arrays_zip("train", "tokens"), F.lit(0).cast("long"), lambda s, x: s + F.when(x["train"], x["tokens"]).otherwise(0))),
     ).first()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // part))
