@@ -91,3 +91,13 @@ def strand_sign(neg: Column) -> Column:
 
 def strand_char(neg: Column) -> Column:
     return F.when(neg, "-").otherwise("+")
+
+
+def reduced(num: Column, den: Column) -> Column:
+    """A fraction in lowest terms, as a struct, so that equal values are equal; 0/0 stays."""
+    n, d = num.cast("long"), den.cast("long")
+    start = F.struct(n.alias("a"), d.alias("b"))
+    # Euclid's steps: two at least halve a number
+    turn = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % s["b"]).alias("b")))
+    gcd = F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, turn, lambda s: F.greatest(s["a"], F.lit(1).cast("long")))
+    return F.transform(F.array(gcd), lambda g: F.struct(F.expr("1L") * F.floor(n / g), F.floor(d / g)))[0].cast("struct<num:bigint,den:bigint>")

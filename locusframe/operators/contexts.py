@@ -134,3 +134,21 @@ def call_sequences(calls: DataFrame, reference: DataFrame, context: str = "HCH",
     letters = F.sort_array(F.collect_list(F.struct("offset", "base")))  # up + down + 1 at most
     out = seen.groupBy("contig", "pos", "neg", "meth").agg(F.array_join(F.transform(letters, lambda x: x["base"]), "").alias("seq"))
     return out.select("contig", "pos", bases.strand_char(F.col("neg")).alias("strand"), "meth", "seq")
+
+
+def fetch(intervals: DataFrame, reference: DataFrame) -> DataFrame:
+    """The reference's sequence of intervals (``contig, st, en``; other columns stay) as ``seq``, in
+    upper case.  Intervals that reach beyond the reference are left out.
+
+    Intervals meet chunks in position bins; their pieces are put together by interval.
+    """
+    size = alignment.BIN
+    keys = intervals.columns
+    wide = intervals.select("*", F.explode(F.sequence(F.floor(F.col("st") / size), F.floor(F.col("en") / size))).alias("_bin"))
+    met = wide.join(alignment.binned(reference), ["contig", "_bin"])
+    first, last = F.greatest("_from", F.col("st")), F.least("_to", F.col("en"))
+    piece = F.substring(F.col("_seq"), (first - F.col("_from") + 1).cast("int"), (last - first + 1).cast("int"))
+    met = met.where(first <= last).select(*keys, F.struct(first.alias("at"), piece.alias("piece")).alias("_p"))
+    out = met.groupBy(*keys).agg(F.sort_array(F.collect_list("_p")).alias("_p"))
+    out = out.withColumn("seq", F.array_join(F.transform("_p", lambda x: x["piece"]), "")).drop("_p")
+    return out.where(F.length("seq") == F.col("en") - F.col("st") + 1)

@@ -30,6 +30,20 @@ def profile(points: DataFrame, features: DataFrame, flank: int, bin_size: int, v
     return met.groupBy(*(by or []), "fid", "bin").agg(F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"))
 
 
+def profile_columns(points: DataFrame, features: DataFrame, flank: int, columns: int, value, by: list[str] | None = None) -> DataFrame:
+    """The profile in ``columns`` cells from ``flank`` before a feature's start to ``flank`` after it,
+    along its strand; neighbouring cells share the place between them."""
+    f = features.where("strand <> '.'")
+    anchor = F.when(F.col("strand") == "-", F.col("fe")).otherwise(F.col("fs"))
+    f = f.withColumn("_at", anchor).withColumn("fs", F.col("_at")).withColumn("fe", F.col("_at"))
+    met = overlap(points, f, flank).withColumn("col", (offset() + flank).cast("int")).withColumn("v", value)
+    step = 2 * flank // columns
+    own = F.expr(f"col div {step}").cast("int")
+    cells = F.filter(F.array(own, F.when(F.col("col") % step == 0, own - 1)), lambda p: p.isNotNull() & (p >= 0) & (p < columns))
+    met = met.select(*(by or []), "fid", F.explode(cells).alias("cell"), "v")
+    return met.groupBy(*(by or []), "fid", "cell").agg(F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"))
+
+
 def nearest(points: DataFrame, features: DataFrame, key: str) -> DataFrame:
     """Nearest feature of each point: of those that start at or before it the one that
     reaches furthest, or the first one after it.

@@ -41,11 +41,12 @@ def fraction_by_context(cr: DataFrame, one: str = "HCG", two: str = "GCH", merge
     n = lambda p, meth: F.count_if((F.col("pattern") == p) & F.col("meth")) if meth else F.count_if(F.col("pattern") == p)
     per = per.agg(n(one, True).alias("num1"), n(one, False).alias("den1"), n(two, True).alias("num2"), n(two, False).alias("den2")).where("den1 > 0 AND den2 > 0")
     if merge:
-        per = per.select(F.round(F.col("num1") / F.col("den1"), 9).alias("f1"), F.round(F.col("num2") / F.col("den2"), 9).alias("f2"))
+        per = per.select(*[bases.reduced(F.col(f"num{i}"), F.col(f"den{i}")).alias(f"r{i}") for i in (1, 2)]).groupBy("r1", "r2").agg(F.count("*").alias("_n"))
+        per = per.select(*[F.round(F.col(f"r{i}.num") / F.col(f"r{i}.den"), 9).alias(f"f{i}") for i in (1, 2)], "_n")
         keys = [["f1"], ["f2"]]
     else:
         keys = [["num1", "den1"], ["num2", "den2"]]
-    out = per.groupBy(*keys[0], *keys[1]).agg(F.count("*").alias("n_reads"))
+    out = per.groupBy(*keys[0], *keys[1]).agg((F.sum("_n") if merge else F.count("*")).alias("n_reads"))
     if dense:
         grid = out.select(*keys[0]).distinct().crossJoin(out.select(*keys[1]).distinct())
         out = grid.join(out, [*keys[0], *keys[1]], "left").withColumn("n_reads", F.coalesce("n_reads", F.lit(0).cast("long")))
@@ -140,3 +141,43 @@ def thinned(cyt: DataFrame, p: float, seed: int = 1, keys: tuple[str, ...] = ("c
             out = out.withColumn(f"_{total}", draw(total)).withColumn(f"_{part}", draws.binomial(F.col(f"_{total}"), share, seed, *keys, F.lit(part)))
     new = {c[1:]: F.col(c) for c in out.columns if c.startswith("_") and c[1:] in cyt.columns}
     return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in cyt.columns])
+
+
+def read_points(cr: DataFrame, least: dict[str, int]) -> DataFrame:
+    """``contig, rd, pattern, pos, v``: the share methylated of each read in each context, at the
+    middle of its cytosines there; only of reads with enough of them in every context."""
+    tagged = with_pattern(cr, list(least)).where("pattern IS NOT NULL")
+    middle = F.floor((F.min("pos") + F.max("pos")) / 2).cast("long")
+    points = tagged.groupBy("contig", "rd", "pattern").agg(middle.alias("pos"), F.count("*").alias("n"), (F.count_if("meth") / F.count("*")).alias("v"))
+    enough = F.coalesce(*[F.when(F.col("pattern") == p, F.col("n") >= k) for p, k in least.items()])
+    points = points.where(enough)
+    whole = points.groupBy("contig", "rd").agg(F.count("*").alias("_k")).where(F.col("_k") == len(least)).drop("_k")
+    return points.join(whole, ["contig", "rd"], "left_semi").select("contig", "rd", "pattern", "pos", "v")
+
+
+def quadrant_points(points: DataFrame, one: str, two: str, low: float = 0.1, high: float = 0.9) -> DataFrame:
+    """``contig, rd, quadrant, pos, v``: reads that are low or high in both contexts, as a point of
+    full value at their middle in the first one; others have no vote."""
+    per = points.groupBy("contig", "rd").agg(*[F.max(F.when(F.col("pattern") == p, F.col("v"))).alias(k) for p, k in ((one, "a"), (two, "b"))], F.max(F.when(F.col("pattern") == one, F.col("pos"))).alias("pos"))
+    level = lambda c: F.when(F.col(c) <= low, "low").when(F.col(c) > high, "high")
+    return per.withColumn("quadrant", F.concat(level("a"), F.lit("_"), level("b"))).where("quadrant IS NOT NULL").select("contig", "rd", "quadrant", "pos", F.lit(1.0).alias("v"))
+
+
+def db_lines(cyt: DataFrame) -> DataFrame:
+    """The methylation table's lines of 16 columns, from calls with ``next_g, next_total, next_ref,
+    prev_ref`` and ``weight``; a file a contig when written by ``contig``."""
+    two = lambda c: F.when(c.isNull(), "NaN").otherwise(F.format_string("%.2f", c.cast("double")))
+    total = F.col("c") + F.col("c_nonconv") + F.col("t") + F.col("ag")
+    next_g = F.try_divide(100.0 * F.col("next_g"), F.col("next_total").cast("double"))
+    cols = [F.col("pos"), bases.strand_char(F.col("neg")), total, *[F.col(c) for c in ("c", "c_nonconv", "t", "ag", "opp_tot", "opp_a", "next_g", "next_total")], F.upper("next_ref"), F.upper("prev_ref"), two(100 * bases.meth(F.col("c"), F.col("t"))), two(next_g), two(F.col("weight"))]
+    return cyt.select("contig", F.col("pos").alias("_o1"), F.concat_ws("\t", *[c.cast("string") for c in cols]).alias("value"))
+
+
+def read_lines(calls: DataFrame, weight: float | None = None) -> DataFrame:
+    """Lines of 14 columns, one a read and cytosine, from ``alignment.read_cytosines``."""
+    say = lambda c: F.when(c == "G", "true").otherwise("false")
+    prev, next_ = F.substring("context", 1, 1), F.substring("context", 3, 1)
+    w = F.lit("NaN") if weight is None else F.format_string("%.2f", F.lit(weight))
+    zero = F.lit(0)
+    cols = [F.col("pos"), bases.strand_char(F.col("neg")), F.col("name"), F.col("c"), zero, F.col("t"), zero, zero, zero, say(prev), prev, say(next_), next_, w]
+    return calls.select("contig", F.col("pos").alias("_o1"), F.concat_ws("\t", *[c.cast("string") for c in cols]).alias("value"))

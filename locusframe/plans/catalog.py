@@ -60,6 +60,17 @@ def query(sql: str | None = None, views_: tuple[str, ...] = (), name: str = ""):
     return add
 
 
+# Reads laid along a CIGAR.  The SQL knows for each of a read's 46 bases how far its position
+# lies behind the first one (-1: none), and walks no operations.
+LAID = """WITH s AS (SELECT 'chr' || (id % 3) AS contig, id, seq, coalesce(sum(length(seq)) OVER (PARTITION BY id % 3 ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM v_seq),
+q AS (SELECT *, unnest(generate_series(0, length(seq) // 60 - 1)) AS k FROM s WHERE length(seq) >= 60),
+w AS (SELECT contig, id || ':' || k AS name, CAST(base + 60 * k + 6 AS BIGINT) AS st, k % 3 = 1 AS neg, k % 4 = 3 AS second, k, substr(seq, 60 * k + 1, 60) AS piece FROM q),
+v AS (SELECT *, 'ACG' || piece[6:17] || 'TG' || piece[18:27] || piece[32:39] || piece[46:54] || 'CA' AS raw FROM w),
+u AS (SELECT *, CASE WHEN k % 2 = 1 THEN raw WHEN neg THEN replace(raw, 'G', 'A') ELSE replace(raw, 'C', 'T') END AS bases FROM v),
+a AS (SELECT o, CASE WHEN o BETWEEN 3 AND 14 THEN o - 3 WHEN o BETWEEN 17 AND 26 THEN o - 5 WHEN o BETWEEN 27 AND 34 THEN o - 1 WHEN o BETWEEN 35 AND 43 THEN o + 5 ELSE -1 END AS d FROM generate_series(0, 45) AS g(o)),
+b AS (SELECT contig, name, neg, second, o, d, CASE WHEN d >= 0 THEN st + d END AS pos, substr(bases, CAST(o + 1 AS INT), 1) AS base, CASE WHEN d >= 0 THEN substr(piece, CAST(d + 6 AS INT), 1) END AS ref FROM u, a)"""
+
+
 # ---- coverage -------------------------------------------------------------------------
 
 LOCI = """WITH loci AS (SELECT c.contig, p.pos, coalesce(d.depth, 0) AS depth
@@ -217,6 +228,15 @@ def base_quality(spark, sf_dir):
     return reads.base_quality(views.reads(spark, sf_dir).select(F.col("contig").alias("base"), "cycle", F.col("mapq").alias("qual")))
 
 
+@query(
+    f"""{LAID} SELECT base, CAST(o + 1 AS INT) AS cycle, CAST((o * 7 + 3) % 41 AS INT) AS qual, count(*) AS n FROM b GROUP BY 1, 2, 3""",
+    ("v_seq",),
+)
+def base_quality_bases(spark, sf_dir):
+    r = views.aligned(spark, sf_dir).withColumn("quals", F.transform(F.sequence(F.lit(0), F.length("bases") - 1), lambda o: (o * 7 + 3) % 41))
+    return reads.base_quality(reads.bases_of(r))
+
+
 READ_LENGTH = """SELECT en - st + 1 + cycle AS length, CASE WHEN cycle > 3 THEN 1 ELSE 0 END AS events, CASE WHEN cycle > 3 THEN cycle ELSE 0 END AS clipped FROM v_reads"""
 
 
@@ -233,6 +253,16 @@ def read_length(spark, sf_dir):
     return reads.read_length(r.select("name", F.array(op("M", F.col("en") - F.col("st") + 1), tail).alias("cigar")))
 
 
+@query(
+    f"""WITH r AS ({READ_LENGTH.replace(" FROM v_reads", ", (name * 8 + cycle) * 1000 + en - st + 1 + cycle AS id FROM v_reads")}), k AS (SELECT *, row_number() OVER (ORDER BY id) AS i FROM r) SELECT count(*) AS n, CAST(sum(length) AS BIGINT) AS total, CAST(sum(id) AS BIGINT) AS ids FROM k WHERE i % 7 = 0""",
+    ("v_reads",),
+)
+def read_length_skip(spark, sf_dir):
+    length = F.col("en") - F.col("st") + 1 + F.col("cycle")
+    r = views.reads(spark, sf_dir).select(((F.col("name") * 8 + F.col("cycle")) * 1000 + length).alias("id"), length.alias("length"))
+    return reads.every_nth(r, 7, "id").agg(F.count("*").alias("n"), F.sum("length").alias("total"), F.sum("id").alias("ids"))
+
+
 def nmer_sql(last: str) -> str:
     return f"""SELECT nmer, count(*) AS n FROM (SELECT substr(seq, i, {K}) AS nmer FROM (SELECT seq, unnest(generate_series(1, length(seq) - {last})) AS i FROM v_seq)) GROUP BY nmer"""
 
@@ -343,17 +373,6 @@ def cytosine_pileup_calls(spark, sf_dir):
     return cytosines.calls(cytosines.pileup(rd), ref).select("contig", F.col("pos").cast("long").alias("pos"), "neg", "context", "c", "t", "ag", "opp_tot", "opp_a")
 
 
-# Reads laid along a CIGAR.  The SQL knows for each of a read's 46 bases how far its position
-# lies behind the first one (-1: none), and walks no operations.
-LAID = """WITH s AS (SELECT 'chr' || (id % 3) AS contig, id, seq, coalesce(sum(length(seq)) OVER (PARTITION BY id % 3 ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM v_seq),
-q AS (SELECT *, unnest(generate_series(0, length(seq) // 60 - 1)) AS k FROM s WHERE length(seq) >= 60),
-w AS (SELECT contig, id || ':' || k AS name, CAST(base + 60 * k + 6 AS BIGINT) AS st, k % 3 = 1 AS neg, k % 4 = 3 AS second, k, substr(seq, 60 * k + 1, 60) AS piece FROM q),
-v AS (SELECT *, 'ACG' || piece[6:17] || 'TG' || piece[18:27] || piece[32:39] || piece[46:54] || 'CA' AS raw FROM w),
-u AS (SELECT *, CASE WHEN k % 2 = 1 THEN raw WHEN neg THEN replace(raw, 'G', 'A') ELSE replace(raw, 'C', 'T') END AS bases FROM v),
-a AS (SELECT o, CASE WHEN o BETWEEN 3 AND 14 THEN o - 3 WHEN o BETWEEN 17 AND 26 THEN o - 5 WHEN o BETWEEN 27 AND 34 THEN o - 1 WHEN o BETWEEN 35 AND 43 THEN o + 5 ELSE -1 END AS d FROM generate_series(0, 45) AS g(o)),
-b AS (SELECT contig, name, neg, second, o, d, CASE WHEN d >= 0 THEN st + d END AS pos, substr(bases, CAST(o + 1 AS INT), 1) AS base, CASE WHEN d >= 0 THEN substr(piece, CAST(d + 6 AS INT), 1) END AS ref FROM u, a)"""
-
-
 @query(
     f"""{LAID}, n AS (SELECT *, lag(base) OVER x AS prev, lead(base) OVER x AS next FROM b WINDOW x AS (PARTITION BY contig, name ORDER BY o))
 SELECT contig, base, coalesce(prev, '') AS prev, coalesce(next, '') AS next, count(*) AS n, CAST(sum(pos) AS BIGINT) AS positions FROM n WHERE d >= 0 GROUP BY ALL""",
@@ -633,6 +652,43 @@ def thinned_cytosines(spark, sf_dir):
     return methylation.thinned(views.cytosines(spark, sf_dir), 0.4).select("contig", "pos", "c", "c_nonconv", "t", "ag", "opp_tot", "opp_a")
 
 
+TWO = "CASE WHEN {0} IS NULL THEN 'NaN' ELSE printf('%.2f', CAST({0} AS DOUBLE)) END"
+
+
+@query(
+    f"""{WEIGHTED}, n AS (SELECT *, q % 3 AS next_g, q % 3 + q % 4 AS next_total FROM w)
+SELECT contig, concat_ws(chr(9), pos, CASE WHEN neg THEN '-' ELSE '+' END, c + c_nonconv + t + ag, c, c_nonconv, t, ag, opp_tot, opp_a, next_g, next_total, substr(ctx, 3, 1), substr(ctx, 1, 1),
+{TWO.format('100 * level')}, {TWO.format('CASE WHEN next_total > 0 THEN 100.0 * next_g / next_total END')}, {TWO.format('weight')}) AS value FROM n""",
+    ("v_cyt",),
+)
+def methyl_db_lines(spark, sf_dir):
+    c = methylation.weights(views.cytosines(spark, sf_dir)).withColumns({"next_g": F.col("q") % 3, "next_total": F.col("q") % 3 + F.col("q") % 4, "next_ref": F.substring("ctx", 3, 1), "prev_ref": F.substring("ctx", 1, 1)})
+    return methylation.db_lines(c).select("contig", "value")
+
+
+@query(
+    f"""{WALKED} SELECT contig, concat_ws(chr(9), CAST(pos AS BIGINT), CASE WHEN neg THEN '-' ELSE '+' END, name, CASE WHEN rb = 'C' THEN 1 ELSE 0 END, 0, CASE WHEN rb = 'T' THEN 1 ELSE 0 END, 0, 0, 0,
+context LIKE 'G__', substr(context, 1, 1), context LIKE '__G', substr(context, 3, 1), 'NaN') AS value FROM x""",
+    ("v_seq",),
+)
+def methyl_read_lines(spark, sf_dir):
+    s = views.placed(spark, sf_dir)
+    ref = s.where("length(seq) > 0").select("contig", F.col("start").alias("chunk_start"), "seq")
+    return methylation.read_lines(alignment.read_cytosines(views.aligned(spark, sf_dir), ref)).select("contig", "value")
+
+
+@query(
+    """WITH w AS (SELECT 'chr' || (id % 3) AS contig, string_agg(seq, '' ORDER BY id) AS seq FROM v_seq GROUP BY 1), i AS (SELECT fid, 'chr' || (fid % 3) AS contig, fs * 7 AS st, fs * 7 + 30 AS en FROM v_features)
+SELECT fid, i.contig, st, en, substr(seq, CAST(st AS INT), 31) AS seq FROM i JOIN w ON w.contig = i.contig WHERE en <= length(seq)""",
+    ("v_seq", "v_features"),
+)
+def reference_fetch(spark, sf_dir):
+    s = views.placed(spark, sf_dir)
+    ref = s.where("length(seq) > 0").select("contig", F.col("start").alias("chunk_start"), "seq")
+    f = views.features(spark, sf_dir).select("fid", F.concat(F.lit("chr"), F.col("fid") % 3).alias("contig"), (F.col("fs") * 7).alias("st"), (F.col("fs") * 7 + 30).alias("en"))
+    return contexts.fetch(f, ref)
+
+
 # ---- windows --------------------------------------------------------------------------
 
 USE = "level IS NOT NULL AND weight > 0"
@@ -783,6 +839,41 @@ def feature_alignment_reads(spark, sf_dir):
     return features.profile(points, views.features(spark, sf_dir), FLANK, FEATURE_BIN, F.col("v"), ["pattern"])
 
 
+ANCHOR = "CASE WHEN strand = '-' THEN fe ELSE fs END"
+COLUMNS = 10
+
+
+@query(
+    f"""WITH f AS (SELECT fid, strand, {ANCHOR} AS anchor FROM v_features WHERE strand <> '.'), o AS (SELECT fid, neg, {PLAIN} AS v, CASE WHEN strand = '-' THEN anchor - pos ELSE pos - anchor END + {FLANK} AS col FROM v_cyt JOIN f ON pos BETWEEN anchor - {FLANK} AND anchor + {FLANK})
+SELECT neg, fid, CAST(p.p AS INT) AS cell, count(v) AS n, round(avg(v), 6) AS mean FROM o, generate_series(0, {COLUMNS - 1}) AS p(p) WHERE col BETWEEN p.p * {2 * FLANK // COLUMNS} AND (p.p + 1) * {2 * FLANK // COLUMNS} GROUP BY 1, 2, 3""",
+    ("v_cyt", "v_features"),
+)
+def feature_alignment_columns(spark, sf_dir):
+    return features.profile_columns(views.cytosines(spark, sf_dir), views.features(spark, sf_dir), FLANK, COLUMNS, bases.meth(F.col("c"), F.col("t")), ["neg"])
+
+
+ENOUGH = f"""WITH pt AS (SELECT contig, rd, {PAT2} AS pattern, pos, meth FROM v_cyt), pn AS (SELECT contig, rd, pattern, CAST(floor((min(pos) + max(pos)) / 2) AS BIGINT) AS pos, CAST(count(*) FILTER (meth) AS DOUBLE) / count(*) AS v, count(*) AS n FROM pt WHERE pattern IS NOT NULL GROUP BY 1, 2, 3),
+pe AS (SELECT * FROM pn WHERE n >= CASE pattern WHEN 'HCG' THEN 2 ELSE 1 END), en AS (SELECT * FROM pe WHERE (SELECT count(*) FROM pe q WHERE q.contig = pe.contig AND q.rd = pe.rd) = 2)"""
+NEAR = f"JOIN v_features f ON f.strand <> '.' AND pos BETWEEN fs - {FLANK} AND fe + {FLANK}"
+
+
+@query(f"{ENOUGH} SELECT pattern, fid, CAST({OFFSET} AS INT) AS bin, count(v) AS n, round(avg(v), 6) AS mean FROM en {NEAR} GROUP BY 1, 2, 3", ("v_cyt", "v_features"))
+def feature_alignment_enough(spark, sf_dir):
+    points = methylation.read_points(views.cytosines(spark, sf_dir), {"HCG": 2, "GCH": 1})
+    return features.profile(points, views.features(spark, sf_dir), FLANK, FEATURE_BIN, F.col("v"), ["pattern"])
+
+
+@query(
+    f"""{ENOUGH}, qa AS (SELECT a.contig, a.rd, a.pos, CASE WHEN a.v <= 0.1 THEN 'low' WHEN a.v > 0.9 THEN 'high' END || '_' || CASE WHEN b.v <= 0.1 THEN 'low' WHEN b.v > 0.9 THEN 'high' END AS quadrant, 1.0::DOUBLE AS v
+  FROM en a JOIN en b ON a.contig = b.contig AND a.rd = b.rd AND a.pattern = 'HCG' AND b.pattern = 'GCH')
+SELECT quadrant, fid, CAST({OFFSET} AS INT) AS bin, count(v) AS n, round(avg(v), 6) AS mean FROM qa {NEAR} AND quadrant IS NOT NULL GROUP BY 1, 2, 3""",
+    ("v_cyt", "v_features"),
+)
+def feature_alignment_quadrants(spark, sf_dir):
+    points = methylation.quadrant_points(methylation.read_points(views.cytosines(spark, sf_dir), {"HCG": 2, "GCH": 1}), "HCG", "GCH")
+    return features.profile(points, views.features(spark, sf_dir), FLANK, FEATURE_BIN, F.col("v"), ["quadrant"])
+
+
 def nearest_sql(end: str) -> str:
     return f"""WITH f AS (SELECT fid, grp, fs, {end} AS fe FROM v_features), d AS (SELECT c.pos AS pid, c.pos % 3 AS grp, c.pos, f.fid, f.fe, greatest(0, fs - c.pos, c.pos - f.fe) AS distance FROM v_cyt c JOIN f ON f.grp = c.pos % 3)
 SELECT pid, grp, pos, CAST(fid AS BIGINT) AS fid, CAST(distance AS BIGINT) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY distance, CASE WHEN distance = 0 THEN -fe END, fid) AS k FROM d) WHERE k = 1"""

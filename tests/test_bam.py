@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusframe.functions import filters
-from locusframe.sources import bam, text
+from locusframe.sources import bam, fasta, text
 
 REFS = [("c1", 5000), ("c2", 300), ("long_contig_name", 10**6)]
 
@@ -87,3 +87,28 @@ def test_empty(spark, both, tmp_path):
     told, _ = both
     bam.write(told.limit(0), str(tmp_path / "none"), REFS)
     assert bam.read(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_indexed_fasta(spark, tmp_path):
+    """Chunks of any size, over line ends, equal the plain reader's sequences."""
+    rng = random.Random(5)
+    seqs = {"c1": "".join(rng.choice("acgtN") for _ in range(257)), "c2": "ACGT", "c3": "".join(rng.choice("ACGT") for _ in range(100))}
+    text_, index, at = "", "", 0
+    for name, seq in seqs.items():
+        head = f">{name} described\n"
+        lines_ = [seq[i : i + 50] for i in range(0, len(seq), 50)]
+        index += f"{name}\t{len(seq)}\t{at + len(head)}\t50\t51\n"
+        text_ += head + "\n".join(lines_) + "\n"
+        at = len(text_)
+    (tmp_path / "x.fa").write_text(text_)
+    (tmp_path / "x.fa.fai").write_text(index)
+    for chunk, per_task in ((7, 2), (50, 1), (1 << 16, 64)):
+        rows = fasta.read(spark, str(tmp_path / "x.fa"), chunk=chunk, per_task=per_task).orderBy("contig", "chunk_start").collect()
+        got = {}
+        for r in rows:
+            assert len(got.setdefault(r.contig, "")) == r.chunk_start - 1
+            got[r.contig] += r.seq
+        assert got == {k: v.upper() for k, v in seqs.items()}
+    with pytest.raises(Exception, match="disagree"):
+        (tmp_path / "x.fa.fai").write_text(index.replace("c1\t257", "c1\t290"))
+        fasta.read(spark, str(tmp_path / "x.fa")).collect()

@@ -363,3 +363,19 @@ def test_other_writers(spark, tmp_path):
     assert values(reads.base_quality(reads.bases_of(bq)), "base", "cycle", "qual", "n") == [("A", 1, 30, 1), ("C", 2, 20, 1)]
     with pytest.raises(ValueError, match="more than"):
         sinks.summary_html(spark.range(5), most=4)
+
+
+def test_streaming_context_means(spark, tmp_path):
+    """Levels of a stream of calls by window and context equal a batch over the same rows."""
+    calls = spark.createDataFrame([(f"2024-01-0{d} 10:00:00", x, c, t, 1) for d, x, c, t in ((1, "ACG", 3, 1), (1, "TCG", 0, 4), (1, "GCA", 1, 1), (2, "ACG", 0, 0), (2, "ACC", 5, 5))], "ts string, ctx string, c int, t int, c_nonconv int")
+    calls.write.parquet(str(tmp_path / "in"))
+    q = streaming.context_means(spark.readStream.schema(calls.schema).parquet(str(tmp_path / "in")), ["HCG", "GCH"]).writeStream.format("memory").queryName("means").outputMode("complete").start()
+    q.processAllAvailable()
+    q.stop()
+    got = {(str(r.start.date()), r.pattern): (r.n, round(r.total, 6)) for r in spark.table("means").collect()}
+    assert got == {("2024-01-01", "HCG"): (2, 1.0), ("2024-01-01", "GCH"): (1, round(2 / 3, 6)), ("2024-01-02", "HCG"): (1, 1.0)}
+
+
+def test_fractions_in_lowest_terms(spark):
+    df = spark.createDataFrame([(2, 4), (1, 2), (0, 7), (0, 0), (1_000_000_007, 3_000_000_021)], "n long, d long")
+    assert [tuple(r[0]) for r in df.select(bases.reduced(F.col("n"), F.col("d"))).collect()] == [(1, 2), (1, 2), (0, 1), (0, 0), (1, 3)]
