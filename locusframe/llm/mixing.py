@@ -61,7 +61,7 @@ def quotas(leaves: DataFrame, weights: dict[str, dict[str, int]], share: tuple[i
     return split(nodes.withColumn("w", weight("source", weights.get("source", {}))), ["domain", "lang"], "source").select(*LEVELS, "tokens", "amount")
 
 
-def mix(docs: DataFrame, weights: dict[str, dict[str, int]], share: tuple[int, int] = (1, 2), epochs: int = 4, seed: int = 1, domain: str = DOMAIN) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, dict[str, int]], share: tuple[int, int] = (1, 2), epochs: int = 4, seed: int = 1, domain: str = DOMAIN, row: Column | None = None) -> DataFrame:
     """Select documents to the target weights; ``share`` of all tokens is the budget.
 
     Returns a row for each selected (document, epoch): ``doc_id, domain, lang, source,
@@ -69,9 +69,11 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]], share: tuple[int, i
     Texts without words cost nothing and are taken once when their leaf's prefix reaches
     them.  Rows equal in id are told apart by their order alone.  A leaf whose next
     document doesn't fit its prefix stops there: a quota is never exceeded.  An empty
-    table gives no rows; other columns are ignored.
+    table gives no rows; other columns are ignored.  ``row``, an expression, comes along.
     """
+    more = [] if row is None else [row.alias("row")]
     rows = docs.select(
+        *more,
         "doc_id",
         F.coalesce(F.expr(domain), F.lit("")).alias("domain"),
         F.coalesce(F.col("lang"), F.lit("")).alias("lang"),
@@ -88,17 +90,28 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]], share: tuple[int, i
     rows = cut(rows.withColumn("key", seeded(seed, F.col("whole"), F.col("doc_id"))))
     rows = running(rows, LEVELS, F.substring("key", 1, DIGITS), [F.col("key"), F.col("n_tokens")], F.col("n_tokens"), "cum")
     rows = rows.withColumn("copies", F.col("whole") + (F.col("cum") <= F.col("rest")).cast("long")).where("copies > 0")
-    return rows.select("doc_id", *LEVELS, "n_tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("epoch"))
+    return rows.select(*(["row"] if more else []), "doc_id", *LEVELS, "n_tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("epoch"))
 
 
 def mixed(docs: DataFrame, weights: dict[str, dict[str, int]], share: tuple[int, int] = (1, 2), epochs: int = 4, seed: int = 1) -> DataFrame:
     """The selected documents themselves, with all their columns, once for each epoch.
 
-    Rows that repeat an id are repeated alike; rows without an id go.
+    Rows are told apart by id, language, source and text.  Of rows that repeat all four as
+    many come out as were selected, each time the same one.  Documents travel as one
+    column, so theirs can have any names; rows without an id take part.
     """
-    copies = mix(docs, weights, share, epochs, seed).where("doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("epoch") + 1).alias("_copies"))
-    out = docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return out.select(*docs.columns)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in ("doc_id", "lang", "source")]
+    row = F.md5(F.concat_ws(":", *[F.concat_ws(".", F.octet_length(p), p) for p in parts], text).cast("binary"))
+    counted = docs.select(row.alias("row")).groupBy("row").agg(F.count("*").alias("rows"))
+    taken = mix(docs, weights, share, epochs, seed, row=row).groupBy("row").agg(F.count("*").alias("copies"))
+    taken = cut(taken.join(counted, "row"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row.alias("row"))
+    out = whole.join(taken.where("rows = 1").drop("rows"), "row")
+    again = taken.where("rows > 1").drop("rows")
+    if again.take(1):
+        out = out.unionByName(whole.join(again, "row").dropDuplicates(["row"]))
+    return out.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc.*")
 
 
 def oracle(weights: dict[str, dict[str, int]], share: tuple[int, int] = (1, 2), epochs: int = 4, seed: int = 1, domain: str = DOMAIN) -> str:
