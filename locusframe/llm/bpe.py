@@ -117,6 +117,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 #: Words up to so many bytes are folded a merge at a time, with the ranks of their pairs at
 #: hand; longer ones by all merges of a rank at once, so that rounds don't grow with length.
 STEPWISE = 64
+ID_BITS = 20
+ID = 1 << ID_BITS
 
 
 def encode_word(first: Column, path: str) -> Column:
@@ -136,24 +138,26 @@ def pair_ranks(ids: Column, pairs: Column, shifts: Column) -> Column:
 
 
 def stepwise(first: Column, pairs: Column, shifts: Column) -> Column:
-    """The fold with the lowest rank's first pair merged in each step; only the ranks beside it change."""
-    none = F.array().cast("array<bigint>")
-
-    def merged(s: Column, at: Column, rank: Column) -> Column:
-        ids, ranks = s["ids"], s["ranks"]
-        before = F.when(at > 1, F.array(rank_of(F.get(ids, at - 2), rank.cast("int"), pairs, shifts))).otherwise(none)
-        after = F.when(at <= F.size(ids) - 2, F.array(rank_of(rank.cast("int"), F.get(ids, at + 1), pairs, shifts))).otherwise(none)
-        return F.struct(
-            F.concat(F.slice(ids, F.lit(1), at - 1), F.array(rank.cast("int")), F.slice(ids, at + 2, F.size(ids))).alias("ids"),
-            F.concat(F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))), before, after, F.slice(ranks, at + 2, F.size(ids))).alias("ranks"),
-        )
+    """The fold with the lowest rank's first pair merged in each step.
+
+    The state is one number a piece: the rank of its pair with the next one, times ID, plus
+    its own.  The least number is the next merge, and a merge changes two of them.
+    """
+    ids = F.lit(ID - 1).cast("bigint")
+    piece = lambda x: x.bitwiseAND(ids).cast("int")
+    entry = lambda left, right: F.when(right.isNull(), F.lit(1 << 60)).otherwise(rank_of(left, right, pairs, shifts) * ID) + left
+
+    def merged(s: Column, at: Column, new: Column) -> Column:
+        own = F.array(entry(new, piece(F.get(s, at + 1))))
+        before = let(piece(F.get(s, at - 2)), lambda left: F.array(entry(left, new)))
+        tail = F.slice(s, at + 2, F.size(s))
+        return F.when(at == 1, F.concat(own, tail)).otherwise(F.concat(F.slice(s, F.lit(1), at - 2), before, own, tail))
 
     def step(s: Column, _: Column) -> Column:
-        lowest = lambda rank: F.when(F.coalesce(rank, F.lit(NONE)) >= NONE, s).otherwise(let(F.array_position(s["ranks"], rank).cast("int"), lambda at: merged(s, at, rank)))
-        return let(F.array_min(s["ranks"]), lowest)
+        return let(F.array_min(s), lambda low: F.when(low >= NONE * ID, s).otherwise(let(F.array_position(s, low).cast("int"), lambda at: merged(s, at, F.shiftright(low, ID_BITS).cast("int")))))
 
-    start = F.struct(first.alias("ids"), pair_ranks(first, pairs, shifts).alias("ranks"))
-    return F.aggregate(F.sequence(F.lit(2), F.size(first)), start, step, lambda s: s["ids"])
+    start = F.transform(first, lambda x, j: entry(x, F.get(first, j + 1)))
+    return F.aggregate(F.sequence(F.lit(2), F.size(first)), start, step, lambda s: F.transform(s, piece))
 
 
 def by_rank(first: Column, pairs: Column, shifts: Column) -> Column:
