@@ -26,18 +26,20 @@ def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[n]) for n in names])
 
 
-def running(df: DataFrame, group: list[str], bucket: Column, order: list[Column], value: Column, out: str) -> DataFrame:
-    """Add ``out``: the sum of ``value`` over the group's rows up to and with this one,
-    by (bucket, order), and ``out_total``: the group's sum.  ``df`` is read twice: cut it.
+def running(df: DataFrame, group: list[str], bucket: Column, order: list[Column], value: Column, out: str, how: str = "sum") -> DataFrame:
+    """Add ``out``: the sum (or ``how="max"``) of ``value`` over the group's rows up to and with
+    this one, by (bucket, order), and ``out_total``: the group's.  ``df`` is read twice: cut it.
     """
+    fn = {"sum": F.sum, "max": F.max}[how]
+    none = F.lit(0) if how == "sum" else F.lit(None)
     df = df.withColumn("_b", bucket).withColumn("_v", value)
     keys = [*group, "_b"]
-    totals = df.groupBy(*keys).agg(F.sum("_v").alias("_s"))
+    totals = df.groupBy(*keys).agg(fn("_v").alias("_s"))
     before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("_o", F.coalesce(F.sum("_s").over(before), F.lit(0)))
-    totals = totals.withColumn("_t", F.sum("_s").over(Window.partitionBy(*group))).drop("_s")
+    totals = totals.withColumn("_o", F.coalesce(fn("_s").over(before), none))
+    totals = totals.withColumn("_t", fn("_s").over(Window.partitionBy(*group))).drop("_s")
     totals = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_o", "_t")
-    local = df.withColumn("_r", F.sum("_v").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    local = df.withColumn("_r", fn("_v").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     met = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
     joined = local.join(totals, met)
-    return joined.withColumn(out, F.col("_r") + F.col("_o")).withColumn(f"{out}_total", F.col("_t")).drop("_b", "_v", "_r", "_o", "_t", *[f"_k{i}" for i in range(len(keys))])
+    return joined.withColumn(out, F.col("_r") + F.col("_o") if how == "sum" else F.greatest("_r", "_o")).withColumn(f"{out}_total", F.col("_t")).drop("_b", "_v", "_r", "_o", "_t", *[f"_k{i}" for i in range(len(keys))])

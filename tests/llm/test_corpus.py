@@ -321,7 +321,7 @@ def test_language(spark, docs):
 
 def test_chat(spark):
     tools = {"reply": {"prompt": "string", "turn": "integer"}, "add": {"a": "number", "b": "number?"}}
-    ask = json.dumps({"content": "x", "tool_calls": [{"id": "c1", "name": "add", "arguments": {"b": "2", "a": "1"}}, {"id": "c2", "name": "add", "arguments": {"b": "z", "q": "1"}, "uses": ["c1"]}, {"id": "c3", "name": "none", "arguments": {}}]})
+    ask = json.dumps({"content": "x", "tool_calls": [{"id": "c1", "name": "add", "arguments": {"b": 2.5, "a": 1}}, {"id": "c2", "name": "add", "arguments": {"b": "2", "q": "1"}, "uses": ["c1"]}, {"id": "c3", "name": "none", "arguments": {}}]})
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", ask), (1, 2, "tool", json.dumps({"tool_call_id": "c2", "content": "9"})), (1, 3, "tool", json.dumps({"tool_call_id": "c1", "content": "3"})), (1, None, None, None), (None, 1, "assistant", "yo"), (2, 0, "user", "q"), (2, 1, "assistant", "a"), (2, 1, "assistant", "a"), (3, 0, "tool", "{broken")]
     got = chat.link(chat.events_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), tools).orderBy("conv_id", "position").collect()
     one = [r for r in got if r.conv_id == 1]
@@ -330,7 +330,7 @@ def test_chat(spark):
     assert order.index(("call", "c1")) < order.index(("result", "c1")) < order.index(("call", "c2")) < order.index(("result", "c2"))
     faults = {r.call_id: r.faults for r in one if r.kind == "call"}
     assert faults == {"t0": [], "c1": [], "c2": ["missing a", "b is no number", "unknown q"], "c3": ["unknown tool none"]}
-    assert next(r.json for r in one if r.call_id == "c1" and r.kind == "call") == '{"arguments":{"a":"1","b":"2"},"call_id":"c1","content":"x","kind":"call","name":"add","role":"assistant"}'
+    assert next(r.json for r in one if r.call_id == "c1" and r.kind == "call") == '{"arguments":{"a":1,"b":2.5},"call_id":"c1","content":"x","kind":"call","name":"add","role":"assistant"}'
     assert [r.linked for r in got if r.conv_id == 2] == [True, True, True] and not got[0].linked
     for r in got:
         assert json.dumps(json.loads(r.json), separators=(",", ":"), ensure_ascii=False) == r.json

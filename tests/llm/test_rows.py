@@ -50,3 +50,29 @@ def test_near_duplicates_by_row(spark):
     assert sum(r[0] == 3 for r in got) == 1 and {r[1] for r in got if r[0] == 3} <= {d, d + " more"}
     rest = sorted((r for r in got if r[0] not in (1, 3)), key=str)
     assert rest == sorted([(2, b, "x"), (5, c, "x"), *rows[9:]], key=str)
+
+
+def test_chat_types_and_nesting(spark):
+    """Arguments keep their types, are checked by them, and are canonical at any depth."""
+    tools = {"s": {"query": "string", "limit": "integer", "opts": "object?", "tags": "array?", "on": "boolean?", "x": "number?"}}
+    calls = [
+        {"id": "a", "name": "s", "arguments": {"query": "q", "limit": 3, "opts": {"z": [1, {"b": 2, "a": 1}], "k": None}, "tags": [1, "x"], "on": True, "x": 1.5}},
+        {"id": "b", "name": "s", "arguments": {"query": 5, "limit": "3", "opts": [], "tags": {}, "on": "true", "x": "1"}},
+        {"id": "c", "name": "s", "arguments": {"limit": 2.5, "query": None}},
+    ]
+    rows = [(1, 0, "assistant", json.dumps({"content": "", "tool_calls": calls}))]
+    got = {r.call_id: r for r in chat.link(chat.events_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), tools).collect()}
+    assert got["a"].faults == [] and got["b"].faults == [f"{p} is no {t.rstrip('?')}" for p, t in tools["s"].items()]
+    assert got["c"].faults == ["missing query", "limit is no integer"]
+    for c in calls[:2]:
+        assert json.dumps(c["arguments"], sort_keys=True, separators=(",", ":")) in got[c["id"]].json
+
+
+def test_chat_keeps_turns(spark):
+    """Turns stay in order unless a use demands otherwise, and the last answer is linked to the user's question."""
+    call = lambda turn, i, uses=(): (7, turn, "assistant", json.dumps({"content": "", "tool_calls": [{"id": i, "name": "n", "arguments": {}, "uses": list(uses)}]}))
+    back = lambda turn, i: (7, turn, "tool", json.dumps({"tool_call_id": i, "content": "r"}))
+    rows = [(7, 0, "user", "ask"), call(1, "a"), back(2, "a"), call(3, "b", ["a"]), back(4, "b"), (7, 5, "assistant", "answer"), (7, 6, "user", "more"), (7, 7, "assistant", "done"), call(8, "c", ["d"]), (7, 9, "system", "x"), call(10, "d"), back(11, "d"), (7, None, "system", "first")]
+    got = sorted(chat.link(chat.events_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), {"n": {}}).collect(), key=lambda r: r.position)
+    assert [(r.turn, r.call_id) for r in got] == [(None, None), (0, "t0"), (1, "a"), (2, "a"), (3, "b"), (4, "b"), (5, "t0"), (6, "t6"), (7, "t6"), (9, None), (10, "d"), (11, "d"), (8, "c")]
+    assert all(r.linked for r in got if r.call_id in ("a", "b", "t0", "t6", "d")) and not next(r for r in got if r.call_id == "c").linked
