@@ -31,13 +31,13 @@ def initial(n_rows: int, n_cols: int, value: float | None, like: DataFrame) -> D
     return spark.range(n_rows).withColumnRenamed("id", "row").select("row", F.explode(F.sequence(F.lit(0), F.lit(n_cols - 1))).alias("col"), F.lit(value).cast("double").alias("v"))
 
 
-def downscale_rows(m: DataFrame, n_in: int, n_out: int, smooth: int = 0) -> DataFrame:
-    """Fewer rows, as ``downscale`` does for columns; with ``smooth`` each is then the mean of
-    itself and so many on either side."""
-    f = n_in // n_out
-    own = F.expr(f"CAST(row div {f} AS BIGINT)")
-    cells = F.filter(F.array(own, F.when(F.col("row") % f == 0, own - 1)), lambda p: p.isNotNull() & (p >= 0) & (p < n_out))
-    out = m.select("col", F.explode(cells).alias("cell"), "v").groupBy("cell", "col").agg(F.avg("v").alias("v"))
+def downscale_rows(m: DataFrame, n_out: int, smooth: int = 0) -> DataFrame:
+    """Fewer rows, as ``downscale`` does for columns, of a matrix as high as its last row; with
+    ``smooth`` each is then the mean of itself and so many on either side."""
+    sized = m.crossJoin(F.broadcast(m.agg(F.expr(f"(max(row) + 1) div {n_out}").alias("_f"))))  # one row
+    own = F.expr("row div _f")
+    cells = F.filter(F.array(own, F.when(F.col("row") % F.col("_f") == 0, own - 1)), lambda p: p.isNotNull() & (p >= 0) & (p < n_out))
+    out = sized.select("col", F.explode(cells).alias("cell"), "v").groupBy("cell", "col").agg(F.avg("v").alias("v"))
     if smooth:
         near = F.sequence(F.greatest(F.col("cell") - smooth, F.lit(0).cast("long")), F.least(F.col("cell") + smooth, F.lit(n_out - 1).cast("long")))
         out = out.select(F.explode(near).alias("cell"), "col", "v").groupBy("cell", "col").agg(F.avg("v").alias("v"))

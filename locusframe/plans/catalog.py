@@ -998,13 +998,13 @@ def matrix_arithmetic(spark, sf_dir):
 
 
 def scaled(smooth: int) -> str:
-    return f"""{CELLS}, d AS (SELECT p.p AS cell, col, avg(v) AS v FROM m, generate_series(0, 9) AS p(p) WHERE "row" BETWEEN p.p * 20 AND (p.p + 1) * 20 GROUP BY 1, 2)
+    return f"""{CELLS}, d AS (SELECT p.p AS cell, col, avg(v) AS v FROM m, generate_series(0, 9) AS p(p) WHERE "row" BETWEEN p.p * (SELECT (max(vec_id) + 1) // 10 FROM embeddings) AND (p.p + 1) * (SELECT (max(vec_id) + 1) // 10 FROM embeddings) GROUP BY 1, 2)
 SELECT a.cell AS cell, CAST(a.col AS INT) AS col, round(avg(b.v), 6) AS v FROM d a JOIN d b ON b.col = a.col AND abs(b.cell - a.cell) <= {smooth} GROUP BY 1, 2"""
 
 
 @query(scaled(1))
 def matrix_downscale_rows(spark, sf_dir):
-    return matrix.downscale_rows(cells(spark, sf_dir), 200, 10, smooth=1)
+    return matrix.downscale_rows(cells(spark, sf_dir), 10, smooth=1)
 
 
 @query(f'{CELLS} SELECT "row", round(sum(v * (greatest(abs(col - 31.5::DOUBLE), 2.0::DOUBLE) ** -1.0) / (2.0::DOUBLE ** -1.0)) / count(v), 6) AS mean FROM m GROUP BY "row"')
@@ -1219,7 +1219,7 @@ def walker_over_all(spark, sf_dir):
 
 READ_LENGTHS = walkers.Walker(
     needs=["st", "en", "mapq"],
-    keep=F.col("mapq") >= 20,
+    keep="mapq >= 20",
     start=lambda: (0, 0, 0),
     add=lambda s, r: (s[0] + 1, s[1] + r["en"] - r["st"] + 1, max(s[2], r["en"])),
     merge=lambda a, b: (a[0] + b[0], a[1] + b[1], max(a[2], b[2])),

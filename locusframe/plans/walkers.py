@@ -15,7 +15,7 @@ from typing import Any
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.sources.shared import cut
@@ -26,7 +26,7 @@ FAN = 32
 
 @dataclass
 class Walker:
-    """``needs``: columns; ``keep``: a predicate, applied before Python; ``start`` makes a state;
+    """``needs``: columns; ``keep``: a predicate in SQL, applied before Python; ``start`` makes a state;
     ``add(state, row)`` and ``merge(state, state)`` give the next one; ``finish(state)`` gives
     rows of ``schema``.  States have to be picklable, and ``merge`` must not depend on the order."""
 
@@ -36,7 +36,7 @@ class Walker:
     merge: Callable[[Any, Any], Any]
     finish: Callable[[Any], list[tuple]]
     schema: str
-    keep: Column | None = None
+    keep: str | None = None
 
 
 def folded(walker: Walker, batches: Iterator[pa.RecordBatch]) -> Any:
@@ -50,7 +50,7 @@ def folded(walker: Walker, batches: Iterator[pa.RecordBatch]) -> Any:
 def run(walker: Walker, rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The walker's rows, with ``keys`` one result a key; without rows and keys the start's result."""
     kept = rows if walker.keep is None else rows.where(walker.keep)
-    w = Walker(walker.needs, walker.start, walker.add, walker.merge, walker.finish, walker.schema)  # a column can't travel
+    w = Walker(walker.needs, walker.start, walker.add, walker.merge, walker.finish, walker.schema)
     names = [c.split()[0] for c in walker.schema.split(", ")]
     state_of = lambda part, state: pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([cloudpickle.dumps(state)], pa.binary())], names=["part", "state"])
     if not keys:
