@@ -14,7 +14,8 @@ HEADLINE = [
     "coverage_depth", "bin_depths", "bin_depths_percentiles", "exclusive_read_group_summary", "read_counter", "inverted_pair_dups", "base_quality",
     "read_length", "count_nmer", "dup_groups", "downsample_dups", "cytosine_pileup_calls", "meth_level_averages", "fraction_by_context", "cpg_summarizer",
     "window_fixed", "window_variable", "pairs_autocorr_same_read", "pairs_autocorr", "feature_alignment", "nearest_feature", "sequence_matrix",
-    "matrix_downscale", "peak_derivative", "peak_groups",
+    "matrix_downscale", "peak_derivative", "peak_groups", "downsample_coverage", "peak_segments_spread", "read_cytosines", "consensus_strings", "pairs_condition_cube",
+    "bam_engine_filters", "nucleosome_centres",
 ]
 
 

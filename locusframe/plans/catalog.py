@@ -481,8 +481,9 @@ def context_ratios(spark, sf_dir):
 
 CALLED = f"""{WALKED}, ca AS (SELECT contig, pos, neg, mode(CASE WHEN context NOT LIKE '%N%' THEN context END) AS context, count(*) FILTER (rb = 'C') AS c FROM x GROUP BY contig, pos, neg),
 qu AS (SELECT * FROM ca WHERE c >= 1 AND regexp_matches(context, '^[ACT]C[ACT]$')),
-fl AS (SELECT q.contig, q.pos, q.neg, q.c, g.g AS off, CASE WHEN q.neg THEN translate(r.base, 'ACGT', 'TGCA') ELSE r.base END AS base FROM qu q, generate_series(-5, 4) AS g(g),
-  (SELECT contig, base + i AS pos, substr(seq, i, 1) AS base FROM (SELECT *, unnest(generate_series(1, length(seq))) AS i FROM s)) r WHERE r.contig = q.contig AND r.pos = CASE WHEN q.neg THEN q.pos - g.g ELSE q.pos + g.g END)"""
+fo AS (SELECT q.*, g.g AS off, CAST(CASE WHEN neg THEN pos - g.g ELSE pos + g.g END AS BIGINT) AS place FROM qu q, generate_series(-5, 4) AS g(g)),
+rb AS (SELECT contig, CAST(base + i AS BIGINT) AS place, substr(seq, i, 1) AS base FROM (SELECT *, unnest(generate_series(1, length(seq))) AS i FROM s)),
+fl AS (SELECT o.contig, o.pos, o.neg, o.c, o.off, CASE WHEN o.neg THEN translate(r.base, 'ACGT', 'TGCA') ELSE r.base END AS base FROM fo o JOIN rb r ON r.contig = o.contig AND r.place = o.place)"""
 
 
 def called(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
