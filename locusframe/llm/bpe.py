@@ -2,10 +2,10 @@
 
 One narrow stage, no shuffle.  A scan task splits its texts, keeps the distinct words
 of a batch, and hands them to the JVM, where Spark higher-order functions fold the
-ranked merges over each word's bytes with a literal table of ranks and concatenate the
+ranked merges over each word's bytes with a constant table of ranks and concatenate the
 binary pieces back.  The last step of the same task spells every text out of its words.
 
-The rank map is a literal of two arrays: ``shift`` by left piece and ``pairs``, where
+The rank map is a constant of two arrays: ``shift`` by left piece and ``pairs``, where
 ``pairs[shift[l] + r]`` holds ``(l + 1) << 17 | rank`` if pieces l and r join into a piece
 of that rank, else 0 or another l's entry.  XOR with ``(l + 1) << 17`` leaves the rank, or
 2**17 at least for no merge.
@@ -23,13 +23,12 @@ import base64
 import functools
 import hashlib
 import heapq
-import json
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusframe.llm.common import cut, gathered, released, small_batches, tidy
@@ -40,14 +39,13 @@ BATCH_BYTES, PIECE = 6 << 20, 1 << 19
 #: fixed, so the broadcast stays under about 16 MB at any input; it saves work and
 #: changes no result, as every other word is folded where it occurs.
 HOT_WORDS, HOT_SAMPLE = 1 << 18, 20_000
-SLOTS = 1 << 19  # more where the rows of a rank map find no place
+SLOTS = 3 << 17  # more where the rows of a rank map find no place
 NONE = 1 << 17  # rank of a pair that doesn't merge, at least
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 #: The endings that the public pattern splits off after an apostrophe.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
-@functools.lru_cache(maxsize=2)
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
@@ -82,9 +80,8 @@ def place(rows: dict[int, list[tuple[int, int]]], size: int, slots: int) -> tupl
 
 
 @functools.lru_cache(maxsize=4)
-def pair_table(path: str) -> tuple[list[int], str, str, str]:
-    """(rank of each single byte, shift by left piece, pairs, pieces by rank in base 64), the
-    last three as JSON, as the plan takes them."""
+def pair_table(path: str) -> tuple[list[int], np.ndarray, np.ndarray, list[bytes]]:
+    """(rank of each single byte, shift by left piece, pairs, pieces by rank)."""
     ranks = load_ranks(path)
     rows: dict[int, list[tuple[int, int]]] = {}
     for piece, rank in ranks.items():
@@ -100,13 +97,16 @@ def pair_table(path: str) -> tuple[list[int], str, str, str]:
     pieces = [b""] * size
     for piece, rank in ranks.items():
         pieces[rank] = piece
-    short = functools.partial(json.dumps, separators=(",", ":"))
-    return [ranks[bytes([b])] for b in range(256)], short(shift.tolist()), short(table.tolist()), short([base64.b64encode(x).decode() for x in pieces])
+    return [ranks[bytes([b])] for b in range(256)], shift.astype(np.int32), table, pieces
 
 
-def literal(values: str, kind: str) -> Column:
-    """An array literal from JSON: parsed once, when the optimiser folds constants."""
-    return F.from_json(F.lit(values), f"array<{kind}>")
+def constant(name: str, path: str) -> Column:
+    """A table of the rank map as a constant: a scalar subquery over its one row, so that plans
+    and what is told of them hold its name, not its half a million numbers."""
+    shift, pairs, pieces = pair_table(path)[1:]
+    value = {"shift": (shift, pa.int32()), "pairs": (pairs, pa.int64()), "pieces": (pieces, pa.binary())}[name]
+    row = pa.table({name: pa.array([value[0]], pa.list_(value[1]))})
+    return SparkSession.active().createDataFrame(row).select(name).scalar()
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -121,12 +121,21 @@ ID_BITS = 20
 ID = 1 << ID_BITS
 
 
-def encode_word(first: Column, path: str) -> Column:
-    """Ranks of a word, given the ranks of its single bytes as ``array<int>``."""
-    _, shift, table, _ = pair_table(path)
-    # each table stands once in the plan
-    return let(literal(table, "bigint"), lambda pairs: let(literal(shift, "int"), lambda shifts: F.when(
-        F.size(first) < 2, first).when(F.size(first) <= STEPWISE, stepwise(first, pairs, shifts)).otherwise(by_rank(first, pairs, shifts))))
+def with_constants(df: DataFrame, path: str, *names: str) -> DataFrame:
+    """Add tables of the rank map as columns ``_name``; the optimiser puts them where they are used."""
+    return df.select("*", *[constant(n, path).alias(f"_{n}") for n in names])
+
+
+def encode_word(first: Column) -> Column:
+    """Ranks of a word, given the ranks of its single bytes as ``array<int>``, with the
+    constants ``_pairs`` and ``_shift``."""
+
+    def fold(pairs: Column, shifts: Column) -> Column:
+        long = F.when(F.size(first) <= STEPWISE, stepwise(first, pairs, shifts)).otherwise(by_rank(first, pairs, shifts))
+        return F.when(F.size(first) < 2, first).otherwise(long)
+
+    # each constant is used once, else it would be copied from row to row
+    return let(F.col("_pairs"), lambda pairs: let(F.col("_shift"), lambda shifts: fold(pairs, shifts)))
 
 
 def rank_of(left: Column, right: Column, pairs: Column, shifts: Column) -> Column:
@@ -182,10 +191,9 @@ def by_rank(first: Column, pairs: Column, shifts: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(2), F.size(first)), first, step, lambda ids: F.filter(ids, lambda x: x >= 0))
 
 
-def decode_word(ids: Column, path: str) -> Column:
-    """Bytes of a word: its binary pieces, concatenated."""
-    pieces = literal(pair_table(path)[3], "binary")
-    return F.aggregate(ids, F.lit(b""), lambda out, i: F.concat(out, pieces[i]))
+def decode_word(ids: Column) -> Column:
+    """Bytes of a word: its binary pieces, concatenated, with the constant ``_pieces``."""
+    return let(F.col("_pieces"), lambda pieces: F.aggregate(ids, F.lit(b""), lambda out, i: F.concat(out, pieces[i])))
 
 
 def merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -354,7 +362,8 @@ def hot_words(docs: DataFrame, path: str) -> tuple[np.ndarray, np.ndarray, np.nd
     words = some.mapInArrow(released(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 2")
     # written first: the plan with the rank table has no exchange, so it is made once
     words = cut(words.orderBy(F.desc("n"), "word").limit(HOT_WORDS).select("word").repartition(16))
-    got = words.mapInArrow(released(parts), "word binary, parts array<int>").select("word", encode_word(F.col("parts"), path).alias("ids")).toArrow()
+    parted = words.mapInArrow(released(parts), "word binary, parts array<int>")
+    got = with_constants(parted, path, "pairs", "shift").select("word", encode_word(F.col("parts")).alias("ids")).toArrow()
     tidy(docs.sparkSession, words)
     keys = [np.zeros(0, np.uint64)]
     for part in got.column("word").chunks:  # a part at a time: the driver needs the keys only
@@ -460,7 +469,7 @@ def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
                 )
 
     rows = source.mapInArrow(released(split), SPLIT)
-    ids = F.coalesce(F.col("ids"), encode_word(F.col("parts"), path))
-    rows = rows.select("doc", "word", ids.alias("ids"))
-    rows = rows.select("doc", "word", "ids", F.when(F.col("word").isNotNull(), decode_word(F.col("ids"), path)).alias("back"))
+    ids = F.coalesce(F.col("ids"), encode_word(F.col("parts")))
+    rows = with_constants(rows, path, "pairs", "shift").select("doc", "word", ids.alias("ids"))
+    rows = with_constants(rows, path, "pieces").select("doc", "word", "ids", F.when(F.col("word").isNotNull(), decode_word(F.col("ids"))).alias("back"))
     return rows.mapInArrow(released(spell), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")
