@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``; only where that
-    is unset (tests, local mode) a temporary folder of this machine."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``; where that is unset,
+    a temporary folder of this machine, in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
         base = "file://" + tempfile.mkdtemp(prefix="locusframe-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
