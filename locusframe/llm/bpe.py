@@ -23,6 +23,7 @@ import base64
 import functools
 import hashlib
 import heapq
+import json
 from collections.abc import Callable
 
 import numpy as np
@@ -103,8 +104,8 @@ def pair_table(path: str) -> tuple[list[int], np.ndarray, np.ndarray, list[bytes
 def constant(name: str, path: str) -> Column:
     """A table of the rank map as a constant: a scalar subquery over its one row, so that plans
     and what is told of them hold its name, not its half a million numbers."""
-    shift, pairs, pieces = pair_table(path)[1:]
-    value = {"shift": (shift, pa.int32()), "pairs": (pairs, pa.int64()), "pieces": (pieces, pa.binary())}[name]
+    _, shift, pairs, _ = pair_table(path)
+    value = {"shift": (shift, pa.int32()), "pairs": (pairs, pa.int64())}[name]
     row = pa.table({name: pa.array([value[0]], pa.list_(value[1]))})
     return SparkSession.active().createDataFrame(row).select(name).scalar()
 
@@ -191,9 +192,10 @@ def by_rank(first: Column, pairs: Column, shifts: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(2), F.size(first)), first, step, lambda ids: F.filter(ids, lambda x: x >= 0))
 
 
-def decode_word(ids: Column) -> Column:
-    """Bytes of a word: its binary pieces, concatenated, with the constant ``_pieces``."""
-    return let(F.col("_pieces"), lambda pieces: F.aggregate(ids, F.lit(b""), lambda out, i: F.concat(out, pieces[i])))
+def decode_word(ids: Column, path: str) -> Column:
+    """Bytes of a word: its binary pieces, concatenated.  The pieces are a literal, parsed once."""
+    text = json.dumps([base64.b64encode(x).decode() for x in pair_table(path)[3]], separators=(",", ":"))
+    return let(F.from_json(F.lit(text), "array<binary>"), lambda pieces: F.aggregate(ids, F.lit(b""), lambda out, i: F.concat(out, pieces[i])))
 
 
 def merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -471,5 +473,5 @@ def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
     rows = source.mapInArrow(released(split), SPLIT)
     ids = F.coalesce(F.col("ids"), encode_word(F.col("parts")))
     rows = with_constants(rows, path, "pairs", "shift").select("doc", "word", ids.alias("ids"))
-    rows = with_constants(rows, path, "pieces").select("doc", "word", "ids", F.when(F.col("word").isNotNull(), decode_word(F.col("ids"))).alias("back"))
+    rows = rows.select("doc", "word", "ids", F.when(F.col("word").isNotNull(), decode_word(F.col("ids"), path)).alias("back"))
     return rows.mapInArrow(released(spell), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")
