@@ -3,8 +3,6 @@ any size, and the same in SQL."""
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -21,11 +19,19 @@ def uniform(*keys: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-@lru_cache(maxsize=1 << 14)
+#: Tables of chances that a worker holds, at most so many.
+HELD: dict[tuple[int, float], np.ndarray] = {}
+MOST_HELD = 1 << 14
+
+
 def chances(n: int, q: float) -> np.ndarray:
     """Cumulative chances of 0 to n - 1 successes among n trials, n up to PIECE, q up to a half."""
-    j = np.arange(1, n)
-    return np.cumsum(np.cumprod(np.concatenate([[(1 - q) ** n], (n - j + 1) / j * q / (1 - q)])))
+    if (n, q) not in HELD:
+        if len(HELD) >= MOST_HELD:
+            HELD.clear()
+        j = np.arange(1, n)
+        HELD[n, q] = np.cumsum(np.cumprod(np.concatenate([[(1 - q) ** n], (n - j + 1) / j * q / (1 - q)])))
+    return HELD[n, q]
 
 
 def successes(n: np.ndarray, q: np.ndarray, u: np.ndarray) -> np.ndarray:
