@@ -345,7 +345,8 @@ def scored(depth: int, parts: int):
             held[where] = values
         sizes, tokens = np.asarray(row["sizes"], np.int64), np.asarray(row["tokens"], np.int64)
         piece = np.arange(len(sizes))
-        by = lambda values, lengths: np.bincount(np.repeat(piece, lengths), values, len(piece))
+        # a block without words has integer sums otherwise
+        by = lambda values, lengths: np.bincount(np.repeat(piece, lengths), values, len(piece)).astype(float)
         c = counts[at]
         return pa.table({
             "row": pa.array(row["rows"], pa.int64()), "doc_id": pa.array(row["ids"], pa.int64()), "n_tokens": pa.array(tokens),
@@ -356,9 +357,12 @@ def scored(depth: int, parts: int):
     return run
 
 
-def score(docs: DataFrame, depth: int = 4, folds: int = 7, fold: int = 2, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, part: int = PART) -> DataFrame:
+def score(docs: DataFrame, depth: int = 4, folds: int = 7, fold: int = 2, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, part: int = PART, additive: bool = False) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte``.
 
+    ``base_score`` takes a token seen c times among N, V of them distinct, as likely as
+    (c + 1) / ((N + 1) * (V + 1)), with ``additive`` as (c + 1) / (N + V + 1).
+
     Texts whose id's crc32 leaves another remainder than ``fold`` are learnt from.  Null
     texts are empty: one token, the end.  Rows without an id are scored, are in no fold and
     aren't learnt from.  Repeated rows count and are scored each.  Without any training
@@ -394,10 +398,11 @@ def score(docs: DataFrame, depth: int = 4, folds: int = 7, fold: int = 2, id_col
     sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "logs", "bits", "n_bytes")]
     docs_ = pieces.groupBy("row").agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), *sums)
     own = F.lit(float(np.log10((train_ends or 0) + 1)))
+    below = np.log10(total + distinct_ + 1) if additive else np.log10(total + 1) + np.log10(distinct_ + 1)
     tokens = F.col("n_tokens") + 1
     return docs_.select(
         "doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(False)).alias("held_out"), tokens.alias("n_tokens"),
         (F.col("n_known") + int(bool(train_ends))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("logs") + own - tokens * F.lit(float(np.log10(total + 1) + np.log10(distinct_ + 1)))).alias("base_score"),
+        (F.col("logs") + own - tokens * F.lit(float(below))).alias("base_score"),
         (F.col("bits") * float(np.log10(2))).alias("score"), (-F.col("bits") / F.col("n_bytes")).alias("bits_per_byte"),
     )

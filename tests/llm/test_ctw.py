@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from locusframe.llm import ctw
+from locusframe.llm import ctw, queries
 
 
 def plain(docs, depth, folds=7, fold=2):
@@ -87,3 +87,26 @@ def test_no_texts_and_no_training(spark):
     assert ctw.score(frame.limit(0)).count() == 0
     r = ctw.score(frame).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (2, 0, 0, 0.0) and abs(r.score + 4 * 8 * math.log10(2)) < 1e-9
+
+
+def test_base_score_of_the_query(spark, tmp_path):
+    """The contract's N + 1 * (V + 1) below the line, not (N + 1) * (V + 1)."""
+    docs = [(i, t) for i, t in enumerate(["a b A", "b\tc", "", None, "new a", "a \x0b d", "b b b", " e "])]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    tokens = {i: [*(t or "").lower().replace("\x0b", " ").split(), None] for i, t in docs}
+    held = {i for i, _ in docs if zlib.crc32(str(i).encode()) % 7 == 2}
+    c = Counter(w for i in tokens if i not in held for w in tokens[i])
+    n, v = sum(c.values()), len(c)
+    got = {r.doc_id: r for r in queries.op11_context_trees(spark, str(tmp_path)).collect()}
+    assert set(got) == set(tokens) and {i for i in got if got[i].held_out} == held
+    for i, ws in tokens.items():
+        r = got[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(c[w] > 0 for w in ws), n)
+        assert abs(r.base_score - sum(math.log10((c[w] + 1) / (n + 1 * (v + 1))) for w in ws)) < 1e-9
+
+
+def test_a_block_without_words(spark):
+    """Partitions of empty texts alone; their sums of no words are still doubles."""
+    frame = spark.createDataFrame([(0, None), (1, ""), (3, " \t")], "doc_id long, text string")
+    rows = ctw.score(frame.coalesce(1), additive=True).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.train_tokens) for r in rows) == [(i, 1, 3 - sum(zlib.crc32(str(i).encode()) % 7 == 2 for i in (0, 1, 3))) for i in (0, 1, 3)]
