@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from locusframe.functions import bases
 
-#: Positions of a bin in which blocks and reference chunks meet.
-BIN = 1 << 14
+#: Positions of a bin in which blocks and reference chunks meet; a row that meets carries a bin's bases.
+BIN = 1 << 8
 
 
 def blocks_of(cigar: Column, start: Column) -> Column:
@@ -56,11 +56,16 @@ def pileup(reads: DataFrame) -> DataFrame:
 
 
 def binned(reference: DataFrame) -> DataFrame:
-    """Reference chunks cut at position bins: ``contig, _bin, _from, _to, _seq``."""
-    c = reference.where("seq <> ''").select("contig", F.col("chunk_start").cast("long").alias("_from"), (F.col("chunk_start") + F.length("seq") - 1).cast("long").alias("_to"), F.upper("seq").alias("_seq"))
-    c = c.select("contig", "_from", "_to", "_seq", F.explode(F.sequence(F.expr(f"_from div {BIN}"), F.expr(f"_to div {BIN}"))).alias("_bin"))
-    low, high = F.greatest("_from", F.col("_bin") * BIN), F.least("_to", F.col("_bin") * BIN + (BIN - 1))
-    return c.select("contig", "_bin", low.alias("_from"), high.alias("_to"), F.substring(F.col("_seq"), (low - F.col("_from") + 1).cast("int"), (high - low + 1).cast("int")).alias("_seq"))
+    """Reference chunks cut at position bins: ``contig, _bin, _from, _to, _seq``, and the chunk's
+    bases beside the piece, ``_before`` and ``_after`` (null at its ends).  A chunk is walked once."""
+    c = reference.where("seq <> ''").select("contig", F.col("chunk_start").cast("long").alias("_start"), F.upper("seq").alias("_all"))
+    lead = (BIN - F.expr(f"pmod(_start, {BIN})")).cast("int")
+    rest = F.regexp_extract_all(F.substring(F.col("_all"), lead + 1, F.length("_all")), F.lit(f"(?s).{{1,{BIN}}}"), F.lit(0))
+    c = c.select("contig", "_start", F.concat(F.array(F.substring(F.col("_all"), F.lit(1), lead)), rest).alias("_pieces"))
+    c = c.select("contig", "_start", "_pieces", F.posexplode("_pieces").alias("_k", "_seq")).withColumn("_bin", F.expr(f"_start div {BIN} + _k"))
+    low = F.greatest("_start", F.col("_bin") * BIN)
+    beside = lambda by, side: side(F.get("_pieces", F.col("_k") + by), F.lit(1))
+    return c.select("contig", "_bin", low.alias("_from"), (low + F.length("_seq") - 1).alias("_to"), "_seq", beside(-1, F.right).alias("_before"), beside(1, F.left).alias("_after"))
 
 
 def on_reference(reads: DataFrame, reference: DataFrame) -> DataFrame:
@@ -72,7 +77,7 @@ def on_reference(reads: DataFrame, reference: DataFrame) -> DataFrame:
     """
     b = blocks(reads)
     b = b.select("*", F.explode(F.sequence(F.expr(f"pos div {BIN}"), F.expr(f"(pos + len - 1) div {BIN}"))).alias("_bin"))
-    c = binned(reference)
+    c = binned(reference).drop("_before", "_after")
     first, last = F.greatest("_from", F.col("pos")), F.least("_to", F.col("pos") + F.col("len") - 1)
     met = b.join(c, ["contig", "_bin"]).withColumn("_first", first).withColumn("_n", last - first + 1).where("_n > 0")
     off = F.col("off") + F.col("_first") - F.col("pos")

@@ -39,11 +39,47 @@ def counts(seen: DataFrame, sites: DataFrame, flank: int) -> DataFrame:
     kept = [c for c in sites.columns if c not in ("contig", "pos")]
     s = sites.select("contig", "pos", *[F.col(c).alias(f"_{c}") for c in kept])
     met = seen.join(s, ["contig", "pos"]).where(F.col("_neg") == bases.bisulfite_negative(F.col("neg"), F.col("second")))
-    along = F.when(F.col("_neg"), bases.reverse_complement(F.col("around"))).otherwise(F.col("around"))
-    met = met.select("contig", "pos", *[f"_{c}" for c in kept], along.alias("along"))
-    at = lambda rel: F.substring(F.col("along"), F.lit(rel + flank + 1), F.lit(1))
-    each = [F.count_if(at(rel) == b).cast("int").alias(name_of(rel, b)) for rel in range(-flank, flank + 1) if rel for b in "ACGT"]
-    return met.groupBy("contig", "pos", *[F.col(f"_{c}").alias(c) for c in kept]).agg(*each)
+    met = met.select("contig", "pos", *[F.col(f"_{c}").alias(c) for c in kept], "around")
+    return tallied(met, ["contig", "pos", *kept], flank)
+
+
+def tallied(met: DataFrame, keys: list[str], flank: int) -> DataFrame:
+    """Counts by key (``neg`` among them) of the bases in ``around``, turned on the reverse strand."""
+    rels = [rel for rel in range(-flank, flank + 1) if rel]
+    along = met.select(*keys, F.when(F.col("neg"), bases.reverse_complement(F.col("around"))).otherwise(F.col("around")).alias("along"))
+    letters = along.select(*keys, *[F.substring("along", rel + flank + 1, 1).alias(f"_at{i}") for i, rel in enumerate(rels)])
+    return letters.groupBy(*keys).agg(*[F.count_if(F.col(f"_at{i}") == b).cast("int").alias(name_of(rel, b)) for i, rel in enumerate(rels) for b in "ACGT"])
+
+
+def counts_on(reads: DataFrame, reference: DataFrame, flank: int) -> DataFrame:
+    """``counts`` at the cytosines of the reference, with the reference's ``prev_ref`` and
+    ``next_ref`` along the cytosine's strand; a chunk's first and last base are no sites.
+
+    Blocks of reads meet the reference in position bins and only what covers a cytosine
+    becomes a row; the bins' partitioning serves the counts too.
+    """
+    b = alignment.blocks(reads.withColumn("neg", bases.bisulfite_negative(F.col("neg"), F.col("second"))))
+    b = b.withColumn("len", F.least("len", F.col("size") - F.col("off"))).where("len > 0")
+    blank = F.lit(" " * flank)
+    wide = F.substring(F.concat(blank, F.upper("bases"), blank), (F.col("off") + 1).cast("int"), (F.col("len") + 2 * flank).cast("int"))
+    ends = F.sequence(F.expr(f"pos div {alignment.BIN}"), F.expr(f"(pos + len - 1) div {alignment.BIN}"))
+    b = b.select("contig", "pos", "len", "neg", wide.alias("_wide"), F.explode(ends).alias("_bin"))
+    first, last = F.greatest("_from", "pos"), F.least("_to", F.col("pos") + F.col("len") - 1)
+    met = b.join(alignment.binned(reference), ["contig", "_bin"]).withColumn("_first", first).withColumn("_n", (last - first + 1).cast("int")).where("_n > 0")
+    framed = F.concat(F.coalesce("_before", F.lit(" ")), F.col("_seq"), F.coalesce("_after", F.lit(" ")))
+    part = lambda text, start, more: F.substring(text, (start + 1).cast("int"), F.col("_n") + more)
+    met = met.select(
+        "contig", "_bin", "neg", "_first", part(F.col("_wide"), F.col("_first") - F.col("pos"), 2 * flank).alias("_wide"), part(framed, F.col("_first") - F.col("_from"), 2).alias("_ref"),
+        F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_i"),
+    )
+    ref = lambda by: F.substring(F.col("_ref"), F.col("_i") + 1 + by, F.lit(1))
+    turned = lambda a, z: F.when(F.col("neg"), bases.complement(z)).otherwise(a)
+    met = met.where((ref(0) == F.when(F.col("neg"), "G").otherwise("C")) & (ref(-1) != " ") & (ref(1) != " "))
+    met = met.select(
+        "contig", "_bin", (F.col("_first") + F.col("_i") - 1).alias("pos"), "neg", turned(ref(-1), ref(1)).alias("prev_ref"), turned(ref(1), ref(-1)).alias("next_ref"),
+        F.substring(F.col("_wide"), F.col("_i"), F.lit(2 * flank + 1)).alias("around"),
+    )
+    return tallied(met, ["contig", "_bin", "pos", "neg", "prev_ref", "next_ref"], flank).drop("_bin")
 
 
 def total(rel: int) -> Column:
@@ -96,13 +132,9 @@ def consensus(before: int, after: int, prev_ref: Column, next_ref: Column, least
 # ---- the reference around called cytosines ----------------------------------------------
 
 
-def flanks(calls: DataFrame, reference: DataFrame, up: int, down: int) -> DataFrame:
-    """The reference around calls (``contig, pos, neg``; other columns stay) base by base, along
-    the cytosine's strand: ``offset`` from -up to down, and ``base``.
-
-    A call's stretch meets reference chunks in the position bins that it touches, so it may
-    run over their borders; places without reference are left out.
-    """
+def flank_pieces(calls: DataFrame, reference: DataFrame, up: int, down: int) -> DataFrame:
+    """The reference around calls as it lies there: the calls' columns, ``_first``, a position, and
+    ``_piece``, the bases from it on; a piece for each position bin that the stretch touches."""
     low = F.col("pos") - F.when(F.col("neg"), down).otherwise(up)
     high = F.col("pos") + F.when(F.col("neg"), up).otherwise(down)
     size = alignment.BIN
@@ -110,7 +142,18 @@ def flanks(calls: DataFrame, reference: DataFrame, up: int, down: int) -> DataFr
     stretch = stretch.select("*", F.explode(F.sequence(F.floor(F.col("_low") / size), F.floor(F.col("_high") / size))).alias("_bin"))
     met = stretch.join(alignment.binned(reference), ["contig", "_bin"])
     first, last = F.greatest("_from", "_low"), F.least("_to", "_high")
-    met = met.withColumn("_first", first).where(first <= last).withColumn("_piece", F.substring(F.col("_seq"), (first - F.col("_from") + 1).cast("int"), (last - first + 1).cast("int")))
+    piece = F.substring(F.col("_seq"), (first - F.col("_from") + 1).cast("int"), (last - first + 1).cast("int"))
+    return met.where(first <= last).select(*calls.columns, first.alias("_first"), piece.alias("_piece"))
+
+
+def flanks(calls: DataFrame, reference: DataFrame, up: int, down: int) -> DataFrame:
+    """The reference around calls (``contig, pos, neg``; other columns stay) base by base, along
+    the cytosine's strand: ``offset`` from -up to down, and ``base``.
+
+    A call's stretch meets reference chunks in the position bins that it touches, so it may
+    run over their borders; places without reference are left out.
+    """
+    met = flank_pieces(calls, reference, up, down)
     rows = met.select(*calls.columns, "_first", "_piece", F.explode(F.sequence(F.lit(0), F.length("_piece") - 1)).alias("_i"))
     here, letter = F.col("_first") + F.col("_i"), F.substring(F.col("_piece"), F.col("_i") + 1, F.lit(1))
     offset = F.when(F.col("neg"), F.col("pos") - here).otherwise(here - F.col("pos"))
@@ -130,9 +173,10 @@ def call_matrix(calls: DataFrame, reference: DataFrame, context: str = "HCH", up
 
 def call_sequences(calls: DataFrame, reference: DataFrame, context: str = "HCH", up: int = 5, down: int = 5, min_meth: int = 2) -> DataFrame:
     """``contig, pos, strand, meth, seq`` of qualifying calls, along their strand, for FASTA."""
-    seen = flanks(qualifying(calls, context, min_meth).select("contig", "pos", "neg", F.col("c").alias("meth")), reference, up, down)
-    letters = F.sort_array(F.collect_list(F.struct("offset", "base")))  # up + down + 1 at most
-    out = seen.groupBy("contig", "pos", "neg", "meth").agg(F.array_join(F.transform(letters, lambda x: x["base"]), "").alias("seq"))
+    seen = flank_pieces(qualifying(calls, context, min_meth).select("contig", "pos", "neg", F.col("c").alias("meth")), reference, up, down)
+    pieces = F.sort_array(F.collect_list(F.struct("_first", "_piece")))  # a piece a bin
+    out = seen.groupBy("contig", "pos", "neg", "meth").agg(F.array_join(F.transform(pieces, lambda x: x["_piece"]), "").alias("seq"))
+    out = out.withColumn("seq", F.when(F.col("neg"), bases.reverse_complement(F.col("seq"))).otherwise(F.col("seq")))
     return out.select("contig", "pos", bases.strand_char(F.col("neg")).alias("strand"), "meth", "seq")
 
 

@@ -397,7 +397,7 @@ def walked(keep: str) -> str:
 def walk(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     s = views.placed(spark, sf_dir)
     ref = s.where("length(seq) > 0").select("contig", F.col("start").alias("chunk_start"), "seq")
-    calls = alignment.read_cytosines(views.aligned(spark, sf_dir), ref, **how)
+    calls = alignment.read_cytosines(views.aligned(spark, sf_dir, s), ref, **how)
     return calls.groupBy("contig", "neg", "context").agg(F.count("*").alias("n"), F.count_if(F.col("c") == 1).alias("c"), F.sum("pos").alias("positions"), F.sum(F.col("cycle") * F.col("converted")).alias("walked"))
 
 
@@ -453,11 +453,9 @@ def agreed(k: str, ref: str | None) -> str:
 
 def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts two bases to either side of the inner cytosines of the placed sequences."""
-    one = views.placed(spark, sf_dir).select("contig", "start", "seq", F.explode(F.expr("filter(sequence(2, length(seq) - 1), i -> length(seq) > 2 AND substring(seq, i, 1) IN ('C', 'G'))")).alias("i"))
-    at = lambda by: F.substring(F.col("seq"), F.col("i") + by, F.lit(1))
-    neg = at(0) == "G"
-    sites = one.select("contig", (F.col("start") + F.col("i") - 1).alias("pos"), neg.alias("neg"), F.when(neg, bases.complement(at(1))).otherwise(at(-1)).alias("prev_ref"), F.when(neg, bases.complement(at(-1))).otherwise(at(1)).alias("next_ref"))
-    return contexts.counts(contexts.around(views.aligned(spark, sf_dir), 2), sites, 2)
+    s = views.placed(spark, sf_dir)
+    ref = s.where("length(seq) > 0").select("contig", F.col("start").alias("chunk_start"), "seq")
+    return contexts.counts_on(views.aligned(spark, sf_dir, s), ref, 2)
 
 
 @query(f"{SITES} SELECT contig, CAST(pos AS BIGINT) AS pos, neg, {agreed('b2', None)} || {agreed('b1', 'prev_ref')} || 'C' || {agreed('a1', 'next_ref')} || {agreed('a2', None)} AS context FROM cn", ("v_seq",))
@@ -489,7 +487,7 @@ fl AS (SELECT o.contig, o.pos, o.neg, o.c, o.off, CASE WHEN o.neg THEN translate
 def called(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     s = views.placed(spark, sf_dir)
     ref = s.where("length(seq) > 0").select("contig", F.col("start").alias("chunk_start"), "seq")
-    calls = alignment.read_cytosines(views.aligned(spark, sf_dir), ref)
+    calls = alignment.read_cytosines(views.aligned(spark, sf_dir, s), ref)
     known = F.max(F.when(~F.col("context").contains("N"), F.col("context")))  # one context a position
     return calls.groupBy("contig", "pos", "neg").agg(known.alias("context"), F.sum("c").alias("c")), ref
 
@@ -675,7 +673,7 @@ context LIKE 'G__', substr(context, 1, 1), context LIKE '__G', substr(context, 3
 def methyl_read_lines(spark, sf_dir):
     s = views.placed(spark, sf_dir)
     ref = s.where("length(seq) > 0").select("contig", F.col("start").alias("chunk_start"), "seq")
-    return methylation.read_lines(alignment.read_cytosines(views.aligned(spark, sf_dir), ref)).select("contig", "value")
+    return methylation.read_lines(alignment.read_cytosines(views.aligned(spark, sf_dir, s), ref)).select("contig", "value")
 
 
 @query(

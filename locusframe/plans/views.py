@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from locusframe.sources.shared import cut
+
 READS = """l_returnflag AS contig, l_linestatus AS rg, l_orderkey AS name, l_partkey + 1 AS st,
 l_partkey + CAST(l_quantity AS INT) AS en, l_suppkey + 1 AS mate_st, (l_linenumber % 2 = 0) AS neg,
 (l_suppkey % 2 = 0) AS mate_neg, (l_linenumber % 2 = 1) AS first, CAST(round(l_tax * 1000) AS INT) AS mapq,
@@ -92,9 +94,10 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def placed(spark: SparkSession, sf_dir: str, stretch: int = 4096) -> DataFrame:
     """Whole sequences end to end on three contigs, in order of id: ``contig, id, start, seq``.
 
-    Lengths run over stretches of ids, whose totals, a small table, carry them on.
+    Lengths run over stretches of ids, whose totals, a small table, carry them on.  The texts
+    are searched for bases once, and what they hold is written, as all that follows reads it.
     """
-    s = sequences(spark, sf_dir).selectExpr("concat('chr', id % 3) AS contig", "id", "seq", f"id div {stretch} AS k", "length(seq) AS n")
+    s = cut(sequences(spark, sf_dir).selectExpr("concat('chr', id % 3) AS contig", "id", "seq", f"id div {stretch} AS k", "length(seq) AS n"))
     to_here = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
     totals = s.groupBy("contig", "k").agg(F.sum("n").alias("all"))
     totals = totals.select("contig", "k", F.coalesce(F.sum("all").over(to_here("contig", "k")), F.lit(0)).alias("base"))
@@ -106,10 +109,10 @@ def placed(spark: SparkSession, sf_dir: str, stretch: int = 4096) -> DataFrame:
 CIGAR = [(3, "S"), (12, "M"), (2, "I"), (10, "M"), (4, "D"), (8, "M"), (6, "N"), (9, "M"), (2, "S")]
 
 
-def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reads with ``cigar`` from whole placed sequences, one every 60 bases; even ones are
+def aligned(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """Reads with ``cigar`` from whole placed sequences (``of``), one every 60 bases; even ones are
     converted where they lie on the reference (C to T, on the reverse strand G to A)."""
-    s = placed(spark, sf_dir).where("length(seq) >= 60").selectExpr("contig", "id", "start", "seq", "explode(sequence(0, length(seq) div 60 - 1)) AS k")
+    s = (placed(spark, sf_dir) if of is None else of).where("length(seq) >= 60").selectExpr("contig", "id", "start", "seq", "explode(sequence(0, length(seq) div 60 - 1)) AS k")
     s = s.selectExpr("contig", "concat(id, ':', k) AS name", "start + 60 * k + 5 AS st", "k % 3 = 1 AS neg", "k % 4 = 3 AS second", "k", "substring(seq, 60 * k + 1, 60) AS piece")
     mid = "concat('{0}', substring(piece, 6, 12), '{1}', substring(piece, 18, 10), substring(piece, 32, 8), substring(piece, 46, 9), '{2}')".format("ACG", "TG", "CA")
     turned = f"CASE WHEN k % 2 = 1 THEN {mid} WHEN neg THEN translate({mid}, 'G', 'A') ELSE translate({mid}, 'C', 'T') END"
