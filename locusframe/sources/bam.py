@@ -29,10 +29,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
-    DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, Not, WriterCommitMessage,
+    DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, Not, WriterCommitMessage,
 )
+from pyspark.sql.types import StructType
 
 # executors need no copy of this module
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -229,30 +231,72 @@ def offsets(sizes: np.ndarray) -> pa.Array:
     return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
 
 
-def tags_of(data: bytes, at: int, end: int) -> Iterator[tuple[str, str, str]]:
-    """Name, type letter of the text form, and value of each tag."""
-    sizes = {"c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
+#: Whole numbers in tags, as numpy's types.
+INTEGERS = {"c": "i1", "C": "u1", "s": "i2", "S": "u2", "i": "i4", "I": "u4"}
+
+
+def one_tag(data: bytes, at: int) -> tuple[str, str, int]:
+    """Type letter of the text form, value and end of a tag that is a letter, a fraction or a list."""
     codes = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
     say = lambda kind, x: f"{x:g}" if kind == "f" else str(x)
-    while at < end:
-        tag, kind = data[at : at + 2].decode(), chr(data[at + 2])
-        at += 3
-        if kind == "A":
-            yield tag, kind, chr(data[at])
-            at += 1
-        elif kind in "ZH":
-            stop = data.index(b"\0", at)
-            yield tag, kind, data[at:stop].decode()
-            at = stop + 1
-        elif kind == "B":
-            sub, n = chr(data[at]), struct.unpack_from("<i", data, at + 1)[0]
-            values = struct.unpack_from(f"<{n}{codes[sub]}", data, at + 5)
-            yield tag, kind, ",".join([sub, *[say(sub, x) for x in values]])
-            at += 5 + n * sizes[sub]
-        else:
-            value = struct.unpack_from(f"<{codes[kind]}", data, at)[0]
-            yield tag, "f" if kind == "f" else "i", say(kind, value)
-            at += sizes[kind]
+    kind, at = chr(data[at + 2]), at + 3
+    if kind == "A":
+        return kind, chr(data[at]), at + 1
+    if kind == "f":
+        return kind, say(kind, struct.unpack_from("<f", data, at)[0]), at + 4
+    if kind != "B":
+        raise ValueError(f"unknown type of tag: {kind}")
+    sub, n = chr(data[at]), struct.unpack_from("<i", data, at + 1)[0]
+    values = struct.unpack_from(f"<{n}{codes[sub]}", data, at + 5)
+    return kind, ",".join([sub, *[say(sub, x) for x in values]]), at + 5 + n * struct.calcsize(codes[sub])
+
+
+def all_tags(raw: np.ndarray, data: bytes, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array, pa.Array]:
+    """Tags of all records, in order: the records they are of, in no order, and their names, type letters and values.
+
+    The n-th tags of all records are taken together; text and whole numbers, which most are,
+    as columns, what else there is one by one.
+    """
+    owner, nth, names, kinds, values = [], [], [], [], []
+    at, of, step = at.copy(), np.arange(len(at)), 0
+    nul = np.flatnonzero(raw == 0)
+
+    def found(rows: np.ndarray, name: pa.Array, kind: pa.Array, value: pa.Array) -> None:
+        for held, new in ((owner, of[rows]), (nth, np.full(len(rows), step)), (names, name), (kinds, kind), (values, value)):
+            held.append(new)
+
+    def text(start: np.ndarray, size: np.ndarray) -> pa.Array:
+        return pa.StringArray.from_buffers(len(start), offsets(size).buffers()[1], pa.py_buffer(raw[spread(start, size)].tobytes()))
+
+    while True:
+        left = np.flatnonzero(at < end)
+        at, end, of = at[left], end[left], of[left]
+        if not len(at):
+            break
+        code, name, next_ = raw[at + 2], text(at, np.full(len(at), 2)), np.zeros(len(at), np.int64)
+        for letter in np.unique(code):
+            rows, kind = np.flatnonzero(code == letter), chr(letter)
+            start, own = at[rows] + 3, name.take(pa.array(rows))
+            if kind in "ZH":
+                stop = nul[np.searchsorted(nul, start)]
+                found(rows, own, pa.repeat(kind, len(rows)), text(start, stop - start))
+                next_[rows] = stop + 1
+            elif kind in INTEGERS:
+                form = np.dtype("<" + INTEGERS[kind])
+                number = raw[start[:, None] + np.arange(form.itemsize)].copy().view(form).ravel()
+                found(rows, own, pa.repeat("i", len(rows)), pa.array(number).cast(pa.string()))
+                next_[rows] = start + form.itemsize
+            else:
+                told = [one_tag(data, int(x)) for x in at[rows]]
+                found(rows, own, pa.array([k for k, _, _ in told], pa.string()), pa.array([v for _, v, _ in told], pa.string()))
+                next_[rows] = [e for _, _, e in told]
+        at, step = next_, step + 1
+    if not owner:
+        none = pa.array([], pa.string())
+        return np.zeros(0, np.int64), none, none, none
+    owners = np.concatenate(owner)
+    order = pa.array(np.lexsort((np.concatenate(nth), owners)))
+    return owners, *[pa.concat_arrays(x).take(order) for x in (names, kinds, values)]
 
 
 def to_batch(data: bytes, starts: list[int], names: list[str], keep: Keep) -> pa.RecordBatch | None:
@@ -290,16 +334,19 @@ def to_batch(data: bytes, starts: list[int], names: list[str], keep: Keep) -> pa
     shown = np.where(missing, 0, lengths["seq"])
     quals = pa.ListArray.from_arrays(offsets(shown), pa.array(quals[np.repeat(~missing, lengths["seq"])].astype(np.int32)))
     place = place + lengths["seq"]
-    tags = [list(tags_of(data, int(a), int(b))) for a, b in zip(place, at + 4 + lengths["size"], strict=True)]
+    owner, tag, kind, value = all_tags(raw, data, place, at + 4 + lengths["size"])
+    n_tags = np.bincount(owner, minlength=n)
+    group = np.full(n, -1)  # the first tag RG of each record
+    grouped = np.flatnonzero(pc.equal(tag, "RG").to_numpy(zero_copy_only=False))
+    group[np.sort(owner)[grouped][::-1]] = grouped[::-1]
+    read_group = value.take(pa.array(group, mask=group < 0))
     table = np.array([*names, "*"], object)
-    entry = pa.map_(pa.string(), pa.string())
     start = fixed["pos"] + 1
     columns = [
         name, pa.array(table[fixed["ref"]], pa.string()), pa.array(start), pa.array((start + span - 1).astype(np.int32)), pa.array(fixed["mapq"].astype(np.int32)),
         *[pa.array((fixed["flag"] & bit) != 0) for bit in FLAGS.values()],
         cigar, pa.array(table[fixed["mate_ref"]], pa.string()), pa.array(fixed["mate_pos"] + 1), pa.array(fixed["tlen"].astype(np.int32)), bases, quals,
-        pa.array([[(t, v) for t, _, v in x] for x in tags], entry), pa.array([[(t, k) for t, k, _ in x] for x in tags], entry),
-        pa.array([next((v for t, _, v in x if t == "RG"), None) for x in tags], pa.string()),
+        pa.MapArray.from_arrays(offsets(n_tags), tag, value), pa.MapArray.from_arrays(offsets(n_tags), tag, kind), read_group,
     ]
     return pa.RecordBatch.from_arrays(columns, names=COLUMNS)
 
@@ -429,13 +476,12 @@ class PushingBamReader(BamReader):
 # ---- writing ----------------------------------------------------------------------------
 
 
-def bin_of(start: int, end: int) -> int:
-    """Number of the smallest bin of the binning scheme that holds [start, end), from 0."""
-    end -= 1
-    for shift, base in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1)):
-        if start >> shift == end >> shift:
-            return base + (start >> shift)
-    return 0
+def bin_of(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Numbers of the smallest bins of the binning scheme that hold [start, end), from 0."""
+    out, last = np.zeros(len(start), np.int64), end - 1
+    for shift, base in ((26, 1), (23, 9), (20, 73), (17, 585), (14, 4681)):
+        out = np.where(start >> shift == last >> shift, base + (start >> shift), out)
+    return out
 
 
 def tag_bytes(tag: str, kind: str, value: str) -> bytes:
@@ -457,26 +503,89 @@ def tag_bytes(tag: str, kind: str, value: str) -> bytes:
     return head + kind.encode() + value.encode() + b"\0"
 
 
-def record(row: Row, number: dict[str, int]) -> bytes:
-    """A row of SCHEMA as an alignment record; tags without a type are text."""
-    flag = sum(bit for k, bit in FLAGS.items() if row[k])
-    name = row["name"].encode() + b"\0"
-    cigar = row["cigar"] or []
-    bases = "" if row["bases"] in (None, "*") else row["bases"]
-    codes = [BASES.index(c) if c in BASES else 15 for c in bases.upper()]
-    codes += [0] * (len(codes) % 2)
-    quals = bytes(row["quals"]) if row["quals"] and len(row["quals"]) == len(bases) else b"\xff" * len(bases)
-    start = (row["start"] or 0) - 1
-    span = sum(x["len"] for x in cigar if x["op"] in ON_REFERENCE) or 1
-    types = row["tag_types"] or {}
-    body = struct.pack(
-        HEAD, 0, number.get(row["contig"], -1), start, len(name), row["mapq"] or 0, bin_of(start, start + span) if start >= 0 else 4680, len(cigar), flag, len(bases),
-        number.get(row["mate_contig"], -1), (row["mate_start"] or 0) - 1, row["template_len"] or 0,
-    )[4:]
-    body += name + b"".join(struct.pack("<I", x["len"] << 4 | OPS.index(x["op"])) for x in cigar)
-    body += bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True)) + quals
-    body += b"".join(tag_bytes(k, types.get(k, "Z"), v) for k, v in (row["attrs"] or {}).items())
-    return struct.pack("<i", len(body)) + body
+CODES = np.full(256, 15, np.uint8)
+for _i, _c in enumerate(BASES):
+    CODES[[ord(_c), ord(_c.lower())]] = _i
+
+
+def texts(column: pa.Array, default: str) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all texts of a column, one after another, and how many each has."""
+    column = pc.fill_null(column, default).cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset)
+    held = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    return held[ends[0] : ends[-1]], np.diff(ends)
+
+
+def listed(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Items of all lists or maps of a column, and how many each has."""
+    if isinstance(column, pa.MapArray):
+        column = column.cast(pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())])))
+    return column.flatten(), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def tags_bytes(attrs: pa.Array, types: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Tags of all rows as bytes, and how many bytes each row has; tags without a type are text.
+    A tag is encoded once for each of its values."""
+    items, n = listed(attrs)
+    typed, m = listed(types)
+    key, value = items.field("key"), items.field("value")
+    row = np.repeat(np.arange(len(n)), n)
+    if len(typed) == len(items) and (n == m).all() and pc.all(pc.equal(key, typed.field("key"))).as_py() is not False:
+        kind = pc.fill_null(typed.field("value"), "Z")
+    else:
+        by = dict(zip(zip(np.repeat(np.arange(len(m)), m).tolist(), typed.field("key").to_pylist(), strict=True), typed.field("value").to_pylist(), strict=True))
+        kind = pa.array([by.get(at, "Z") for at in zip(row.tolist(), key.to_pylist(), strict=True)], pa.string())
+    coded = pc.binary_join_element_wise(key, kind, value, "\0").dictionary_encode()
+    each = pa.array([tag_bytes(*t.split("\0", 2)) for t in coded.dictionary.to_pylist()], pa.binary())
+    held, size = texts(each.take(coded.indices), "")
+    return held, np.bincount(row, size, len(n)).astype(np.int64)
+
+
+def records(batch: pa.RecordBatch, references: list[str]) -> bytes:
+    """Rows of SCHEMA as alignment records, a field of all of them at a time."""
+    n = batch.num_rows
+    col = lambda k: batch.column(batch.schema.get_field_index(k))
+    whole = lambda k: pc.fill_null(col(k), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    number = lambda k: pc.fill_null(pc.index_in(col(k), pa.array(references, pa.string())), -1).to_numpy(zero_copy_only=False)
+    flag = np.zeros(n, np.int64)
+    for k, bit in FLAGS.items():
+        flag |= np.where(pc.fill_null(col(k), False).to_numpy(zero_copy_only=False), bit, 0)
+    name, named = texts(col("name"), "*")
+    ops, n_ops = listed(col("cigar"))
+    code = pc.index_in(ops.field("op"), pa.array(list(OPS)))
+    if code.null_count:
+        raise ValueError("unknown operation in a CIGAR")
+    code, length = code.to_numpy().astype(np.int64), ops.field("len").to_numpy(zero_copy_only=False).astype(np.int64)
+    span = np.bincount(np.repeat(np.arange(n), n_ops), length * np.isin(code, [OPS.index(c) for c in ON_REFERENCE]), n).astype(np.int64)
+    text = pc.fill_null(col("bases"), "")
+    text = pc.replace_substring_regex(pc.if_else(pc.equal(text, "*"), "", text), "[^\\x00-\\x7f]", "N")
+    base, size = texts(text, "")
+    half = (size + 1) // 2
+    nibbles = np.zeros(2 * int(half.sum()), np.uint8)
+    nibbles[spread(2 * (np.cumsum(half) - half), size)] = CODES[base]
+    told, n_told = listed(col("quals"))
+    fits = (n_told == size) & (size > 0)
+    quals = np.full(int(size.sum()), 255, np.uint8)
+    quals[np.repeat(fits, size)] = told.filter(pa.array(np.repeat(fits, n_told))).cast(pa.uint8()).to_numpy()
+    tags, tagged = tags_bytes(col("attrs"), col("tag_types"))
+    start, mapq = whole("start") - 1, whole("mapq")
+    if n and not (0 <= mapq.min() and mapq.max() <= 255 and named.max() < 255):
+        raise ValueError("mapping qualities are 0 to 255, names at most 254 bytes")
+    fixed = np.zeros(n, FIXED)
+    parts = [(name, named), (np.zeros(n, np.uint8), np.ones(n, np.int64)), ((length << 4 | code).astype("<u4").view(np.uint8), 4 * n_ops), (nibbles[::2] << 4 | nibbles[1::2], half), (quals, size), (tags, tagged)]
+    total = 36 + sum(s for _, s in parts)
+    fields = {
+        "size": total - 4, "ref": number("contig"), "pos": start, "name": named + 1, "mapq": mapq, "bin": np.where(start >= 0, bin_of(start, start + np.maximum(span, 1)), 4680) & 0xFFFF, "ops": n_ops,
+        "flag": flag, "seq": size, "mate_ref": number("mate_contig"), "mate_pos": whole("mate_start") - 1, "tlen": whole("template_len"),
+    }
+    for k, v in fields.items():
+        fixed[k] = v
+    out = np.zeros(int(total.sum()), np.uint8)
+    place = np.cumsum(total) - total
+    for held, sizes in [(fixed.view(np.uint8), np.full(n, 36)), *parts]:
+        out[spread(place, sizes)] = held
+        place = place + sizes
+    return out.tobytes()
 
 
 def deflated(data: bytes) -> bytes:
@@ -490,7 +599,7 @@ class Written(WriterCommitMessage):
     path: str | None
 
 
-class BamWriter(DataSourceWriter):
+class BamWriter(DataSourceArrowWriter):
     """A file a task, with the header in each.  Files get their names when all are there, so
     a task that is repeated leaves nothing twice."""
 
@@ -504,20 +613,21 @@ class BamWriter(DataSourceWriter):
         out = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(self.references))
         return out + b"".join(struct.pack("<i", len(n.encode()) + 1) + n.encode() + b"\0" + struct.pack("<i", size) for n, size in self.references)
 
-    def write(self, iterator: Iterator[Row]) -> Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, base = store(self.path)
-        number = {n: i for i, (n, _) in enumerate(self.references)}
+        names = [n for n, _ in self.references]
         system.create_dir(f"{base}/_temporary-{self.job}", recursive=True)
         path = f"{base}/_temporary-{self.job}/{uuid.uuid4().hex}"
         n = 0
         with system.open_output_stream(path) as out:
             held = self.head()
-            for row in iterator:
-                n += 1
-                held += record(row, number)
-                while len(held) >= self.block:
-                    out.write(deflated(held[: self.block]))
-                    held = held[self.block :]
+            for batch in iterator:
+                n += batch.num_rows
+                held += records(batch, names) if batch.num_rows else b""
+                full = len(held) - len(held) % self.block
+                for at in range(0, full, self.block):
+                    out.write(deflated(held[at : at + self.block]))
+                held = held[full:]
             out.write(deflated(held) + EOF)
         return Written(path if n else None)
 
@@ -572,4 +682,5 @@ def read(spark: SparkSession, path: str, split: int = 32 << 20, flags: dict[str,
 def write(reads: DataFrame, path: str, references: list[tuple[str, int]], program: str = "locusframe", block: int = 65_280) -> None:
     """Write rows of SCHEMA, unsorted, with a program record; contigs that aren't among the references count as none."""
     reads.sparkSession.dataSource.register(Bam)
-    reads.select(*COLUMNS).write.format("bam").option("references", json.dumps(references)).option("program", program).option("block", block).mode("append").save(path)
+    typed = reads.select(*[F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(SCHEMA)])
+    typed.write.format("bam").option("references", json.dumps(references)).option("program", program).option("block", block).mode("append").save(path)
