@@ -6,15 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.operators.features import overlap
+from locusframe.sources.shared import cut
 
 
-def near_pairs(left: DataFrame, right: DataFrame, width: int, keys: list[str], within: Column | None = None) -> DataFrame:
+def near_pairs(left: DataFrame, right: DataFrame, width: int, keys: list[str], within: Column | None = None, back: bool = False) -> DataFrame:
     """Rows a of left and b of right with equal keys and 0 < b.pos - a.pos < width.
 
-    An equi-join on (keys, bucket); each a looks into its own bucket and the next one.
+    An equi-join on (keys, bucket); each a looks into its own bucket and the next one, or
+    with ``back``, for few b, each b into its own and the one before.
     """
-    a = left.select(*[F.col(c).alias(f"a_{c}") for c in left.columns], F.explode(F.array(F.expr(f"pos div {width}"), F.expr(f"pos div {width}") + 1)).alias("bucket"))
-    b = right.select(*[F.col(c).alias(f"b_{c}") for c in right.columns], F.expr(f"pos div {width}").alias("bucket_b"))
+    own = F.expr(f"pos div {width}")
+    a = left.select(*[F.col(c).alias(f"a_{c}") for c in left.columns], (own if back else F.explode(F.array(own, own + 1))).alias("bucket"))
+    b = right.select(*[F.col(c).alias(f"b_{c}") for c in right.columns], (F.explode(F.array(own, own - 1)) if back else own).alias("bucket_b"))
     on = F.col("bucket") == F.col("bucket_b")
     for k in keys:
         on = on & (F.col(f"a_{k}") == F.col(f"b_{k}"))
@@ -49,20 +52,21 @@ def any_read(cr: DataFrame, width: int, only_different: bool = False) -> DataFra
 
     Reads at b enter by the two smallest ids there, and reads at a as counts: all of them
     pair with b's first read, but for that read itself, which is looked up by its id.
+    Positions are summed up once, and reads are sent once, to meet the fewer b.
     """
     if only_different:
         cr = cr.where("rd IS NOT NULL")
     m = F.col("meth")
     k = F.row_number().over(Window.partitionBy("contig", "pos").orderBy("rd"))
     nth = lambda i: F.max(F.when(F.col("k") == i, F.struct("rd", "meth")))
-    two = cr.withColumn("k", k).where("k <= 2").groupBy("contig", "pos").agg(nth(1).alias("one"), nth(2).alias("two"))
-    sites = cr.groupBy("contig", "pos").agg(F.count("*").alias("n"), F.count_if(m).alias("m"), F.count_if(~m).alias("u"))
-    all_ = near_pairs(sites, two.select("contig", "pos", "one"), width, ["contig"]).select("dist", F.col("a_n").alias("n"), F.col("a_m").alias("m"), F.col("a_u").alias("u"), F.col("b_one.meth").alias("b"))
-    own = near_pairs(cr.select("contig", "pos", "rd", "meth"), two.select("contig", "pos", "one.rd", "one", "two"), width, ["contig", "rd"])
-    one = lambda sign, b: [F.lit(sign).alias("n"), F.when(F.col("a_meth"), sign).otherwise(0).alias("m"), F.when(~F.col("a_meth"), sign).otherwise(0).alias("u"), F.col(f"b_{b}.meth").alias("b")]
-    parts = all_.unionByName(own.where("b_two IS NOT NULL").select("dist", *one(1, "two")))
-    if only_different:
-        parts = parts.unionByName(own.select("dist", *one(-1, "one")))
+    sites = cut(cr.withColumn("k", k).groupBy("contig", "pos").agg(F.count("*").alias("n"), F.count_if(m).alias("m"), F.count_if(~m).alias("u"), nth(1).alias("one"), nth(2).alias("two")))
+    parts = near_pairs(sites.select("contig", "pos", "n", "m", "u"), sites.select("contig", "pos", F.col("one.meth").alias("meth")), width, ["contig"])
+    parts = parts.select("dist", F.col("a_n").alias("n"), F.col("a_m").alias("m"), F.col("a_u").alias("u"), F.col("b_meth").alias("b"))
+    own = near_pairs(cr.select("contig", "pos", "rd", "meth"), sites.select("contig", "pos", "one.rd", "one", "two"), width, ["contig", "rd"], back=True)
+    one = lambda sign, b: F.struct(F.lit(sign).alias("n"), F.when(F.col("a_meth"), sign).otherwise(0).alias("m"), F.when(~F.col("a_meth"), sign).otherwise(0).alias("u"), F.col(f"b_{b}.meth").alias("b"))
+    second = F.when(F.col("b_two").isNotNull(), one(1, "two"))
+    turns = F.array_compact(F.array(second, *([one(-1, "one")] if only_different else [])))
+    parts = parts.unionByName(own.select("dist", F.inline(turns)))
     total = lambda v, c, name: F.sum(F.when(c, F.col(v)).otherwise(0)).alias(name)
     b, any_ = F.col("b"), F.lit(True)
     six = [total("m", any_, "n_m"), total("u", any_, "n_u"), total("m", b, "n_mm"), total("m", ~b, "n_mu"), total("u", b, "n_um"), total("u", ~b, "n_uu")]
