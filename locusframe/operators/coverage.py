@@ -22,9 +22,11 @@ def depth_runs(reads: DataFrame, contigs: DataFrame, span: int = SPAN) -> DataFr
     # every span of a contig begins with an event, so that runs end within their span
     heads = contigs.select("contig", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"CAST(len div {span} AS BIGINT)"))).alias("k"))
     heads = heads.select("contig", F.greatest(F.col("k") * span, F.lit(1).cast("long")).alias("p"), F.lit(0).alias("d"))
-    events = starts.unionByName(ends).unionByName(heads).groupBy("contig", "p").agg(F.sum("d").alias("d"))
-    events = events.withColumn("k", F.expr(f"p div {span}"))
-    totals = events.groupBy("contig", "k").agg(F.sum("d").alias("s"))
+    span_ = F.expr(f"p div {span}")
+    raw = starts.unionByName(ends).unionByName(heads)
+    events = raw.groupBy("contig", "p").agg(F.sum("d").alias("d")).withColumn("k", span_)
+    # straight from the reads, so that a row a span is sent, not the events once more
+    totals = raw.groupBy("contig", span_.alias("k")).agg(F.sum("d").alias("s"))
     before = Window.partitionBy("contig").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("contig", "k", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
     here = Window.partitionBy("contig", "k").orderBy("p")

@@ -1034,8 +1034,9 @@ def bins(spark: SparkSession, sf_dir: str, of=views.reads) -> DataFrame:
     r, c = of(spark, sf_dir), views.contigs(spark, sf_dir, of)
     keyed = r.withColumn("contig", F.concat_ws("|", "contig", "rg"))
     pairs_ = c.crossJoin(F.broadcast(r.select("rg").distinct())).select(F.concat_ws("|", "contig", "rg").alias("contig"), "len")
-    found = coverage.depth_runs(keyed, pairs_).withColumn("k", F.split("contig", "\\|"))
-    return cut(peaks.dense_bins(found.select(F.col("k")[0].alias("contig"), F.col("k")[1].alias("sample"), "st", "en", "depth"), c, PEAK_BIN))
+    found = coverage.depth_runs(keyed, pairs_)
+    part = lambda i, name: F.substring_index("contig", "|", i).alias(name)
+    return cut(peaks.dense_bins(found.select(part(1, "contig"), part(-1, "sample"), "st", "en", "depth"), c, PEAK_BIN))
 
 
 @query(f"{BINS} SELECT * FROM bins", ("v_reads", "v_contigs"))
