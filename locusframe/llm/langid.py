@@ -21,7 +21,8 @@ HIDDEN = 12  # a direction
 #: Bounds of the training sample: documents a language, windows a document.
 DOCS, WINDOWS = 300, 4
 EPOCHS, BATCH, RATE = 6, 128, 0.02
-BLOCK = 1 << 19  # bytes labelled at once
+BLOCK = 1 << 19  # bytes gathered at once
+AT_ONCE = 1 << 17  # bytes labelled at once: arrays that stay in a core's cache
 PAD = 256
 
 
@@ -46,8 +47,8 @@ class Net:
         p["c"] = np.zeros(k, np.float32)
         return Net(langs, p)
 
-    def pass_one(self, x: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
-        """Hidden states (time, row, unit) of one direction; ``keep`` what training needs."""
+    def pass_one(self, x: np.ndarray, d: str) -> tuple[np.ndarray, list]:
+        """Hidden states (time, row, unit) of one direction, and what training needs."""
         h = HIDDEN
         table, u = self.p[f"x{d}"], self.p[f"u{d}"]
         n, t = x.shape
@@ -60,25 +61,61 @@ class Net:
             z, r = zr[:, :h], zr[:, h:]
             gated = r * state
             cand = np.tanh(g[:, 2 * h :] + gated @ u[:, 2 * h :])
-            if keep:
-                saved.append((i, state, z, r, gated, cand))
+            saved.append((i, state, z, r, gated, cand))
             state = state + z * (cand - state)
             out[i] = state
         return out, saved
 
+    def logits_of(self, x: np.ndarray, d: str) -> np.ndarray:
+        """Share of one direction in the logits (time, language, row).
+
+        Units lie along rows of contiguous windows, and gates are written with ``exp``, their
+        factors in the weights: the forward pass of ``pass_one`` in half the time.
+        """
+        h, out = HIDDEN, self.p["o"].T
+        out = np.ascontiguousarray(out[:, :h] if d == "f" else out[:, h:])
+        factor = np.repeat(np.array([-1, 2], out.dtype), [2 * h, h])
+        table, u = (np.ascontiguousarray((self.p[k] * factor).T) for k in (f"x{d}", f"u{d}"))
+        t, n = x.shape
+        logits = np.empty((t, len(out), n), out.dtype)
+        state, g, zr, cand = (np.zeros((k * h, n), out.dtype) for k in (1, 3, 2, 1))
+        z, r = zr[:h], zr[h:]
+        with np.errstate(over="ignore"):  # 1 / inf is the gate's limit
+            for i in range(t) if d == "f" else range(t - 1, -1, -1):
+                np.take(table, x[i], axis=1, out=g, mode="clip")
+                np.matmul(u[: 2 * h], state, out=zr)
+                zr += g[: 2 * h]
+                np.exp(zr, out=zr)
+                zr += 1
+                np.reciprocal(zr, out=zr)
+                r *= state
+                np.matmul(u[2 * h :], r, out=cand)
+                cand += g[2 * h :]
+                np.exp(cand, out=cand)  # tanh(a) = 1 - 2 / (exp(2 a) + 1)
+                cand += 1
+                np.divide(-2, cand, out=cand)
+                cand += 1
+                cand -= state
+                cand *= z
+                state += cand
+                np.matmul(out, state, out=logits[i])
+        return logits
+
     def positions(self, x: np.ndarray) -> np.ndarray:
         """Probabilities (time, row, language) of each position."""
-        hidden = np.concatenate([self.pass_one(x, d, False)[0] for d in "fb"], axis=2)
-        logits = hidden @ self.p["o"] + self.p["c"]
-        logits -= logits.max(axis=2, keepdims=True)
+        at = np.ascontiguousarray(x.T).astype(np.intp)
+        logits = self.logits_of(at, "f")
+        logits += self.logits_of(at, "b")
+        logits += self.p["c"][:, None]
+        logits -= logits.max(axis=1, keepdims=True)
         np.exp(logits, out=logits)
-        logits /= logits.sum(axis=2, keepdims=True)
-        return logits
+        logits /= logits.sum(axis=1, keepdims=True)
+        return logits.transpose(0, 2, 1)
 
     def gradient(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean loss over all positions that aren't padding, through time both ways."""
         h = HIDDEN
-        parts = {d: self.pass_one(x, d, True) for d in "fb"}
+        parts = {d: self.pass_one(x, d) for d in "fb"}
         hidden = np.concatenate([parts["f"][0], parts["b"][0]], axis=2)
         logits = hidden @ self.p["o"] + self.p["c"]
         logits -= logits.max(axis=2, keepdims=True)
@@ -184,7 +221,7 @@ def predict(docs: DataFrame, net: Net | None, fold: int = 0, folds: int = 5) ->
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(key == fold, F.lit(False)).alias("held_out"), letter.alias("letter"), F.when(letter, utf8(F.col("text"))).otherwise(F.lit(b"")).alias("text"))
     if net is None:
         return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    langs, block = net.langs, BLOCK // WINDOW
+    langs, block = net.langs, AT_ONCE // WINDOW
 
     def run(batches):
         for table in gathered(batches, "text", BLOCK):
