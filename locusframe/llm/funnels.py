@@ -40,10 +40,11 @@ def micros(at: Column) -> Column:
 
 def moments(events: DataFrame, kinds: list[str]) -> DataFrame:
     """``client, at, is_<i>, n_<i>``: which kinds occur at the moment, and each one's count so far."""
-    flags = [F.max(F.when(F.col("kind") == k, 1).otherwise(0)).cast("long").alias(f"is_{i}") for i, k in enumerate(kinds)]
+    bit = reduce(lambda a, b: a.when(F.col("kind") == b[1], 1 << b[0]), enumerate(kinds), F.when(F.lit(False), 0))
     # one exchange serves the moments, the totals of spans and the counts within them
-    dealt = events.withColumn("span", F.floor(F.col("at") / SPAN)).repartition("client", "span")
-    here = dealt.groupBy("client", "span", "at").agg(*flags)
+    dealt = events.select("client", "at", F.floor(F.col("at") / SPAN).alias("span"), bit.cast("long").alias("bit")).repartition("client", "span")
+    here = dealt.groupBy("client", "span", "at").agg(F.bit_or("bit").alias("bits"))
+    here = here.select("client", "span", "at", *[F.shiftright("bits", i).bitwiseAND(F.lit(1)).cast("long").alias(f"is_{i}") for i in range(len(kinds))])
     names = [f"is_{i}" for i in range(len(kinds))]
     spans = here.groupBy("client", "span").agg(*[F.sum(c).alias(c) for c in names]).withColumn("day", F.floor(F.col("span") * SPAN / DAY))
     days = spans.groupBy("client", "day").agg(*[F.sum(c).alias(c) for c in names])
@@ -64,22 +65,27 @@ def attempts(events: DataFrame, funnels: Mapping[str, tuple[list[str], str]], wi
     number, size = {k: i for i, k in enumerate(kinds)}, len(kinds)
     table = cut(moments(events, kinds))
     counts = [f"n_{i}" for i in range(size)]
-    one = [F.when(F.col(f"is_{i}") == 1, F.struct(F.lit(i).alias("kind"), F.col(f"n_{i}").alias("ordinal"))) for i in range(size)]
-    found = table.select("client", "at", *counts, F.explode(F.array_compact(F.array(*one))).alias("k"))
-    occurrences = found.select(F.col("client").alias("c_"), F.col("k.kind").alias("k_"), F.col("k.ordinal").alias("o_"), F.col("at").alias("at_"), *[F.col(c).alias(f"{c}_") for c in counts])
+
+    pick = lambda values: reduce(lambda a, b: a.when(F.col("funnel") == b[0], b[1]), values.items(), F.when(F.lit(False), None))
+    bad = {n: number[out] for n, (_, out) in funnels.items()}
+    last = max(len(steps) for steps, _ in funnels.values())
+    wanted = {step: {n: number[steps[step - 1]] for n, (steps, _) in funnels.items() if len(steps) >= step} for step in range(2, last + 1)}
+    later = lambda step: sorted({*bad.values(), *(i for s, on in wanted.items() if s >= step for i in on.values())})
 
     start = [F.when(F.col(f"is_{number[steps[0]]}") == 1, F.lit(name)) for name, (steps, _) in funnels.items()]
     now = table.select(F.explode(F.array_compact(F.array(*start))).alias("funnel"), "client", F.col("at").alias("first"), "at", *counts)
     reached = now.select("funnel", "client", F.lit(1).alias("step"), F.lit(None).cast("long").alias("wait"))
-    pick = lambda values: reduce(lambda a, b: a.when(F.col("funnel") == b[0], b[1]), values.items(), F.when(F.lit(False), None))
-    for step in range(2, max(len(steps) for steps, _ in funnels.values()) + 1):
-        on = {n: number[steps[step - 1]] for n, (steps, _) in funnels.items() if len(steps) >= step}
-        bad = {n: number[out] for n, (_, out) in funnels.items()}
-        asked = now.where(F.col("funnel").isin(*on)).withColumn("k", pick({n: F.lit(i) for n, i in on.items()})).withColumn("o", pick({n: F.col(f"n_{i}") for n, i in on.items()}) + 1)
+    for step, on in wanted.items():
+        # only occurrences that an attempt may ask for, with the counts that are read from here on
+        kinds_, left = sorted({*on.values()}), later(step + 1) if step < last else sorted({*bad.values()})
+        one = [F.when(F.col(f"is_{i}") == 1, F.struct(F.lit(i).alias("kind"), F.col(f"n_{i}").alias("ordinal"))) for i in kinds_]
+        found = table.select("client", "at", *[counts[i] for i in left], F.explode(F.array_compact(F.array(*one))).alias("k"))
+        occurrences = found.select(F.col("client").alias("c_"), F.col("k.kind").alias("k_"), F.col("k.ordinal").alias("o_"), F.col("at").alias("at_"), *[F.col(counts[i]).alias(f"{counts[i]}_") for i in left])
+        asked = now.where(F.col("funnel").isin(*on)).select("funnel", "client", "first", "at", pick({n: F.lit(i) for n, i in on.items()}).alias("k"), (pick({n: F.col(f"n_{i}") for n, i in on.items()}) + 1).alias("o"), pick({n: F.col(f"n_{i}") for n, i in bad.items()}).alias("out"))
         met = asked.join(occurrences, (F.col("client") == F.col("c_")) & (F.col("k") == F.col("k_")) & (F.col("o") == F.col("o_")))
-        clean = pick({n: F.col(f"n_{i}_") for n, i in bad.items()}) == pick({n: F.col(f"n_{i}") for n, i in bad.items()})
-        met = met.where((F.col("at_") - F.col("first") <= within) & clean)
-        now = cut(met.select("funnel", "client", "first", (F.col("at_") - F.col("at")).alias("wait"), F.col("at_").alias("at"), *[F.col(f"{c}_").alias(c) for c in counts]))
+        met = met.where((F.col("at_") - F.col("first") <= within) & (pick({n: F.col(f"n_{i}_") for n, i in bad.items()}) == F.col("out")))
+        more = [F.col("first"), F.col("at_").alias("at"), *[F.col(f"{counts[i]}_").alias(counts[i]) for i in left]] if step < last else []
+        now = cut(met.select("funnel", "client", (F.col("at_") - F.col("at")).alias("wait"), *more))
         reached = reached.unionByName(now.select("funnel", "client", F.lit(step).alias("step"), "wait"))
     return reached
 

@@ -69,6 +69,18 @@ def test_funnels_equal_loops(spark):
     assert funnels.count(frame.limit(0)).count() == 0
 
 
+def test_steps_join_what_they_ask_for(spark, monkeypatch):
+    """Each step's table holds the counts that later steps read."""
+    made = []
+    cut = funnels.cut
+    monkeypatch.setattr(funnels, "cut", lambda df, *a: made.append(df) or cut(df, *a))
+    rows_ = [(1, kind, 10 * i) for i, kind in enumerate(["view", "click", "view", "purchase", "error", "signup", "view"])]
+    events = spark.createDataFrame(rows_, "client long, kind string, at long")
+    funnels.attempts(events, funnels.FUNNELS, 300).collect()
+    _, *steps = made  # kinds in order: click, error, purchase, signup, view
+    assert [sorted(c for c in df.columns if c[:2] == "n_") for df in steps] == [["n_0", "n_1", "n_2", "n_3", "n_4"], ["n_1", "n_2", "n_3", "n_4"], []]
+
+
 def plain_trie(table):
     """{(owner, depth): row}; table: (conv, turn, role, text)."""
     own = defaultdict(list)
