@@ -230,6 +230,19 @@ def test_suffixes(spark, docs, monkeypatch, hot):
             assert r.n_removed == 0
 
 
+def test_suffixes_in_order_and_parts_together():
+    """Ties of every depth are broken, and small parts of a block share a sort, large ones don't."""
+    rng = np.random.default_rng(2)
+    sym = np.concatenate([np.tile(rng.integers(1, 257, 90), 4), rng.integers(1, 3, 500), np.full(80, 7)]).astype(np.int64)
+    _, key = suffixes.suffix_array(sym)
+    own = rng.permutation(len(sym))
+    words = lambda i: tuple(key[i + suffixes.PACK * j] for j in range(suffixes.WORDS))
+    assert [words(i) for i in suffixes.in_order(own, key)] == sorted(words(i) for i in own)
+    sub, size = np.repeat(np.arange(suffixes.SUBS), 3), np.full(3 * suffixes.SUBS, 70)
+    assert len(np.unique(suffixes.together(sub, size))) == 1
+    assert len(np.unique(suffixes.together(sub, size * 10_000))) == suffixes.SUBS
+
+
 def test_suffix_array_is_sorted():
     rng = np.random.default_rng(1)
     for top in (2, 5, 257):
