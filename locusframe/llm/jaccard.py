@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.llm.bpe import hashed
-from locusframe.llm.common import cut, gathered, in_parts, release, released, small_batches, tidy, utf8
+from locusframe.llm.common import cut, gathered, in_parts, packed_bits, release, released, small_batches, tidy, unpacked_bits, utf8
 from locusframe.llm.components import components
 
 WORDS = 5
@@ -146,13 +146,13 @@ def repeated(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]
         bits[(found >> np.uint64(40 - (BITS - lead))).astype(np.int64)] = 1
         common = np.flatnonzero(count >= HOT_FROM)
         common = common[np.argsort(-count[common], kind="stable")][: HOT >> max(lead - 6, 0)]
-        return pa.table({"bucket": table.column("bucket").slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary()), "common": pa.array([value[common].astype(np.int64).tolist()], pa.list_(pa.int64())), "grade": pa.array([np.log2(count[common]).astype(np.int32).tolist()], pa.list_(pa.int32()))})
+        return pa.table({"bucket": table.column("bucket").slice(0, 1), "bits": pa.array([packed_bits(bits)], pa.binary()), "common": pa.array([value[common].astype(np.int64).tolist()], pa.list_(pa.int64())), "grade": pa.array([np.log2(count[common]).astype(np.int32).tolist()], pa.list_(pa.int32()))})
 
     found = texts.select("text").mapInArrow(released(send), "bucket int, once binary, many binary").groupBy("bucket").applyInArrow(meet, "bucket int, bits binary, common array<long>, grade array<int>")
     out = np.zeros((1 << lead, (1 << (BITS - lead)) // 8), np.uint8)
     hot, grades = [], []
     for b, bits, common, grade in in_parts(found):
-        out[b] = np.frombuffer(bits, np.uint8)
+        out[b] = unpacked_bits(bits)
         hot += [b << 40 | c for c in common]
         grades += grade
     hot = np.array(hot, np.uint64)
@@ -243,6 +243,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_tex
 
     seen = cut(rows.mapInArrow(released(see), "doc_id long, n_shingles long, sign long, tokens binary, posts array<long>, alone long" + "".join(f", {c} long" for c in extra)))
     shared.destroy()  # `seen` is written, so nothing reads the bitmap again
+    del shared  # the driver's own copy
     tidy(spark)
     active = cut(seen.where("tokens IS NOT NULL").groupBy("sign").agg(F.first("tokens").alias("tokens"), F.first(F.struct("posts", "alone")).alias("p")))
     size = F.octet_length("tokens") / 8

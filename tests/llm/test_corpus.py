@@ -1,5 +1,6 @@
 """The corpus operators against plain versions, and on awkward tables."""
 
+import glob
 import hashlib
 import json
 import random
@@ -16,7 +17,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from locusframe.llm import audio, bpe, chat, components, jaccard, langid, mixing, queries, shards, suffixes, toxicity, vectors
+from locusframe.llm import audio, bpe, chat, common, components, jaccard, langid, mixing, queries, shards, suffixes, toxicity, vectors
 from tests.llm import brute
 
 DIR = "/root/testdata/sf0.001"
@@ -230,6 +231,22 @@ def test_suffixes(spark, docs, monkeypatch, hot):
             assert r.n_removed == 0
 
 
+def test_bitmaps_reach_the_driver_in_parts(spark, docs, monkeypatch):
+    """At a small input the bitmap is nearly empty and is sent as such, and rows of it are dealt over partitions."""
+    sent = []
+    parts = suffixes.in_parts
+    for module in (suffixes, jaccard):
+        monkeypatch.setattr(module, "in_parts", lambda df: (sent.append(len(r.bits)) or r for r in parts(df)))
+    jaccard.join(docs).count()
+    suffixes.dedup(docs).count()
+    assert len(sent) > 1 and sum(sent) < 1 << 20
+    table = spark.range(64).selectExpr("id", "repeat('0', 65536) AS bits").coalesce(1)
+    parts = []
+    cut = common.cut
+    monkeypatch.setattr(common, "cut", lambda df: parts.append(len(glob.glob(cut(df)._path.removeprefix("file://") + "/part-*"))) or cut(df))
+    assert sorted(r.id for r in common.in_parts(table)) == list(range(64)) and parts[0] > 16
+
+
 def test_suffixes_in_order_and_parts_together():
     """Ties of every depth are broken, and small parts of a block share a sort, large ones don't."""
     rng = np.random.default_rng(2)
