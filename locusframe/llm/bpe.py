@@ -11,7 +11,8 @@ of that rank, else 0 or another l's entry.  XOR with ``(l + 1) << 17`` leaves th
 2**17 at least for no merge.
 
 The fold of a word merges one pair a round and keeps the ranks of its pairs, of which a
-merge changes two.  For long words a round merges every pair of the lowest rank at once,
+merge changes two.  Those to start with are looked up by pairs of bytes, for all words of a
+batch at once, where the words are split.  For long words a round merges every pair of the lowest rank at once,
 from the left.  That equals merging them one by one: a pair that appears later has a
 higher rank, because each piece is what its own merges give (checked when the ranks are
 read).  So the rounds of a long word follow its distinct merges.
@@ -42,6 +43,8 @@ BATCH_BYTES, PIECE = 6 << 20, 1 << 19
 HOT_WORDS, HOT_SAMPLE = 1 << 18, 20_000
 SLOTS = 3 << 17  # more where the rows of a rank map find no place
 NONE = 1 << 17  # rank of a pair that doesn't merge, at least
+ID_BITS = 20
+ID, LAST = 1 << ID_BITS, 1 << 60  # LAST: entry of a word's last piece, less its own rank
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 #: The endings that the public pattern splits off after an apostrophe.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -101,6 +104,15 @@ def pair_table(path: str) -> tuple[list[int], np.ndarray, np.ndarray, list[bytes
     return [ranks[bytes([b])] for b in range(256)], shift.astype(np.int32), table, pieces
 
 
+@functools.lru_cache(maxsize=4)
+def first_entries(path: str) -> np.ndarray:
+    """The fold's entry of a byte by the next one, 256 for none."""
+    single, shift, pairs, _ = pair_table(path)
+    left = np.array(single, np.int64)[:, None]
+    entries = (pairs[shift[left] + left.T] ^ (left + 1) * NONE) * ID + left
+    return np.hstack([entries, LAST + left])
+
+
 def constant(name: str, path: str) -> Column:
     """A table of the rank map as a constant: a scalar subquery over its one row, so that plans
     and what is told of them hold its name, not its half a million numbers."""
@@ -118,8 +130,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 #: Words up to so many bytes are folded a merge at a time, with the ranks of their pairs at
 #: hand; longer ones by all merges of a rank at once, so that rounds don't grow with length.
 STEPWISE = 64
-ID_BITS = 20
-ID = 1 << ID_BITS
 
 
 def with_constants(df: DataFrame, path: str, *names: str) -> DataFrame:
@@ -127,18 +137,21 @@ def with_constants(df: DataFrame, path: str, *names: str) -> DataFrame:
     return df.select("*", *[constant(n, path).alias(f"_{n}") for n in names])
 
 
-def encode_word(first: Column) -> Column:
-    """Ranks of a word, given the ranks of its single bytes as ``array<int>``, with the
-    constants ``_pairs`` and ``_shift``."""
+def encode_word(state: Column) -> Column:
+    """Ranks of a word, given the state to start with as ``array<bigint>``, with the constants
+    ``_pairs`` and ``_shift``."""
 
     def fold(pairs: Column, shifts: Column) -> Column:
-        long = F.when(F.size(first) <= STEPWISE, stepwise(first, pairs, shifts)).otherwise(by_rank(first, pairs, shifts))
-        return F.when(F.size(first) < 2, first).otherwise(long)
+        return F.when(F.size(state) <= STEPWISE, stepwise(state, pairs, shifts)).otherwise(by_rank(F.transform(state, piece), pairs, shifts))
 
     # each constant is used once, else it would be copied from row to row
     return let(F.col("_pairs"), lambda pairs: let(F.col("_shift"), lambda shifts: fold(pairs, shifts)))
 
 
+def piece(entry: Column) -> Column:
+    return entry.bitwiseAND(F.lit(ID - 1).cast("bigint")).cast("int")
+
+
 def rank_of(left: Column, right: Column, pairs: Column, shifts: Column) -> Column:
     return pairs[shifts[left] + right].bitwiseXOR((left + F.lit(1).cast("bigint")) * NONE)
 
@@ -147,15 +160,13 @@ def pair_ranks(ids: Column, pairs: Column, shifts: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(ids) - 2), lambda j: rank_of(ids[j], ids[j + 1], pairs, shifts))
 
 
-def stepwise(first: Column, pairs: Column, shifts: Column) -> Column:
+def stepwise(state: Column, pairs: Column, shifts: Column) -> Column:
     """The fold with the lowest rank's first pair merged in each step.
 
     The state is one number a piece: the rank of its pair with the next one, times ID, plus
     its own.  The least number is the next merge, and a merge changes two of them.
     """
-    ids = F.lit(ID - 1).cast("bigint")
-    piece = lambda x: x.bitwiseAND(ids).cast("int")
-    entry = lambda left, right: F.when(right.isNull(), F.lit(1 << 60)).otherwise(rank_of(left, right, pairs, shifts) * ID) + left
+    entry = lambda left, right: F.when(right.isNull(), F.lit(LAST)).otherwise(rank_of(left, right, pairs, shifts) * ID) + left
 
     def merged(s: Column, at: Column, new: Column) -> Column:
         own = F.array(entry(new, piece(F.get(s, at + 1))))
@@ -166,8 +177,7 @@ def stepwise(first: Column, pairs: Column, shifts: Column) -> Column:
     def step(s: Column, _: Column) -> Column:
         return let(F.array_min(s), lambda low: F.when(low >= NONE * ID, s).otherwise(let(F.array_position(s, low).cast("int"), lambda at: merged(s, at, F.shiftright(low, ID_BITS).cast("int")))))
 
-    start = F.transform(first, lambda x, j: entry(x, F.get(first, j + 1)))
-    return F.aggregate(F.sequence(F.lit(2), F.size(first)), start, step, lambda s: F.transform(s, piece))
+    return F.aggregate(F.sequence(F.lit(2), F.size(state)), state, step, lambda s: F.transform(s, piece))
 
 
 def by_rank(first: Column, pairs: Column, shifts: Column) -> Column:
@@ -336,16 +346,19 @@ def split_piece(raws: list[bytes], kinds: np.ndarray) -> tuple[list[bytes], np.n
     return words, keys, index, counts
 
 
-def byte_ranks(words: list[bytes], base: np.ndarray, mask: np.ndarray) -> pa.Array:
-    """Ranks of the single bytes of each word; null where ``mask``."""
+def start_states(words: list[bytes], first: np.ndarray, mask: np.ndarray) -> pa.Array:
+    """The state that the fold of each word starts with; null where ``mask``."""
     sizes = np.array([0 if m else len(w) for w, m in zip(words, mask, strict=True)], np.int64)
-    flat = base[np.frombuffer(b"".join(w for w, m in zip(words, mask, strict=True) if not m), np.uint8)]
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat), mask=pa.array(mask))
+    raw = np.frombuffer(b"".join(w for w, m in zip(words, mask, strict=True) if not m), np.uint8)
+    off = np.concatenate([[0], np.cumsum(sizes)])
+    right = np.append(raw[1:].astype(np.int64), 256)[: len(raw)]
+    right[off[1:][sizes > 0] - 1] = 256
+    return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(first[raw, right]), mask=pa.array(mask))
 
 
 def hot_words(docs: DataFrame, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sorted keys, offsets, ids) of the commonest words of a sample, folded."""
-    single, limit, runs = pair_table(path)[0], BATCH_BYTES, class_runs()
+    first, limit, runs = first_entries(path), BATCH_BYTES, class_runs()
     rows = docs.count()
     some = docs.sample(fraction=HOT_SAMPLE / rows, seed=2) if rows > HOT_SAMPLE else docs
 
@@ -355,17 +368,16 @@ def hot_words(docs: DataFrame, path: str) -> tuple[np.ndarray, np.ndarray, np.nd
             n = np.bincount(index, minlength=len(words))
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64())], ["word", "n"])
 
-    def parts(batches):
-        base = np.array(single, np.int32)
+    def states(batches):
         for batch in batches:
             words = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), byte_ranks(words, base, np.zeros(len(words), bool))], ["word", "parts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), start_states(words, first, np.zeros(len(words), bool))], ["word", "state"])
 
     words = some.mapInArrow(released(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 2")
     # written first: the plan with the rank table has no exchange, so it is made once
     words = cut(words.orderBy(F.desc("n"), "word").limit(HOT_WORDS).select("word").repartition(16))
-    parted = words.mapInArrow(released(parts), "word binary, parts array<int>")
-    got = with_constants(parted, path, "pairs", "shift").select("word", encode_word(F.col("parts")).alias("ids")).toArrow()
+    begun = words.mapInArrow(released(states), "word binary, state array<long>")
+    got = with_constants(begun, path, "pairs", "shift").select("word", encode_word(F.col("state")).alias("ids")).toArrow()
     tidy(docs.sparkSession, words)
     keys = [np.zeros(0, np.uint64)]
     for part in got.column("word").chunks:  # a part at a time: the driver needs the keys only
@@ -381,7 +393,7 @@ def hot_words(docs: DataFrame, path: str) -> tuple[np.ndarray, np.ndarray, np.nd
     return keys[order], off, flat.astype(np.int32)
 
 
-SPLIT = "doc long, word binary, ids array<int>, parts array<int>"
+SPLIT = "doc long, word binary, ids array<int>, state array<long>"
 
 
 def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -393,7 +405,7 @@ def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
     cut, and words of any length are folded alike.  Equal words of a batch are told by a
     64-bit hash.  Letters, numbers and white space are those of the tokenizer's own patterns.
     """
-    single, limit, runs = pair_table(path)[0], BATCH_BYTES, class_runs()
+    first, limit, runs = first_entries(path), BATCH_BYTES, class_runs()
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     spark = small_batches(docs.sparkSession)
     tidy(spark)
@@ -401,7 +413,6 @@ def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
     tidy(spark)
 
     def split(batches):
-        base = np.array(single, np.int32)
         hot, hot_off, hot_ids = shared.value
         for table in gathered(batches, "text", limit):
             raws = table.column("text").to_pylist()
@@ -412,10 +423,10 @@ def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
                 some = words[at : at + 20_000]
                 known, where = is_hot[at : at + 20_000], at_hot[at : at + 20_000]
                 done = [hot_ids[hot_off[i] : hot_off[i + 1]] if h else None for h, i in zip(known.tolist(), where.tolist(), strict=True)]
-                parts = byte_ranks(some, base, np.array([d is not None for d in done], bool))
+                states = start_states(some, first, known)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(some), pa.int64()), pa.array(some, pa.binary()), pa.array(done, pa.list_(pa.int32())), parts],
-                    ["doc", "word", "ids", "parts"],
+                    [pa.nulls(len(some), pa.int64()), pa.array(some, pa.binary()), pa.array(done, pa.list_(pa.int32())), states],
+                    ["doc", "word", "ids", "state"],
                 )
             off = np.concatenate([[0], np.cumsum(counts)])
             docs_col = table.column("doc").combine_chunks()
@@ -425,7 +436,7 @@ def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
                 n = to - at
                 # an empty word array marks a text; `ids` carries its word numbers
                 yield pa.RecordBatch.from_arrays(
-                    [docs_col.slice(at, n), pa.nulls(n, pa.binary()), part, pa.nulls(n, pa.list_(pa.int32()))], ["doc", "word", "ids", "parts"]
+                    [docs_col.slice(at, n), pa.nulls(n, pa.binary()), part, pa.nulls(n, pa.list_(pa.int64()))], ["doc", "word", "ids", "state"]
                 )
 
     def spell(batches):
@@ -471,7 +482,7 @@ def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
                 )
 
     rows = source.mapInArrow(released(split), SPLIT)
-    ids = F.coalesce(F.col("ids"), encode_word(F.col("parts")))
+    ids = F.coalesce(F.col("ids"), encode_word(F.col("state")))
     rows = with_constants(rows, path, "pairs", "shift").select("doc", "word", ids.alias("ids"))
     rows = rows.select("doc", "word", "ids", F.when(F.col("word").isNotNull(), decode_word(F.col("ids"), path)).alias("back"))
     return rows.mapInArrow(released(spell), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")

@@ -159,6 +159,26 @@ def test_words_of_any_length(spark):
         assert got[i] == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(w.encode()).hexdigest()), w[:30]
 
 
+def test_fold_starts_from_ranks_of_byte_pairs(spark):
+    """The ranks of a word's first pairs are looked up for a whole batch; the fold replaces few of them."""
+    ranks = bpe.load_ranks(RANKS)
+    rng = random.Random(5)
+    words = [b"e", b"th", b"\xc3", b"aaaaa", b" the", b"x" * 64, b"x" * 65, "日本語".encode() * 9]
+    words += ["".join(rng.choice("etaoinsr é'") for _ in range(rng.randint(1, 70))).encode() for _ in range(300)]
+    mask = np.arange(len(words)) % 7 == 4
+    states = bpe.start_states(words, bpe.first_entries(RANKS), mask)
+    assert [s is None for s in states.to_pylist()] == mask.tolist()
+    for w, state in zip(words, states.to_pylist(), strict=True):
+        if state is not None:
+            assert [x % bpe.ID for x in state] == [ranks[bytes([b])] for b in w] and state[-1] >= bpe.LAST
+            got = [x // bpe.ID if x < bpe.NONE * bpe.ID else None for x in state[:-1]]
+            assert got == [ranks.get(w[i : i + 2]) for i in range(len(w) - 1)]
+    rows = spark.createDataFrame(pa.table({"word": pa.array(words, pa.binary()), "state": states}))
+    out = bpe.with_constants(rows, RANKS, "pairs", "shift").select("word", bpe.encode_word(F.col("state")).alias("ids")).collect()
+    assert len(out) == len(words)
+    assert all((r.ids is None) == m and (m or r.ids == bpe.merges(bytes(r.word), ranks)) for r, m in zip(out, mask, strict=True))
+
+
 def test_ranks_that_merges_do_not_reach(tmp_path):
     import base64
 
