@@ -251,6 +251,37 @@ def test_suffixes(spark, docs, monkeypatch, hot):
             assert r.n_removed == 0
 
 
+def test_hashes_of_slices_fill_the_bitmap_evenly():
+    """The least of 31 hashes is small: as such, nineteen of twenty grams share an eighth of the bits."""
+    raw = np.random.default_rng(3).integers(97, 123, 200_000).astype(np.uint8)
+    h = suffixes.slices(raw, np.array([len(raw)]))[0]
+    share = np.bincount((h >> np.uint64(61)).astype(np.int64), minlength=8) / len(h)
+    assert len(h) > 10_000 and share.max() < 0.14
+
+
+@pytest.mark.parametrize("most", [2, 1 << 21])
+def test_copies_of_texts_are_not_sent(spark, monkeypatch, most):
+    """Of equal texts those of the smallest id are sent; the others lose all, told or not."""
+    monkeypatch.setattr(suffixes, "COPIES", most)
+    texts = {5: PASSAGE * 3, 7: PASSAGE * 3, 9: PASSAGE * 3, 2: "before it " + PASSAGE, 8: "x" * 80, 11: "short", 12: "short", 13: "y" * 50, 14: "y" * 50}
+    docs = spark.createDataFrame([*texts.items(), (5, PASSAGE * 3), (7, "another text of the id that is longer than fifty bytes by far"), (None, PASSAGE * 3)], "doc_id long, text string")
+    got = suffixes.dedup(docs).collect()
+    want = brute.cut_repeats({i: t.encode() for i, t in texts.items()})
+    assert len(got) == docs.count()
+    for r in got:
+        if r.doc_id is None or r.kept.startswith(b"another"):
+            assert r.n_removed == 0
+        else:
+            assert ([tuple(s) for s in r.spans], bytes(r.kept)) == want[r.doc_id]
+    told = docs.where("doc_id IS NOT NULL AND length(text) >= 50").selectExpr("doc_id", "xxhash64(text) AS mark", "sha2(text, 256) AS sha", "length(text) AS n")
+    copies = suffixes.copied(told)
+    assert sorted(r.doc_id for r in copies.collect()) == [7, 9, 14]
+    gone = suffixes.passed_over(copies)
+    assert len(gone[0]) <= 3 and (most == 2 or gone[0].tolist() == [7, 9, 14])
+    sent = [i for b in suffixes.without(told.toArrow().to_batches(), gone) for i in b.column("doc_id").to_pylist()]
+    assert sorted(sent) == sorted([2, 5, 5, 7, 8, 13] + [i for i in (7, 9, 14) if i not in gone[0].tolist()])
+
+
 def test_bitmaps_reach_the_driver_in_parts(spark, docs, monkeypatch):
     """At a small input the bitmap is nearly empty and is sent as such, and rows of it are dealt over partitions."""
     sent = []
