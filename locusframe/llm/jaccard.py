@@ -204,6 +204,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_tex
     ignored.  With ``by_text``, ``doc_id, text_hash, component`` instead: ``text_hash`` tells
     apart rows that share an id, and ``component``, null where there are no shingles or no
     id, is told by its texts, so it's one even if the smallest id has texts in several.
+    The result's ``_tables`` are those that it reads, for ``tidy`` once it's written.
     """
     spark = small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(F.col(text_col)).alias("text"), *([text_hash(F.col(text_col)).alias("text_hash")] if by_text else []))
@@ -285,7 +286,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_tex
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     edges = cut(members.groupBy("group").applyInArrow(within, "a long, b long"))
+    done = [active, posts, groups, edges]
     state = tied_by(groups.withColumn("component", F.col("sign")), edges)
+    done.append(state)
 
     # leaders of components that share a posting
     held = posts.select("sign", "token").join(state, "sign")
@@ -303,7 +306,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_tex
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     tied = pairs.join(left, "one").join(right, "two").select("one", "two", "x", "y").mapInArrow(released(compare), "a long, b long")
-    state = tied_by(state, cut(tied))
+    tied = cut(tied)
+    state = tied_by(state, tied)
+    done += [tied, state]
 
     # sets against groups of other components
     held = posts.join(state, "sign").groupBy("token", "level", "group", "component")
@@ -316,6 +321,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_tex
     ask = query.join(row, ["token", "level"]).where("group < other AND (component <> lo OR component <> hi) AND 4 * most - 7 * place >= 3 * least2 AND 4 * most2 - 7 * place2 >= 3 * least")
     ask = ask.select("group", "component", F.col("other")).distinct().join(state.select("group", "component", "sign"), ["group", "component"]).select("sign", "component", F.col("other").alias("group"))
     ask = cut(ask)
+    done += [held, ask]
     deal = ask.groupBy("group").agg(F.ceil(F.count("*") / CAP).cast("int").alias("deals"))
     queries = ask.join(deal, "group").withColumn("deal", F.pmod(F.xxhash64("sign"), F.col("deals")).cast("int"))
     queries = queries.join(active.select("sign", "tokens"), "sign").select("group", "deal", "sign", "component", "tokens", F.lit(True).alias("query"))
@@ -351,15 +357,20 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_tex
     if ask.take(1):
         last = cut(queries.unionByName(opened).groupBy("group", "deal").applyInArrow(across, "a long, b long"))
         state = tied_by(state, last)
+        done += [last, state]
     sets = seen.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("sign").agg(F.min("doc_id").alias("low"))
     sets = cut(sets.join(state.select("sign", "component"), "sign", "left").withColumn("component", F.coalesce("component", "sign")))
+    tidy(spark, *[df for df in done if hasattr(df, "_path")])  # the result reads `seen` and `sets`
     ends = sets.groupBy("component").agg(F.min("low").alias("component_id"))
     names = sets.select("sign", "component") if by_text else sets.join(ends, "component").select("sign", "component_id")
     out = seen.select("doc_id", *extra, "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("sign")).alias("sign"))
     out = out.join(names, "sign", "left")
     if by_text:
-        return out.select("doc_id", "text_hash", "component")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        out = out.select("doc_id", "text_hash", "component")
+    else:
+        out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out._tables = (seen, sets)
+    return out
 
 
 def tied_by(state: DataFrame, edges: DataFrame) -> DataFrame:

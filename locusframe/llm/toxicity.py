@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import cut, released, small_batches, utf8
+from locusframe.llm.common import cut, released, small_batches, tidy, utf8
 
 #: Bound of the labelled sample that the model is fitted on; scoring covers all rows.
 SAMPLE = 40_000
@@ -116,7 +116,8 @@ def learn(docs: DataFrame, labels: DataFrame, fold: int = 2, folds: int = 4) ->
     key = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
     some = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (key != fold)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    held = docs.select("doc_id", utf8(F.col("text")).alias("text")).join(F.broadcast(cut(some)), "doc_id")
+    some = cut(some)
+    held = docs.select("doc_id", utf8(F.col("text")).alias("text")).join(F.broadcast(some), "doc_id")
     # one text of an id, so that SAMPLE bounds the rows too
     held = cut(held.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")))
 
@@ -144,6 +145,7 @@ def learn(docs: DataFrame, labels: DataFrame, fold: int = 2, folds: int = 4) ->
     totals = counts.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).first()
     n0, n1 = totals["clean"] or 0, totals["toxic"] or 0
     if not n0 or not n1:
+        tidy(docs.sparkSession, some, held, counts)
         return Model()
     prior = F.lit(PRIOR) * (F.col("clean") + F.col("toxic")) / (n0 + n1) + FLAT
     a1, a0 = F.col("toxic") + prior, F.col("clean") + prior
@@ -168,6 +170,7 @@ def learn(docs: DataFrame, labels: DataFrame, fold: int = 2, folds: int = 4) ->
 
     fitted = held.select("text", "toxic").mapInArrow(released(weigh), "x double, y int").collect()  # SAMPLE rows at most
     model.slope, model.bias = logistic(np.array([r.x for r in fitted]), np.array([1.0 if r.y else 0.0 for r in fitted]))
+    tidy(docs.sparkSession, some, held, counts)
     return model
 
 

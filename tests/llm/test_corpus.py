@@ -566,6 +566,18 @@ def test_pipeline(spark, sample):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard", "suffix_array", "mixing", "byte_bpe"]
 
 
+def test_stages_delete_their_tables(spark, sample):
+    """What is left is what the results read, and links between components."""
+    tables = lambda: set(glob.glob(common.shared_dir(spark).removeprefix("file://") + "/lf-*"))
+    before = tables()
+    clean = corpus_pipeline.drop_toxic(spark, sample, DIR)
+    assert tables() == before and 0 < clean.count() <= sample.count()
+    single = corpus_pipeline.drop_near_duplicates(spark, sample, DIR)
+    for path in tables() - before:
+        assert set(spark.read.parquet(f"file://{path}").columns) <= {"component", "doc_id", "text_hash", "n", "u", "v"}
+    assert 0 < single.count() < sample.count()
+
+
 def test_registered():
     names = {n.split("_")[0] for n in queries.QUERIES}
     assert names == {f"op{i}" for i in range(1, 11)}
